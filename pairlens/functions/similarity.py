@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairlens.constants import ANTONYM_PAIRS
 
@@ -36,7 +37,7 @@ def antonym_signal(a: Column, b: Column) -> Column:
     return reduce(Column.__or__, [split(x, y) | split(y, x) for x, y in ANTONYM_PAIRS])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block ratio of the lower-cased texts; no built-in function gives it."""
     lowered = zip(a.str.lower(), b.str.lower(), strict=True)

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LN2 = math.log(2.0)
 LN10 = math.log(10.0)
@@ -71,7 +72,7 @@ def two_proportion_z(success_a: Column, total_a: Column, success_b: Column, tota
     return F.when(error > 0, gap / error)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """Two-sided normal p-value; used on result rows only, no built-in function gives erfc."""
     return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2.0))).astype("float64")

@@ -13,7 +13,7 @@ from pairlens.functions.logprobs import logprobs_missing
 from pairlens.functions.parsing import parse_answer, raw_answer_fallback, short_text
 from pairlens.operators.guards import require, require_rows
 from pairlens.operators.metrics import flag, ratio
-from pairlens.operators.normalize import parse_line
+from pairlens.operators.normalize import with_record
 from pairlens.operators.pairing import CELL
 
 
@@ -28,9 +28,7 @@ def dup_ids(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def integrity_flags(lines: DataFrame, value: str = "value") -> DataFrame:
     """Per line the Boolean facts that the profile counts, the item id and the experiment mode."""
     text = F.col(value)
-    staged = lines.withColumns({
-        "blank": L.strip(text) == "", "_v": parse_line(text),
-    })
+    staged = with_record(lines.withColumn("blank", L.strip(text) == ""), value)
     v = F.col("_v")
     ok = ~F.col("blank") & v.isNotNull()
     final = F.try_variant_get(v, "$.final_answer", "string")
@@ -116,7 +114,7 @@ def integrity_mode_counts(lines: DataFrame, file: str = "file", value: str = "va
 def integrity_bad_lines(lines: DataFrame, value: str = "value", width: int = 500) -> DataFrame:
     """Malformed lines with length and both ends. Give ``line_number`` in the input to keep it."""
     text = F.regexp_replace(F.col(value), r"[\r\n]+\z", "")
-    bad = lines.where((L.strip(F.col(value)) != "") & parse_line(F.col(value)).isNull())
+    bad = with_record(lines.where(L.strip(F.col(value)) != ""), value).where("_v IS NULL").drop("_v")
     return bad.withColumns({
         "error": F.lit("malformed JSON"),
         "length": F.char_length(text),
@@ -127,9 +125,15 @@ def integrity_bad_lines(lines: DataFrame, value: str = "value", width: int = 500
 
 def integrity_ineffective(lines: DataFrame, value: str = "value") -> DataFrame:
     """Parsed lines that cannot be analysed: error rows and rows without a final answer."""
-    facts = integrity_flags(lines, value)
     kept = [c for c in lines.columns if c != value]
-    return facts.where(F.col("json_ok") & ~F.col("effective")).select(*kept, "item_id", "is_error", "analysis_final")
+    v = F.col("_v")
+    error = L.is_json_true(v, "is_error")
+    unusable = error | L.empty_json(L.first_key(v, K.INTEGRITY_FINAL_KEYS, "variant"))
+    item = L.first_key(v, K.INTEGRITY_ID_KEYS)
+    return with_record(lines, value).where(v.isNotNull() & unusable).select(
+        *kept, F.when(~L.empty_text(item), item).alias("item_id"), error.alias("is_error"),
+        L.first_key(v, K.INTEGRITY_FINAL_KEYS).alias("analysis_final"),
+    )
 
 
 # --- label-attention quality --------------------------------------------------------------------------------

@@ -9,11 +9,19 @@ from pairlens import constants as K
 from pairlens.functions import labels as L
 
 
-def parse_line(line: Column) -> Column:
-    """JSON value of a line as VARIANT; null for malformed text, also for text after the first value."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
-    single = F.variant_get(wrapped, "$[1]", "variant").isNull()
-    return F.when(single, F.variant_get(wrapped, "$[0]", "variant"))
+def with_record(df: DataFrame, value: str = "value", name: str = "_v") -> DataFrame:
+    """Add the JSON value of a text column as VARIANT; null for malformed text, also for text after the first value.
+
+    The value leaves through a one-row generator: later filters on its members cannot be rewritten into repeated
+    parsing of the text.
+    """
+    wrapped = F.array(F.try_parse_json(F.concat(F.lit("["), F.col(value), F.lit("]"))))
+
+    def single(w: Column) -> Column:
+        alone = F.variant_get(w, "$[1]", "variant").isNull()
+        return F.when(alone, F.variant_get(w, "$[0]", "variant"))
+
+    return df.select("*", F.explode(F.transform(wrapped, single)).alias(name))
 
 
 def option_labels(options: Column) -> Column:
@@ -47,8 +55,8 @@ def normalize_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     Malformed lines give a row with ``parsed`` false; the strict reader turns these into a failure.
     """
     keep = [c for c in lines.columns if c != value]
-    raw = lines.withColumn("_raw", parse_line(F.col(value)))
-    v = F.col("_raw")
+    raw = with_record(lines, value)
+    v = F.col("_v")
     options = F.try_variant_get(v, "$.options", "map<string,string>")
     has_options = F.coalesce(L.json_kind(v, "$.options").startswith("OBJECT"), F.lit(False))
     fields = raw.select(

@@ -50,3 +50,12 @@ def list_paths(spark: SparkSession, folder: str) -> list[str]:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)
     return sorted(f.getPath().getName() for f in files)
+
+
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """The file itself, or the data files directly in a folder."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.getFileStatus(hadoop).isDirectory():
+        return [path]
+    return [f"{path.rstrip('/')}/{n}" for n in list_paths(spark, path) if not n.startswith(("_", "."))]

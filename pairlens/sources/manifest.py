@@ -14,7 +14,7 @@ from pairlens import constants as K
 from pairlens.operators.guards import require_rows
 from pairlens.operators.normalize import normalize_lines
 from pairlens.functions.labels import strip
-from pairlens.session import path_exists
+from pairlens.session import data_files, path_exists
 from pairlens.sources.readers import text_lines
 
 
@@ -67,10 +67,11 @@ def read_grid(spark: SparkSession, manifest: Manifest) -> DataFrame:
 
     One scan of all files, joined to the manifest by path; the manifest is a driver-held list and so is small.
     """
-    names = spark.createDataFrame(list(manifest.cells), "dataset string, model string, condition string, path string")
+    files = [(*c[:3], f) for c in manifest.cells for f in data_files(spark, c[3])]
+    names = spark.createDataFrame(files, "dataset string, model string, condition string, path string")
     plain = F.regexp_replace("path", r"^file:/*", "/")
     keyed = F.broadcast(names.withColumn("_path", plain).drop("path"))
-    lines = text_lines(spark, [c[3] for c in manifest.cells]).where(strip(F.col("value")) != "")
+    lines = text_lines(spark, [f[3] for f in files]).where(strip(F.col("value")) != "")
     joined = lines.withColumn("_path", F.regexp_replace("path", r"^file:/*", "/")).join(keyed, "_path")
     rows = normalize_lines(joined.drop("_path", "path", "block"))
     text = F.concat(F.lit("invalid JSON or missing id in "), F.col("file"))
