@@ -240,7 +240,9 @@ def _(spark, folder):
     return R.label_audit(items, _LABEL_TEXTS, _label_difference)
 
 
-@query("label_select", "SELECT 'Guide' AS label")
+@query("label_select", f"""SELECT text AS label FROM {_candidates_sql(_LABEL_TEXTS)}
+WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey IS NOT NULL AND length(text) <> length('Model'))
+ORDER BY ordinal LIMIT 1""")
 def _(spark, folder):
     items = view(spark, folder, "responses").where("n = 1").select("distractor")
     return R.label_select(R.label_audit(items, _LABEL_TEXTS, _label_difference))

@@ -221,7 +221,8 @@ def clamp_confidence(value: Column, default: int = 0) -> Column:
     """Number rounded half-even to an integer in [0, 100]; ``default`` when it is not a number."""
     rounded = F.rint(value.try_cast("double"))
     limited = F.least(F.greatest(rounded, F.lit(0.0)), F.lit(100.0)).cast("int")
-    return F.coalesce(limited, F.lit(default))
+    # greatest() skips nulls, so a missing number has to be tested first.
+    return F.when(rounded.isNull() | F.isnan(rounded), F.lit(default)).otherwise(limited)
 
 
 def strip_confidence(text: Column) -> Column:

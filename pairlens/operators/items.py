@@ -81,3 +81,15 @@ def limit_slice(df: DataFrame, ordinal: str, start: int = 0, limit: int = 0) ->
     """Rows of a dense 0-based position range; a plain filter, so it reaches the scan. 0 means no limit."""
     kept = df.where(F.col(ordinal) >= start) if start else df
     return kept.where(F.col(ordinal) < start + limit) if limit else kept
+
+
+def option_set_problem(labels: Column, correct: Column, target: Column) -> Column:
+    """Why an option set cannot be scored: labels not A-D or A-E in order, gold or target absent, both equal."""
+    upper = F.transform(labels, lambda x: F.upper(F.trim(x)))
+    known = [F.array(*[F.lit(x) for x in text]) for text in ("ABCD", "ABCDE")]
+    return (
+        F.when(~F.coalesce((upper == known[0]) | (upper == known[1]), F.lit(False)), F.lit("labels"))
+        .when(~F.coalesce(F.array_contains(upper, F.upper(correct)), F.lit(False)), F.lit("correct absent"))
+        .when(~F.coalesce(F.array_contains(upper, F.upper(target)), F.lit(False)), F.lit("target absent"))
+        .when(F.upper(correct) == F.upper(target), F.lit("correct equals target"))
+    )

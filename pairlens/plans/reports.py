@@ -59,9 +59,11 @@ def paired_protocol_files(spark: SparkSession, manifest_path: str, **options) ->
 def repeated_subset(
     df: DataFrame, size: int = K.SAMPLE_SIZE, repetitions: int = K.SAMPLE_REPETITIONS,
     seed_start: int = K.SAMPLE_SEED_START, contrasts: Sequence[tuple[str, str]] = K.DEFAULT_CONTRASTS,
+    arms: Sequence[str] = ("model", "condition"),
 ) -> dict[str, DataFrame]:
     """Samples shared by all models and conditions, per-repetition rates and deltas, and their spread."""
-    samples = settle(R.repeated_sample(P.frame_intersection(df), size, repetitions, seed_start), "samples")
+    frame = P.frame_intersection(df, arms=arms)
+    samples = settle(R.repeated_sample(frame, size, repetitions, seed_start), "samples")
     conditions = R.repeated_conditions(df, samples)
     deltas = R.repeated_deltas(df, samples, contrasts)
     return {
@@ -225,10 +227,12 @@ def semantic_profile(pairs: DataFrame, backend: str = "lexical") -> DataFrame:
     return pairs.join(scored, ["correct_text", "target_text"])
 
 
-def semantic_profile_job(pairs: DataFrame, outcomes: DataFrame, size: int = 50, backend: str = "lexical"):
+def semantic_profile_job(
+    pairs: DataFrame, outcomes: DataFrame, size: int = 50, backend: str = "lexical", ordinal: str = "id"
+) -> dict[str, DataFrame]:
     """Profiles, near and far groups, and the rates of both groups per input mode."""
     profiles = semantic_profile(pairs, backend)
-    groups = R.near_far_groups(profiles, size)
+    groups = R.near_far_groups(profiles, size, ordinal)
     rated = outcomes.join(groups.select("id", "group", "exclusion_score"), "id")
     summary = M.semantic_summary(rated)
     return {"profiles": profiles, "groups": groups, "summary": summary, "gaps": M.semantic_gaps(summary)}
@@ -259,7 +263,9 @@ def integrity_report(lines: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def forest_source(comparisons: DataFrame, first: str = "exp2", second: str = "exp3", rows: int | None = None):
+def forest_source(
+    comparisons: DataFrame, first: str = "exp2", second: str = "exp3", rows: int | None = None
+) -> DataFrame:
     """Conformity rows of one contrast with display names and percentage points."""
     kept = comparisons.where(
         (F.lower("condition1") == first) & (F.lower("condition2") == second) & (F.col("metric") == "conformity_rate")
