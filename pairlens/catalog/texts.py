@@ -82,7 +82,7 @@ def _(spark, folder):
 # The same over whole natural texts; the patterns need look-behind, which the SQL side lacks. Tested by brute force.
 @query("answer_extract_documents")
 def _(spark, folder):
-    rows = P.with_answers(table(spark, folder, "documents"), "text")
+    rows = P.with_answers(table(spark, folder, "documents", spread=True), "text")
     return rows.groupBy("lang", "parse_status", "parse_method", "answer").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -103,7 +103,7 @@ _CLEAN = ("translate(" + _TRIM.format(
 @query("text_clean", f"SELECT doc_id, length({_CLEAN}) AS characters, md5({_CLEAN}) AS digest FROM documents")
 def _(spark, folder):
     clean = P.text_clean(F.col("text"))
-    return table(spark, folder, "documents").select(
+    return table(spark, folder, "documents", spread=True).select(
         "doc_id", F.char_length(clean).cast("bigint").alias("characters"), F.md5(clean).alias("digest")
     )
 
@@ -124,7 +124,7 @@ SELECT doc_id, len(list_distinct(segs))::INT AS segments,
   md5(array_to_string(list_sort(list_transform(list_distinct(segs), lambda x: md5(x))), ',')) AS digest,
   segs[1] AS first_segment FROM listed""")
 def _(spark, folder):
-    rows = table(spark, folder, "documents").withColumn("s", P.segments(F.col("text")))
+    rows = table(spark, folder, "documents", spread=True).withColumn("s", P.segments(F.col("text")))
     return rows.select(
         "doc_id", F.size("s").alias("segments"),
         F.md5(F.array_join(F.array_sort(F.transform("s", lambda x: F.md5(x))), ",")).alias("digest"),
@@ -296,7 +296,7 @@ SELECT doc_id, len(t)::INT AS tokens, len(list_distinct(t))::INT AS distinct_tok
   md5(array_to_string(list_sort(list_distinct(t)), ' ')) AS digest
 FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS t FROM documents)""")
 def _(spark, folder):
-    rows = table(spark, folder, "documents").withColumn("t", S.tokens(F.col("text")))
+    rows = table(spark, folder, "documents", spread=True).withColumn("t", S.tokens(F.col("text")))
     return rows.select(
         "doc_id", F.size("t").alias("tokens"), F.size(F.array_distinct("t")).alias("distinct_tokens"),
         F.md5(F.array_join(F.array_sort(F.array_distinct("t")), " ")).alias("digest"),
@@ -309,7 +309,7 @@ SELECT a.doc_id, round(CASE WHEN len(list_distinct(list_concat(a.s, b.s))) = 0 T
   ELSE len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))) END, 6) AS similarity
 FROM t a JOIN t b ON b.doc_id = a.doc_id + 1""")
 def _(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", S.token_set(F.col("text")).alias("s"))
+    docs = table(spark, folder, "documents", spread=True).select("doc_id", S.token_set(F.col("text")).alias("s"))
     after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("s2"))
     return docs.join(after, "doc_id").select(
         "doc_id", F.round(S.jaccard(F.col("s"), F.col("s2")), 6).alias("similarity")

@@ -200,11 +200,24 @@ def duck_view(name: str) -> str:
     return _fill(name, {t: t for t in TABLES}, False)
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the given tables."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """One of the given tables. ``spread`` gives a table of a few file splits to all cores for heavy row work."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    wanted = _missing_tasks(df) if spread else 0
+    return df.repartition(wanted) if wanted else df
+
+
+def _missing_tasks(scan: DataFrame) -> int:
+    """Cores, if the scan has fewer splits than that; 0 for large tables, which need no extra shuffle."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return cores if scan.rdd.getNumPartitions() < cores else 0
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the derived tables."""
-    return spark.sql(_fill(name, {t: f"parquet.`{folder}/{t}.parquet`" for t in TABLES}, True))
+    sources = {t: f"parquet.`{folder}/{t}.parquet`" for t in TABLES}
+    for driving in ("orders", "lineitem"):
+        wanted = _missing_tasks(table(spark, folder, driving))
+        if wanted:
+            sources[driving] = f"(SELECT /*+ REPARTITION({wanted}) */ * FROM {sources[driving]})"
+    return spark.sql(_fill(name, sources, True))

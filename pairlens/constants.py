@@ -85,6 +85,7 @@ ANSWER_PATTERNS = (
     ("zh_select_phrase", r"(?iU)我选择\s*[\(\[]?\s*([A-E])\s*[\)\]]?"),
     ("zh_selection_phrase", r"(?iU)选择\s*[\(\[]?\s*([A-E])\s*[\)\]]?"),
 )
+ANSWER_WORDS_PATTERN = r"(?iu)answer|choice|option|choose|答案是|我选|选择"
 STANDALONE_LINE_PATTERN = (
     r"""(?iU)^[\s>\-*`_~"']*[\(\[]?\s*([A-E])\s*[\)\]]?[\s\.,:;!?*_~"`'\-]*$"""
 )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens import constants as K
-from pairlens.functions.labels import collapse, label_normalize, strip
+from pairlens.functions.labels import collapse, label_normalize, let, strip
 
 EMPTY_HIT = "struct<answer:string,parse_method:string,matched_text:string,segment:string>"
 
@@ -25,26 +25,26 @@ def option_text_fold(text: Column) -> Column:
 
 def segments(text: Column) -> Column:
     """Search order of an answer: last lines, line tails, last sentences, then the whole text."""
-    normal = text_clean(text)
-    lines = F.filter(
-        F.transform(F.split(normal, K.LINE_BREAK_PATTERN), strip), lambda line: line != ""
-    )
-    sentences = F.filter(
-        F.transform(F.split(normal, K.SENTENCE_END_PATTERN), strip), lambda part: part != ""
-    )
+    return let(text_clean(text), segments_of)
 
-    def tail(of: Column, n: int) -> Column:
-        return F.when(F.size(of) > n, F.slice(of, -n, n)).otherwise(of)
 
-    last_lines = tail(lines, 5)
-    tails = F.transform(
-        F.filter(F.array(*[F.lit(n) for n in (5, 4, 3, 2)]), lambda n: n <= F.size(last_lines)),
-        lambda n: F.array_join(F.slice(last_lines, -n, n), "\n"),
-    )
-    parts = F.concat(
-        F.reverse(last_lines), tails, F.reverse(tail(sentences, 3)), F.array(strip(normal))
-    )
-    return F.array_distinct(F.filter(parts, lambda part: part != ""))
+def segments_of(normal: Column) -> Column:
+    """The same for text that is already clean."""
+
+    def parts(text: Column, pattern: str, n: int) -> Column:
+        kept = F.filter(F.transform(F.split(text, pattern), strip), lambda part: part != "")
+        return let(kept, lambda all_: F.when(F.size(all_) > n, F.slice(all_, -n, n)).otherwise(all_))
+
+    def ordered(lines: Column) -> Column:
+        tails = F.transform(
+            F.filter(F.array(*[F.lit(n) for n in (5, 4, 3, 2)]), lambda n: n <= F.size(lines)),
+            lambda n: F.array_join(F.slice(lines, -n, n), "\n"),
+        )
+        sentences = F.reverse(parts(normal, K.SENTENCE_END_PATTERN, 3))
+        return F.concat(F.reverse(lines), tails, sentences, F.array(strip(normal)))
+
+    found = let(parts(normal, K.LINE_BREAK_PATTERN, 5), ordered)
+    return F.array_distinct(F.filter(found, lambda part: part != ""))
 
 
 def _hit(answer: Column, method: Column | str, matched: Column, segment: Column) -> Column:
@@ -67,7 +67,8 @@ def _phrase_hit(segment: Column, strict: bool) -> Column:
             F.regexp_extract(segment, pattern, 1), method, F.regexp_extract(segment, pattern, 0), segment
         )
         found = (F if found is None else found).when(segment.rlike(pattern), hit)
-    return found
+    # One scan for the words that every pattern needs saves the twelve searches on most segments.
+    return F.when(segment.rlike(K.ANSWER_WORDS_PATTERN), found)
 
 
 def _line_hit(segment: Column) -> Column:
@@ -81,21 +82,29 @@ def _line_hit(segment: Column) -> Column:
 
 def _option_hit(segment: Column, folded: Column) -> Column:
     """``folded``: array of (label, text, folded text) of the usable options."""
-    plain = option_text_fold(segment)
-    named = F.filter(folded, lambda o: F.contains(plain, o["folded"]))
-    return F.when(
-        F.size(named) == 1,
-        _hit(named[0]["label"], "option_text_match", named[0]["text"], F.lit(None).cast("string")),
+    named = let(
+        option_text_fold(segment), lambda plain: F.filter(folded, lambda o: F.contains(plain, o["folded"]))
     )
+    return let(named, lambda found: F.when(
+        F.size(found) == 1,
+        _hit(F.get(found, F.lit(0))["label"], "option_text_match", F.get(found, F.lit(0))["text"],
+             F.lit(None).cast("string")),
+    ))
 
 
 def _token_hit(segment: Column) -> Column:
-    condensed = collapse(segment)
-    tokens = F.regexp_extract_all(condensed, F.lit(K.SINGLE_TOKEN_PATTERN), F.lit(1))
-    return F.when(
-        (F.char_length(condensed) <= K.SINGLE_TOKEN_MAX_CHARS) & (F.size(tokens) == 1),
-        _hit(tokens[0], "fallback_single_token", tokens[0], condensed),
-    )
+    def search(condensed: Column) -> Column:
+        found = F.regexp_extract_all(condensed, F.lit(K.SINGLE_TOKEN_PATTERN), F.lit(1))
+        return let(found, lambda tokens: F.when(
+            F.size(tokens) == 1,
+            _hit(F.get(tokens, F.lit(0)), "fallback_single_token", F.get(tokens, F.lit(0)), condensed),
+        ))
+
+    # Visible characters alone already rule long segments out; only short ones are collapsed.
+    short = F.char_length(F.translate(segment, K.WHITESPACE, "")) <= K.SINGLE_TOKEN_MAX_CHARS
+    return F.when(short, let(collapse(segment), lambda condensed: F.when(
+        F.char_length(condensed) <= K.SINGLE_TOKEN_MAX_CHARS, search(condensed)
+    )))
 
 
 def usable_options(options: Column) -> Column:
@@ -168,10 +177,9 @@ def with_answers(
     """Add the parsed columns to a table. Segments are projected once and read by every stage."""
     staged = df.withColumns({
         "_normal": text_clean(F.col(text)),
-        "_parts": segments(F.col(text)),
         "_usable": F.lit(None).cast("array<string>") if options is None
         else usable_options(F.col(options)),
-    })
+    }).withColumn("_parts", segments_of(F.col("_normal")))
     hit = find_hit(F.col("_parts"), None if options is None else F.col("_usable"), strict)
     parsed = staged.withColumn("_hit", hit).withColumn(
         "_parsed", describe_hit(F.col("_hit"), F.col("_normal"), strict)
