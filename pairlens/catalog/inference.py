@@ -258,7 +258,7 @@ def _(spark, folder):
         F.count_if(F.col("l_returnflag") == "A").alias("b"),
         F.count_if((F.col("l_returnflag") == "R") & (F.col("l_linenumber") < 5)).alias("c"),
     )
-    return counts.withColumn("p_raw", F.round(exact_mcnemar(F.col("b"), F.col("c")) + NUDGE, 9))
+    return counts.withColumn("p_raw", F.round(exact_mcnemar("b", "c") + NUDGE, 9))
 
 
 @query("holm_adjust", f"""WITH counts AS (
@@ -272,7 +272,7 @@ def _(spark, folder):
     counts = table(spark, folder, "lineitem").groupBy(
         F.col("l_suppkey").alias("suppkey"), F.col("l_linestatus").alias("status")
     ).agg(F.count_if(F.col("l_returnflag") == "A").alias("b"), F.count_if(F.col("l_returnflag") == "R").alias("c"))
-    p = counts.select("suppkey", "status", exact_mcnemar(F.col("b"), F.col("c")).alias("p_raw"))
+    p = counts.select("suppkey", "status", exact_mcnemar("b", "c").alias("p_raw"))
     return inference_rounded(I.holm_adjust(p, ("status",), order=("suppkey",)))
 
 

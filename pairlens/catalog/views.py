@@ -200,24 +200,38 @@ def duck_view(name: str) -> str:
     return _fill(name, {t: t for t in TABLES}, False)
 
 
+_SEEN: dict[tuple, DataFrame] = {}
+
+
+def _once(spark: SparkSession, folder: str, name: str, make) -> DataFrame:
+    """Analysed tables by session: reading a footer or analysing a view again for every query would only cost time."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _SEEN:
+        _SEEN[key] = make()
+    return _SEEN[key]
+
+
 def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
     """One of the given tables. ``spread`` gives a table of a few file splits to all cores for heavy row work."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    wanted = _missing_tasks(df) if spread else 0
-    return df.repartition(wanted) if wanted else df
+    df = _once(spark, folder, name, lambda: spark.read.parquet(f"{folder}/{name}.parquet"))
+    return _once(spark, folder, f"spread {name}", lambda: spread_small(df)) if spread else df
 
 
-def _missing_tasks(scan: DataFrame) -> int:
-    """Cores, if the scan has fewer splits than that; 0 for large tables, which need no extra shuffle."""
+def spread_small(scan: DataFrame) -> DataFrame:
+    """All cores for a scan with fewer splits than that; large tables are left as they are, without a shuffle."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return cores if scan.rdd.getNumPartitions() < cores else 0
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the derived tables."""
-    sources = {t: f"parquet.`{folder}/{t}.parquet`" for t in TABLES}
-    for driving in ("orders", "lineitem"):
-        wanted = _missing_tasks(table(spark, folder, driving))
-        if wanted:
-            sources[driving] = f"(SELECT /*+ REPARTITION({wanted}) */ * FROM {sources[driving]})"
-    return spark.sql(_fill(name, sources, True))
+
+    def build() -> DataFrame:
+        text = _fill(name, {t: f"@{t}@" for t in TABLES}, True).replace("{", "{{").replace("}", "}}")
+        driving = {"orders", "lineitem"}
+        used = {t: table(spark, folder, t, spread=t in driving) for t in TABLES if f"@{t}@" in text}
+        for t in used:
+            text = text.replace(f"@{t}@", "{" + t + "}")
+        return spark.sql(text, **used)
+
+    return _once(spark, folder, f"view {name}", build)

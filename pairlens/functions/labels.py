@@ -28,7 +28,8 @@ def collapse(text: Column) -> Column:
 def label_normalize(value: Column) -> Column:
     """Trimmed upper-case option label; null for anything outside A-E."""
     label = F.upper(strip(value))
-    return F.when(label.isin(*OPTION_LABELS), label)
+    # Labels that are clean already skip the trimming.
+    return F.when(value.isin(*OPTION_LABELS), value).when(label.isin(*OPTION_LABELS), label)
 
 
 def first_present(fields: Column, names: Sequence[str]) -> Column:

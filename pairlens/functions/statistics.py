@@ -13,53 +13,50 @@ LN2 = math.log(2.0)
 LN10 = math.log(10.0)
 
 
-def _stirling_error(x: Column) -> Column:
+def _stirling_error(x: str) -> str:
     """ln(x!) minus Stirling's formula: from the factorial up to 20, from the asymptotic series above."""
-    small = F.ln(F.factorial(F.least(x, F.lit(20)).cast("int")).cast("double")) - (
-        0.5 * F.ln(2.0 * math.pi * x) + x * F.ln(x) - x
+    return (
+        f"CASE WHEN {x} <= 20 THEN ln(cast(factorial(cast(least({x}, 20) AS int)) AS double)) "
+        f"- (0.5D * ln(2.0D * pi() * {x}) + {x} * ln({x}) - {x}) "
+        f"ELSE (1D / 12 - (1D / 360 - (1D / 1260 - 1D / (1680D * {x} * {x})) / ({x} * {x})) / ({x} * {x})) / {x} END"
     )
-    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * x * x)) / (x * x)) / (x * x)) / x
-    return F.when(x <= 20, small).otherwise(series)
 
 
-def _log_pmf(m: Column, n: Column) -> Column:
+def _log_pmf(m: str, n: str) -> str:
     """ln of C(n, m) / 2^n by the saddle-point expansion (Loader 2000): no factorial of a large number."""
-    d = (n - 2.0 * m) / n
-    deviance = 0.5 * n * ((1.0 - d) * F.log1p(-d) + (1.0 + d) * F.log1p(d))
-    general = (
-        _stirling_error(n) - _stirling_error(m) - _stirling_error(n - m) - deviance
-        + 0.5 * F.ln(n / (2.0 * math.pi * m * (n - m)))
+    d = f"(({n} - 2.0D * {m}) / {n})"
+    deviance = f"(0.5D * {n} * ((1.0D - {d}) * log1p(-{d}) + (1.0D + {d}) * log1p({d})))"
+    return (
+        f"CASE WHEN {m} = 0 THEN -{n} * {LN2}D ELSE ({_stirling_error(n)}) - ({_stirling_error(m)}) "
+        f"- ({_stirling_error(f'({n} - {m})')}) - {deviance} "
+        f"+ 0.5D * ln({n} / (2.0D * pi() * {m} * ({n} - {m}))) END"
     )
-    return F.when(m == 0, -n * LN2).otherwise(general)
 
 
-def mcnemar_log_p(b: Column, c: Column) -> Column:
-    """Natural log of the exact two-sided McNemar p-value from the discordant counts.
+def mcnemar_log_p(b: str, c: str) -> Column:
+    """Natural log of the exact two-sided McNemar p-value from the discordant counts (SQL expressions).
 
     The tail is summed downwards from min(b, c) as ratios of neighbouring terms. These shrink at least like
     exp(-2j^2/n), so 10 sqrt(n) + 20 of them hold every digit of a double: the work is O(sqrt(n)), not O(n).
     """
-    m = F.least(b, c).cast("double")
-    n = (b + c).cast("double")
-    last = F.least(m, F.ceil(10.0 * F.sqrt(n)) + 20).cast("long")
-    step = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-
-    def grow(acc: Column, j: Column) -> Column:
-        term = acc["term"] * ((m - j + 1.0) / (n - m + j))
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    tail = F.when(
-        last >= 1, F.aggregate(F.sequence(F.lit(1).cast("long"), last), step, grow, lambda a: a["total"])
-    ).otherwise(F.lit(1.0))
-    log_p = F.least(F.lit(0.0), LN2 + _log_pmf(m, n) + F.ln(tail))
-    return (
-        F.when((b < 0) | (c < 0), F.raise_error(F.lit("discordant counts must not be negative")).cast("double"))
-        .when(n == 0, F.lit(0.0))
-        .otherwise(log_p)
+    last = "cast(least(s.m, ceil(10.0D * sqrt(s.n)) + 20) AS bigint)"
+    grow = (
+        "named_struct('term', acc.term * ((s.m - j + 1.0D) / (s.n - s.m + j)), "
+        "'total', acc.total + acc.term * ((s.m - j + 1.0D) / (s.n - s.m + j)))"
+    )
+    tail = (
+        f"CASE WHEN {last} >= 1 THEN aggregate(sequence(1L, {last}), named_struct('term', 1.0D, 'total', 1.0D), "
+        f"(acc, j) -> {grow}, acc -> acc.total) ELSE 1.0D END"
+    )
+    body = f"least(0.0D, {LN2}D + ({_log_pmf('s.m', 's.n')}) + ln({tail}))"
+    counts = f"array(named_struct('m', cast(least({b}, {c}) AS double), 'n', cast({b} + {c} AS double)))"
+    return F.expr(
+        f"CASE WHEN {b} < 0 OR {c} < 0 THEN cast(raise_error('discordant counts must not be negative') AS double) "
+        f"WHEN {b} + {c} = 0 THEN 0.0D ELSE transform({counts}, s -> {body})[0] END"
     )
 
 
-def exact_mcnemar(b: Column, c: Column) -> Column:
+def exact_mcnemar(b: str, c: str) -> Column:
     """Exact two-sided McNemar p-value; 1 without discordant pairs."""
     return F.exp(mcnemar_log_p(b, c))
 

@@ -23,57 +23,44 @@ from pairlens.operators.pairing import CELL, outcome_code, pair_codes, wide_code
 CONTRAST = ("contrast", "condition1", "condition2")
 
 
-def _bit(code: str, position: int) -> Column:
-    return F.col(code).bitwiseAND(F.lit(1 << position)) != 0
-
-
 def contrast_counts(pairs: DataFrame, metrics: Sequence[Metric], keys: Sequence[str]) -> DataFrame:
     """Per key and metric: paired n, successes on each side and discordant counts b and c.
 
     ``pairs`` holds ``code1`` and ``code2``; a null code stands for an item missing on that side.
     """
     histogram = pairs.groupBy(*keys, "code1", "code2").agg(F.count(F.lit(1)).alias("_n"))
-    cases = F.array(*[
-        F.struct(
-            F.lit(i).alias("metric_order"), F.lit(m.name).alias("metric"),
-            (_bit("code1", 2 * i) & _bit("code2", 2 * i)).alias("_in"),
-            _bit("code1", 2 * i + 1).alias("_o1"), _bit("code2", 2 * i + 1).alias("_o2"),
-        )
+    # Per metric the two bits of both codes: 1 eligible, 3 eligible with outcome.
+    cases = ", ".join(
+        f"named_struct('metric_order', {i}, 'metric', '{m.name}', '_1', shiftright(code1, {2 * i}) & 3, "
+        f"'_2', shiftright(code2, {2 * i}) & 3)"
         for i, m in enumerate(metrics)
-    ])
-    exploded = histogram.select(*keys, "_n", F.inline(cases))
-
-    def total(where: Column) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("_in") & where, F.col("_n"))), F.lit(0)).cast("bigint")
-
-    first, second = F.col("_o1"), F.col("_o2")
-    return exploded.groupBy(*keys, "metric_order", "metric").agg(
-        total(F.lit(True)).alias("paired_n"),
-        total(first).alias("_hits1"),
-        total(second).alias("_hits2"),
-        total(first & ~second).alias("_b"),
-        total(~first & second).alias("_c"),
     )
+    exploded = histogram.selectExpr(*keys, "_n", f"inline(array({cases}))")
+
+    def total(where: str) -> str:
+        return f"cast(coalesce(sum(CASE WHEN {where} THEN _n END), 0) AS bigint)"
+
+    return exploded.groupBy(*keys, "metric_order", "metric").agg(*[
+        F.expr(total(where)).alias(name) for name, where in (
+            ("paired_n", "_1 > 0 AND _2 > 0"), ("_hits1", "_1 = 3 AND _2 > 0"), ("_hits2", "_1 > 0 AND _2 = 3"),
+            ("_b", "_1 = 3 AND _2 = 1"), ("_c", "_1 = 1 AND _2 = 3"),
+        )
+    ])
 
 
 def rates_and_test(counts: DataFrame, second_minus_first: bool = True) -> DataFrame:
     """Rates, delta, discordant counts and the exact p-value; all null without a pair."""
-    n = F.col("paired_n")
-    some = n > 0
-    rate1, rate2 = F.try_divide(F.col("_hits1").cast("double"), n), F.try_divide(F.col("_hits2").cast("double"), n)
-    gap = (F.col("_c") - F.col("_b")) if second_minus_first else (F.col("_b") - F.col("_c"))
-    log_p = F.when(some, mcnemar_log_p(F.col("_b"), F.col("_c")))
-    return counts.select(
-        *[c for c in counts.columns if not c.startswith("_")],
-        F.lit("condition2_minus_condition1" if second_minus_first else "condition1_minus_condition2")
-        .alias("delta_definition"),
-        rate1.alias("rate1"),
-        rate2.alias("rate2"),
-        F.try_divide(gap.cast("double"), n).alias("delta"),
-        F.when(some, F.col("_b")).alias("mcnemar_b"),
-        F.when(some, F.col("_c")).alias("mcnemar_c"),
-        log_p.alias("_log_p"),
-    ).withColumns({"p_raw": F.exp("_log_p"), "log10_p": F.col("_log_p") / LN10}).drop("_log_p")
+    gap = "_c - _b" if second_minus_first else "_b - _c"
+    definition = "condition2_minus_condition1" if second_minus_first else "condition1_minus_condition2"
+    kept = [c for c in counts.columns if not c.startswith("_")]
+    some = counts.withColumn("_log_p", F.when(F.col("paired_n") > 0, mcnemar_log_p("_b", "_c")))
+    return some.selectExpr(
+        *kept, f"'{definition}' AS delta_definition",
+        "try_divide(cast(_hits1 AS double), paired_n) AS rate1", "try_divide(cast(_hits2 AS double), paired_n) AS rate2",
+        f"try_divide(cast({gap} AS double), paired_n) AS delta",
+        "CASE WHEN paired_n > 0 THEN _b END AS mcnemar_b", "CASE WHEN paired_n > 0 THEN _c END AS mcnemar_c",
+        "exp(_log_p) AS p_raw", f"_log_p / {LN10} AS log10_p",
+    )
 
 
 def holm_adjust(

@@ -52,16 +52,12 @@ def condition_summary(
     metrics: Sequence[Metric] = PAIRED_METRICS,
 ) -> DataFrame:
     """Attempted, valid and invalid rows; per metric the eligible valid rows and their rate."""
-    aggs = [
-        F.count(F.lit(1)).alias("attempted_n"),
-        F.count_if(F.col("valid")).alias("valid_n"),
-        F.count_if(~F.col("valid")).alias("invalid_n"),
-    ]
+    aggs = ["count(1) AS attempted_n", "count_if(valid) AS valid_n", "count_if(NOT valid) AS invalid_n"]
     for m in metrics:
-        counted = flag(F.col("valid") & F.expr(m.eligible))
-        aggs.append(F.count_if(counted).alias(f"{m.name}_n"))
-        aggs.append(F.avg(F.when(counted, F.expr(m.outcome).cast("double"))).alias(m.name))
-    return df.groupBy(*keys).agg(*aggs)
+        counted = f"coalesce(valid AND ({m.eligible}), false)"
+        aggs.append(f"count_if({counted}) AS {m.name}_n")
+        aggs.append(f"avg(CASE WHEN {counted} THEN cast({m.outcome} AS double) END) AS {m.name}")
+    return df.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
 
 
 def common_valid_summary(common: DataFrame, keys: Sequence[str] = ("dataset", "model", "condition")) -> DataFrame:

@@ -18,15 +18,14 @@ from pairlens.operators.metrics import PAIRED_METRICS, Metric
 CELL = ("dataset", "model")
 
 
-def outcome_code(metrics: Sequence[Metric], valid: Column | None = None) -> Column:
+def outcome_code(metrics: Sequence[Metric], valid: str = "valid") -> Column:
     """Integer with two bits per metric: bit 2i says eligible and valid, bit 2i+1 says the outcome holds."""
-    valid = F.col("valid") if valid is None else valid
-    total = F.lit(0)
-    for i, m in enumerate(metrics):
-        counted = F.coalesce(valid & F.expr(m.eligible), F.lit(False))
-        hit = F.coalesce(F.expr(m.outcome), F.lit(False))
-        total = total + F.when(counted & hit, F.lit(3 << 2 * i)).when(counted, F.lit(1 << 2 * i)).otherwise(0)
-    return total
+    cases = [
+        f"CASE WHEN coalesce(({valid}) AND ({m.eligible}), false) THEN "
+        f"CASE WHEN coalesce({m.outcome}, false) THEN {3 << 2 * i} ELSE {1 << 2 * i} END ELSE 0 END"
+        for i, m in enumerate(metrics)
+    ]
+    return F.expr(" + ".join(cases))
 
 
 def wide_codes(

@@ -20,7 +20,8 @@ def session(cpus: int = 8) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("pairlens")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
