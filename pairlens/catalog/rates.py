@@ -58,7 +58,8 @@ COMMON_SUMMARY = f"WITH {_COMMON} SELECT dataset, model, condition, {_COMMON_COL
 
 @query("common_valid_summary", COMMON_SUMMARY, ("responses",))
 def _(spark, folder):
-    return rounded(M.common_valid_summary(P.common_valid_rows(responses(spark, folder), K.FOUR_PROTOCOLS)))
+    codes = P.common_valid_codes(responses(spark, folder), K.FOUR_PROTOCOLS, M.COMMON_METRICS)
+    return rounded(M.common_valid_summary(codes))
 
 
 ABLATION_SUMMARY = f"""WITH {ABLATED}
@@ -343,10 +344,9 @@ FROM common_rows WHERE n <= 3 GROUP BY ALL"""
 @query("stepwise_rates", _STEPWISE.replace("= 4)", "= 3)").replace(
     "FROM normal GROUP BY ALL", "FROM normal WHERE n <= 3 GROUP BY ALL"), ("responses",))
 def _(spark, folder):
-    rows = P.common_valid_rows(responses(spark, folder), ("exp1", "exp2", "exp3")).withColumn(
-        "peer_count", 2 * F.col("n") - 1
-    )
-    summary = M.common_valid_summary(rows, ("dataset", "model", "peer_count"))
+    codes = P.common_valid_codes(responses(spark, folder), ("exp1", "exp2", "exp3"), M.COMMON_METRICS)
+    peers = F.when(F.col("condition") == "exp1", 1).when(F.col("condition") == "exp2", 3).otherwise(5)
+    summary = M.common_valid_summary(codes.withColumn("peer_count", peers), ("dataset", "model", "peer_count"))
     return rounded(summary.select(
         "dataset", "model", "peer_count", F.col("final_accuracy").alias("accuracy"),
         F.col("target_adoption").alias("adopt"), F.col("CR").alias("cr"), F.col("HCR").alias("hcr"),

@@ -98,6 +98,13 @@ SELECT id, condition, step, prediction, lag(prediction) OVER w AS previous,
   CASE WHEN step > 1 THEN prediction IS DISTINCT FROM lag(prediction) OVER w END AS flipped
 FROM steprows WINDOW w AS (PARTITION BY id, condition ORDER BY step)""", ("steprows",))
 def _(spark, folder):
-    rows = S.explode_steps(step_table(spark, folder).select("id", "condition", "steps"))
-    return S.flip_from_previous(rows.select("id", "condition", "step", "prediction"), ["id", "condition"], "step",
-                                "prediction")
+    return S.flip_steps(step_table(spark, folder).select("id", "condition", "steps"))
+
+
+@query("flip_between_turns", """
+SELECT conv_id, turn, role, lag(role) OVER w AS previous,
+  CASE WHEN lag(turn) OVER w = turn - 1 THEN role <> lag(role) OVER w END AS flipped
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def _(spark, folder):
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role")
+    return S.flip_from_previous(turns, ["conv_id"], "turn", "role")

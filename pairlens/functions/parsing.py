@@ -13,9 +13,13 @@ EMPTY_HIT = "struct<answer:string,parse_method:string,matched_text:string,segmen
 
 def text_clean(text: Column) -> Column:
     """Unix line ends, no byte-order mark, no code fences, no markdown marks."""
-    unix = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
-    plain = strip(F.regexp_replace(F.replace(unix, F.lit("\ufeff"), F.lit("")), K.CODE_FENCE_PATTERN, ""))
-    return F.translate(plain, "*_`~", "")
+    text = F.coalesce(text, F.lit(""))
+    # Plain substring tests keep the regular expressions away from texts that do not need them.
+    unix = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
+    marked = F.replace(unix, F.lit("\ufeff"), F.lit(""))
+    fenced = F.contains(text, F.lit("```"))
+    plain = F.when(fenced, F.regexp_replace(marked, K.CODE_FENCE_PATTERN, "")).otherwise(marked)
+    return F.translate(strip(plain), "*_`~", "")
 
 
 def option_text_fold(text: Column) -> Column:
@@ -121,7 +125,7 @@ def usable_options(options: Column) -> Column:
     )
 
 
-def find_hit(parts: Column, usable: Column | None = None, strict: bool = False) -> Column:
+def find_hit(parts: Column, options: Column | None = None, strict: bool = False) -> Column:
     """First hit over an array of segments; every stage sees all segments before a weaker stage starts."""
     nothing = F.lit(None).cast(EMPTY_HIT)
 
@@ -129,8 +133,11 @@ def find_hit(parts: Column, usable: Column | None = None, strict: bool = False)
         return F.aggregate(parts, nothing, lambda hit, s: F.when(hit.isNotNull(), hit).otherwise(stage(s)))
 
     stages = [walk(lambda s: _phrase_hit(s, strict)), walk(_line_hit)]
-    if usable is not None:
-        stages.append(F.when(F.size(usable) > 0, walk(lambda s: _option_hit(s, usable))))
+    if options is not None:
+        # Option texts are folded only for rows that get this far.
+        stages.append(let(usable_options(options), lambda usable: F.when(
+            F.size(usable) > 0, walk(lambda s: _option_hit(s, usable))
+        )))
     stages.append(walk(_token_hit))
     return F.coalesce(*stages)
 
@@ -161,26 +168,20 @@ def answer_extract(text: Column, options: Column | None = None, strict: bool = F
 
     With ``strict`` a phrase may not end inside a word; by default "the answer depends" gives D.
     """
-    usable = None if options is None else usable_options(options)
-    return describe_hit(find_hit(segments(text), usable, strict), text_clean(text), strict)
+    return describe_hit(find_hit(segments(text), options, strict), text_clean(text), strict)
 
 
 def parse_answer(text: Column, options: Column | None = None, strict: bool = False) -> Column:
     """The answer label only."""
-    usable = None if options is None else usable_options(options)
-    return find_hit(segments(text), usable, strict)["answer"]
+    return find_hit(segments(text), options, strict)["answer"]
 
 
 def with_answers(
     df: DataFrame, text: str, options: str | None = None, strict: bool = False, prefix: str = ""
 ) -> DataFrame:
     """Add the parsed columns to a table. Segments are projected once and read by every stage."""
-    staged = df.withColumns({
-        "_normal": text_clean(F.col(text)),
-        "_usable": F.lit(None).cast("array<string>") if options is None
-        else usable_options(F.col(options)),
-    }).withColumn("_parts", segments_of(F.col("_normal")))
-    hit = find_hit(F.col("_parts"), None if options is None else F.col("_usable"), strict)
+    staged = df.withColumn("_normal", text_clean(F.col(text))).withColumn("_parts", segments_of(F.col("_normal")))
+    hit = find_hit(F.col("_parts"), None if options is None else F.col(options), strict)
     parsed = staged.withColumn("_hit", hit).withColumn(
         "_parsed", describe_hit(F.col("_hit"), F.col("_normal"), strict)
     )
@@ -189,7 +190,7 @@ def with_answers(
     return parsed.withColumns(
         {prefix + f: F.col("_parsed")[f] for f in fields}
         | {prefix + "confidence": confidence_extract(F.col(text))}
-    ).drop("_normal", "_parts", "_usable", "_hit", "_parsed")
+    ).drop("_normal", "_parts", "_hit", "_parsed")
 
 
 def confidence_extract(text: Column) -> Column:

@@ -60,29 +60,30 @@ def condition_summary(
     return df.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
 
 
-def common_valid_summary(common: DataFrame, keys: Sequence[str] = ("dataset", "model", "condition")) -> DataFrame:
-    """Rates of rows already limited to the k-way common-valid items."""
-    not_target = F.col("initial") != F.col("distractor")
-    was_right = F.col("initial") == F.col("correct")
-
-    def rate(outcome: Column, eligible: Column | None = None) -> Column:
-        hit = outcome.cast("double")
-        return F.avg(hit if eligible is None else F.when(eligible, hit))
-
-    adopted, right = F.col("final") == F.col("distractor"), F.col("final") == F.col("correct")
-    return common.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("N"),
-        rate(was_right).alias("initial_accuracy"),
-        rate(right).alias("final_accuracy"),
-        rate(adopted).alias("target_adoption"),
-        rate(F.col("final") != F.col("initial")).alias("change_rate"),
-        F.count_if(not_target).alias("CR_n"),
-        rate(adopted, not_target).alias("CR"),
-        F.count_if(was_right).alias("HCR_n"),
-        rate(adopted, was_right).alias("HCR"),
-        F.count_if(~was_right).alias("beneficial_revision_n"),
-        rate(right, ~was_right).alias("beneficial_revision"),
+COMMON_METRICS = (*PAIRED_METRICS, Metric("initial_accuracy", "initial = correct"))
+
+
+def common_valid_summary(
+    histogram: DataFrame, keys: Sequence[str] = ("dataset", "model", "condition")
+) -> DataFrame:
+    """Rates on k-way common-valid items, from the code histogram of ``COMMON_METRICS``."""
+
+    def sum_of(bits: int, metric: str) -> str:
+        at = 2 * [m.name for m in COMMON_METRICS].index(metric)
+        return f"sum(CASE WHEN (shiftright(code, {at}) & {bits}) = {bits} THEN rows ELSE 0 END)"
+
+    def rate(metric: str) -> str:
+        return f"try_divide(cast({sum_of(3, metric)} AS double), {sum_of(1, metric)})"
+
+    named = (
+        ("sum(rows)", "N"), (rate("initial_accuracy"), "initial_accuracy"), (rate("accuracy"), "final_accuracy"),
+        (rate("target_adoption"), "target_adoption"), (rate("change_rate"), "change_rate"),
+        (sum_of(1, "conformity_rate"), "CR_n"), (rate("conformity_rate"), "CR"),
+        (sum_of(1, "harmful_conformity"), "HCR_n"), (rate("harmful_conformity"), "HCR"),
+        (sum_of(1, "beneficial_revision"), "beneficial_revision_n"),
+        (rate("beneficial_revision"), "beneficial_revision"),
     )
+    return histogram.groupBy(*keys).agg(*[F.expr(value).alias(name) for value, name in named])
 
 
 def ablation_summary(df: DataFrame, keys: Sequence[str] = ("condition",)) -> DataFrame:

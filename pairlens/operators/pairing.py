@@ -108,6 +108,21 @@ def common_valid_rows(
     return rows.join(common_valid_items(df, conditions, keys, item, condition), [*keys, item], "left_semi")
 
 
+def common_valid_codes(
+    df: DataFrame, conditions: Sequence[str], metrics: Sequence[Metric], keys: Sequence[str] = CELL, item: str = "id",
+    condition: str = "condition",
+) -> DataFrame:
+    """Histogram of outcome codes per condition over items valid in every condition: one shuffle of integers.
+
+    The first metric must hold for every valid row, so that its eligible bit stands for validity.
+    """
+    wide = wide_codes(df, conditions, outcome_code(metrics), keys, item, condition)
+    every = " AND ".join(f"c{i} & 1 = 1" for i in range(len(conditions)))
+    cases = ", ".join(f"named_struct('{condition}', '{c}', 'code', c{i})" for i, c in enumerate(conditions))
+    rows = wide.where(every).selectExpr(*keys, f"inline(array({cases}))")
+    return rows.groupBy(*keys, condition, "code").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def frame_intersection(
     df: DataFrame, group: str = "dataset", arms: Sequence[str] = ("model", "condition"), item: str = "id",
 ) -> DataFrame:

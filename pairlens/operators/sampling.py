@@ -93,7 +93,9 @@ def repeated_sample(
     not the whole group. A group smaller than ``size`` fails the query.
     """
     digest = F.md5(F.concat_ws("|", (F.lit(seed_start) + F.col("rep") - 1).cast("string"), F.col(group), F.col(item)))
-    drawn = frame.select(group, item, F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("rep"))
+    # The frame is read twice, for the counts and for the rows: its ids are settled once.
+    ids = settle(frame.select(group, item), "frame")
+    drawn = ids.select(group, item, F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("rep"))
     hashed = drawn.withColumn("_h", digest).withColumn("_bucket", F.substring("_h", 1, 4))
     buckets = hashed.groupBy(group, "rep", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(group, "rep").orderBy("_bucket").rowsBetween(

@@ -86,8 +86,18 @@ def observed_history(df: DataFrame, steps: str = "steps", item: str = "id", turn
     return rows.select(item, *others, (F.col("_pos") + 1).alias("turn"), kept.alias("text"))
 
 
+def flip_steps(df: DataFrame, steps: str = "steps", value: str = "prediction") -> DataFrame:
+    """One row per step of a step array with the value of the step before and whether it changed; no shuffle."""
+    s = F.col(steps)
+    listed = F.transform(s, lambda x, i: F.struct(
+        (i + 1).alias("step"), x[value].alias(value), F.when(i > 0, F.get(s, i - 1)[value]).alias("previous"),
+        F.when(i > 0, ~x[value].eqNullSafe(F.get(s, i - 1)[value])).alias("flipped"),
+    ))
+    return df.select(*[c for c in df.columns if c != steps], F.inline(listed))
+
+
 def flip_from_previous(rows: DataFrame, keys: Sequence[str], step: str, value: str) -> DataFrame:
-    """Step rows with the value of the step before and whether it changed.
+    """The same for a table with one row per step.
 
     The previous row is found by an equi-join on (keys, step - 1): even one very long sequence spreads over tasks.
     """

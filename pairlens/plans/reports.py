@@ -81,8 +81,7 @@ def repeated_subset(
 
 def four_protocol(df: DataFrame, conditions: Sequence[str] = K.FOUR_PROTOCOLS) -> dict[str, DataFrame]:
     """Rates on items valid in every protocol; the initial accuracy must agree across protocols."""
-    rows = P.common_valid_rows(df, conditions)
-    summary = M.common_valid_summary(rows)
+    summary = M.common_valid_summary(P.common_valid_codes(df, conditions, M.COMMON_METRICS))
     agree = summary.groupBy("dataset", "model").agg(
         F.count_distinct("initial_accuracy").alias("initial_accuracies"), F.max("N").alias("common_valid_n")
     )

@@ -15,7 +15,7 @@ from pairlens import constants as K
 from pairlens.functions.labels import strip
 from pairlens.operators.guards import require, require_rows
 from pairlens.operators.normalize import normalize_lines
-from pairlens.session import list_paths, path_exists
+from pairlens.session import list_paths, path_exists, settle
 
 
 def file_name(path: Column) -> Column:
@@ -52,7 +52,11 @@ def with_line_numbers(lines: DataFrame, wanted: Column | None = None) -> DataFra
 
 
 def read_strict(spark: SparkSession, path: str | Sequence[str], per: Sequence[str] = ("path",)) -> DataFrame:
-    """Normalised JSONL responses; malformed line, missing id, repeated id or no row at all fail the query."""
+    """Normalised JSONL responses; malformed line, missing id, repeated id or no row at all fail the read.
+
+    Lines are parsed once into a columnar table in the shared folder, without a shuffle. Repeated ids are looked for on
+    its key columns only, and every later query reads columns instead of text.
+    """
     lines = text_lines(spark, path).where(strip(F.col("value")) != "").drop("block")
     rows = normalize_lines(lines)
     text = (
@@ -60,7 +64,13 @@ def read_strict(spark: SparkSession, path: str | Sequence[str], per: Sequence[st
         .otherwise(F.concat(F.lit("missing item id in "), F.col("file")))
     )
     checked = require_rows(rows, "id", F.col("parsed") & F.col("id").isNotNull(), text).drop("parsed")
-    return unique(checked, [*per, "id"])
+    table = settle(checked, "strict")
+    if table.isEmpty():
+        raise ValueError(f"no records found in {path}")
+    repeated = table.groupBy(*per, "id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").first()
+    if repeated:
+        raise ValueError(f"duplicate item id: {repeated.asDict()}")
+    return table
 
 
 def unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -71,12 +81,6 @@ def unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return require_rows(df.join(counted, list(keys)), key, F.col("_rows") == 1, text).drop("_rows")
 
 
-def assert_not_empty(df: DataFrame, what: str = "input") -> DataFrame:
-    if df.isEmpty():
-        raise ValueError(f"no records found in {what}")
-    return df
-
-
 def read_permissive(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str) -> DataFrame:
     """Typed JSONL rows; malformed lines are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

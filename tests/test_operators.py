@@ -100,7 +100,7 @@ def test_strict_reader_fails_closed(spark, tmp_path, line, text):
 def test_empty_input_is_an_error(spark, tmp_path):
     (tmp_path / "rows.jsonl").write_text("\n  \n")
     with pytest.raises(ValueError, match="no records"):
-        RD.assert_not_empty(RD.read_strict(spark, str(tmp_path / "rows.jsonl")))
+        RD.read_strict(spark, str(tmp_path / "rows.jsonl"))
 
 
 def test_present_null_wins_and_string_true_is_no_error(spark):
