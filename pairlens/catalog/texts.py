@@ -169,17 +169,19 @@ def _(spark, folder):
 
 
 @query("clamp_score", """
-SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0.5e0 ELSE round(least(greatest(value / 40 - 0.2, 0), 1), 6) END AS score,
-  CASE WHEN event_id % 3 = 0 THEN 7 ELSE CAST(least(greatest(round_even(value * 2, 0), 0), 100) AS INT) END AS confidence
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0.5e0 ELSE round(least(greatest(value / 40 - 0.2, 0), 1), 6) END AS score
 FROM events""")
 def _(spark, folder):
-    bad = F.col("event_id") % 3 == 0
-    score = F.when(bad, F.lit("n/a")).otherwise((F.col("value") / 40 - 0.2).cast("string"))
-    confidence = F.when(bad, F.lit("high")).otherwise((F.col("value") * 2).cast("string"))
-    return table(spark, folder, "events").select(
-        "event_id", F.round(P.clamp_score(score, 0.5), 6).alias("score"),
-        P.clamp_confidence(confidence, 7).alias("confidence"),
-    )
+    text = F.when(F.col("event_id") % 3 == 0, F.lit("n/a")).otherwise((F.col("value") / 40 - 0.2).cast("string"))
+    return table(spark, folder, "events").select("event_id", F.round(P.clamp_score(text, 0.5), 6).alias("score"))
+
+
+@query("clamp_confidence", """
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 7
+  ELSE CAST(least(greatest(round_even(value * 2, 0), 0), 100) AS INT) END AS confidence FROM events""")
+def _(spark, folder):
+    text = F.when(F.col("event_id") % 3 == 0, F.lit("high")).otherwise((F.col("value") * 2).cast("string"))
+    return table(spark, folder, "events").select("event_id", P.clamp_confidence(text, 7).alias("confidence"))
 
 
 # --- log-probabilities --------------------------------------------------------------------------------------
@@ -255,12 +257,16 @@ def _(spark, folder):
 
 
 @query("option_logprob", """
-SELECT item_id, lp_correct AS correct_lp, lp_distractor AS distractor_lp, round(lp_distractor - lp_correct, 6) AS margin
-FROM label_rows""", ("label_rows",))
+SELECT item_id, lp_correct AS correct_lp, lp_distractor AS distractor_lp FROM label_rows""", ("label_rows",))
+def _(spark, folder):
+    return label_answers(spark, folder).select("item_id", "correct_lp", "distractor_lp")
+
+
+@query("margin", """
+SELECT item_id, round(lp_distractor - lp_correct, 6) AS margin FROM label_rows""", ("label_rows",))
 def _(spark, folder):
-    rows = label_answers(spark, folder)
     gap = LP.margin(F.col("option_logprobs"), F.col("distractor"), F.col("correct"))
-    return rows.select("item_id", "correct_lp", "distractor_lp", F.round(gap, 6).alias("margin"))
+    return label_answers(spark, folder).select("item_id", F.round(gap, 6).alias("margin"))
 
 
 @query("softmax", """WITH logs AS (
@@ -372,14 +378,18 @@ def _(spark, folder):
     )
 
 
-@query("char_count", """
-SELECT conv_id, turn, length(text)::INT AS characters, (1 + len(list_filter(
+@query("char_count", "SELECT conv_id, turn, length(text)::INT AS characters FROM conversations")
+def _(spark, folder):
+    one = F.array(M.message(F.col("role"), F.col("text")))
+    return table(spark, folder, "conversations").select("conv_id", "turn", M.char_count(one).alias("characters"))
+
+
+@query("token_count", """
+SELECT conv_id, turn, (1 + len(list_filter(
   string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')))::INT AS tokens FROM conversations""")
 def _(spark, folder):
     one = F.array(M.message(F.col("role"), F.col("text")))
-    return table(spark, folder, "conversations").select(
-        "conv_id", "turn", M.char_count(one).alias("characters"), M.token_count(one).alias("tokens")
-    )
+    return table(spark, folder, "conversations").select("conv_id", "turn", M.token_count(one).alias("tokens"))
 
 
 @query("name_shorten", """

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pairlens.operators.guards import require
 from pairlens.operators.metrics import PAIRED_METRICS, Metric
+from pairlens.session import checked_broadcast
 
 CELL = ("dataset", "model")
 
@@ -129,8 +130,9 @@ def frame_intersection(
     """Items attempted under every arm (model and condition) of their group."""
     seen = df.select(group, item, *arms).distinct()
     per_item = seen.groupBy(group, item).agg(F.count(F.lit(1)).alias("_arms"))
-    wanted = seen.select(group, *arms).distinct().groupBy(group).agg(F.count(F.lit(1)).alias("_wanted"))
-    return per_item.join(wanted, group).where(F.col("_arms") == F.col("_wanted")).select(group, item)
+    wanted = df.select(group, *arms).distinct().groupBy(group).agg(F.count(F.lit(1)).alias("_wanted"))
+    # One row per group against all items: a shuffle on so few keys would leave the work to a few tasks.
+    return per_item.join(checked_broadcast(wanted, "arms"), group).where(F.col("_arms") == F.col("_wanted")).select(group, item)
 
 
 def set_sizes(

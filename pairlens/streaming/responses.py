@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +20,21 @@ RESPONSE_SCHEMA = (
 KEYS = ("dataset", "model", "condition", "id")
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Start a query with its key state outside the heap, as it grows with the keys; the setting is put back."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
 def read_log(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """Stream of appended JSONL files."""
     return (
@@ -53,11 +71,12 @@ def stream_responses(
     def replace(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(out)
 
-    return (
+    writer = (
         summary.writeStream.outputMode("complete").foreachBatch(replace)
-        .option("checkpointLocation", checkpoint or scratch(spark, "stream-checkpoint"))
-        .trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint or scratch(spark, "stream-checkpoint")).trigger(availableNow=True)
     )
+    with state_on_disk(spark):
+        return writer.start()
 
 
 def stream_autosave(
