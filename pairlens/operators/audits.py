@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairlens import constants as K
 from pairlens.functions import labels as L
-from pairlens.functions.logprobs import logprobs_missing
+from pairlens.functions.logprobs import logprobs_missing, option_logprob
 from pairlens.functions.parsing import parse_answer, raw_answer_fallback, short_text
 from pairlens.operators.guards import require, require_rows
 from pairlens.operators.metrics import flag, ratio
@@ -143,8 +143,6 @@ def label_answers(df: DataFrame) -> DataFrame:
 
     Input: final_answer, raw_output, correct, distractor, option_logprobs, is_error, error, error_type.
     """
-    from pairlens.functions.logprobs import option_logprob
-
     recorded = L.label_normalize(F.col("final_answer"))
     right, target = L.label_normalize(F.col("correct")), L.label_normalize(F.col("distractor"))
     return df.withColumns({

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pairlens import constants as K
 from pairlens.functions.statistics import LN10, mcnemar_log_p
 from pairlens.operators.metrics import ABLATION_METRICS, CONFORMITY_ONLY, PAIRED_METRICS, Metric
-from pairlens.operators.pairing import CELL, outcome_code, pair_codes, wide_codes
+from pairlens.operators.pairing import CELL, contrast_conditions, outcome_code, pair_codes, wide_codes
 from pairlens.session import checked_broadcast
 
 CONTRAST = ("contrast", "condition1", "condition2")
@@ -264,8 +264,6 @@ def token_pairs(
     tokens: str = "final_prompt_token_count",
 ) -> DataFrame:
     """One row per item present on both sides of a contrast, with both prompt token counts."""
-    from pairlens.operators.pairing import contrast_conditions
-
     conditions = contrast_conditions(contrasts)
     known = wide_codes(df, conditions, F.coalesce(F.col(tokens).cast("int"), F.lit(-1)), keys)
     at = {c: F.col(f"c{i}") for i, c in enumerate(conditions)}
@@ -311,8 +309,6 @@ def exact_token_contrast(
     contrasts = [(a, b) for _, a, b in comparisons]
     width = 2 * len(metrics)
     shifted = F.coalesce(F.col(tokens).cast("int") + 1, F.lit(0)) * F.lit(1 << width) + outcome_code(metrics)
-    from pairlens.operators.pairing import contrast_conditions
-
     conditions = contrast_conditions(contrasts)
     wide = wide_codes(df, conditions, shifted, keys)
     at = {c: F.col(f"c{i}") for i, c in enumerate(conditions)}

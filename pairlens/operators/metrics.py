@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens import constants as K
+from pairlens.functions.logprobs import finite
 
 
 @dataclass(frozen=True)
@@ -205,11 +206,11 @@ def mechanism_summary(df: DataFrame, keys: Sequence[str] = ("input_mode", "dimen
 
 
 def semantic_summary(df: DataFrame) -> DataFrame:
-    """Rates per input mode and near/far group, with the far-minus-near gaps on every row of the mode."""
+    """Rates per input mode and near/far group."""
     def mean(of: Column) -> Column:
         return F.avg(of.cast("double"))
 
-    groups = df.groupBy("input_mode", "group").agg(
+    return df.groupBy("input_mode", "group").agg(
         F.count(F.lit(1)).alias("total"),
         mean(F.col("conformed_to_target")).alias("conformity_rate"),
         mean(F.col("wrong_conformity")).alias("wrong_conformity_rate"),
@@ -218,7 +219,6 @@ def semantic_summary(df: DataFrame) -> DataFrame:
         mean(F.col("final").eqNullSafe(F.col("correct"))).alias("attack_accuracy"),
         F.avg("exclusion_score").alias("avg_exclusion_score"),
     )
-    return groups
 
 
 def semantic_gaps(groups: DataFrame) -> DataFrame:
@@ -230,11 +230,8 @@ def semantic_gaps(groups: DataFrame) -> DataFrame:
         (of(r, "far_exclusive") - of(r, "near_similar")).alias(f"{r}_gap_far_minus_near")
         for r in ("conformity_rate", "wrong_conformity_rate")
     ]
-    return groups.groupBy("input_mode").agg(*gaps).where(F.col(gaps_name(0)).isNotNull())
-
-
-def gaps_name(i: int) -> str:
-    return ("conformity_rate_gap_far_minus_near", "wrong_conformity_rate_gap_far_minus_near")[i]
+    both = groups.groupBy("input_mode").agg(*gaps)
+    return both.where("conformity_rate_gap_far_minus_near IS NOT NULL")
 
 
 # --- label attention ----------------------------------------------------------------------------------------
@@ -332,10 +329,8 @@ def logprob_shift(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     Input columns: before_correct, after_correct, before_target, after_target; a row with any value missing or
     not finite does not count.
     """
-    from pairlens.functions.logprobs import finite
-
     values = ("before_correct", "after_correct", "before_target", "after_target")
-    usable = df.where(F.expr("true"))
+    usable = df
     for v in values:
         usable = usable.where(finite(F.col(v)))
     to_correct = F.col("after_correct") - F.col("before_correct")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pairlens import constants as K
 from pairlens.operators.guards import require, require_rows
 from pairlens.operators.inference import CONTRAST, contrast_counts
-from pairlens.operators.metrics import PAIRED_METRICS, Metric
+from pairlens.operators.metrics import PAIRED_METRICS, Metric, condition_summary
 from pairlens.operators.pairing import CELL, pair_codes
 from pairlens.session import checked_broadcast, settle
 
@@ -142,8 +142,6 @@ def repeated_conditions(
     df: DataFrame, samples: DataFrame, metrics: Sequence[Metric] = PAIRED_METRICS, keys: Sequence[str] = CELL,
 ) -> DataFrame:
     """Condition rates per repetition in long form; metrics without an eligible row are left out."""
-    from pairlens.operators.metrics import condition_summary
-
     members = checked_broadcast(sample_membership(samples), "sample-members")
     chosen = df.join(members, ["dataset", "id"]).withColumn("rep", F.explode("reps"))
     wide = condition_summary(chosen, [*keys, "condition", "rep"], metrics)
