@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 200_000
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors see: ``spark.checkpoint.dir``; a new local one only where that is unset."""
+    """Folder that all executors see: ``spark.checkpoint.dir``; one own local folder only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="pairlens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    application = spark.sparkContext.applicationId
+    if application not in _OWN:
+        _OWN[application] = tempfile.mkdtemp(prefix="pairlens-")
+    return _OWN[application]
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -274,3 +274,43 @@ def test_stream_continues_after_a_restart(spark, tmp_path):
 def test_settings_and_fixed_lists(spark):
     assert len(K.ANTONYM_PAIRS) == 20 and len(K.ANSWER_PATTERNS) == 12
     assert sum(c[3] for c in K.ABLATION_COMPARISONS) == 9
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    from types import SimpleNamespace
+
+    from pairlens.session import scratch, shared_dir
+
+    def fake(value, name="app-1"):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: value),
+                               sparkContext=SimpleNamespace(applicationId=name))
+
+    assert shared_dir(fake("hdfs://shared/dir")) == "hdfs://shared/dir"
+    assert scratch(fake("hdfs://shared/dir/"), "x").startswith("hdfs://shared/dir/pairlens/x-")
+    assert shared_dir(fake(None)) == shared_dir(fake(None)) != shared_dir(fake("", "app-2"))
+
+
+def test_large_tables_are_not_broadcast(spark):
+    from pairlens.session import checked_broadcast
+
+    small = checked_broadcast(spark.range(10), "small", max_rows=10)
+    large = checked_broadcast(spark.range(11), "large", max_rows=10)
+    plans = [d._jdf.queryExecution().analyzed().toString() for d in (small, large)]
+    assert "ResolvedHint (strategy=broadcast)" in plans[0] and "Hint" not in plans[1]
+
+
+def test_one_hot_cell_gives_the_same_rates_after_any_split(spark):
+    # A third of all rows belongs to one cell and one item range; counts must not depend on the partitioning.
+    df = spark.range(30_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('m', id % 50) END AS model", "'d' AS dataset",
+        "cast(id div 2 AS string) AS id", "CASE WHEN id % 2 = 0 THEN 'e1' ELSE 'exp22' END AS condition",
+        "'A' AS correct", "'B' AS distractor", "'A' AS initial", "CASE WHEN id % 7 < 3 THEN 'B' ELSE 'A' END AS final")
+    rows = N.normalize_responses(df.withColumn("model", F.lit("hot")))
+    contrast = [("e1", "exp22")]
+    one = sorted(map(str, I.paired_contrast(rows.repartition(1), contrast).collect()))
+    many = sorted(map(str, I.paired_contrast(rows.repartition(37), contrast).collect()))
+    found = {r.metric: r for r in I.paired_contrast(rows, contrast).collect()}
+    want = [(2 * i % 7 < 3, (2 * i + 1) % 7 < 3) for i in range(15_000)]
+    assert one == many and found["target_adoption"].paired_n == 15_000
+    assert found["target_adoption"].mcnemar_b == sum(a and not b for a, b in want)
+    assert found["target_adoption"].mcnemar_c == sum(b and not a for a, b in want)
