@@ -16,6 +16,7 @@ from pairlens.catalog.normalizing import _NORMALIZED
 from pairlens.catalog.registry import query
 from pairlens.catalog.views import table, view
 from pairlens.operators import inference as I
+from pairlens.operators.normalize import with_record
 from pairlens.session import data_files, scratch
 from pairlens.sources import manifest as MF
 from pairlens.sources import readers as R
@@ -50,7 +51,7 @@ FROM lettered GROUP BY file""", ("lines",))
 def _(spark, folder):
     # Blank lines stay in; broken ones would fail the strict reader and are left to the permissive one.
     path = scratch(spark, "strict")
-    lines = view(spark, folder, "lines").where("k % 97 <> 5 OR k % 89 = 7")
+    lines = with_record(view(spark, folder, "lines")).where("_v IS NOT NULL OR trim(value) = ''")
     lines.select("file", "value").write.partitionBy("file").text(path)
     rows = R.read_strict(spark, path).withColumn("file", F.regexp_extract("path", "file=([^/]+)", 1))
     return rows.groupBy("file").agg(

@@ -50,10 +50,9 @@ def _audit_fields(df: DataFrame) -> list[str]:
 
 
 def paired_protocol_files(spark: SparkSession, manifest_path: str, **options) -> dict[str, DataFrame]:
-    """The same from a manifest. Lines are parsed once and settled; every later step reads the columns."""
+    """The same from a manifest. Lines are parsed once; every later step reads the columns."""
     manifest = load_manifest(spark, manifest_path)
-    rows = settle(read_grid(spark, manifest), "grid")
-    return paired_protocol(rows, manifest.contrasts, **options)
+    return paired_protocol(read_grid(spark, manifest), manifest.contrasts, **options)
 
 
 def repeated_subset(

@@ -14,8 +14,8 @@ from pairlens import constants as K
 from pairlens.operators.guards import require_rows
 from pairlens.operators.normalize import normalize_lines
 from pairlens.functions.labels import strip
-from pairlens.session import data_files, path_exists
-from pairlens.sources.readers import text_lines
+from pairlens.session import data_files, path_exists, settle
+from pairlens.sources.readers import require_unique, text_lines
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,8 @@ def check_manifest(spark: SparkSession, content: dict, base: str) -> Manifest:
 def read_grid(spark: SparkSession, manifest: Manifest) -> DataFrame:
     """All files of a manifest as one normalised table with dataset, model and condition.
 
-    One scan of all files, joined to the manifest by path; the manifest is a driver-held list and so is small.
+    One scan of all files, joined to the manifest by path; the manifest is a driver-held list and so is small. Lines are
+    parsed once into the shared folder; an empty condition or a repeated item within one is an error.
     """
     files = [(*c[:3], f) for c in manifest.cells for f in data_files(spark, c[3])]
     names = spark.createDataFrame(files, "dataset string, model string, condition string, path string")
@@ -75,7 +76,14 @@ def read_grid(spark: SparkSession, manifest: Manifest) -> DataFrame:
     joined = lines.withColumn("_path", F.regexp_replace("path", r"^file:/*", "/")).join(keyed, "_path")
     rows = normalize_lines(joined.drop("_path", "path", "block"))
     text = F.concat(F.lit("invalid JSON or missing id in "), F.col("file"))
-    return require_rows(rows, "id", F.col("parsed") & F.col("id").isNotNull(), text).drop("parsed")
+    checked = require_rows(rows, "id", F.col("parsed") & F.col("id").isNotNull(), text).drop("parsed")
+    grid = require_unique(settle(checked, "grid"), ["dataset", "model", "condition", "id"], "the manifest")
+    # One row per manifest entry.
+    found = {tuple(r) for r in grid.select("dataset", "model", "condition").distinct().collect()}
+    empty = sorted({c[:3] for c in manifest.cells} - found)
+    if empty:
+        raise ValueError(f"no records found for {empty}")
+    return grid
 
 
 def condition_args(

@@ -64,23 +64,19 @@ def read_strict(spark: SparkSession, path: str | Sequence[str], per: Sequence[st
         .otherwise(F.concat(F.lit("missing item id in "), F.col("file")))
     )
     checked = require_rows(rows, "id", F.col("parsed") & F.col("id").isNotNull(), text).drop("parsed")
-    table = settle(checked, "strict")
+    return require_unique(settle(checked, "strict"), [*per, "id"], str(path))
+
+
+def require_unique(table: DataFrame, keys: Sequence[str], what: str = "input") -> DataFrame:
+    """The table itself; an empty table or a repeated key is an error. Reads the key columns of a settled table only."""
     if table.isEmpty():
-        raise ValueError(f"no records found in {path}")
-    repeated = table.groupBy(*per, "id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").first()
+        raise ValueError(f"no records found in {what}")
+    repeated = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").first()
     if repeated:
         raise ValueError(f"duplicate item id: {repeated.asDict()}")
     return table
 
 
-def unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The table itself; a repeated key fails the query. The check is a count per key joined back on the key."""
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    key = keys[-1]
-    text = F.concat(F.lit("duplicate "), F.col(key).cast("string"))
-    return require_rows(df.join(counted, list(keys)), key, F.col("_rows") == 1, text).drop("_rows")
-
-
 def read_permissive(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str) -> DataFrame:
     """Typed JSONL rows; malformed lines are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
@@ -110,7 +106,8 @@ def read_item_bank(spark: SparkSession, path: str) -> DataFrame:
     )
     rows = spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
     named = rows.withColumn("id", F.coalesce("id", "item_id")).drop("item_id")
-    return unique(require_rows(named, "id", F.col("id").isNotNull(), "item without id"), ["id"])
+    checked = require_rows(named, "id", F.col("id").isNotNull(), "item without id")
+    return require_unique(settle(checked, "bank"), ["id"], path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

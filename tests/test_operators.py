@@ -78,6 +78,25 @@ def test_bad_manifests(spark, run, content, text):
         MF.check_manifest(spark, content, str(run))
 
 
+@pytest.mark.parametrize("extra, text", [(None, "no records found for"), (["A"] * 10, "duplicate item id")])
+def test_grid_rejects_empty_conditions_and_repeated_items(spark, run, extra, text):
+    if extra is None:
+        (run / "exp4.jsonl").write_text("\n")
+    else:
+        (run / "exp4.jsonl").write_text((run / "exp1.jsonl").read_text() * 2)
+    with pytest.raises(ValueError, match=text):
+        RP.paired_protocol_files(spark, str(run / "manifest.json"))
+
+
+def test_item_bank(spark, tmp_path):
+    path = tmp_path / "bank.json"
+    path.write_text(json.dumps([{"item_id": 7, "question": "q", "options": {"A": "x"}}, {"id": "8"}]))
+    assert {r.id for r in RD.read_item_bank(spark, str(path)).collect()} == {"7", "8"}
+    path.write_text(json.dumps([{"id": 7}, {"id": "7"}]))
+    with pytest.raises(ValueError, match="duplicate"):
+        RD.read_item_bank(spark, str(path))
+
+
 def test_missing_files_and_repeated_cells(spark, run):
     good = {"dataset": "d", "model": "m", "conditions": {f"exp{i}": f"exp{i}.jsonl" for i in range(1, 4)}}
     with pytest.raises(ValueError, match="duplicate"):
