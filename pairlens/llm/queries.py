@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import minhash, packing
+from pairlens.llm import bpe, minhash, packing
 from pairlens.llm.common import read, settle
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,3 +35,12 @@ def op7_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     groups = minhash.near_duplicates(read(spark, folder, "documents"), 3, Fraction(85, 100))
     return groups.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op10_streaming_transducer(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the token ids and of the decoded text of every document."""
+    encoded = bpe.encode(read(spark, folder, "documents").select("doc_id", "text"), TOKENIZER)
+    digested = encoded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("ids_sha256", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256))
+    decoded = bpe.decode(digested, TOKENIZER)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
