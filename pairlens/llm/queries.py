@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import bpe, minhash, packing
-from pairlens.llm.common import read, settle
+from pairlens.llm import bpe, language, minhash, packing
+from pairlens.llm.common import held_out, read, settle
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,11 @@ def op10_streaming_transducer(spark: SparkSession, folder: str) -> DataFrame:
     digested = encoded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("ids_sha256", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256))
     decoded = bpe.decode(digested, TOKENIZER)
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query
+def op4_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document."""
+    documents = read(spark, folder, "documents")
+    model = language.fit(language.learnable(documents, held_out("doc_id", 3, 1)))
+    return language.identify(documents, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
