@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import bpe, language, minhash, packing
+from pairlens.llm import bpe, language, merkle, minhash, packing
 from pairlens.llm.common import held_out, read, settle
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,3 +52,14 @@ def op4_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents")
     model = language.fit(language.learnable(documents, held_out("doc_id", 3, 1)))
     return language.identify(documents, model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
+@query
+def op3_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    rows = merkle.with_next(read(spark, folder, "documents")).withColumn("n_chars", F.length("text").cast("long"))
+    edited = rows.withColumn("edited", F.expr("concat(left(text, cast(n_chars - n_chars div 2 as int)), left(next_text, cast(n_chars div 2 as int)))"))
+    digested = edited.withColumn("edited_sha256", F.sha2("edited", 256))
+    marked = merkle.fingerprint(digested, {"text": "fingerprint", "edited": "edited_fingerprint", "next_text": "next_fingerprint"})
+    compared = merkle.likeness(marked, {"near_edited": ("fingerprint", "edited_fingerprint"), "near_next": ("fingerprint", "next_fingerprint")})
+    return compared.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
