@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import bpe, language, merkle, minhash, packing
+from pairlens.llm import bpe, language, merkle, minhash, packing, warc
 from pairlens.llm.common import held_out, read, settle
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -63,3 +63,29 @@ def op3_merkle(spark: SparkSession, folder: str) -> DataFrame:
     marked = merkle.fingerprint(digested, {"text": "fingerprint", "edited": "edited_fingerprint", "next_text": "next_fingerprint"})
     compared = merkle.likeness(marked, {"near_edited": ("fingerprint", "edited_fingerprint"), "near_next": ("fingerprint", "next_fingerprint")})
     return compared.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query
+def op9_seekable_bundles(spark: SparkSession, folder: str) -> DataFrame:
+    """Write all pages as WARC records into seekable bundles, and read them back."""
+    archives = warc.archive_folder(spark)
+    index = warc.write(warc.classify(read(spark, folder, "pages")), archives)
+    records = warc.read(index, archives)
+    own = F.col("payload").isNotNull()
+    return records.select(
+        "page_id",
+        F.when(own, F.length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(own, F.sha1("payload")).otherwise(F.col("digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
+ORACLES["op9_seekable_bundles"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS size FROM pages),
+keep AS (SELECT html, max(page_id) AS top FROM p WHERE size >= 1000 GROUP BY html)
+SELECT page_id, size AS payload_bytes, sha1(p.html) AS payload_digest,
+  CASE WHEN top IS NULL OR top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN top <> page_id THEN top END AS refers_to
+FROM p LEFT JOIN keep USING (html)
+"""
