@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import bpe, language, merkle, minhash, packing, warc
+from pairlens.llm import bpe, language, merkle, minhash, packing, toxicity, warc
 from pairlens.llm.common import held_out, read, settle
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -89,3 +89,12 @@ SELECT page_id, size AS payload_bytes, sha1(p.html) AS payload_digest,
   CASE WHEN top <> page_id THEN top END AS refers_to
 FROM p LEFT JOIN keep USING (html)
 """
+
+
+@query
+def op1_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document."""
+    documents = read(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, read(spark, folder, "labels").where(~held_out("doc_id", 5, 0)))
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
