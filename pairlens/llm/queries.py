@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import bpe, language, merkle, minhash, packing, toxicity, warc
+from pairlens.llm import bpe, language, merkle, minhash, packing, quality, toxicity, warc
 from pairlens.llm.common import held_out, read, settle
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -98,3 +98,10 @@ def op1_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.fit(documents, read(spark, folder, "labels").where(~held_out("doc_id", 5, 0)))
     scored = toxicity.score(documents, model)
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op2_hierarchical_bayes(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality posterior of every document, with those of its path and host."""
+    judged = quality.judge(read(spark, folder, "documents"), read(spark, folder, "labels"))
+    return judged.select("doc_id", "host", "path", "evidence", "host_mean", "path_mean", "posterior", "rejected")

@@ -26,7 +26,7 @@ def test_label_model_finds_accuracies_and_ties():
     rng = np.random.default_rng(4)
     y = rng.random(6000) < 0.2
     right = np.array([0.7, 0.5, 0.4, 0.6, 0.3])
-    votes = (rng.random((6000, 5)) < np.where(y[:, None], right, 0.02)).astype(float)
+    votes = (rng.random((6000, 5)) < np.where(y[:, None], right, 0.004)).astype(float)
     votes = np.column_stack([votes, votes[:, 0]])  # a copy of the first voter
     model, posterior = toxicity.label_model(votes, 0.15)
     assert sorted(map(len, model.cliques)) == [1, 1, 1, 1, 2]
