@@ -9,10 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import bpe, language, merkle, minhash, packing, quality, toxicity, warc
+from pairlens.llm import bpe, language, merkle, minhash, packing, pii, quality, toxicity, warc
 from pairlens.llm.common import held_out, read, settle
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Not a secret of anyone: a deployment passes its own.
+SURROGATE_KEY = "surrogates of the registered query"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -105,3 +107,9 @@ def op2_hierarchical_bayes(spark: SparkSession, folder: str) -> DataFrame:
     """Quality posterior of every document, with those of its path and host."""
     judged = quality.judge(read(spark, folder, "documents"), read(spark, folder, "labels"))
     return judged.select("doc_id", "host", "path", "evidence", "host_mean", "path_mean", "posterior", "rejected")
+
+
+@query
+def op6_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with personal data replaced by surrogates."""
+    return pii.replace(read(spark, folder, "documents"), SURROGATE_KEY)
