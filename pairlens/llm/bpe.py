@@ -14,6 +14,7 @@ from __future__ import annotations
 import codecs
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,22 +30,27 @@ OTHER = rf"[^{SPACE}\p{{L}}\p{{N}}]"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{LETTER}+| ?{NUMBER}+| ?{OTHER}+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 RUNS = {name: regex.compile(f"{one}+") for name, one in (("letter", LETTER), ("number", NUMBER), ("other", OTHER), ("space", f"[{SPACE}]"))}
 SAFE_CUT = regex.compile(rf"(?r)(?<=[^{SPACE}]) (?=[^{SPACE}])")
-EDGE = regex.compile(rf"[{SPACE}]")
+BLANKS = frozenset(chr(c) for c in range(0x3001) if regex.match(f"[{SPACE}]", chr(c)))
 FEED = 1 << 16
 CACHED_KEY = 64
 
 
+def _vocabulary(path: str) -> tuple[dict, dict[str, int], dict[bytes, int], dict[str, int]]:
+    """The file, the byte that each character of its tokens stands for, ids of tokens by their bytes, and added tokens."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    return spec, byte_of, {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}, added
+
+
 class MergeTable:
     """Tokens as bytes, merges by rank, which pairs of tokens may be neighbours, and the look-ahead bound."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ids = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.added}
-        self.bytes_of = {i: b for b, i in ids.items()} | {i: t.encode() for t, i in self.added.items()}
+        spec, byte_of, ids, self.added = _vocabulary(path)
+        self.bytes_of = {i: b for b, i in ids.items()}
         self.single = [ids[bytes([b])] for b in range(256)]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -190,15 +196,15 @@ class Encoder:
         self._open = Transducer(table)
         self._short = Transducer(table)
         self._first = Memo(self._chunk, 50_000)
-        self._after = Memo(lambda chunk: self._chunk(" " + chunk), 1_000_000)
-        self._words = Memo(self._pretoken)
+        self._after = Memo(lambda chunk: self._chunk(" " + chunk), 500_000)
+        self._words = Memo(self._pretoken, 200_000)
         added = sorted(table.added, key=len, reverse=True)
         self._added = regex.compile("|".join(map(regex.escape, added))) if added else None
         self._starts = {a[:k] for a in added for k in range(1, len(a))}
         self._held, self._tail, self._run = "", "", None
 
     def encode(self, text: str) -> np.ndarray:
-        out = []
+        self._held, self._tail, self._run, out = "", "", None, []
         for at in range(0, len(text), FEED):
             out += self.feed(text[at : at + FEED])
         return np.frombuffer(b"".join(out + self.finish()), dtype="<i4")
@@ -253,7 +259,7 @@ class Encoder:
                 done = found.end()
             text = text[done:]
             if long:
-                start = int(text[0] == " " and not EDGE.match(text[1]))
+                start = int(text[0] == " " and text[1] not in BLANKS)
                 self._run = next(name for name, runs in RUNS.items() if runs.match(text, start))
                 end = RUNS[self._run].match(text, start).end() - (self._run == "space")
                 out.append(_packed(self._open.feed(text[:end].encode())))
@@ -265,7 +271,7 @@ class Encoder:
         """Text that starts and ends where pre-tokens do. A lone blank between other characters starts a pre-token."""
         head, *rest = text.split(" ")
         try:
-            if any(len(c) > CACHED_KEY for c in rest):
+            if max(map(len, rest), default=0) > CACHED_KEY:
                 parts = [self._look(self._after, c) for c in rest]
             else:
                 parts = list(map(self._after.__getitem__, rest))
@@ -275,11 +281,11 @@ class Encoder:
 
     @staticmethod
     def _look(memo: Memo, chunk: str) -> bytes:
-        return memo[chunk] if len(chunk) <= CACHED_KEY else memo._fn(chunk)
+        return memo[chunk] if len(chunk) <= CACHED_KEY else memo.fn(chunk)
 
     def _chunk(self, chunk: str) -> bytes:
         body = chunk[1:] if chunk[0] == " " else chunk
-        if not body or EDGE.match(body[0]) or EDGE.match(body[-1]):
+        if not body or body[0] in BLANKS or body[-1] in BLANKS:
             raise _Blanks
         words = WORDS.findall(chunk)
         return self._pretoken(chunk) if len(words) == 1 else b"".join([self._look(self._words, w) for w in words])
@@ -300,12 +306,21 @@ def _packed(ids: list[int]) -> bytes:
 class Decoder:
     """Token ids in parts to text; bytes that are no UTF-8 become U+FFFD, ids of no token give nothing."""
 
-    def __init__(self, table: MergeTable):
-        self._bytes = table.bytes_of
+    def __init__(self, path: str):
+        _, _, ids, added = _vocabulary(path)
+        pieces = {i: b for b, i in ids.items()} | {i: t.encode() for t, i in added.items()}
+        ordered = [pieces.get(i, b"") for i in range(max(pieces) + 2)]  # the last one stands for all ids of no token
+        self._size = np.array([len(b) for b in ordered])
+        self._start = np.cumsum(self._size) - self._size
+        self._bytes = np.frombuffer(b"".join(ordered), dtype=np.uint8)
         self._text = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, ids: list[int]) -> str:
-        return self._text.decode(b"".join([self._bytes.get(i, b"") for i in ids]))
+    def feed(self, ids: np.ndarray) -> str:
+        ids = np.where((ids < 0) | (ids >= len(self._size)), len(self._size) - 1, ids)
+        size = self._size[ids]
+        ends = np.cumsum(size)
+        spots = np.repeat(self._start[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+        return self._text.decode(self._bytes[spots].tobytes())
 
     def finish(self) -> str:
         out = self._text.decode(b"", True)
@@ -313,6 +328,17 @@ class Decoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """One a worker process, so that later tasks find its caches filled."""
+    return Encoder(MergeTable(path))
+
+
+@lru_cache(maxsize=2)
+def _decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def encode(documents: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Replace column ``text`` by ``ids`` (array of int), all other columns kept.
 
@@ -323,7 +349,7 @@ def encode(documents: DataFrame, path: str, text: str = "text", ids: str = "ids"
     schema = T.StructType([documents.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(MergeTable(path))
+        encoder = _encoder(path)
         for batch in slices(batches, text):
             values = [encoder.encode(t) if t else np.zeros(0, "<i4") for t in strings(batch, text)]
             offsets = np.zeros(len(values) + 1, dtype=np.int32)
@@ -340,12 +366,12 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text")
     schema = T.StructType([encoded.schema[c] for c in kept] + [T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(MergeTable(path))
+        decoder = _decoder(path)
         for batch in slices(batches, ids):
             texts = []
             for values in batch.column(ids):
                 part = values.values
-                texts.append("" if part is None else "".join([decoder.feed(part.slice(at, FEED).to_pylist()) for at in range(0, len(part), FEED)]) + decoder.finish())
+                texts.append("" if part is None else "".join([decoder.feed(part.slice(at, FEED).to_numpy(zero_copy_only=False)) for at in range(0, len(part), FEED)]) + decoder.finish())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, text])
 
     return encoded.select(*kept, ids).mapInArrow(run, schema)

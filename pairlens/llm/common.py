@@ -48,14 +48,19 @@ def strings(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
 
 
 class Memo(dict):
-    """A bounded cache of a pure function: emptied when full, so results never depend on it."""
+    """A bounded cache of a pure function, in two generations: when full, the entries become the old generation, from
+    which those still in use come back. Results never depend on it."""
 
-    def __init__(self, fn: Callable, most: int = 400_000):
+    def __init__(self, fn: Callable, most: int = 300_000):
         super().__init__()
-        self._fn, self._most = fn, most
+        self.fn, self._most, self._old = fn, most, {}
 
     def __missing__(self, key):
+        value = self._old.get(key)
+        if value is None:
+            value = self.fn(key)
         if len(self) >= self._most:
+            self._old = dict(self)
             self.clear()
-        value = self[key] = self._fn(key)
+        self[key] = value
         return value

@@ -257,15 +257,16 @@ def replace(documents: DataFrame, key: str) -> DataFrame:
     # the hint is tested first, and the finder runs only where it holds
     found = F.coalesce(F.when(F.col("text").rlike(HINT), F.col("text").rlike(FINDER)).otherwise(F.lit(False)), F.lit(False))
     clean = documents.where(~found)
-    dirty = settle(documents.where(found).withColumn("_text_key", F.sha2("text", 256)), "pii-dirty")
-    texts = dirty.groupBy("_text_key").agg(F.first("text").alias("text"))
-    finds = texts.select("_text_key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(FINDER), F.lit(0)))).alias("find"))
-    exploded = settle(finds.select("_text_key", F.explode(entities_of(F.col("find"))).alias("e")).select("_text_key", "e.kind", "e.canonical").distinct(), "pii-finds")
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")  # other columns may have any names
+    dirty = settle(documents.where(found).select(F.sha2("text", 256).alias("text_key"), "text", row), "pii-dirty")
+    texts = dirty.groupBy("text_key").agg(F.first("text").alias("text"))
+    finds = texts.select("text_key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(FINDER), F.lit(0)))).alias("find"))
+    exploded = settle(finds.select("text_key", F.explode(entities_of(F.col("find"))).alias("e")).select("text_key", "e.kind", "e.canonical").distinct(), "pii-finds")
     surrogates = assign(exploded, key)
     entry = F.struct(F.concat("kind", F.lit(":"), "canonical").alias("k"), F.col("surrogate").alias("v"))
-    maps = settle(exploded.join(surrogates, ["kind", "canonical"]).groupBy("_text_key").agg(F.map_from_entries(F.collect_list(entry)).alias("_map")), "pii-maps")
-    joined = dirty.join(maps, "_text_key")
+    maps = settle(exploded.join(surrogates, ["kind", "canonical"]).groupBy("text_key").agg(F.map_from_entries(F.collect_list(entry)).alias("map")), "pii-maps")
+    joined = dirty.join(maps, "text_key")
     gaps, finds_of = F.split("text", FINDER, -1), F.regexp_extract_all("text", F.lit(FINDER), F.lit(0))
-    new = F.array_join(F.zip_with(gaps, finds_of, lambda g, f: F.concat(g, F.when(f.isNull(), "").otherwise(render(f, F.col("_map"))))), "")
-    rewritten = joined.withColumn("text", new).select(*documents.columns)
+    new = F.array_join(F.zip_with(gaps, finds_of, lambda g, f: F.concat(g, F.when(f.isNull(), "").otherwise(render(f, F.col("map"))))), "")
+    rewritten = joined.select(*(new.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in documents.columns))
     return clean.select(*documents.columns).unionByName(rewritten)

@@ -36,9 +36,9 @@ def replaced(spark):
         "same": "card 4111 1111 1111 1111 and 4111111111111111 or 9807915762804490",
         "long": "word " * 60_000 + "a.b@c.example" + "x" * 200_000,
     }
-    table = spark.createDataFrame([(i, t, n, 1) for i, (n, t) in enumerate(texts.items())] + [(None, texts["ip"], "ip2", 2)] * 2, "doc_id long, text string, name string, _map int")
+    table = spark.createDataFrame([(i, t, n, 1) for i, (n, t) in enumerate(texts.items())] + [(None, texts["ip"], "ip2", 2)] * 2, "doc_id long, text string, name string, map int")
     rows = pii.replace(table, "k").collect()
-    assert len(rows) == len(texts) + 2 and {r["_map"] for r in rows} == {1, 2}
+    assert len(rows) == len(texts) + 2 and {r["map"] for r in rows} == {1, 2}
     return texts, {r.name: r.text for r in rows}
 
 
