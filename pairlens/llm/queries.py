@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import bpe, language, merkle, minhash, packing, pii, quality, toxicity, warc
+from pairlens.llm import bpe, language, merkle, minhash, packing, pii, quality, toxicity, vectors, warc
 from pairlens.llm.common import held_out, read, settle
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -113,3 +113,9 @@ def op2_hierarchical_bayes(spark: SparkSession, folder: str) -> DataFrame:
 def op6_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     """All documents with personal data replaced by surrogates."""
     return pii.replace(read(spark, folder, "documents"), SURROGATE_KEY)
+
+
+@query
+def op8_subspace_pigeonhole(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all embeddings of equal label."""
+    return vectors.near_vectors(read(spark, folder, "embeddings"), 0.98)
