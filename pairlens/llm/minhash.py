@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairlens.llm.common import Memo, blobs, settle, shuffle_width, slices
 from pairlens.llm.components import components
@@ -135,6 +136,20 @@ def shingle_sets(documents: DataFrame, size: int) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, SET_SCHEMA)
 
 
+def with_keys(rows: DataFrame, size: int) -> DataFrame:
+    """Replace ``text`` by ``key``, the digest of its shingle set (null for none); all other columns are kept."""
+    kept = [c for c in rows.columns if c not in ("text", "key")]
+    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField("key", T.BinaryType())])
+
+    def run(batches):
+        shingle = Shingler(size)
+        for batch in slices(batches):
+            sets = [shingle(t) for t in blobs(batch)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())], names=[*kept, "key"])
+
+    return rows.select(*kept, "text").mapInArrow(run, schema)
+
+
 def _arrays(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
     lists = batch.column(column)
     offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
@@ -257,8 +272,8 @@ def _block_links(rest: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame
 def near_duplicates(documents: DataFrame, size: int = 3, least: Fraction = Fraction(85, 100), bands: int = 24, rows: int = 5) -> DataFrame:
     """Group documents whose shingle sets have a Jaccard likeness of ``least`` or more, over chains of links.
 
-    Returns per row: doc_id, n_shingles, key (16 bytes, equal for equal sets, null for none), component_id (least doc_id
-    of the group) and kept (doc_id = component_id). Null, empty and blank texts have the empty set, stay alone and are kept.
+    Returns per row: doc_id, n_shingles, key (16 bytes, equal for equal sets, null for none), root (some key of the group,
+    the same for all of it), component_id (least doc_id of the group) and kept (doc_id = component_id). Null, empty and blank texts have the empty set, stay alone and are kept.
     A null doc_id takes part in links but never names a group; its row is not kept unless no row of the group has an id,
     in which case component_id is null and kept is true. Rows that repeat a doc_id count as rows of their own.
     Candidates: a pair at likeness s shares a bucket with probability 1 - (1 - s^rows)^bands, that is 1 - 8e-7 at 0.85.
@@ -287,7 +302,7 @@ def near_duplicates(documents: DataFrame, size: int = 3, least: Fraction = Fract
 
     named = classes.select("key", "least_id").join(groups.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     heads = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_class = settle(named.join(heads, "root").select("key", "component_id"), "minhash-classes")
+    of_class = settle(named.join(heads, "root").select("key", "root", "component_id"), "minhash-classes")
     joined = marks.drop("bands").join(of_class, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "n_shingles", "key", component.alias("component_id")).withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.col("component_id").isNull()))
+    return joined.select("doc_id", "n_shingles", "key", "root", component.alias("component_id")).withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.col("component_id").isNull()))
