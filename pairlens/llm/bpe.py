@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import codecs
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,6 +34,7 @@ SAFE_CUT = regex.compile(rf"(?r)(?<=[^{SPACE}]) (?=[^{SPACE}])")
 BLANKS = frozenset(chr(c) for c in range(0x3001) if regex.match(f"[{SPACE}]", chr(c)))
 FEED = 1 << 16
 CACHED_KEY = 64
+HEAD = 6
 
 
 def _vocabulary(path: str) -> tuple[dict, dict[str, int], dict[bytes, int], dict[str, int]]:
@@ -57,14 +59,14 @@ class MergeTable:
             left, right = (ids[bytes(byte_of[c] for c in x)] for x in (pair if isinstance(pair, list) else pair.split(" ")))
             self.merges[left, right] = (rank, ids[self.bytes_of[left] + self.bytes_of[right]])
         self.lookahead = self._bound()
-        self.neighbours = Memo(self._may_follow, 2_000_000)
+        self.neighbours = Memo(self._may_follow, 250_000)
         # only tokens that are the encoding of their own bytes can occur
         self._proper = {piece: i for piece, i in ids.items() if self.merged(piece) == [i]}
         self.longest = max(map(len, self._proper))
         self.size_of = {i: len(piece) for piece, i in self._proper.items()}
         self._heads = {piece[:k] for piece in self._proper for k in range(1, len(piece) + 1)}
         self._names, self._numbers = [b""], {b"": 0}
-        self.steps = Memo(self._step, 2_000_000)
+        self.steps = Memo(self._step, 200_000)
 
     def _may_follow(self, pair: int) -> bool:
         left, right = pair >> 20, pair & 0xFFFFF
@@ -83,14 +85,16 @@ class MergeTable:
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding by its definition: merge the leftmost pair of least rank until none is left (short inputs)."""
-        parts = [self.single[b] for b in data]
-        while len(parts) > 1:
-            best = min(((self.merges.get(p, (1 << 40, 0)), i) for i, p in enumerate(zip(parts, parts[1:], strict=False))), key=lambda x: (x[0][0], x[1]))
-            (rank, made), at = best
-            if rank == 1 << 40:
-                break
-            parts[at : at + 2] = [made]
-        return parts
+        parts, merges = [self.single[b] for b in data], self.merges.get
+        while True:
+            best, at = None, 0
+            for i, pair in enumerate(zip(parts, parts[1:], strict=False)):
+                rank = merges(pair)
+                if rank is not None and (best is None or rank < best):
+                    best, at = rank, i
+            if best is None:
+                return parts
+            parts[at : at + 2] = [best[1]]
 
     def _bound(self) -> int:
         """Bytes before the end of what is known from which on tokens may still change.
@@ -117,6 +121,7 @@ class Transducer:
 
     def __init__(self, table: MergeTable):
         self._table = table
+        self._heads = Memo(self._after_head, 60_000)
         self._reset()
 
     def _reset(self) -> None:
@@ -140,10 +145,19 @@ class Transducer:
         return out
 
     def once(self, data: bytes) -> list[int]:
-        """A short pre-token at one go."""
+        """A short pre-token at one go; what its first bytes lead to is remembered."""
+        if len(data) > HEAD:
+            state, last = self._heads[data[:HEAD]]
+            self._state, self._last = state, list(last)
+            data = data[HEAD:]
         self._advance(data)
         return self.finish()
 
+    def _after_head(self, head: bytes) -> tuple[int, tuple[int, ...]]:
+        other = Transducer(self._table)
+        other._advance(head)
+        return other._state, tuple(other._last)
+
     def _advance(self, data: bytes) -> None:
         last, steps, neighbours, before, state = self._last, self._table.steps, self._table.neighbours, self._before, self._state
         end = len(last)
@@ -195,9 +209,9 @@ class Encoder:
         self._table, self._most = table, most
         self._open = Transducer(table)
         self._short = Transducer(table)
-        self._first = Memo(self._chunk, 50_000)
-        self._after = Memo(lambda chunk: self._chunk(" " + chunk), 500_000)
-        self._words = Memo(self._pretoken, 200_000)
+        self._first = Memo(self._chunk, 10_000)
+        self._after = Memo(self._spaced, 300_000)
+        self._words = Memo(self._pretoken, 30_000)
         added = sorted(table.added, key=len, reverse=True)
         self._added = regex.compile("|".join(map(regex.escape, added))) if added else None
         self._starts = {a[:k] for a in added for k in range(1, len(a))}
@@ -283,12 +297,14 @@ class Encoder:
     def _look(memo: Memo, chunk: str) -> bytes:
         return memo[chunk] if len(chunk) <= CACHED_KEY else memo.fn(chunk)
 
-    def _chunk(self, chunk: str) -> bytes:
-        body = chunk[1:] if chunk[0] == " " else chunk
+    def _spaced(self, body: str) -> bytes:
+        """What follows a lone blank, with that blank; letters alone are one pre-token."""
+        return self._pretoken(" " + body) if body.isalpha() else self._chunk(body, " ")
+
+    def _chunk(self, body: str, before: str = "") -> bytes:
         if not body or body[0] in BLANKS or body[-1] in BLANKS:
             raise _Blanks
-        words = WORDS.findall(chunk)
-        return self._pretoken(chunk) if len(words) == 1 else b"".join([self._look(self._words, w) for w in words])
+        return b"".join([self._look(self._after, w[1:]) if w[0] == " " and w[1:].isalpha() else self._look(self._words, w) for w in WORDS.findall(before + body)])
 
     def _pretoken(self, word: str) -> bytes:
         data = word.encode()
@@ -300,7 +316,7 @@ class _Blanks(Exception):
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.asarray(ids, dtype="<i4").tobytes()
+    return array("i", ids).tobytes()
 
 
 class Decoder:
