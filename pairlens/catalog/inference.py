@@ -133,6 +133,19 @@ def _(spark, folder):
     return P.frame_intersection(rows, arms=("condition",))
 
 
+@query("frame_intersection_arms", """WITH answered AS (
+  SELECT dataset, id || '|' || (k % 7) AS id, model, condition FROM responses WHERE k % 10 <> 3),
+lists AS (SELECT dataset, count(DISTINCT condition || '|' || v) AS arms FROM answered CROSS JOIN range(3) r(v)
+  GROUP BY dataset)
+SELECT a.dataset, a.id FROM (SELECT DISTINCT dataset, id, condition, v FROM answered CROSS JOIN range(3) r(v)
+  WHERE NOT (v = 2 AND length(id) % 2 = 0)) a JOIN lists l ON l.dataset = a.dataset
+GROUP BY a.dataset, a.id, l.arms HAVING count(*) = l.arms""", ("responses",))
+def _(spark, folder):
+    """The default arms: every item is answered by three models, the third of which skips some."""
+    rows = view(spark, folder, "responses").where("k % 10 <> 3").selectExpr("dataset", "id || '|' || (k % 7) AS id", "condition", "explode(array(0, 1, 2)) AS model")
+    return P.frame_intersection(rows.where("NOT (model = 2 AND length(id) % 2 = 0)"))
+
+
 @query("set_sizes", f"""WITH {_ATTEMPTED},
 pairs AS (SELECT * FROM (VALUES ('exp1', 'exp4'), ('exp4', 'exp2')) v(condition1, condition2)),
 cells AS (SELECT DISTINCT dataset, model FROM attempted),

@@ -144,7 +144,9 @@ FROM label_rows""", ("label_rows",))
 def _(spark, folder):
     rows = view(spark, folder, "label_rows").withColumns({
         "words": F.filter(F.array("error"), lambda e: e.isNotNull()),
-        "v": F.try_parse_json(F.when(F.col("k") % 4 == 0, F.lit("[]")).otherwise(F.lit('{"a": 1}'))),
+        "v": F.try_parse_json(
+            F.when(F.col("k") % 4 == 0, F.lit("[]")).when(F.col("k") % 4 == 1, F.lit('"[]"')).otherwise(F.lit('{"a": 1}'))
+        ),
     })
     return rows.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -158,7 +160,8 @@ def _(spark, folder):
 # --- integrity ----------------------------------------------------------------------------------------------
 
 def _blank_sql(x: str) -> str:
-    return f"({x} IS NULL OR trim({x}) IN ('', '[]', '{{}}'))"
+    """Null, blank text or an empty container; the text "[]" is neither. Reads the JSON form of the column."""
+    return f"({x}_j IS NULL OR {x}_j IN ('null', '[]', '{{}}') OR trim({x}_j, '\" ') = '')"
 
 
 _FACTS = f"""facts AS (
@@ -169,6 +172,11 @@ _FACTS = f"""facts AS (
     CASE WHEN json_valid(value) THEN {first_sql(K.INTEGRITY_RAW_KEYS)} END AS raw_alias,
     CASE WHEN json_valid(value) THEN json_extract_string(value, '$.option_logprobs') END AS lp,
     CASE WHEN json_valid(value) THEN {first_sql(K.INTEGRITY_LOGPROB_KEYS)} END AS lp_alias,
+    CASE WHEN json_valid(value) THEN {first_sql(K.INTEGRITY_FINAL_KEYS, True)}::VARCHAR END AS fin_alias_j,
+    CASE WHEN json_valid(value) THEN json_extract(value, '$.raw_output')::VARCHAR END AS raw_j,
+    CASE WHEN json_valid(value) THEN {first_sql(K.INTEGRITY_RAW_KEYS, True)}::VARCHAR END AS raw_alias_j,
+    CASE WHEN json_valid(value) THEN json_extract(value, '$.option_logprobs')::VARCHAR END AS lp_j,
+    CASE WHEN json_valid(value) THEN {first_sql(K.INTEGRITY_LOGPROB_KEYS, True)}::VARCHAR END AS lp_alias_j,
     CASE WHEN json_valid(value) THEN {first_sql(K.INTEGRITY_ID_KEYS)} END AS item_id,
     CASE WHEN json_valid(value) THEN json_extract_string(value, '$.experiment_mode') END AS mode,
     json_valid(value) AND coalesce(json_type(CASE WHEN json_valid(value) THEN value END, '$.is_error') = 'BOOLEAN'
@@ -208,7 +216,7 @@ def _(spark, folder):
 
 
 @query("integrity_bad_lines", """
-SELECT file, line_number, 'malformed JSON' AS error, length(value) AS length, left(value, 500) AS first_chars,
+SELECT file, line_number, 'malformed JSON: cut off' AS error, length(value) AS length, left(value, 500) AS first_chars,
   right(value, 500) AS last_chars FROM lines WHERE trim(value) <> '' AND NOT json_valid(value)""", ("lines",))
 def _(spark, folder):
     return A.integrity_bad_lines(view(spark, folder, "lines").select("file", "line_number", "value"))
@@ -466,7 +474,7 @@ def _(spark, folder):
 SELECT id, question FROM (SELECT *, row_number() OVER (ORDER BY k) - 1 AS pos FROM responses WHERE n = 1)
 WHERE pos >= 100 AND pos < 600""", ("responses",))
 def _(spark, folder):
-    items = view(spark, folder, "responses").where("n = 1")
-    return T.limit_slice(items, "k", start=100, limit=500).select("id", "question")
+    items = view(spark, folder, "responses").where("n = 1").withColumn("at", F.col("k") * 7 + 3)  # far from dense
+    return T.limit_slice(items, "at", start=100, limit=500).select("id", "question")
 
 

@@ -133,10 +133,10 @@ def _main_rows(spark, folder) -> DataFrame:
 # The manifest's cells are the customer segments of both datasets; each condition is a folder of JSONL files.
 @query("src_manifest_grid", """
 SELECT dataset, model, condition, count(*) AS rows, count(*) FILTER (WHERE final IS NOT NULL AND NOT is_error) AS valid
-FROM responses WHERE n <= 3 GROUP BY ALL""", ("responses",))
+FROM responses GROUP BY ALL""", ("responses",))
 def _(spark, folder):
     base = scratch(spark, "grid")
-    rows = _main_rows(spark, folder).where("condition <> 'exp4'")
+    rows = _main_rows(spark, folder)
     text = rows.select("dataset", "model", "condition", F.to_json(
         F.struct(*[c for c in rows.columns if c not in ("dataset", "model", "condition")]),
         {"ignoreNullFields": "false"}).alias("value"))
@@ -145,10 +145,10 @@ def _(spark, folder):
     segments = [r[0] for r in table(spark, folder, "customer").select("c_mktsegment").distinct().collect()]
     cells = [
         {"dataset": d, "model": m,
-         "conditions": {c: f"dataset={d}/model={m}/condition={c}" for c in ("exp1", "exp2", "exp3")}}
+         "conditions": {c: f"dataset={d}/model={m}/condition={c}" for c in K.FOUR_PROTOCOLS}}
         for d in ("CSQA", "MMLU") for m in sorted(segments)
     ]
-    content = {"comparisons": [["exp1", "exp2"], ["exp2", "exp3"]], "cells": cells}
+    content = {"comparisons": [["exp1", "exp2"], ["exp2", "exp3"], ["exp3", "exp4"]], "cells": cells}
     name = f"{base}/_manifest"
     for cell in cells:
         cell["conditions"] = {c: f"{base}/{p}" for c, p in cell["conditions"].items()}
@@ -161,11 +161,11 @@ def _(spark, folder):
 
 @query("src_condition_args", """
 SELECT condition, count(*) AS rows, count(*) FILTER (WHERE final IS NOT NULL AND NOT is_error) AS valid
-FROM responses WHERE n <= 3 GROUP BY ALL""", ("responses",))
+FROM responses GROUP BY ALL""", ("responses",))
 def _(spark, folder):
     run = scratch(spark, "run")
     rows = _main_rows(spark, folder).drop("dataset", "model")
-    for name in ("exp1", "exp2"):
+    for name in ("exp1", "exp2", "exp4"):
         S.write_jsonl(rows.where(F.col("condition") == name), f"{run}/{name}.jsonl")
     S.write_jsonl(rows.where(F.col("condition") == "exp3"), f"{run}-extra")
     files = MF.condition_args(spark, run, K.FOUR_PROTOCOLS, [f"exp3={run}-extra"])

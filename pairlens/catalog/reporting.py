@@ -8,7 +8,7 @@ from pairlens.catalog import inference as CI
 from pairlens.catalog import rates as CR
 from pairlens.catalog import sampling as CS
 from pairlens.catalog.common import NORMAL, ablation, responses, rounded
-from pairlens.catalog.normalizing import QUALITY, _FACTS
+from pairlens.catalog.normalizing import QUALITY, _FACTS, _blank_sql
 from pairlens.catalog.registry import query
 from pairlens.catalog.texts import FORMS, RAW_TEXTS, raw_texts
 from pairlens.catalog.views import view
@@ -135,7 +135,7 @@ def _(spark, folder):
 @query("integrity_report", f"""WITH {_FACTS}
 SELECT file, line_number, 'bad' AS kind FROM facts WHERE NOT ok AND NOT blank
 UNION ALL SELECT file, line_number, 'ineffective' FROM facts
-WHERE ok AND (err OR fin_alias IS NULL OR trim(fin_alias) IN ('', '[]', '{{}}'))""", ("lines",))
+WHERE ok AND (err OR {_blank_sql('fin_alias')})""", ("lines",))
 def _(spark, folder):
     lines = view(spark, folder, "lines").select("file", "line_number", "value")
     found = R.integrity_report(lines)

@@ -16,7 +16,7 @@ from pairlens.operators import sampling as R
 from pairlens.plans import reports as RP
 from pairlens.session import settle
 
-SIZE, REPS = 200, 6
+SIZE, REPS = K.SAMPLE_SIZE, K.SAMPLE_REPETITIONS
 
 SAMPLED = f"""samples AS (
   SELECT dataset, rep, seed, frame_n, id FROM (

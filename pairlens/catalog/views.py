@@ -67,7 +67,7 @@ SELECT file, line_number, k, n,
          || initial || '", "final_prediction": ' || coalesce('" ' || lower(final) || ' "', 'null')
          || ', "correct_answer": "' || correct || '", "distractor": "' || distractor || '", "is_error": '
          || CASE WHEN is_error THEN 'true' ELSE 'false' END
-         || ', "raw_output": "ANSWER: x", "option_logprobs": {{"A": -0.5}}, "question": "' || question
+         || ', "raw_output": ' || CASE WHEN k % 8 = 4 THEN '"[]"' ELSE '"ANSWER: x"' END || ', "option_logprobs": {{"A": -0.5}}, "question": "' || question
          || '", "options": {{"A": "one", "B": "two", "C": "three", "D": "four"}}}}'
        WHEN k % 4 = 1 THEN '{{"item_id": "' || id || '", "initial_answer": "' || initial || '", "attack_prediction": '
          || coalesce('"' || final || '"', 'null') || ', "correct": "' || correct || '", "target_distractor": "'

@@ -83,12 +83,10 @@ def empty_container(value: Column) -> Column:
 
 
 def empty_json(value: Column) -> Column:
-    """Null, blank string, ``[]`` or ``{}`` in a VARIANT column."""
+    """Null, blank string, empty array or empty object in a VARIANT column; a string that reads ``[]`` is not empty."""
     text = F.try_variant_get(value, "$", "string")
-    return F.coalesce(
-        value.isNull() | F.is_variant_null(value) | (strip(text) == "") | text.isin("[]", "{}"),
-        F.lit(True),
-    )
+    hollow = F.when(F.schema_of_variant(value) == "STRING", strip(text) == "").otherwise(text.isin("[]", "{}"))
+    return F.coalesce(value.isNull() | F.is_variant_null(value) | hollow, F.lit(True))
 
 
 def opinion_answer(opinion: Column) -> Column:

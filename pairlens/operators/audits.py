@@ -15,6 +15,7 @@ from pairlens.operators.guards import require, require_rows
 from pairlens.operators.metrics import flag, ratio
 from pairlens.operators.normalize import with_record
 from pairlens.operators.pairing import CELL
+from pairlens.session import settle
 
 
 def dup_ids(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -82,58 +83,70 @@ INTEGRITY_FACTS = (
 )
 
 
-def integrity_profile(lines: DataFrame, file: str = "file", value: str = "value") -> DataFrame:
-    """Line, error, final-answer, output, log-prob and id counters per file.
+def integrity_facts(lines: DataFrame, value: str = "value") -> DataFrame:
+    """The flags of ``integrity_flags`` as a written table, without the text of sound lines: lines are parsed once."""
+    kept = F.when(F.col("json_failed"), F.col(value))
+    return settle(integrity_flags(lines, value).withColumn(value, kept), "integrity")
 
-    Lines are parsed once. The first aggregate is per file and id, so distinct and repeated ids of one very large
-    file are counted by many tasks; the second adds the few numbers up.
-    """
-    facts = integrity_flags(lines, value)
-    sums = [F.count_if(F.col(c)).alias(c) for c in INTEGRITY_FACTS]
-    per_id = facts.groupBy(file, "item_id").agg(
-        F.count(F.lit(1)).alias("lines"), F.count_if("blank").alias("empty_lines"), *sums,
-        F.count_if("effective").alias("effective_samples"),
+
+def profile_of_facts(facts: DataFrame, file: str = "file") -> DataFrame:
+    """Counters per file. They are summed before the shuffle; only ids are shuffled row by row, to count repeated ones."""
+    counts = facts.groupBy(file).agg(
+        F.count(F.lit(1)).alias("total_lines"), F.count_if("blank").alias("empty_lines"),
+        *[F.count_if(F.col(c)).alias(c) for c in INTEGRITY_FACTS], F.count_if("effective").alias("effective_samples"),
+    )
+    per_id = facts.where("item_id IS NOT NULL").groupBy(file, "item_id").agg(F.count(F.lit(1)).alias("lines"))
+    ids = per_id.groupBy(file).agg(
+        F.count(F.lit(1)).alias("unique_item_ids"), F.sum(F.col("lines") - 1).alias("item_id_duplicates")
     )
-    named = F.col("item_id").isNotNull()
-    return per_id.groupBy(file).agg(
-        F.sum("lines").alias("total_lines"),
-        F.sum("empty_lines").alias("empty_lines"),
-        *[F.sum(c).alias(c) for c in INTEGRITY_FACTS],
-        F.count_if(named).alias("unique_item_ids"),
-        F.coalesce(F.sum(F.when(named, F.col("lines") - 1)), F.lit(0)).cast("bigint").alias("item_id_duplicates"),
-        F.sum("effective_samples").alias("effective_samples"),
+    none = F.lit(0).cast("bigint")
+    return counts.join(ids, file, "left").select(
+        file, "total_lines", "empty_lines", *INTEGRITY_FACTS, F.coalesce("unique_item_ids", none).alias("unique_item_ids"),
+        F.coalesce("item_id_duplicates", none).alias("item_id_duplicates"), "effective_samples",
     )
 
 
+def integrity_profile(lines: DataFrame, file: str = "file", value: str = "value") -> DataFrame:
+    """Line, error, final-answer, output, log-prob and id counters per file."""
+    return profile_of_facts(integrity_facts(lines, value), file)
+
+
+def modes_of_facts(facts: DataFrame, file: str = "file") -> DataFrame:
+    """Rows per file and experiment mode."""
+    named = facts.where(F.coalesce(F.col("experiment_mode"), F.lit("")) != "")
+    return named.groupBy(file, "experiment_mode").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def integrity_mode_counts(lines: DataFrame, file: str = "file", value: str = "value") -> DataFrame:
     """Rows per file and experiment mode."""
-    facts = integrity_flags(lines, value).where(F.coalesce(F.col("experiment_mode"), F.lit("")) != "")
-    return facts.groupBy(file, "experiment_mode").agg(F.count(F.lit(1)).alias("rows"))
+    return modes_of_facts(integrity_flags(lines, value), file)
 
 
-def integrity_bad_lines(lines: DataFrame, value: str = "value", width: int = 500) -> DataFrame:
-    """Malformed lines with length and both ends. Give ``line_number`` in the input to keep it."""
+def bad_of_facts(facts: DataFrame, columns: Sequence[str], value: str = "value", width: int = 500) -> DataFrame:
+    """Malformed lines with length, both ends and the kind of error: cut off, not JSON from the start on, or followed by more."""
     text = F.regexp_replace(F.col(value), r"[\r\n]+\z", "")
-    bad = with_record(lines.where(L.strip(F.col(value)) != ""), value).where("_v IS NULL").drop("_v")
-    return bad.withColumns({
-        "error": F.lit("malformed JSON"),
-        "length": F.char_length(text),
-        "first_chars": F.substring(text, 1, width),
-        "last_chars": F.right(text, F.lit(width)),
-    }).drop(value)
+    body = L.strip(text)
+    opened, closed = body.rlike(r"^[\[{]"), body.rlike(r"[\]}]$")
+    kind = F.when(~opened, "no JSON object").when(closed, "malformed or trailing data").otherwise("cut off")
+    return facts.where("json_failed").select(
+        *columns, F.concat(F.lit("malformed JSON: "), kind).alias("error"), F.char_length(text).alias("length"),
+        F.substring(text, 1, width).alias("first_chars"), F.right(text, F.lit(width)).alias("last_chars"),
+    )
+
+
+def integrity_bad_lines(lines: DataFrame, value: str = "value", width: int = 500) -> DataFrame:
+    """Malformed lines. Give ``line_number`` in the input to keep it."""
+    return bad_of_facts(integrity_flags(lines, value), [c for c in lines.columns if c != value], value, width)
+
+
+def ineffective_of_facts(facts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Parsed lines that cannot be analysed: error rows and rows without a final answer."""
+    return facts.where("json_ok AND NOT effective").select(*columns, "item_id", "is_error", "analysis_final")
 
 
 def integrity_ineffective(lines: DataFrame, value: str = "value") -> DataFrame:
     """Parsed lines that cannot be analysed: error rows and rows without a final answer."""
-    kept = [c for c in lines.columns if c != value]
-    v = F.col("_v")
-    error = L.is_json_true(v, "is_error")
-    unusable = error | L.empty_json(L.first_key(v, K.INTEGRITY_FINAL_KEYS, "variant"))
-    item = L.first_key(v, K.INTEGRITY_ID_KEYS)
-    return with_record(lines, value).where(v.isNotNull() & unusable).select(
-        *kept, F.when(~L.empty_text(item), item).alias("item_id"), error.alias("is_error"),
-        L.first_key(v, K.INTEGRITY_FINAL_KEYS).alias("analysis_final"),
-    )
+    return ineffective_of_facts(integrity_flags(lines, value), [c for c in lines.columns if c != value])
 
 
 # --- label-attention quality --------------------------------------------------------------------------------
@@ -297,11 +310,20 @@ def reference_answers(df: DataFrame, raw: str = "raw_initial_output", recorded:
     return checked
 
 
-def score_validate(df: DataFrame, tolerance: float = 1e-6, strict: bool = False) -> DataFrame:
+def score_validate(
+    df: DataFrame, tolerance: float = 1e-6, strict: bool = False, keys: Sequence[str] = ("id",), rows: int | None = None,
+) -> DataFrame:
     """Score rows that break a rule: probability not finite or outside [0, 1], labels not summing to 1.
 
-    Input: target_probability, candidate_labels, probabilities (map label to double).
+    Input: target_probability, candidate_labels, probabilities (map label to double). The strict form also fails on a
+    repeated key and, where ``rows`` is given, on another number of rows.
     """
+    if strict:
+        repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+        if repeated:
+            raise ValueError(f"repeated score: {repeated.asDict()}")
+        if rows is not None and df.count() != rows:
+            raise ValueError(f"expected {rows} score rows")
     p = F.col("target_probability")
     total = F.aggregate(
         F.transform("candidate_labels", lambda x: F.try_element_at("probabilities", x)),
@@ -384,10 +406,3 @@ def settings_differences(existing: DataFrame, expected: DataFrame, settings: Seq
 
     both = rows(existing, "existing").join(rows(expected, "expected"), "setting")
     return both.where(~F.col("existing").eqNullSafe(F.col("expected")))
-
-
-def strict_settings(existing: DataFrame, expected: DataFrame, settings: Sequence[str]) -> DataFrame:
-    """Number of differences; fails unless it is zero."""
-    n = settings_differences(existing, expected, settings).agg(F.count(F.lit(1)).alias("differences"))
-    return n.select(require(F.col("differences"), F.col("differences") == 0, "manifest mismatch", "bigint")
-                    .alias("differences"))

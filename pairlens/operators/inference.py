@@ -19,7 +19,7 @@ from pairlens import constants as K
 from pairlens.functions.statistics import LN10, mcnemar_log_p
 from pairlens.operators.metrics import ABLATION_METRICS, CONFORMITY_ONLY, PAIRED_METRICS, Metric
 from pairlens.operators.pairing import CELL, contrast_conditions, outcome_code, pair_codes, wide_codes
-from pairlens.session import checked_broadcast
+from pairlens.session import settle
 
 CONTRAST = ("contrast", "condition1", "condition2")
 
@@ -181,7 +181,7 @@ def paired_bootstrap_draws(
         F.count_if(F.col("outcome1") & ~F.col("outcome2")).alias("b"),
         F.count_if(~F.col("outcome1") & F.col("outcome2")).alias("c"),
     )
-    drawn = pairs.select(*keys, item).join(checked_broadcast(sizes, "sizes"), list(keys)).withColumn(
+    drawn = pairs.select(*keys, item).join(settle(sizes, "sizes"), list(keys)).withColumn(
         "rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))
     )
     text = F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), F.col(item))

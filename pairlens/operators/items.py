@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlens import constants as K
+from pairlens.session import settle
 
 
 def choices_to_options(labels: Column, texts: Column) -> Column:
@@ -78,9 +79,22 @@ def dimension_filter(df: DataFrame, column: str, selected: Sequence[str], suppor
 
 
 def limit_slice(df: DataFrame, ordinal: str, start: int = 0, limit: int = 0) -> DataFrame:
-    """Rows of a dense 0-based position range; a plain filter, so it reaches the scan. 0 means no limit."""
-    kept = df.where(F.col(ordinal) >= start) if start else df
-    return kept.where(F.col(ordinal) < start + limit) if limit else kept
+    """Rows at 0-based positions ``start`` to ``start + limit - 1`` by ascending ordinal; a limit of 0 means no limit.
+
+    The ordinal must be unique and not null, but need not be dense. Its values at both ends are found from the row
+    counts of ranges; what is returned is a plain filter on them, so it reaches the scan.
+    """
+    if not start and not limit:
+        return df
+    ordered = df.select(ordinal).repartitionByRange(ordinal).sortWithinPartitions(ordinal)
+    keys = settle(ordered.select(F.col(ordinal).alias("key"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "slice")
+    parts = keys.groupBy("part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = parts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    position = F.col("at") - F.col("first") + F.col("offset")
+    inside = (position >= start) & ((position < start + limit) if limit else F.lit(True))
+    low, high = keys.join(offsets, "part").where(inside).agg(F.min("key"), F.max("key")).first()
+    return df.where(F.lit(False)) if low is None else df.where(F.col(ordinal).between(low, high))
 
 
 def option_set_problem(labels: Column, correct: Column, target: Column) -> Column:

@@ -236,8 +236,11 @@ def semantic_gaps(groups: DataFrame) -> DataFrame:
 
 # --- label attention ----------------------------------------------------------------------------------------
 
-def label_summary(df: DataFrame, keys: Sequence[str] = ("condition",)) -> DataFrame:
-    """Counts and shares per label condition. Input: answer, correct, distractor, correct_lp, distractor_lp."""
+def label_summary(df: DataFrame, keys: Sequence[str] = ("condition",), with_errors: bool = False) -> DataFrame:
+    """Counts and shares per label condition. Input: answer, correct, distractor, correct_lp, distractor_lp.
+
+    ``with_errors`` adds ``error_n`` from is_error and error, by which a run of errors only counts as failed.
+    """
     answered = F.col("answer").isNotNull()
     right = flag(F.col("answer") == F.col("correct"))
     target = flag(F.col("answer") == F.col("distractor")) & ~right
@@ -260,6 +263,7 @@ def label_summary(df: DataFrame, keys: Sequence[str] = ("condition",)) -> DataFr
         F.avg("distractor_lp").alias("avg_distractor_lp"),
         F.avg(gap).alias("avg_margin"),
         F.count(gap).alias("logprob_n"),
+        *([F.count_if(flag(F.col("is_error")) | F.col("error").isNotNull()).alias("error_n")] if with_errors else []),
     )
 
 
@@ -278,7 +282,8 @@ def label_differences(summary: DataFrame) -> DataFrame:
         (of("avg_margin", labelled) - of("avg_margin", unlabelled)).alias("margin_labelled_minus_unlabelled"),
         (of("avg_margin", mixed) - of("avg_margin", labelled)).alias("margin_mixed_minus_labelled"),
         ((F.count_if(sparse) > 0) | (F.count_if(known) < len(K.LABEL_CONDITIONS))).alias("logprob_sparse"),
-        (F.sum("valid") == 0).alias("no_valid_answers"),
+        ((F.sum("valid") == 0) | ((F.sum("error_n") == F.sum("rows")) if "error_n" in summary.columns else F.lit(False)))
+        .alias("no_valid_answers"),
     )
 
 

@@ -12,10 +12,12 @@ from pairlens.functions import labels as L
 def with_record(df: DataFrame, value: str = "value", name: str = "_v") -> DataFrame:
     """Add the JSON value of a text column as VARIANT; null for malformed text, also for text after the first value.
 
+    NaN and infinities are numbers, and the last of repeated keys counts, for which the session's setting is switched on.
     The value leaves through a one-row generator: later filters on its members cannot be rewritten into repeated
     parsing of the text.
     """
-    wrapped = F.array(F.try_parse_json(F.concat(F.lit("["), F.col(value), F.lit("]"))))
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    wrapped = F.array(F.from_json(F.concat(F.lit("["), F.col(value), F.lit("]")), "variant"))
 
     def single(w: Column) -> Column:
         alone = F.variant_get(w, "$[1]", "variant").isNull()

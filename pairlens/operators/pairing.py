@@ -8,13 +8,14 @@ overload a task, and every contrast of a table needs the same single shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlens.operators.guards import require
 from pairlens.operators.metrics import PAIRED_METRICS, Metric
-from pairlens.session import checked_broadcast
+from pairlens.session import settle
 
 CELL = ("dataset", "model")
 
@@ -100,15 +101,6 @@ def common_valid_items(
     return wide.where(all_valid).select(*keys, item)
 
 
-def common_valid_rows(
-    df: DataFrame, conditions: Sequence[str], keys: Sequence[str] = CELL, item: str = "id",
-    condition: str = "condition",
-) -> DataFrame:
-    """The response rows of those items."""
-    rows = df.where(F.col(condition).isin(*conditions) & F.col("valid"))
-    return rows.join(common_valid_items(df, conditions, keys, item, condition), [*keys, item], "left_semi")
-
-
 def common_valid_codes(
     df: DataFrame, conditions: Sequence[str], metrics: Sequence[Metric], keys: Sequence[str] = CELL, item: str = "id",
     condition: str = "condition",
@@ -127,12 +119,21 @@ def common_valid_codes(
 def frame_intersection(
     df: DataFrame, group: str = "dataset", arms: Sequence[str] = ("model", "condition"), item: str = "id",
 ) -> DataFrame:
-    """Items attempted under every arm (model and condition) of their group."""
-    seen = df.select(group, item, *arms).distinct()
-    per_item = seen.groupBy(group, item).agg(F.count(F.lit(1)).alias("_arms"))
-    wanted = df.select(group, *arms).distinct().groupBy(group).agg(F.count(F.lit(1)).alias("_wanted"))
-    # One row per group against all items: a shuffle on so few keys would leave the work to a few tasks.
-    return per_item.join(checked_broadcast(wanted, "arms"), group).where(F.col("_arms") == F.col("_wanted")).select(group, item)
+    """Items attempted under every arm (model and condition) of their group.
+
+    Arms are numbered in their group, which is a small table; an item's arms are then bits of one or more integers, gathered
+    by a single combining aggregate.
+    """
+    spot = Window.partitionBy(group).orderBy(*arms)
+    listed = df.select(group, *arms).distinct().withColumn("_arm", F.row_number().over(spot) - 1)
+    numbered = settle(listed.withColumn("_wanted", F.max("_arm").over(Window.partitionBy(group)) + 1), "arms")
+    words = (numbered.agg(F.coalesce(F.max("_wanted"), F.lit(1))).first()[0] + 61) // 62
+    same = reduce(Column.__and__, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (group, *arms)])
+    rows = df.select(group, item, *arms).alias("l").join(numbered.alias("r"), same).select(f"l.{group}", item, "_arm", "_wanted")
+    bits = [F.bit_or(F.when(F.expr(f"_arm div 62 = {w}"), F.expr("shiftleft(1L, _arm % 62)")).otherwise(F.lit(0).cast("bigint"))).alias(f"_b{w}") for w in range(words)]
+    per_item = rows.groupBy(group, item).agg(F.max("_wanted").alias("_wanted"), *bits)
+    held = reduce(Column.__add__, [F.bit_count(f"_b{w}") for w in range(words)])
+    return per_item.where(held == F.col("_wanted")).select(group, item)
 
 
 def set_sizes(

@@ -80,9 +80,11 @@ def response_ingest(
     """Raw responses joined to their requests: answer, confidence, validity, log-probs, flags.
 
     Requests without a response, or with an error, become error rows. ``responses`` holds the keys, ``text``,
-    ``content_logprobs`` (array of {token, logprob, top_logprobs}) and ``error``.
+    ``content_logprobs`` (array of {token, logprob, top_logprobs}) and ``error``; an ``error_type`` of its own is kept, and
+    so are further columns such as a stage.
     """
     marked = responses.withColumn("_answered", F.lit(True))
+    own_type = F.col("error_type") if "error_type" in responses.columns else F.lit(None).cast("string")
     joined = requests.join(marked, list(keys), "left")
     is_error = F.col("_answered").isNull() | F.col("error").isNotNull()
     usable = joined.withColumns({"is_error": is_error, "text": F.when(~is_error, F.col("text"))})
@@ -98,7 +100,7 @@ def response_ingest(
         "chose_distractor": F.col("final").eqNullSafe(F.col("distractor")),
         "changed_from_initial": ~F.col("final").eqNullSafe(F.col("initial")),
         "error_type": F.when(F.col("_answered").isNull(), F.lit("missing response"))
-        .when(F.col("error").isNotNull(), F.lit("model error")),
+        .when(F.col("error").isNotNull(), F.coalesce(own_type, F.lit("model error"))),
     }).drop("_t", "_answered", "content_logprobs", "parse_status", "matched_text", "span_start", "span_end",
             "normalized_text", "answer", "confidence")
 

@@ -12,7 +12,7 @@ from pairlens.operators.guards import require, require_rows
 from pairlens.operators.inference import CONTRAST, contrast_counts
 from pairlens.operators.metrics import PAIRED_METRICS, Metric, condition_summary
 from pairlens.operators.pairing import CELL, pair_codes
-from pairlens.session import checked_broadcast, settle
+from pairlens.session import settle
 
 SKETCH_ACCURACY = 10_000
 
@@ -49,7 +49,7 @@ def exact_percentiles(
             for i, p in enumerate(probs.values())
         ])),
     )
-    table = checked_broadcast(brackets, "brackets")
+    table = settle(brackets, "brackets")
     joined = values.join(table, list(keys))
     # Values below the bracket are only counted; those inside are counted per distinct value.
     place = F.when(F.col("_v") < F.col("_from"), F.col("_from")).otherwise(F.col("_v"))
@@ -107,7 +107,7 @@ def repeated_sample(
     )
     text = F.concat(F.lit("frame too small for the sample: "), F.col(group))
     cuts = cuts.withColumn("_cut", require(F.col("_cut"), F.col("frame_n") >= size, text))
-    near = hashed.join(checked_broadcast(cuts, "sample-cuts"), [group, "rep"]).where(
+    near = hashed.join(settle(cuts, "sample-cuts"), [group, "rep"]).where(
         F.col("_bucket") <= F.col("_cut")
     )
     rank = F.row_number().over(Window.partitionBy(group, "rep").orderBy("_h", item))
@@ -126,7 +126,7 @@ def repeated_deltas(
     metrics: Sequence[Metric] = PAIRED_METRICS, keys: Sequence[str] = CELL,
 ) -> DataFrame:
     """Paired rates and delta per repetition. Items are paired once; repetitions are added after that."""
-    members = checked_broadcast(sample_membership(samples), "sample-members")
+    members = settle(sample_membership(samples), "sample-members")
     chosen = df.join(members.drop("reps"), ["dataset", "id"], "left_semi")
     pairs = pair_codes(chosen, contrasts, metrics, keys).join(members, ["dataset", "id"])
     counts = contrast_counts(pairs.withColumn("rep", F.explode("reps")), metrics, [*keys, "rep", *CONTRAST])
@@ -142,7 +142,7 @@ def repeated_conditions(
     df: DataFrame, samples: DataFrame, metrics: Sequence[Metric] = PAIRED_METRICS, keys: Sequence[str] = CELL,
 ) -> DataFrame:
     """Condition rates per repetition in long form; metrics without an eligible row are left out."""
-    members = checked_broadcast(sample_membership(samples), "sample-members")
+    members = settle(sample_membership(samples), "sample-members")
     chosen = df.join(members, ["dataset", "id"]).withColumn("rep", F.explode("reps"))
     wide = condition_summary(chosen, [*keys, "condition", "rep"], metrics)
     rows = F.array(*[
@@ -176,7 +176,7 @@ def assign_stratum(
     scored: DataFrame, thresholds: DataFrame, keys: Sequence[str] = CELL, value: str = "target_probability"
 ) -> DataFrame:
     """Low up to q33, Medium up to q67, High above; equal values share a stratum."""
-    bounds = checked_broadcast(thresholds.select(*keys, "q33", "q67"), "thresholds")
+    bounds = settle(thresholds.select(*keys, "q33", "q67"), "thresholds")
     p = F.col(value)
     stratum = F.when(p <= F.col("q33"), "Low").when(p <= F.col("q67"), "Medium").otherwise("High")
     return scored.join(bounds, list(keys)).withColumn("stratum", stratum).drop("q33", "q67")

@@ -26,7 +26,7 @@ def step_trajectory(df: DataFrame, keys: Sequence[str] = ("condition",), steps:
     """Accuracy, adoption, harm and log-prob coverage per step.
 
     Every step with a usable label counts, whatever the final answer; conditions with fewer than two steps and steps
-    without any usable label are left out.
+    without any usable label are left out. Harm is NaN where nobody was right before.
     """
     rows = df.select(
         *keys, "correct", "distractor", "initial", F.posexplode(steps).alias("_pos", "_s")
@@ -39,7 +39,7 @@ def step_trajectory(df: DataFrame, keys: Sequence[str] = ("condition",), steps:
         F.count_if(usable).alias("valid_n"),
         ratio(F.count_if(usable & flag(F.col("_p") == F.col("correct"))), F.count_if(usable)).alias("accuracy"),
         ratio(F.count_if(adopted), F.count_if(usable)).alias("distractor_adoption"),
-        ratio(F.count_if(adopted & was_right), F.count_if(was_right)).alias("harmful_conformity"),
+        F.coalesce(ratio(F.count_if(adopted & was_right), F.count_if(was_right)), F.lit(float("nan"))).alias("harmful_conformity"),
         F.count_if(flag(covered)).alias("logprob_n"),
     )
     steps_seen = F.max("step").over(Window.partitionBy(*keys))

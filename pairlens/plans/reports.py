@@ -18,6 +18,7 @@ from pairlens.operators import metrics as M
 from pairlens.operators import pairing as P
 from pairlens.operators import sampling as R
 from pairlens.operators import steps as ST
+from pairlens.operators.guards import require
 from pairlens.session import settle
 from pairlens.sources.manifest import load_manifest, read_grid
 
@@ -32,11 +33,8 @@ def paired_protocol(
 
     In strict form metadata drift fails the contrasts before any result is returned.
     """
-    conditions = P.contrast_conditions(contrasts)
     if strict:
-        drift = A.metadata_drift(df.where(F.col("condition").isin(*conditions)), _audit_fields(df))
-        if not drift.isEmpty():
-            raise ValueError(f"metadata drift: {drift.first()}")
+        _require_no_drift(df, contrasts)
     contrast = I.paired_contrast(df, contrasts)
     return {
         "condition_summaries": M.condition_summary(df),
@@ -45,6 +43,14 @@ def paired_protocol(
     }
 
 
+def _require_no_drift(df: DataFrame, contrasts: Sequence[tuple[str, str]]) -> None:
+    """Items of both conditions of a contrast must agree in their audit fields; other conditions do not matter to it."""
+    for pair in contrasts:
+        drift = A.metadata_drift(df.where(F.col("condition").isin(*pair)), _audit_fields(df)).first()
+        if drift:
+            raise ValueError(f"metadata drift between {pair[0]} and {pair[1]}: {drift}")
+
+
 def _audit_fields(df: DataFrame) -> list[str]:
     return [f for f in K.AUDIT_FIELDS if f in df.columns]
 
@@ -60,7 +66,11 @@ def repeated_subset(
     seed_start: int = K.SAMPLE_SEED_START, contrasts: Sequence[tuple[str, str]] = K.DEFAULT_CONTRASTS,
     arms: Sequence[str] = ("model", "condition"),
 ) -> dict[str, DataFrame]:
-    """Samples shared by all models and conditions, per-repetition rates and deltas, and their spread."""
+    """Samples shared by all models and conditions, per-repetition rates and deltas, and their spread.
+
+    Metadata drift between the conditions of a contrast fails the report.
+    """
+    _require_no_drift(df, contrasts)
     frame = P.frame_intersection(df, arms=arms)
     samples = settle(R.repeated_sample(frame, size, repetitions, seed_start), "samples")
     conditions = R.repeated_conditions(df, samples)
@@ -79,12 +89,27 @@ def repeated_subset(
 
 
 def four_protocol(df: DataFrame, conditions: Sequence[str] = K.FOUR_PROTOCOLS) -> dict[str, DataFrame]:
-    """Rates on items valid in every protocol; the initial accuracy must agree across protocols."""
+    """Rates on items valid in every protocol; reading them fails where the initial accuracy differs across protocols.
+
+    Where rows hold ``steps``, a last step that disagrees with the final answer fails the report, and so does metadata
+    drift among the protocols.
+    """
+    rows = df.where(F.col("condition").isin(*conditions))
+    if "steps" in df.columns:
+        wrong = A.final_step_audit(rows.where("steps IS NOT NULL")).first()
+        if wrong:
+            raise ValueError(f"final step: {wrong.problem}")
+    drift = A.metadata_drift(rows, _audit_fields(df), valid_only="valid" in df.columns).first()
+    if drift:
+        raise ValueError(f"metadata drift: {drift}")
     summary = M.common_valid_summary(P.common_valid_codes(df, conditions, M.COMMON_METRICS))
     agree = summary.groupBy("dataset", "model").agg(
         F.count_distinct("initial_accuracy").alias("initial_accuracies"), F.max("N").alias("common_valid_n")
     )
-    return {"rows": summary, "cells": agree}
+    text = F.concat(F.lit("initial accuracy differs in "), F.col("dataset"), F.lit(" / "), F.col("model"))
+    checked = summary.join(agree.drop("common_valid_n"), ["dataset", "model"])
+    rows = checked.withColumn("N", require(F.col("N"), F.col("initial_accuracies") <= 1, text, "bigint"))
+    return {"rows": rows.select(*summary.columns), "cells": agree}
 
 
 def tercile_report(
@@ -136,10 +161,10 @@ def token_audit_stats(
 
 def label_attention_report(answers: DataFrame) -> dict[str, DataFrame]:
     """Quality, rates, differences, z-tests and the rule-based conclusions (margin of two points)."""
-    summary = M.label_summary(answers)
+    summary = M.label_summary(answers, with_errors=True)
     return {
         "quality": A.quality_summary(answers),
-        "conditions": summary,
+        "conditions": summary.drop("error_n"),
         "differences": M.label_differences(summary),
         "tests": label_tests(summary),
         "conclusions": label_conclusions(summary),
@@ -252,12 +277,14 @@ def evaluate_run(df: DataFrame) -> dict[str, DataFrame]:
 
 
 def integrity_report(lines: DataFrame) -> dict[str, DataFrame]:
-    """Profile, modes, bad and ineffective lines of a set of files."""
+    """Profile, modes, bad and ineffective lines of a set of files, from lines parsed once."""
+    kept = [c for c in lines.columns if c != "value"]
+    facts = A.integrity_facts(lines)
     return {
-        "profile": A.integrity_profile(lines),
-        "modes": A.integrity_mode_counts(lines),
-        "bad_lines": A.integrity_bad_lines(lines),
-        "ineffective": A.integrity_ineffective(lines),
+        "profile": A.profile_of_facts(facts),
+        "modes": A.modes_of_facts(facts),
+        "bad_lines": A.bad_of_facts(facts, kept),
+        "ineffective": A.ineffective_of_facts(facts, kept),
     }
 
 

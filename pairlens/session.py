@@ -1,4 +1,4 @@
-"""Shared folder and size checks taken from the running session."""
+"""Shared folder taken from the running session, and small file-system helpers."""
 
 from __future__ import annotations
 
@@ -6,43 +6,55 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-MAX_BROADCAST_ROWS = 200_000
-
 
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors see: ``spark.checkpoint.dir``; one own local folder only where that is unset."""
+    """Folder that all executors see: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given.
+
+    Without either, a local session gets one folder of its own; on a cluster that would lose rows, so it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    application = spark.sparkContext.applicationId
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    application, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if application not in _OWN:
         _OWN[application] = tempfile.mkdtemp(prefix="pairlens-")
     return _OWN[application]
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/pairlens/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/pairlens/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this application wrote to the shared folder; tables read from there must not be used afterwards."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder once and read it back: later steps and retries start from the files."""
+    """Write a table to the shared folder once and read it back: later steps and retries start from the files.
+
+    A written table has a known size, by which Spark itself decides whether to broadcast it.
+    """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, name: str, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a settled table whose row count was checked; above the bound it joins by shuffle."""
-    table = settle(df, name)
-    return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder exists on whatever file system the path names."""
     jvm = spark._jvm

@@ -65,13 +65,13 @@ def check_manifest(spark: SparkSession, content: dict, base: str) -> Manifest:
 def read_grid(spark: SparkSession, manifest: Manifest) -> DataFrame:
     """All files of a manifest as one normalised table with dataset, model and condition.
 
-    One scan of all files, joined to the manifest by path; the manifest is a driver-held list and so is small. Lines are
+    One scan of all files, joined to the list of files by path; how is left to its size. Lines are
     parsed once into the shared folder; an empty condition or a repeated item within one is an error.
     """
     files = [(*c[:3], f) for c in manifest.cells for f in data_files(spark, c[3])]
     names = spark.createDataFrame(files, "dataset string, model string, condition string, path string")
     plain = F.regexp_replace("path", r"^file:/*", "/")
-    keyed = F.broadcast(names.withColumn("_path", plain).drop("path"))
+    keyed = names.withColumn("_path", plain).drop("path")
     lines = text_lines(spark, [f[3] for f in files]).where(strip(F.col("value")) != "")
     joined = lines.withColumn("_path", F.regexp_replace("path", r"^file:/*", "/")).join(keyed, "_path")
     rows = normalize_lines(joined.drop("_path", "path", "block"))

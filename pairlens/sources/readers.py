@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import tarfile
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from pairlens import constants as K
 from pairlens.functions.labels import strip
 from pairlens.operators.guards import require, require_rows
-from pairlens.operators.normalize import normalize_lines
+from pairlens.operators.normalize import normalize_lines, with_record
 from pairlens.session import list_paths, path_exists, settle
 
 
@@ -90,12 +91,26 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType | str) ->
 
 
 def read_json_or_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Rows of one JSON array, one JSON object or JSON lines, decided by the first lines of the file."""
-    head = [r.value for r in spark.read.text(path).limit(2).collect()]
-    if not head:
-        return spark.createDataFrame([], schema)
-    whole = head[0].lstrip().startswith("[") or (len(head) > 1 and not head[0].rstrip().endswith("}"))
-    return spark.read.schema(schema).option("multiLine", str(whole).lower()).option("mode", "FAILFAST").json(path)
+    """Rows of JSON arrays, JSON objects or JSON lines, decided for each file by all its lines.
+
+    A file whose non-blank lines are JSON values each is read by lines (a line that is an array gives its elements);
+    every other file must be one JSON value as a whole, which one task reads, or the read fails. Blank files give no rows.
+    """
+    typed = T.ArrayType(spark.createDataFrame([], schema).schema)
+
+    def values(texts: DataFrame) -> DataFrame:
+        sound = require_rows(with_record(texts), "value", F.col("_v").isNotNull(), F.concat(F.lit("invalid JSON in "), F.col("path")))
+        return sound.select(F.inline(F.from_json("value", typed, {"mode": "FAILFAST"})))
+
+    lines = text_lines(spark, path).select("path", "value").where(strip(F.col("value")) != "")
+    by_line = with_record(lines).groupBy("path").agg(F.bool_and(F.col("_v").isNotNull()).alias("by_line"))
+    split = {kind: [r.path for r in by_line.where(F.col("by_line") == kind).collect()] for kind in (True, False)}  # file names
+    found = [spark.createDataFrame([], schema)]
+    if split[True]:
+        found.append(values(lines.where(F.col("path").isin(split[True])) if split[False] else lines))
+    if split[False]:
+        found.append(values(spark.read.text(split[False], wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def read_item_bank(spark: SparkSession, path: str) -> DataFrame:

@@ -43,8 +43,3 @@ def write_conditions(
 ) -> None:
     """One folder per condition. Without ``resume`` an existing output is an error; with it rows are appended."""
     df.write.partitionBy(*keys).mode("append" if resume else "errorifexists").parquet(path)
-
-
-def write_dimension_summaries(summary: DataFrame, path: str, dimension: str = "dimension") -> None:
-    """Condition summaries in one folder per dimension."""
-    summary.write.partitionBy(dimension).mode("overwrite").json(path)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pairlens.operators.metrics import condition_summary
 from pairlens.operators.normalize import normalize_responses
-from pairlens.session import scratch
+from pairlens.session import path_exists
 
 RESPONSE_SCHEMA = (
     "id string, dataset string, model string, condition string, correct string, distractor string, "
@@ -42,6 +42,14 @@ def read_log(spark: SparkSession, path: str, files_per_batch: int = 1000) -> Dat
     )
 
 
+def own_checkpoint(spark: SparkSession, out: str, checkpoint: str | None) -> str:
+    """The checkpoint of an output: the one given or ``out`` with ``-checkpoint``; output without one is refused."""
+    where = checkpoint or f"{out.rstrip('/')}-checkpoint"
+    if path_exists(spark, out) and not path_exists(spark, where):
+        raise ValueError(f"{out} holds output but there is no checkpoint {where}")
+    return where
+
+
 def first_per_key(rows: DataFrame, delay: str | None = None) -> DataFrame:
     """First row of every key. With ``delay`` the key state is dropped once the ingest watermark has passed it.
 
@@ -63,9 +71,10 @@ def stream_responses(
 ) -> StreamingQuery:
     """Keep ``out`` equal to the condition summary of everything logged so far; stops at the end of the log.
 
-    The full result is a row per condition, so every batch replaces it. The checkpoint makes a restart continue
-    where the last run ended.
+    The full result is a row per condition, so every batch replaces it. The checkpoint, by default beside ``out``, makes a
+    restart continue where the last run ended.
     """
+    checkpoint = own_checkpoint(spark, out, checkpoint)
     summary = running_summary(read_log(spark, log, files_per_batch), delay)
 
     def replace(batch: DataFrame, _: int) -> None:
@@ -73,7 +82,7 @@ def stream_responses(
 
     writer = (
         summary.writeStream.outputMode("complete").foreachBatch(replace)
-        .option("checkpointLocation", checkpoint or scratch(spark, "stream-checkpoint")).trigger(availableNow=True)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True)
     )
     with state_on_disk(spark):
         return writer.start()
@@ -84,8 +93,10 @@ def stream_autosave(
 ) -> StreamingQuery:
     """Save new rows, error rows and a summary of each batch under ``out``.
 
-    Every batch owns its folders, so a batch that is run again after a failure replaces its own output only.
+    Every batch owns its folders, so a batch that is run again after a failure replaces its own output only. The
+    checkpoint, by default beside ``out``, keeps batch numbers going after a restart.
     """
+    checkpoint = own_checkpoint(spark, out, checkpoint)
 
     def save(batch: DataFrame, number: int) -> None:
         rows = normalize_responses(batch).persist()
@@ -102,6 +113,6 @@ def stream_autosave(
 
     return (
         read_log(spark, log, files_per_batch).writeStream.foreachBatch(save)
-        .option("checkpointLocation", checkpoint or scratch(spark, "autosave-checkpoint"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )

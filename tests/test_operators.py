@@ -300,22 +300,132 @@ def test_shared_folder_comes_from_the_session(spark):
 
     from pairlens.session import scratch, shared_dir
 
-    def fake(value, name="app-1"):
-        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: value),
-                               sparkContext=SimpleNamespace(applicationId=name))
+    def fake(value, name="app-1", master="local[2]", given=None):
+        option = SimpleNamespace(isDefined=lambda: given is not None, get=lambda: given)
+        context = SimpleNamespace(applicationId=name, master=master, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: option)))
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: value), sparkContext=context)
 
     assert shared_dir(fake("hdfs://shared/dir")) == "hdfs://shared/dir"
-    assert scratch(fake("hdfs://shared/dir/"), "x").startswith("hdfs://shared/dir/pairlens/x-")
+    assert shared_dir(fake(None, given="hdfs://given")) == "hdfs://given"
+    assert scratch(fake("hdfs://shared/dir/"), "x").startswith("hdfs://shared/dir/pairlens/app-1/x-")
     assert shared_dir(fake(None)) == shared_dir(fake(None)) != shared_dir(fake("", "app-2"))
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        shared_dir(fake(None, master="spark://host:7077"))
 
 
-def test_large_tables_are_not_broadcast(spark):
-    from pairlens.session import checked_broadcast
+def test_release_removes_what_the_run_wrote(spark, tmp_path, monkeypatch):
+    from pairlens import session
 
-    small = checked_broadcast(spark.range(10), "small", max_rows=10)
-    large = checked_broadcast(spark.range(11), "large", max_rows=10)
-    plans = [d._jdf.queryExecution().analyzed().toString() for d in (small, large)]
-    assert "ResolvedHint (strategy=broadcast)" in plans[0] and "Hint" not in plans[1]
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    assert session.settle(spark.range(5), "x").count() == 5
+    assert list(tmp_path.glob("pairlens/*/x-*"))
+    session.release(spark)
+    assert not list(tmp_path.glob("pairlens/*/*"))
+
+
+def test_json_files_of_every_shape(spark, tmp_path):
+    from pairlens.sources import readers as R
+
+    def rows(*texts):
+        folder = tmp_path / str(len(list(tmp_path.iterdir())))
+        folder.mkdir()
+        for i, text in enumerate(texts):
+            (folder / f"{i}.json").write_text(text)
+        return sorted(r.a for r in R.read_json_or_jsonl(spark, str(folder), "a long, b string").collect())
+
+    lines = "\n".join(f'{{"a": {i}}}' for i in range(1000))
+    assert rows("\n" + lines) == list(range(1000))  # a blank line first
+    assert rows('{\n "a": 7,\n "b": "x"\n}\n') == [7]  # one object over several lines
+    assert rows('[{"a": 1}, {"a": 2}]') == [1, 2] and rows('[\n{"a": 1},\n{"a": 2}\n]\n') == [1, 2]
+    assert rows("") == [] and rows("\n \n") == []
+    assert rows('{"a": 1}\n{"a": 2}', '[\n{"a": 3}\n]', "", '{\n"a": 4}') == [1, 2, 3, 4]  # a mixed folder
+    for broken in (lines + '\n{"a": ', '{"a": 1}\n{"a": 2} x', "[1,\n2"):
+        with pytest.raises(Exception, match="invalid JSON"):
+            rows(broken)
+
+
+def test_json_lines_that_other_parsers_take(spark):
+    texts = ['{"id": "1", "x": NaN}', '{"id": "2", "x": -Infinity}', '{"id": "3", "id": "4"}', '{"id": "5"} {"id": "6"}', '{"id": ']
+    rows = spark.createDataFrame([(t,) for t in texts], "value string")
+    ids = [r.id for r in N.with_record(rows).selectExpr("variant_get(_v, '$.id', 'string') AS id").collect()]
+    assert ids == ["1", "2", "4", None, None]
+
+
+def test_text_that_reads_like_an_empty_array_is_not_empty(spark):
+    from pairlens.functions.labels import empty_json
+
+    texts = ['"[]"', '"{}"', "[]", "{}", '" "', "null", "[0]", "0"]
+    rows = spark.createDataFrame([(t,) for t in texts], "value string").withColumn("v", F.parse_json("value"))
+    assert [r.e for r in rows.select(empty_json(F.col("v")).alias("e")).collect()] == [False, False, True, True, True, True, False, False]
+
+
+def test_slices_go_by_position(spark):
+    from pairlens.operators.items import limit_slice
+
+    rows = spark.range(0, 1000, 10).withColumnRenamed("id", "at")
+    ids = lambda df: sorted(r.at for r in df.collect())
+    assert ids(limit_slice(rows, "at", 0, 5)) == [0, 10, 20, 30, 40]
+    assert ids(limit_slice(rows, "at", 97, 5)) == [970, 980, 990] and ids(limit_slice(rows, "at", 98)) == [980, 990]
+    assert ids(limit_slice(rows, "at", 100, 5)) == [] and len(ids(limit_slice(rows, "at"))) == 100
+
+
+def test_reports_fail_closed(spark):
+    from pairlens.operators.audits import score_validate
+    from pairlens.plans import reports as RP
+
+    base = [("d", "m", c, str(i), "A", "B", "A", "B", "q") for c in ("exp1", "exp2", "exp3", "exp4") for i in range(4)]
+    names = "dataset string, model string, condition string, id string, correct string, distractor string, initial string, final string, question string"
+
+    def table(change):
+        return N.normalize_responses(spark.createDataFrame([change(r) for r in base], names))
+
+    def put(condition, item, place, value):
+        return lambda r: (*r[:place], value, *r[place + 1:]) if (r[2], r[3]) == (condition, item) else r
+
+    assert RP.four_protocol(table(lambda r: r))["rows"].count() == 4
+    with pytest.raises(Exception, match="initial accuracy|fields=.initial"):
+        RP.four_protocol(table(put("exp4", "1", 6, "C")))["rows"].collect()
+    with pytest.raises(ValueError, match="metadata drift"):
+        RP.four_protocol(table(put("exp4", "1", 8, "other")))
+    # an item of exp1 and exp3 alone is in no compared pair, so that its drift does not matter
+    lone = table(put("exp3", "1", 8, "other")).where("NOT (id = '1' AND condition = 'exp2')")
+    assert RP.paired_protocol(lone, [("exp1", "exp2"), ("exp2", "exp3")], reps=100)["comparisons"].count() > 0
+    with pytest.raises(ValueError, match="metadata drift"):
+        RP.paired_protocol(table(put("exp3", "1", 8, "other")), [("exp2", "exp3")], reps=100)
+    with pytest.raises(ValueError, match="metadata drift"):
+        RP.repeated_subset(table(put("exp2", "1", 8, "other")), 2, 2)
+    scores = spark.createDataFrame([("1", 0.5, ["A"], {"A": 1.0}), ("1", 0.5, ["A"], {"A": 1.0})], "id string, target_probability double, candidate_labels array<string>, probabilities map<string,double>")
+    with pytest.raises(ValueError, match="repeated score"):
+        score_validate(scores, strict=True)
+    with pytest.raises(ValueError, match="expected 3"):
+        score_validate(scores.limit(1), strict=True, rows=3)
+
+
+def test_a_run_of_errors_is_a_failed_run(spark):
+    rows = spark.createDataFrame(
+        [("labelled_5_wrong", "A", "A", "B", None, None, True, "boom")] * 3,
+        "condition string, answer string, correct string, distractor string, correct_lp double, distractor_lp double, is_error boolean, error string")
+    assert M.label_differences(M.label_summary(rows, with_errors=True)).first().no_valid_answers
+    assert not M.label_differences(M.label_summary(rows)).first().no_valid_answers
+
+
+def test_a_restart_goes_on_where_the_last_run_ended(spark, tmp_path):
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+
+    def append(ids):
+        rows = spark.createDataFrame([(str(i),) for i in ids], "id string").selectExpr(
+            "id", "'d' AS dataset", "'m' AS model", "'exp1' AS condition", "'A' AS correct", "'B' AS distractor", "'A' AS initial", "'B' AS final",
+            "false AS is_error", "current_timestamp() AS ingested")
+        rows.write.mode("append").json(log)
+
+    append(range(10))
+    ST.stream_autosave(spark, log, out).awaitTermination()
+    append(range(10, 30))
+    ST.stream_autosave(spark, log, out).awaitTermination()
+    saved = spark.read.parquet(f"{out}/rows")
+    assert (saved.count(), saved.select("id").distinct().count()) == (30, 30)
+    with pytest.raises(ValueError, match="no checkpoint"):
+        ST.stream_autosave(spark, log, out, str(tmp_path / "elsewhere"))
 
 
 def test_one_hot_cell_gives_the_same_rates_after_any_split(spark):
