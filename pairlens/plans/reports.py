@@ -116,9 +116,29 @@ def tercile_report(
     df: DataFrame, scores: DataFrame, conditions: Sequence[str] = K.FOUR_PROTOCOLS,
     contrasts: Sequence[tuple[str, str]] = K.DEFAULT_CONTRASTS, reps: int = K.BOOTSTRAP_REPS,
 ) -> dict[str, DataFrame]:
-    """Terciles of the target probability on common-valid items, rates and contrasts per stratum."""
+    """Terciles of the target probability on common-valid items, rates and contrasts per stratum.
+
+    Fails on a repeated score, on a score that breaks a rule (where its labels and probabilities are given), on one that
+    names another gold or target than the response (where it names them), and on metadata drift between the conditions.
+    """
     keys = [*P.CELL, "id"]
-    items = P.common_valid_items(df, conditions)
+    repeated = scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").first()
+    if repeated:
+        raise ValueError(f"repeated score: {repeated.asDict()}")
+    if {"candidate_labels", "probabilities"} <= set(scores.columns):
+        broken = A.score_validate(scores).first()
+        if broken:
+            raise ValueError(f"score {broken.problem}: {broken.id}")
+    rows = df.where(F.col("condition").isin(*conditions))
+    drift = A.metadata_drift(rows, _audit_fields(df), valid_only=True).first()
+    if drift:
+        raise ValueError(f"metadata drift: {drift}")
+    items = settle(P.common_valid_items(df, conditions), "common")
+    if {"correct_answer", "target_distractor"} <= set(scores.columns):
+        labels = rows.join(items, keys, "left_semi").groupBy(*keys).agg(F.max("correct").alias("correct"), F.max("distractor").alias("distractor"))
+        other = A.score_metadata_match(labels, scores, keys).where("problem <> 'missing score'").first()
+        if other:
+            raise ValueError(f"score of another item: {other}")
     scored = settle(P.score_join(items, scores.select(*keys, "target_probability"), keys), "scored")
     bounds = R.tercile_thresholds(scored)
     strata = settle(R.assign_stratum(scored, bounds), "strata")
@@ -134,7 +154,17 @@ def tercile_report(
 
 
 def ablation_report(df: DataFrame, reps: int = K.BOOTSTRAP_REPS) -> dict[str, DataFrame]:
-    """Summaries, comparisons A-K and exact-token ones, token audit and step trajectories."""
+    """Summaries, comparisons A-K and exact-token ones, token audit and step trajectories.
+
+    Fails where the conditions of a cell hold different items, or an item's audit fields differ between conditions.
+    """
+    conditions = [r[0] for r in df.select("condition").distinct().collect()]  # a short list of names
+    lone = A.id_sets_equal(df, conditions).first()
+    if lone:
+        raise ValueError(f"unaligned item: {lone}")
+    drift = A.metadata_drift(df, _audit_fields(df)).first()
+    if drift:
+        raise ValueError(f"metadata drift: {drift}")
     main = I.ablation_contrast(df)
     exact = I.exact_token_contrast(df)
     comparisons = P.union_runs(main.withColumn("analysis_subset", F.lit("all_common_valid")), exact)

@@ -401,6 +401,32 @@ def test_reports_fail_closed(spark):
         score_validate(scores.limit(1), strict=True, rows=3)
 
 
+def test_tercile_and_ablation_reports_fail_closed(spark):
+    base = [("d", "m", c, str(i), "A", "B", "A", "B" if i % 2 else "A", 10) for c in K.FOUR_PROTOCOLS for i in range(9)]
+    names = "dataset string, model string, condition string, id string, correct string, distractor string, initial string, final string, final_prompt_token_count int"
+    rows = N.normalize_responses(spark.createDataFrame(base, names))
+    points = [("d", "m", str(i), i / 10, "A", "B") for i in range(9)]
+    fields = "dataset string, model string, id string, target_probability double, correct_answer string, target_distractor string"
+
+    def report(scores, table=rows):
+        return RP.tercile_report(table, spark.createDataFrame(scores, fields), reps=100)["thresholds"].collect()
+
+    assert len(report(points)) == 1
+    with pytest.raises(ValueError, match="repeated score"):
+        report([*points, points[0]])
+    with pytest.raises(ValueError, match="another item"):
+        report([*points[1:], ("d", "m", "0", 0.0, "C", "B")])
+    with pytest.raises(Exception, match="item without score"):
+        report(points[1:])
+    moved = rows.withColumn("distractor", F.when(F.expr("condition = 'exp2' AND id = '3'"), "C").otherwise(F.col("distractor")))
+    with pytest.raises(ValueError, match="metadata drift"):
+        report(points, moved)
+    with pytest.raises(ValueError, match="metadata drift"):
+        RP.ablation_report(moved)
+    with pytest.raises(ValueError, match="unaligned item"):
+        RP.ablation_report(rows.where("NOT (condition = 'exp1' AND id = '3')"))
+
+
 def test_a_run_of_errors_is_a_failed_run(spark):
     rows = spark.createDataFrame(
         [("labelled_5_wrong", "A", "A", "B", None, None, True, "boom")] * 3,
