@@ -151,6 +151,22 @@ def integrity_ineffective(lines: DataFrame, value: str = "value") -> DataFrame:
 
 # --- label-attention quality --------------------------------------------------------------------------------
 
+def label_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """JSON lines of label runs, with either generation of keys, as the typed rows that ``label_answers`` takes.
+
+    Other columns (the condition, say) are kept; blank and malformed lines give no row.
+    """
+    kept = [c for c in lines.columns if c != value]
+    v = F.col("_v")
+    return with_record(lines, value).where(v.isNotNull()).select(
+        *kept, L.first_key(v, K.LABEL_FINAL_KEYS).alias("final_answer"), L.first_key(v, K.LABEL_RAW_KEYS).alias("raw_output"),
+        L.first_key(v, K.CORRECT_KEYS).alias("correct"), L.first_key(v, K.DISTRACTOR_KEYS).alias("distractor"),
+        F.try_variant_get(v, "$.option_logprobs", "map<string,double>").alias("option_logprobs"),
+        L.is_json_true(v, "is_error").alias("is_error"), F.try_variant_get(v, "$.error", "string").alias("error"),
+        F.try_variant_get(v, "$.error_type", "string").alias("error_type"),
+    )
+
+
 def label_answers(df: DataFrame) -> DataFrame:
     """Final answer of label rows: recorded label, else from the raw text; log-probs of gold and target.
 

@@ -190,8 +190,12 @@ def token_audit_stats(
 
 
 def label_attention_report(answers: DataFrame) -> dict[str, DataFrame]:
-    """Quality, rates, differences, z-tests and the rule-based conclusions (margin of two points)."""
-    summary = M.label_summary(answers, with_errors=True)
+    """Quality, rates, differences, z-tests and the rule-based conclusions (margin of two points).
+
+    ``answers`` come from ``label_answers``, over typed rows or over ``label_lines``. Conditions of the design without a
+    row have counts of 0 and no rates.
+    """
+    summary = _with_absent(M.label_summary(answers, with_errors=True))
     return {
         "quality": A.quality_summary(answers),
         "conditions": summary.drop("error_n"),
@@ -201,6 +205,14 @@ def label_attention_report(answers: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def _with_absent(summary: DataFrame) -> DataFrame:
+    listed = summary.sparkSession.createDataFrame([(c,) for c in K.LABEL_CONDITIONS], "condition string")
+    absent = listed.join(summary.select("condition"), "condition", "left_anti")
+    kinds = {f.name: f.dataType.simpleString() for f in summary.schema.fields}
+    zero = [F.lit(0 if k == "bigint" else None).cast(k).alias(c) for c, k in kinds.items() if c != "condition"]
+    return summary.unionByName(absent.select("condition", *zero))
+
+
 def label_tests(summary: DataFrame, with_p: bool = True) -> DataFrame:
     """z-tests of the distractor rate: labelled against unlabelled and against mixed."""
     labelled, unlabelled, mixed = K.LABEL_CONDITIONS

@@ -427,6 +427,23 @@ def test_tercile_and_ablation_reports_fail_closed(spark):
         RP.ablation_report(rows.where("NOT (condition = 'exp1' AND id = '3')"))
 
 
+def test_label_report_from_lines_of_both_generations(spark):
+    texts = [
+        '{"final_answer": "A", "raw_output": "x", "correct_answer": "A", "distractor": "B", "option_logprobs": {"A": -0.1, "B": -2.0}}',
+        '{"attack_prediction": "b", "raw_attack_output": "y", "correct": "A", "target_distractor": "B"}',
+        '{"text": "ANSWER: B", "gold_answer": "A", "target_wrong": "B", "is_error": true, "error": "boom"}', "", "{broken",
+    ]
+    lines = spark.createDataFrame([("labelled_5_wrong", t) for t in texts], "condition string, value string")
+    found = RP.label_attention_report(A.label_answers(A.label_lines(lines)))
+    rows = {r.condition: r for r in found["conditions"].collect()}
+    assert set(rows) == set(K.LABEL_CONDITIONS)
+    labelled, unlabelled, _ = K.LABEL_CONDITIONS
+    assert (rows["labelled_5_wrong"].rows, rows["labelled_5_wrong"].correct_n, rows["labelled_5_wrong"].distractor_n) == (3, 1, 2)
+    absent = rows[unlabelled if labelled == "labelled_5_wrong" else labelled]
+    assert (absent.rows, absent.valid, absent.accuracy) == (0, 0, None)
+    assert found["conclusions"].first().run_state == "usable"
+
+
 def test_a_run_of_errors_is_a_failed_run(spark):
     rows = spark.createDataFrame(
         [("labelled_5_wrong", "A", "A", "B", None, None, True, "boom")] * 3,
