@@ -279,17 +279,19 @@ def near_duplicates(documents: DataFrame, size: int = 3, least: Fraction = Fract
     Candidates: a pair at likeness s shares a bucket with probability 1 - (1 - s^rows)^bands, that is 1 - 8e-7 at 0.85.
     """
     marks = settle(sketch(documents, size, bands, rows), "minhash-sketch")
-    classes = marks.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"))
-    spread = settle(classes.select("key", "least_id", F.explode("bands").alias("bucket")), "minhash-spread")
-    counts = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bands_of = marks.where("key is not null").groupBy("key").agg(F.first("bands").alias("bands"))
+    classes = marks.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"))
+    spread = settle(bands_of.select("key", F.explode("bands").alias("bucket")), "minhash-spread")
+    # small tables are written before they are joined, so that a hot key on the other side can be split at run time
+    counts = settle(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-counts")
     shared = settle(spread.join(counts, "bucket"), "minhash-shared")
     central = shared.groupBy("key").agg(F.sum("n").alias("weight"))
     ranked = shared.join(central, "key")
-    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("weight", "key")).getField("key").alias("hub"))
+    hubs = settle(ranked.groupBy("bucket").agg(F.max(F.struct("weight", "key")).getField("key").alias("hub")), "minhash-hub")
     placed = settle(shared.join(hubs, "bucket"), "minhash-hubs")
     pairs = settle(placed.where("key <> hub").select("hub", "key").distinct(), "minhash-pairs")
 
-    wanted = settle(placed.select("key", "least_id").distinct(), "minhash-wanted")
+    wanted = settle(classes.select("key", "least_id").join(placed.select("key").distinct(), "key"), "minhash-wanted")
     texts = documents.select("doc_id", "text").join(wanted.select("least_id").distinct(), F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi")
     sets = settle(shingle_sets(texts, size).join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]).select("key", "shingles"), "minhash-sets")
 
@@ -301,7 +303,7 @@ def near_duplicates(documents: DataFrame, size: int = 3, least: Fraction = Fract
     groups = components(star.union(more), "minhash-groups")
 
     named = classes.select("key", "least_id").join(groups.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    heads = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    heads = settle(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "minhash-heads")
     of_class = settle(named.join(heads, "root").select("key", "root", "component_id"), "minhash-classes")
     joined = marks.drop("bands").join(of_class, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

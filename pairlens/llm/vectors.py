@@ -237,7 +237,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     classes = settle(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector")), "vectors-classes")
     spread = settle(_spread(classes, kind, least), "vectors-cells")
     sizes = spread.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("deals"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    dealt = spread.join(sizes, ["cell", "block"]).withColumn("deal", F.pmod(F.xxhash64("key", "cell"), F.col("deals")).cast("int"))
+    dealt = spread.join(settle(sizes, "vectors-sizes"), ["cell", "block"]).withColumn("deal", F.pmod(F.xxhash64("key", "cell"), F.col("deals")).cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).select("cell", "block", "key", "deal", F.least("deal", "other").alias("lo"), F.greatest("deal", "other").alias("hi"))
     groups = paired.join(classes.select("key", "n", "label", "vector"), "key")
     ordered = groups.repartition(shuffle_width(vectors.sparkSession), "cell", "block", "lo", "hi").sortWithinPartitions("cell", "block", "lo", "hi")
@@ -246,7 +246,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     sums = found.groupBy("src").agg(F.sum("links").alias("links")).withColumnRenamed("src", "key")
     roots = components(found.where("dst is not null"), "vectors").withColumnRenamed("id", "key")
     named = classes.select("key", "low", "n").join(sums, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    heads = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    # written before the join, so that a hot root on the other side can be split at run time
+    heads = settle(named.groupBy("root").agg(F.min("low").alias("component_id")), "vectors-heads")
     result = settle(named.join(heads, "root").select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "vectors-result")
     joined = rows.select("vec_id", "key").join(result, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
