@@ -41,7 +41,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def release(spark: SparkSession) -> None:
     """Delete all that this application wrote to the shared folder; tables read from there must not be used afterwards."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    remove(spark, run_dir(spark))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
