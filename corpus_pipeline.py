@@ -1,13 +1,16 @@
 """From raw documents to packed token sequences, in five stages.
 
 Each stage takes what the one before kept; a run writes every stage's rows to the shared folder and reads them back, so a
-lost executor costs one stage's tasks at most. All stages but the last return the columns of the documents. Rows may
+lost executor costs one stage's tasks at most. A stage's rows must be written before the next stage is called, which
+deletes the working tables of the one before. One pipeline at a time runs in a session. All stages but the last return the columns of the documents. Rows may
 repeat, ids may be null, and columns beyond ``doc_id text lang source`` travel along under whatever names they have.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from fractions import Fraction
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +18,37 @@ from pyspark.sql import functions as F
 
 from pairlens.llm import language, minhash, packing, pii, quality
 from pairlens.llm.common import read, settle
+from pairlens.session import list_paths, path_exists, remove, run_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SURROGATE_KEY = "surrogates of the pipeline"
 SHINGLE, LEAST = 5, Fraction(8, 10)
 
 
+_SPENT: dict[str, set[str]] = {}
+
+
+def _stage(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that first deletes the working tables of the one before, whose rows have been written by then.
+
+    The first stage deletes nothing, so that what an earlier run returned can still be read.
+    """
+
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        application, base = spark.sparkContext.applicationId, run_dir(spark)
+        spent = _SPENT.pop(application, set())
+        if fn.__name__ != "identify_language":
+            for name in spent:
+                remove(spark, f"{base}/{name}")
+        before = set(list_paths(spark, base)) if path_exists(spark, base) else set()
+        out = fn(spark, docs, sf_dir)
+        _SPENT[application] = (set(list_paths(spark, base)) if path_exists(spark, base) else set()) - before
+        return out
+
+    return run_stage
+
+
 def _whole(docs: DataFrame) -> DataFrame:
     """All columns as one, beside what a stage works on."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text", *(c for c in ("source",) if c in docs.columns))
@@ -30,12 +58,14 @@ def _rows(kept: DataFrame, docs: DataFrame) -> DataFrame:
     return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language is not recognised; models are learned from the rows with a language."""
     model = language.fit(docs)
     return _rows(language.identify(_whole(docs), model, keep=("row",)).where("not rejected"), docs)
 
 
+@_stage
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose posterior of being good, with that of their site, is low."""
     model = quality.fit(docs, read(spark, sf_dir, "labels"))
@@ -44,6 +74,7 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return _rows(quality.posteriors(scored, model).where("not rejected"), docs)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group, that of least id; texts without words are groups of their own.
 
@@ -64,11 +95,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return _rows(chosen.select("row").union(keyed.where("key is null").select("row")), docs)
 
 
+@_stage
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Give personal data surrogates."""
     return pii.replace(docs, SURROGATE_KEY)
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their ids and places in sequences of 1024."""
     return packing.pack(docs, TOKENIZER)

@@ -94,3 +94,14 @@ def test_one_row_of_each_group_stays(spark):
         ids = [k for k, _ in members if k is not None]
         chosen = [r for r in kept if (r.doc_id, r.text) in members]
         assert len(chosen) >= 1 and (not ids or any(r.doc_id == min(ids) for r in chosen))
+
+
+def test_spent_working_tables_go_and_results_stay(spark, monkeypatch, tmp_path):
+    from pairlens import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    first = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.glob("pairlens/*/*")}
+    assert left == {"packing-counts", "packing-pieces", *(f"pipeline-{name}" for name, _ in corpus_pipeline.STAGES[:-1])}
+    n = corpus_pipeline.run(spark, "/root/testdata/sf0.001").count()
+    assert first.count() == n > 0
