@@ -6,7 +6,8 @@ same layout, cards and IBANs keep a valid (or invalid) check sum, letters keep c
 their title. So an entity has the same surrogate wherever and however it is written.
 
 Surrogates are drawn per distinct entity and checked in grouped passes: one that two entities drew, that was given before,
-or that is itself an entity of the corpus is drawn again for all but one. Texts without a find are not shuffled; those with
+or that is itself an entity of the corpus is drawn again for all but one, and from the fourth drawing on it is longer than
+the entity's own form, so that short forms do not run out. Addresses differ within their domain. Texts without a find are not shuffled; those with
 finds are rewritten from a map of their own entities, which is no larger than the text.
 """
 
@@ -29,7 +30,7 @@ ASSIGNED = r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?ke
 #: Kinds in the order in which they are tried, with their patterns.
 KINDS: dict[str, str] = {
     "email": rf"(?<![{WORD}._%+-])[{WORD}][{WORD}._%+-]{{0,127}}@(?:[{WORD}](?:[{WORD}-]{{0,62}})\.){{1,8}}\p{{L}}{{2,24}}(?![{WORD}])",
-    "secret": rf"{ASSIGNED}[A-Za-z0-9+/_.=~-]{{8,256}}|(?<![{WORD}_-])(?:AKIA[A-Z0-9]{{16}}|(?:sk|pk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{{16,128}})(?![{WORD}])|(?<![{WORD}])(?=[A-Fa-f]{{0,31}}[0-9])[A-Fa-f0-9]{{32,128}}(?![{WORD}])",
+    "secret": rf"{ASSIGNED}(?=[+/_.=~-]{{0,255}}[A-Za-z0-9])[A-Za-z0-9+/_.=~-]{{8,256}}|(?<![{WORD}_-])(?:AKIA[A-Z0-9]{{16}}|(?:sk|pk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{{16,128}})(?![{WORD}])|(?<![{WORD}])(?=[A-Fa-f]{{0,31}}[0-9])[A-Fa-f0-9]{{32,128}}(?![{WORD}])",
     "iban": r"(?<![\p{L}0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -44,6 +45,8 @@ HINT = rf"[0-9@]|(?i:token|secret|passw|pwd|key)|(?:{TITLES_M}|{TITLES_F}|{TITLE
 LATIN = "ba be bi bo bu da de di do du fa fe fi fo ga ge gi go ha he hi ho ka ke ki ko ku la le li lo lu ma me mi mo mu na ne ni no nu pa pe pi po ra re ri ro ru sa se si so su ta te ti to tu va ve vi vo za ze zi zo".split()
 CYRILLIC = "ба бе би бо бу ва ве ви во да де ди до ду га ге ги го ка ке ки ко ку ла ле ли ло лу ма ме ми мо му на не ни но ну па пе пи по ра ре ри ро ру са се си со су та те ти то ту за зе зи зо".split()
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Drawings in an entity's own form before surrogates grow by one more sign a drawing; IPv4 addresses have one form only.
+OWN_FORM, OWN_FORM_IP = 3, 20
 
 
 def _digits(c: Column) -> Column:
@@ -146,21 +149,24 @@ def _mod97(iban: Column) -> Column:
 def draw(kind: Column, canonical: Column, key: str, attempt: int) -> Column:
     """The surrogate of an entity at an attempt, in canonical form."""
     seed = F.concat_ws("|", F.lit(key), kind, canonical, F.lit(str(attempt)))
-    shape = _same_shape(canonical, seed)
-    card = F.concat(F.substring(canonical, 1, 1), F.substring(shape, 2, 64))
-    body = F.substring(card, F.lit(1), F.length(card) - 1)
+    shape, more = _same_shape(canonical, seed), max(0, attempt + 1 - OWN_FORM)
+    grown = F.concat(F.lit(""), *(_drawn(seed, F.lit(f"more {i}"), 10).cast("string") for i in range(more)))
+    body = F.concat(F.substring(canonical, 1, 1), F.substring(shape, F.lit(2), F.length(shape) - 2), grown)
     card = F.concat(body, F.pmod(_luhn(canonical) - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
-    iban_body = F.substring(shape, 5, 64)
+    iban_body = F.concat(F.substring(shape, 5, 64), grown)
     checked = F.lpad((98 - _mod97(F.concat(F.substring(canonical, 1, 2), F.lit("00"), iban_body))).cast("string"), 2, "0")
     iban = F.concat(F.substring(canonical, 1, 2), F.when(_mod97(canonical) == 1, checked).otherwise(F.substring(shape, 3, 2)), iban_body)
     local = F.substring_index(canonical, "@", 1)
     # letters outside A-Z in an address become letters as well
     address = F.regexp_replace(_same_shape(F.regexp_replace(local, r"[^a-z0-9._%+-]", "x"), seed), "^$", "x")
+    address = F.concat(address, grown)
     octets = F.concat_ws(".", *(_drawn(seed, F.lit(i), n).cast("string") if i else (_drawn(seed, F.lit(0), 222) + 1).cast("string") for i, n in enumerate((222, 256, 256, 254))))
+    if attempt >= OWN_FORM_IP:  # the IPv6 addresses set apart for documentation
+        octets = F.concat(F.lit("2001:db8"), *(F.concat(F.lit(":"), F.lower(F.hex(_drawn(seed, F.lit(i), 1 << 16)))) for i in range(6)))
 
     def name(syllables: list[str], endings: dict[str, str]) -> Column:
         parts = F.array(*map(F.lit, syllables))
-        stem = F.concat(*(F.element_at(parts, _drawn(seed, F.lit(i), len(syllables)) + 1) for i in range(3)))
+        stem = F.concat(*(F.element_at(parts, _drawn(seed, F.lit(i), len(syllables)) + 1) for i in range(3 + more)))
         ending = F.lit("")
         for mark, text in endings.items():
             ending = F.when(kind.startswith(mark), text).otherwise(ending)
@@ -170,29 +176,33 @@ def draw(kind: Column, canonical: Column, key: str, attempt: int) -> Column:
     cyrillic = name(CYRILLIC, {"given-f": "лина", "given-m": "слав", "given-n": "рин", "surname-f": "нова", "surname-m": "нов", "surname-n": "ренко"})
     return (
         F.when(kind == "email", address)
-        .when(kind == "domain", F.concat(F.lit("m"), F.substring(F.translate(F.sha2(seed.cast("binary"), 256), "0123456789", "ghijklmnop"), 1, 10), F.lit(".example")))
+        .when(kind == "domain", F.concat(F.lit("m"), F.substring(F.translate(F.sha2(seed.cast("binary"), 256), "0123456789", "ghijklmnop"), 1, 10 + more), F.lit(".example")))
         .when(kind == "card", card)
         .when(kind == "iban", iban)
         .when(kind == "ip", octets)
-        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(shape, 2, 8)))
+        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(shape, 2, 8), grown))
         .when(kind.endswith("-cyrillic"), cyrillic)
         .when(kind.endswith("-latin"), latin)
-        .otherwise(shape)
+        .otherwise(F.concat(shape, grown))
     )
 
 
 def assign(entities: DataFrame, key: str, most_attempts: int = 40, draw: Callable[..., Column] = draw) -> DataFrame:
     """``(kind, canonical, surrogate)`` for distinct (kind, canonical), no two of a kind with one surrogate.
 
-    No surrogate is itself an entity of its kind. Fails rather than leave an entity without one.
+    The surrogate of an address is its local part, which differs from its own and within its domain; domains differ and are
+    no domains of the corpus, so addresses do. No surrogate is itself an entity of its kind. Fails rather than leave an
+    entity without one.
     """
     entities = settle(entities.select("kind", "canonical").distinct(), "pii-entities")
     taken, todo = entities.sparkSession.createDataFrame([], "kind string, canonical string, surrogate string"), entities
     originals = entities.select("kind", F.col("canonical").alias("surrogate"))
+    local, domain = F.substring_index("canonical", "@", 1), F.substring_index("canonical", "@", -1)
+    scope = F.when(F.col("kind") == "email", domain).otherwise("").alias("scope")
     for attempt in range(most_attempts):
         drawn = todo.withColumn("surrogate", draw(F.col("kind"), F.col("canonical"), key, attempt))
-        # an address is its local part and its domain; local parts alone must differ here, which is stricter
-        fresh = drawn.groupBy("kind", "surrogate").agg(F.min("canonical").alias("canonical")).join(taken, ["kind", "surrogate"], "left_anti").join(originals, ["kind", "surrogate"], "left_anti")
+        drawn = drawn.where((F.col("kind") != "email") | (F.col("surrogate") != local)).groupBy("kind", scope, "surrogate").agg(F.min("canonical").alias("canonical"))
+        fresh = drawn.join(taken.select("kind", scope, "surrogate"), ["kind", "scope", "surrogate"], "left_anti").join(originals, ["kind", "surrogate"], "left_anti")
         fresh = settle(fresh.select("kind", "canonical", "surrogate"), "pii-fresh")
         taken = fresh if attempt == 0 else taken.union(fresh)
         todo = settle(todo.join(fresh, ["kind", "canonical"], "left_anti"), "pii-todo")
@@ -202,12 +212,12 @@ def assign(entities: DataFrame, key: str, most_attempts: int = 40, draw: Callabl
 
 
 def _filled(find: Column, digits: Column, keep: Column | None = None) -> Column:
-    """The find with its digits replaced in order; the first ``keep`` digits stay."""
-    own = _chars(find)
+    """The find with its digits replaced in order; the first ``keep`` digits stay, and the last takes all that are left."""
+    own, last = _chars(find), F.length(_digits(find))
 
     def put(c: Column, i: Column) -> Column:
         nth = F.length(_digits(F.substring(find, F.lit(1), i + 1)))
-        new = F.substring(digits, nth, F.lit(1))
+        new = F.substring(digits, nth, F.when(nth == last, F.length(digits)).otherwise(F.lit(1)))
         return F.when(~c.rlike("[0-9]"), c).when(nth <= (keep if keep is not None else F.lit(0)), c).otherwise(new)
 
     return F.array_join(F.transform(own, put), "")
@@ -225,9 +235,13 @@ def render(find: Column, surrogates: Column) -> Column:
     value = _secret_value(find)
     secret = F.concat(F.substring(find, F.lit(1), F.length(find) - F.length(value)), of("secret", value))
     bare = F.replace(find, F.lit(" "))
-    iban = F.array_join(
-        F.transform(_chars(find), lambda c, i: F.when(c == " ", c).otherwise(F.substring(of("iban", bare), F.length(F.replace(F.substring(find, F.lit(1), i + 1), F.lit(" "))), F.lit(1)))), ""
-    )
+
+    def grouped(c: Column, i: Column) -> Column:
+        nth = F.length(F.replace(F.substring(find, F.lit(1), i + 1), F.lit(" ")))
+        size = F.when(nth == F.length(bare), F.length(of("iban", bare))).otherwise(F.lit(1))
+        return F.when(c == " ", c).otherwise(F.substring(of("iban", bare), nth, size))
+
+    iban = F.array_join(F.transform(_chars(find), grouped), "")
     words = _name_words(find)
 
     def named(w: Column, i: Column) -> Column:

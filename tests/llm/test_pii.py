@@ -105,3 +105,31 @@ def test_empty_table_and_native_plan(spark):
     some = spark.createDataFrame([(1, "x 70.23.22.57")], "doc_id long, text string")
     plan = pii.replace(some, "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_short_forms_do_not_run_out(spark):
+    mails = [f"a@x{i}.com" for i in range(60)] + [f"{c}@one.org" for c in "abcdefghijklmnopqrstuvwxyz0123456789éßñж"]
+    signs = ["Password: ________", "token: ----------", "token\n====================\nText"]
+    phones = [f"+1 {i:02d} 34" for i in range(100)] + [f"+1 {i:02d} 35" for i in range(100)]
+    table = spark.createDataFrame(list(enumerate(mails + signs + phones)), "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.replace(table, "k").collect()}
+    assert len(new) == len(mails) + len(signs) + len(phones)
+    got = [new[i] for i in range(len(mails))]
+    assert len(set(got)) == len(got) and not set(got) & set(mails)
+    assert all(a.split("@")[0] != b.split("@")[0] for a, b in zip(mails, got, strict=True))
+    assert [new[len(mails) + i] for i in range(len(signs))] == signs
+
+
+def test_full_spaces_grow(spark):
+    digits = [("phone", f"{i:03d}") for i in range(1000)] + [("ssn", f"9{i:08d}") for i in range(50)]
+    secrets = [("secret", f"-------{c}") for c in "abcdefghijklmnopqrstuvwxyz"]
+    rest = [("card", "4111111111111"), ("iban", "DE89370400440532013000"), ("ip", "1.2.3.4"), ("surname-n-latin", "weber"), ("domain", "x.com")]
+    table = spark.createDataFrame(digits + secrets + rest, "kind string, canonical string")
+    got = pii.assign(table, "k").collect()
+    assert len(got) == len(digits) + len(secrets) + len(rest) == len({(r.kind, r.surrogate) for r in got})
+    assert not {(r.kind, r.surrogate) for r in got} & set(digits + secrets + rest)
+    late = spark.createDataFrame(rest, "kind string, canonical string").withColumn("new", pii.draw(F.col("kind"), F.col("canonical"), "k", 30))
+    new = {r.kind: r.new for r in late.collect()}
+    assert luhn(new["card"]) == luhn("4111111111111") and mod97(new["iban"]) == 1 and len(new["card"]) > 30 and new["ip"].startswith("2001:db8:")
+    find = spark.createDataFrame([("4111-1111 11",)], "find string").select(pii._filled(F.col("find"), F.lit("123456789012345")).alias("x"))
+    assert find.first().x == "1234-5678 9012345"
