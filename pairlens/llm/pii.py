@@ -30,7 +30,7 @@ ASSIGNED = r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?ke
 #: Kinds in the order in which they are tried, with their patterns.
 KINDS: dict[str, str] = {
     "email": rf"(?<![{WORD}._%+-])[{WORD}][{WORD}._%+-]{{0,127}}@(?:[{WORD}](?:[{WORD}-]{{0,62}})\.){{1,8}}\p{{L}}{{2,24}}(?![{WORD}])",
-    "secret": rf"{ASSIGNED}(?=[+/_.=~-]{{0,255}}[A-Za-z0-9])[A-Za-z0-9+/_.=~-]{{8,256}}|(?<![{WORD}_-])(?:AKIA[A-Z0-9]{{16}}|(?:sk|pk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{{16,128}})(?![{WORD}])|(?<![{WORD}])(?=[A-Fa-f]{{0,31}}[0-9])[A-Fa-f0-9]{{32,128}}(?![{WORD}])",
+    "secret": rf"{ASSIGNED}(?=[+/_.=~-]*+[A-Za-z0-9])[A-Za-z0-9+/_.=~-]{{8,}}+|(?<![{WORD}_-])(?:AKIA[A-Z0-9]{{16}}|(?:sk|pk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{{16,}}+)(?![{WORD}])|(?<![{WORD}])(?=[A-Fa-f]*+[0-9])[A-Fa-f0-9]{{32,}}+(?![{WORD}])",
     "iban": r"(?<![\p{L}0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -40,7 +40,7 @@ KINDS: dict[str, str] = {
 }
 FINDER = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What any find must hold: cheap to look for before the finder runs.
-HINT = rf"[0-9@]|(?i:token|secret|passw|pwd|key)|(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.?[ \u00a0]\p{{Lu}}|[A-Fa-f0-9]{{32}}"
+HINT = rf"[0-9@]|AKIA|(?:sk|pk|ghp|gho|xox[abp])[-_]|(?i:token|secret|passw|pwd|key)|(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.?[ \u00a0]\p{{Lu}}|[A-Fa-f0-9]{{32}}"
 
 LATIN = "ba be bi bo bu da de di do du fa fe fi fo ga ge gi go ha he hi ho ka ke ki ko ku la le li lo lu ma me mi mo mu na ne ni no nu pa pe pi po ra re ri ro ru sa se si so su ta te ti to tu va ve vi vo za ze zi zo".split()
 CYRILLIC = "ба бе би бо бу ва ве ви во да де ди до ду га ге ги го ка ке ки ко ку ла ле ли ло лу ма ме ми мо му на не ни но ну па пе пи по ра ре ри ро ру са се си со су та те ти то ту за зе зи зо".split()
@@ -109,6 +109,11 @@ def entities_of(find: Column) -> Column:
     )
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, also where inner lambdas use it for each sign."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _drawn(seed: Column, i: Column, n: int) -> Column:
     """A keyed number below ``n`` for place ``i``."""
     return F.pmod(F.conv(F.substring(F.sha2(F.concat(seed, F.lit("/"), i.cast("string")).cast("binary"), 256), 1, 12), 16, 10).cast("long"), F.lit(n)).cast("int")
@@ -116,13 +121,13 @@ def _drawn(seed: Column, i: Column, n: int) -> Column:
 
 def _same_shape(canonical: Column, seed: Column) -> Column:
     """Digits for digits, letters for letters of the same case, all else as it is; hexadecimal stays hexadecimal."""
-    plain_hex = canonical.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
 
-    def swap(c: Column, i: Column) -> Column:
+    def swap(c: Column, i: Column, plain_hex: Column) -> Column:
         letter = F.substring(F.lit(LETTERS), F.lit(1) + F.when(plain_hex, _drawn(seed, i, 6)).otherwise(_drawn(seed, i, 26)), F.lit(1))
         return F.when(c.rlike("[0-9]"), _drawn(seed, i, 10).cast("string")).when(c.rlike("[a-z]"), letter).when(c.rlike("[A-Z]"), F.upper(letter)).otherwise(c)
 
-    return F.array_join(F.transform(_chars(canonical), swap), "")
+    plain_hex = canonical.rlike("^(?:[0-9a-f]++|[0-9A-F]++)$")
+    return _once(plain_hex, lambda h: F.array_join(F.transform(_chars(canonical), lambda c, i: swap(c, i, h)), ""))
 
 
 def _luhn(digits: Column) -> Column:
@@ -148,7 +153,11 @@ def _mod97(iban: Column) -> Column:
 
 def draw(kind: Column, canonical: Column, key: str, attempt: int) -> Column:
     """The surrogate of an entity at an attempt, in canonical form."""
-    seed = F.concat_ws("|", F.lit(key), kind, canonical, F.lit(str(attempt)))
+    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, canonical, F.lit(str(attempt))).cast("binary"), 256)
+    return _once(seed, lambda one: _draw(kind, canonical, one, attempt))
+
+
+def _draw(kind: Column, canonical: Column, seed: Column, attempt: int) -> Column:
     shape, more = _same_shape(canonical, seed), max(0, attempt + 1 - OWN_FORM)
     grown = F.concat(F.lit(""), *(_drawn(seed, F.lit(f"more {i}"), 10).cast("string") for i in range(more)))
     body = F.concat(F.substring(canonical, 1, 1), F.substring(shape, F.lit(2), F.length(shape) - 2), grown)
