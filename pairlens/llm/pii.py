@@ -84,17 +84,24 @@ def _script(word: Column) -> Column:
     return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
 
 
+def _country(find: Column) -> Column:
+    """How many digits of a phone number are its country's, as far as it is set off after a plus sign."""
+    return F.when(find.startswith("+"), F.length(F.regexp_extract(find, r"^\+([0-9]{1,3}?)(?:[ .(-]|$)", 1))).otherwise(F.lit(0))
+
+
 def _secret_value(find: Column) -> Column:
     return F.regexp_replace(find, f"^{ASSIGNED}", "")
 
 
 def entities_of(find: Column) -> Column:
-    """Array of (kind, canonical): what has a surrogate of its own in a find. An address has its domain beside it; a name
-    has its words, the last as surname and those before as given names of the title's gender."""
+    """Array of (kind, canonical, trait): what has a surrogate of its own in a find. An address has its domain beside it; a
+    name has its words, the last as surname and those before as given names of the title's gender. A trait is what a
+    surrogate keeps beyond its kind: of a phone number, how many digits are its country's."""
     kind = kind_of(find)
 
-    def one(k: Column | str, c: Column) -> Column:
-        return F.struct((F.lit(k) if isinstance(k, str) else k).alias("kind"), c.alias("canonical"))
+    def one(k: Column | str, c: Column, trait: Column | str = "") -> Column:
+        k, trait = (F.lit(x) if isinstance(x, str) else x for x in (k, trait))
+        return F.struct(k.alias("kind"), c.alias("canonical"), trait.alias("trait"))
 
     words = _name_words(find)
     names = F.transform(words, lambda w, i: one(_word_kind(find, words, w, i), F.lower(w)))
@@ -105,6 +112,7 @@ def entities_of(find: Column) -> Column:
         .when(kind == "iban", F.array(one("iban", F.replace(find, F.lit(" ")))))
         .when(kind == "ip", F.array(one("ip", find)))
         .when(kind == "name", names)
+        .when(kind == "phone", F.array(one("phone", _digits(find), _country(find).cast("string"))))
         .otherwise(F.array(one(kind, _digits(find))))
     )
 
@@ -152,7 +160,7 @@ def _mod97(iban: Column) -> Column:
 
 
 def draw(kind: Column, canonical: Column, key: str, attempt: int) -> Column:
-    """The surrogate of an entity at an attempt, in canonical form."""
+    """The surrogate of an entity at an attempt, in canonical form. ``kind`` may have a trait behind it (``phone-2``)."""
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, canonical, F.lit(str(attempt))).cast("binary"), 256)
     return _once(seed, lambda one: _draw(kind, canonical, one, attempt))
 
@@ -173,6 +181,9 @@ def _draw(kind: Column, canonical: Column, seed: Column, attempt: int) -> Column
     if attempt >= OWN_FORM_IP:  # the IPv6 addresses set apart for documentation
         octets = F.concat(F.lit("2001:db8"), *(F.concat(F.lit(":"), F.lower(F.hex(_drawn(seed, F.lit(i), 1 << 16)))) for i in range(6)))
 
+    country = F.coalesce(F.regexp_extract(kind, "^phone-([0-9])$", 1).try_cast("int"), F.lit(0))
+    phone = F.concat(F.substring(canonical, F.lit(1), country), F.substring(shape, country + 1, F.length(shape)), grown)
+
     def name(syllables: list[str], endings: dict[str, str]) -> Column:
         parts = F.array(*map(F.lit, syllables))
         stem = F.concat(*(F.element_at(parts, _drawn(seed, F.lit(i), len(syllables)) + 1) for i in range(3 + more)))
@@ -189,6 +200,7 @@ def _draw(kind: Column, canonical: Column, seed: Column, attempt: int) -> Column
         .when(kind == "card", card)
         .when(kind == "iban", iban)
         .when(kind == "ip", octets)
+        .when(kind.startswith("phone"), phone)
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(shape, 2, 8), grown))
         .when(kind.endswith("-cyrillic"), cyrillic)
         .when(kind.endswith("-latin"), latin)
@@ -201,15 +213,18 @@ def assign(entities: DataFrame, key: str, most_attempts: int = 40, draw: Callabl
 
     The surrogate of an address is its local part, which differs from its own and within its domain; domains differ and are
     no domains of the corpus, so addresses do. No surrogate is itself an entity of its kind. Fails rather than leave an
-    entity without one.
+    entity without one. Rows may have a trait; an entity found with several gets one of them, so that it is checked as it
+    is written.
     """
-    entities = settle(entities.select("kind", "canonical").distinct(), "pii-entities")
+    traits = entities if "trait" in entities.columns else entities.withColumn("trait", F.lit(""))
+    entities = settle(traits.groupBy("kind", "canonical").agg(F.max("trait").alias("trait")), "pii-entities")
     taken, todo = entities.sparkSession.createDataFrame([], "kind string, canonical string, surrogate string"), entities
     originals = entities.select("kind", F.col("canonical").alias("surrogate"))
     local, domain = F.substring_index("canonical", "@", 1), F.substring_index("canonical", "@", -1)
     scope = F.when(F.col("kind") == "email", domain).otherwise("").alias("scope")
+    own = F.concat("kind", F.when(F.col("trait") == "", "").otherwise(F.concat(F.lit("-"), "trait")))
     for attempt in range(most_attempts):
-        drawn = todo.withColumn("surrogate", draw(F.col("kind"), F.col("canonical"), key, attempt))
+        drawn = todo.withColumn("surrogate", draw(own, F.col("canonical"), key, attempt))
         drawn = drawn.where((F.col("kind") != "email") | (F.col("surrogate") != local)).groupBy("kind", scope, "surrogate").agg(F.min("canonical").alias("canonical"))
         fresh = drawn.join(taken.select("kind", scope, "surrogate"), ["kind", "scope", "surrogate"], "left_anti").join(originals, ["kind", "surrogate"], "left_anti")
         fresh = settle(fresh.select("kind", "canonical", "surrogate"), "pii-fresh")
@@ -220,14 +235,14 @@ def assign(entities: DataFrame, key: str, most_attempts: int = 40, draw: Callabl
     raise RuntimeError("surrogates of some kind have run out")
 
 
-def _filled(find: Column, digits: Column, keep: Column | None = None) -> Column:
-    """The find with its digits replaced in order; the first ``keep`` digits stay, and the last takes all that are left."""
+def _filled(find: Column, digits: Column) -> Column:
+    """The find with its digits replaced in order; the last takes all that are left."""
     own, last = _chars(find), F.length(_digits(find))
 
     def put(c: Column, i: Column) -> Column:
         nth = F.length(_digits(F.substring(find, F.lit(1), i + 1)))
         new = F.substring(digits, nth, F.when(nth == last, F.length(digits)).otherwise(F.lit(1)))
-        return F.when(~c.rlike("[0-9]"), c).when(nth <= (keep if keep is not None else F.lit(0)), c).otherwise(new)
+        return F.when(~c.rlike("[0-9]"), c).otherwise(new)
 
     return F.array_join(F.transform(own, put), "")
 
@@ -259,14 +274,12 @@ def render(find: Column, surrogates: Column) -> Column:
 
     title = F.regexp_extract(find, rf"^(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.?[ \u00a0]", 0)
     digits = _digits(find)
-    country = F.when(find.startswith("+"), F.length(F.regexp_extract(find, r"^\+([0-9]{1,3}?)(?:[ .(-]|$)", 1))).otherwise(F.lit(0))
     return (
         F.when(kind == "email", mail)
         .when(kind == "secret", secret)
         .when(kind == "iban", iban)
         .when(kind == "ip", of("ip", find))
         .when(kind == "name", F.concat(title, F.array_join(F.transform(words, named), " ")))
-        .when(kind == "phone", _filled(find, of("phone", digits), country))
         .otherwise(_filled(find, of(kind, digits)))
     )
 
@@ -284,8 +297,9 @@ def replace(documents: DataFrame, key: str) -> DataFrame:
     dirty = settle(documents.where(found).select(F.sha2("text", 256).alias("text_key"), "text", row), "pii-dirty")
     texts = dirty.groupBy("text_key").agg(F.first("text").alias("text"))
     finds = texts.select("text_key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(FINDER), F.lit(0)))).alias("find"))
-    exploded = settle(finds.select("text_key", F.explode(entities_of(F.col("find"))).alias("e")).select("text_key", "e.kind", "e.canonical").distinct(), "pii-finds")
+    exploded = settle(finds.select("text_key", F.explode(entities_of(F.col("find"))).alias("e")).select("text_key", "e.*").distinct(), "pii-finds")
     surrogates = assign(exploded, key)
+    exploded = exploded.drop("trait").distinct()
     entry = F.struct(F.concat("kind", F.lit(":"), "canonical").alias("k"), F.col("surrogate").alias("v"))
     maps = settle(exploded.join(surrogates, ["kind", "canonical"]).groupBy("text_key").agg(F.map_from_entries(F.collect_list(entry)).alias("map")), "pii-maps")
     joined = dirty.join(maps, "text_key")

@@ -152,3 +152,12 @@ def test_secrets_are_replaced_whole(spark):
         assert new[i].startswith(before) and new[i].endswith(after) and len(new[i]) == len(text)
         now = new[i][len(before) : len(text) - len(after)]
         assert all(now[at : at + 16] != secret[at : at + 16] for at in range(0, len(secret) - 15, 16))
+
+
+def test_rendered_phone_numbers_differ(spark):
+    old = [f"+123 {i // 100:02d} {i % 100:02d}" for i in range(700)]
+    texts = [*old, "+1 (310) 555-4510", "1 (310) 555-4510"]
+    new = {r.doc_id: r.text for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    got = [new[i] for i in range(len(old))]
+    assert all(g.startswith("+123 ") for g in got) and len(set(got)) == len(got) and not set(got) & set(old)
+    assert new[700] == "+" + new[701] and new[700].startswith("+1 (")
