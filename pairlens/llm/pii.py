@@ -3,7 +3,8 @@
 One pattern finds e-mail addresses, phone numbers, IPv4 addresses, social security and card numbers, IBANs, secrets and
 titled person names. Each distinct entity of the corpus gets one keyed surrogate of its own type: digits stay digits in the
 same layout, cards and IBANs keep a valid (or invalid) check sum, letters keep case and script, names keep the gender of
-their title. So an entity has the same surrogate wherever and however it is written.
+their titles. So an entity has the same surrogate wherever and however it is written. In a text that has a titled name, its
+words are replaced without the title as well.
 
 Surrogates are drawn per distinct entity and checked in grouped passes: one that two entities drew, that was given before,
 or that is itself an entity of the corpus is drawn again for all but one, and from the fourth drawing on it is longer than
@@ -38,12 +39,21 @@ KINDS: dict[str, str] = {
     "phone": r"(?<![0-9+])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
     "name": rf"(?<![{WORD}])(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.?[ \u00a0]{NAME}(?:[ \u00a0]{NAME}){{0,2}}",
 }
+BARE = rf"(?<![{WORD}]){NAME}(?:[ \u00a0]{NAME}){{0,2}}"
 FINDER = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What any find must hold: cheap to look for before the finder runs.
 HINT = rf"[0-9@]|AKIA|(?:sk|pk|ghp|gho|xox[abp])[-_]|(?i:token|secret|passw|pwd|key)|(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.?[ \u00a0]\p{{Lu}}|[A-Fa-f0-9]{{32}}"
 
 LATIN = "ba be bi bo bu da de di do du fa fe fi fo ga ge gi go ha he hi ho ka ke ki ko ku la le li lo lu ma me mi mo mu na ne ni no nu pa pe pi po ra re ri ro ru sa se si so su ta te ti to tu va ve vi vo za ze zi zo".split()
 CYRILLIC = "ба бе би бо бу ва ве ви во да де ди до ду га ге ги го ка ке ки ко ку ла ле ли ло лу ма ме ми мо му на не ни но ну па пе пи по ра ре ри ро ру са се си со су та те ти то ту за зе зи зо".split()
+#: By script: syllables, and endings by kind and gender.
+NAMES: dict[str, tuple[list[str], dict[str, str]]] = {
+    "latin": (LATIN, {"given-f": "lina", "given-m": "ldo", "given-n": "rin", "surname": "mer"}),
+    "cyrillic": (CYRILLIC, {"given-f": "лина", "given-m": "слав", "given-n": "рин", "surname-f": "нова", "surname-m": "нов", "surname-n": "ренко"}),
+    "greek": ([c + v for c in "βγδζθκλμνπρστφχ" for v in "αειο"], {"given-f": "λινα", "given-m": "νδρος", "given-n": "ριν", "surname": "ριδη"}),
+    "armenian": ([c + v for c in "բգդզթլկհմնպսվտր" for v in "աեիո"], {"given-f": "նուշ", "given-m": "րամ", "given-n": "րեն", "surname": "նյան"}),
+    "georgian": ([c + v for c in "ბგდზთკლმნპრსტფქ" for v in "აეიო"], {"given": "ნი", "surname": "ძე"}),
+}
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Drawings in an entity's own form before surrogates grow by one more sign a drawing; IPv4 addresses have one form only.
 OWN_FORM, OWN_FORM_IP = 3, 20
@@ -66,22 +76,37 @@ def kind_of(find: Column) -> Column:
 
 
 def _name_words(find: Column) -> Column:
-    return F.split(F.regexp_replace(find, rf"^(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.?[ \u00a0]", ""), "[ \u00a0]")
+    return _words(F.regexp_replace(find, rf"^(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.?[ \u00a0]", ""))
+
+
+def _words(names: Column) -> Column:
+    """Words, each with the blank before it."""
+    return F.split(names, "(?=[ \u00a0])")
+
+
+def _stem(word: Column) -> Column:
+    """A name without the blank before it and an English genitive or loose marks behind it."""
+    return F.regexp_replace(F.regexp_replace(word, "^[ \u00a0]", ""), "(?:['’][sS]?|-)+$", "")
 
 
 def _gender(find: Column) -> Column:
     return F.when(find.rlike(rf"^(?:{TITLES_M})\.?[ \u00a0]"), "m").when(find.rlike(rf"^(?:{TITLES_F})\.?[ \u00a0]"), "f").otherwise("n")
 
 
-def _word_kind(find: Column, words: Column, w: Column, i: Column) -> Column:
+def _word_kind(words: Column, w: Column, i: Column) -> Column:
+    return F.concat(F.when(i == F.size(words) - 1, F.lit("surname-")).otherwise(F.lit("given-")), _script(w))
+
+
+def _word_gender(find: Column, words: Column, w: Column, i: Column) -> Column:
     """Given names have a gender, and so have surnames where the script's language gives them one."""
-    last = i == F.size(words) - 1
-    gender = F.when(last & (_script(w) == "latin"), "n").otherwise(_gender(find))
-    return F.concat(F.when(last, F.lit("surname-")).otherwise(F.lit("given-")), gender, F.lit("-"), _script(w))
+    return F.when((i == F.size(words) - 1) & (_script(w) != "cyrillic"), "n").otherwise(_gender(find))
 
 
 def _script(word: Column) -> Column:
-    return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    out = F.when(F.lit(False), "")
+    for script in [*NAMES][1:]:
+        out = out.when(word.rlike(rf"\p{{Is{script.capitalize()}}}"), script)
+    return out.otherwise("latin")
 
 
 def _country(find: Column) -> Column:
@@ -96,7 +121,7 @@ def _secret_value(find: Column) -> Column:
 def entities_of(find: Column) -> Column:
     """Array of (kind, canonical, trait): what has a surrogate of its own in a find. An address has its domain beside it; a
     name has its words, the last as surname and those before as given names of the title's gender. A trait is what a
-    surrogate keeps beyond its kind: of a phone number, how many digits are its country's."""
+    surrogate keeps beyond its kind: of a phone number, how many digits are its country's, and of a name, the gender."""
     kind = kind_of(find)
 
     def one(k: Column | str, c: Column, trait: Column | str = "") -> Column:
@@ -104,7 +129,7 @@ def entities_of(find: Column) -> Column:
         return F.struct(k.alias("kind"), c.alias("canonical"), trait.alias("trait"))
 
     words = _name_words(find)
-    names = F.transform(words, lambda w, i: one(_word_kind(find, words, w, i), F.lower(w)))
+    names = F.transform(words, lambda w, i: one(_word_kind(words, w, i), F.lower(_stem(w)), _word_gender(find, words, w, i)))
     low = F.lower(find)
     return (
         F.when(kind == "email", F.array(one("email", low), one("domain", F.substring_index(low, "@", -1))))
@@ -189,11 +214,13 @@ def _draw(kind: Column, canonical: Column, seed: Column, attempt: int) -> Column
         stem = F.concat(*(F.element_at(parts, _drawn(seed, F.lit(i), len(syllables)) + 1) for i in range(3 + more)))
         ending = F.lit("")
         for mark, text in endings.items():
-            ending = F.when(kind.startswith(mark), text).otherwise(ending)
+            word, _, gender = mark.partition("-")
+            ending = F.when(kind.rlike(f"^{word}-.*{gender and '-' + gender}$"), text).otherwise(ending)
         return F.concat(stem, ending)
 
-    latin = name(LATIN, {"given-f": "lina", "given-m": "ldo", "given-n": "rin", "surname": "mer"})
-    cyrillic = name(CYRILLIC, {"given-f": "лина", "given-m": "слав", "given-n": "рин", "surname-f": "нова", "surname-m": "нов", "surname-n": "ренко"})
+    names = F.lit(None).cast("string")
+    for script, (syllables, endings) in NAMES.items():
+        names = F.when(kind.rlike(f"^(?:given|surname)-{script}"), name(syllables, endings)).otherwise(names)
     return (
         F.when(kind == "email", address)
         .when(kind == "domain", F.concat(F.lit("m"), F.substring(F.translate(F.sha2(seed.cast("binary"), 256), "0123456789", "ghijklmnop"), 1, 10 + more), F.lit(".example")))
@@ -202,8 +229,7 @@ def _draw(kind: Column, canonical: Column, seed: Column, attempt: int) -> Column
         .when(kind == "ip", octets)
         .when(kind.startswith("phone"), phone)
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(shape, 2, 8), grown))
-        .when(kind.endswith("-cyrillic"), cyrillic)
-        .when(kind.endswith("-latin"), latin)
+        .when(names.isNotNull(), names)
         .otherwise(F.concat(shape, grown))
     )
 
@@ -214,10 +240,12 @@ def assign(entities: DataFrame, key: str, most_attempts: int = 40, draw: Callabl
     The surrogate of an address is its local part, which differs from its own and within its domain; domains differ and are
     no domains of the corpus, so addresses do. No surrogate is itself an entity of its kind. Fails rather than leave an
     entity without one. Rows may have a trait; an entity found with several gets one of them, so that it is checked as it
-    is written.
+    is written: the longest country, a known gender before none, and none where both are found.
     """
     traits = entities if "trait" in entities.columns else entities.withColumn("trait", F.lit(""))
-    entities = settle(traits.groupBy("kind", "canonical").agg(F.max("trait").alias("trait")), "pii-entities")
+    male, female = F.max(F.col("trait") == "m"), F.max(F.col("trait") == "f")
+    trait = F.when(male & female, "n").when(male, "m").when(female, "f").otherwise(F.max("trait"))
+    entities = settle(traits.groupBy("kind", "canonical").agg(trait.alias("trait")), "pii-entities")
     taken, todo = entities.sparkSession.createDataFrame([], "kind string, canonical string, surrogate string"), entities
     originals = entities.select("kind", F.col("canonical").alias("surrogate"))
     local, domain = F.substring_index("canonical", "@", 1), F.substring_index("canonical", "@", -1)
@@ -247,6 +275,38 @@ def _filled(find: Column, digits: Column) -> Column:
     return F.array_join(F.transform(own, put), "")
 
 
+def _renamed(word: Column, last: Column, surrogates: Column) -> Column:
+    """A word of a name, with the blank before it, by a map from ``kind:canonical``; a word the map lacks stays.
+
+    The last word is a surname rather than a given name, the others are the reverse.
+    """
+
+    def known(w: Column) -> Column:
+        surname, given = (F.try_element_at(surrogates, F.concat(F.lit(f"{k}-"), _script(w), F.lit(":"), F.lower(w))) for k in ("surname", "given"))
+        return F.when(last, F.coalesce(surname, given)).otherwise(F.coalesce(given, surname))
+
+    def shown(w: Column) -> Column:
+        new, upper = known(w), (w == F.upper(w)) & (F.length(w) > 1)
+        return F.when(upper, F.upper(new)).otherwise(F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, 2, 64)))
+
+    stem, blank = _stem(word), F.regexp_extract(word, "^[ \u00a0]", 0)
+    rest = F.substring(word, F.length(blank) + F.length(stem) + 1, F.length(word))
+    genitive = F.when(stem.rlike("..[^sS][sS]$"), F.concat(shown(F.substring(stem, F.lit(1), F.length(stem) - 1)), F.substring(stem, -1, 1)))
+    parts = F.when(stem.contains("-"), F.array_join(F.transform(F.split(stem, "(?<=-)|(?=-)"), lambda p: F.coalesce(shown(p), p)), ""))
+    return F.concat(blank, F.coalesce(shown(stem), genitive, parts, stem), rest)
+
+
+def _bare(gap: Column, names: Column) -> Column:
+    """What lies between finds, with the words of the text's titled names replaced."""
+    runs = F.regexp_extract_all(gap, F.lit(BARE), F.lit(0))
+
+    def put(g: Column, run: Column) -> Column:
+        words = _words(run)
+        return F.concat(g, F.when(run.isNull(), "").otherwise(F.array_join(F.transform(words, lambda w, i: _renamed(w, i == F.size(words) - 1, names)), "")))
+
+    return F.when(F.size(names) == 0, gap).otherwise(F.array_join(F.zip_with(F.split(gap, BARE, -1), runs, put), ""))
+
+
 def render(find: Column, surrogates: Column) -> Column:
     """A find rewritten with a map from ``kind:canonical`` to surrogate."""
     kind, low = kind_of(find), F.lower(find)
@@ -268,10 +328,6 @@ def render(find: Column, surrogates: Column) -> Column:
     iban = F.array_join(F.transform(_chars(find), grouped), "")
     words = _name_words(find)
 
-    def named(w: Column, i: Column) -> Column:
-        new = of(_word_kind(find, words, w, i), F.lower(w))
-        return F.when((w == F.upper(w)) & (F.length(w) > 1), F.upper(new)).otherwise(F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, 2, 64)))
-
     title = F.regexp_extract(find, rf"^(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.?[ \u00a0]", 0)
     digits = _digits(find)
     return (
@@ -279,7 +335,7 @@ def render(find: Column, surrogates: Column) -> Column:
         .when(kind == "secret", secret)
         .when(kind == "iban", iban)
         .when(kind == "ip", of("ip", find))
-        .when(kind == "name", F.concat(title, F.array_join(F.transform(words, named), " ")))
+        .when(kind == "name", F.concat(title, F.array_join(F.transform(words, lambda w, i: _renamed(w, i == F.size(words) - 1, surrogates)), "")))
         .otherwise(_filled(find, of(kind, digits)))
     )
 
@@ -301,9 +357,10 @@ def replace(documents: DataFrame, key: str) -> DataFrame:
     surrogates = assign(exploded, key)
     exploded = exploded.drop("trait").distinct()
     entry = F.struct(F.concat("kind", F.lit(":"), "canonical").alias("k"), F.col("surrogate").alias("v"))
-    maps = settle(exploded.join(surrogates, ["kind", "canonical"]).groupBy("text_key").agg(F.map_from_entries(F.collect_list(entry)).alias("map")), "pii-maps")
+    maps = exploded.join(surrogates, ["kind", "canonical"]).groupBy("text_key").agg(F.map_from_entries(F.collect_list(entry)).alias("map"))
+    maps = settle(maps.withColumn("names", F.map_filter("map", lambda k, v: k.rlike("^(?:given|surname)-"))), "pii-maps")
     joined = dirty.join(maps, "text_key")
     gaps, finds_of = F.split("text", FINDER, -1), F.regexp_extract_all("text", F.lit(FINDER), F.lit(0))
-    new = F.array_join(F.zip_with(gaps, finds_of, lambda g, f: F.concat(g, F.when(f.isNull(), "").otherwise(render(f, F.col("map"))))), "")
+    new = F.array_join(F.zip_with(gaps, finds_of, lambda g, f: F.concat(_bare(g, F.col("names")), F.when(f.isNull(), "").otherwise(render(f, F.col("map"))))), "")
     rewritten = joined.select(*(new.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in documents.columns))
     return clean.select(*documents.columns).unionByName(rewritten)
