@@ -11,6 +11,7 @@ dealt over all tasks.
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,9 @@ from pairlens.llm.common import settle, shuffle_width, slices, strings
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
 FLUSH_BYTES = 16 << 20
+#: White space as the encoder's pattern has it; its regex engine fails on runs of about a million.
+BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]++")
+LONG_RUN = 100_000
 
 
 def load_encoding(path: str) -> tiktoken.Encoding:
@@ -43,6 +47,24 @@ def load_encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
 
+def encode(encoding: tiktoken.Encoding, text: str) -> np.ndarray:
+    """Ids of a text; a long run of blanks goes to the encoder as the one word that its pattern would make of it.
+
+    That word is the run without its last blank, or all of it where the text ends or an added token follows.
+    """
+    parts, start = [], 0
+    if len(text) >= LONG_RUN:
+        ends = tuple(encoding.special_tokens_set)
+        for run in BLANKS.finditer(text):
+            low, high = run.span()
+            if high - low >= LONG_RUN:
+                if high < len(text) and not (ends and text.startswith(ends, high)):
+                    high -= 1
+                parts += [encoding.encode_to_numpy(text[start:low], allowed_special="all"), np.array(encoding._encode_single_piece(text[low:high]))]
+                start = high
+    return np.concatenate([*parts, encoding.encode_to_numpy(text[start:], allowed_special="all")]).astype("<u4")
+
+
 def pieces(documents: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """Tokenize whole texts, append ``end_id`` and cut what is longer than a sequence.
 
@@ -58,7 +80,7 @@ def pieces(documents: DataFrame, path: str, capacity: int = 1024, end_id: int =
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
         for batch in slices(batches):
             for key, text in zip(batch.column("doc_id").to_pylist(), strings(batch), strict=True):
-                ids = np.append(np.asarray(encoding.encode_to_numpy(text or "", allowed_special="all"), dtype="<u4"), np.uint32(end_id))
+                ids = np.append(encode(encoding, text or ""), np.uint32(end_id))
                 first = len(ids) % capacity or capacity
                 starts = [0, *range(first, len(ids), capacity)]
                 for n, start in enumerate(starts):

@@ -98,3 +98,15 @@ def test_plan_places_every_piece_once(counts):
 def test_unfit_length_is_refused():
     with pytest.raises(ValueError):
         packing.best_two_fit({11: 1}, 10)
+
+
+def test_long_runs_of_blanks(monkeypatch):
+    encoding = packing.load_encoding(TOKENIZER)
+    for blanks in (" " * 2_000_000, "\n" * 2_000_000):
+        ids = packing.encode(encoding, f"a{blanks}b c")
+        assert encoding.decode(ids.tolist()) == f"a{blanks}b c"
+    special = sorted(encoding.special_tokens_set)[0]
+    texts = [f"{a}{b}{c}" for a in ("", "x", special) for b in (" " * 40, "\n" * 40, " \n\t" * 13, "\u3000 " * 20) for c in ("", "y z", "1", "'s", special, "\x1c" * 30 + "q")]
+    whole = [encoding.encode(t, allowed_special="all") for t in texts]
+    monkeypatch.setattr(packing, "LONG_RUN", 20)
+    assert [packing.encode(encoding, t).tolist() for t in texts] == whole
