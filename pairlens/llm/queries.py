@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import bpe, language, merkle, minhash, packing, pii, quality, toxicity, vectors, warc
+from pairlens.llm import bpe, centroids, language, merkle, minhash, mixing, packing, pii, quality, toxicity, vectors, warc
 from pairlens.llm.common import held_out, read, settle
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -119,3 +119,46 @@ def op6_surrogates(spark: SparkSession, folder: str) -> DataFrame:
 def op8_subspace_pigeonhole(spark: SparkSession, folder: str) -> DataFrame:
     """Links and components of all embeddings of equal label."""
     return vectors.near_vectors(read(spark, folder, "embeddings"), 0.98)
+
+
+@query
+def op12_jvm_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster of every embedding after five rounds from forty hashed starts."""
+    clustered = centroids.cluster(read(spark, folder, "embeddings"))
+    return clustered.withColumn("centroid_sha256", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)).drop("centroid")
+
+
+def _centroid_sql(k: int = 40, rounds: int = 5) -> str:
+    """The rounds one after another, on a row per vector and component."""
+    steps = [
+        """WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+parts AS MATERIALIZED (SELECT rid, i, CAST(floor(256 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x FROM kept, range(1, 65) AS r(i)),"""
+        f"""
+start AS (SELECT rid, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster FROM kept QUALIFY cluster < {k}),
+c0 AS MATERIALIZED (SELECT cluster, i, x FROM start JOIN parts USING (rid)),"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"""
+d{n} AS (SELECT rid, cluster, sum((p.x - c.x) * (p.x - c.x)) AS distance FROM parts p JOIN c{n} c USING (i) GROUP BY rid, cluster),
+a{n} AS MATERIALIZED (SELECT rid, cluster, distance FROM d{n} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, cluster) = 1),""")
+        if n < rounds:
+            steps.append(f"""
+m{n} AS (SELECT cluster, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM a{n} JOIN parts USING (rid) GROUP BY cluster, i),
+c{n + 1} AS MATERIALIZED (SELECT cluster, i, coalesce(m{n}.x, c{n}.x) AS x FROM c{n} LEFT JOIN m{n} USING (cluster, i)),""")
+    steps.append(f"""
+named AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
+SELECT vec_id, CAST(cluster AS INT) AS cluster, CAST(distance AS BIGINT) AS distance,
+  CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (rid) JOIN named USING (cluster)
+""")
+    return "".join(steps)
+
+
+ORACLES["op12_jvm_centroids"] = _centroid_sql()
+
+
+@query
+def op13_entropy_balancing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document in a mix whose sources have target shares."""
+    return mixing.mix(read(spark, folder, "documents"))
