@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import bpe, centroids, language, merkle, minhash, mixing, packing, pii, quality, toxicity, vectors, warc
+from pairlens.llm import bpe, centroids, language, merkle, minhash, mixing, packing, pii, prefixes, quality, toxicity, vectors, warc
 from pairlens.llm.common import held_out, read, settle
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -121,6 +121,36 @@ def op8_subspace_pigeonhole(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_vectors(read(spark, folder, "embeddings"), 0.98)
 
 
+@query
+def op11_count_min_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """All nodes of the prefix trie of the rebuilt conversations."""
+    return prefixes.trie(read(spark, folder, "conversations"))
+
+
+ORACLES["op11_count_min_trie"] = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS own
+  FROM conversations WHERE conv_id IS NOT NULL),
+counts AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+c AS (SELECT k.conv_id, k.conv_id - k.conv_id % 20 AS base, coalesce(b.n, 0) AS n_base,
+    xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(k.conv_id AS VARCHAR), ''), lambda d: CAST(ord(d) AS BIGINT))),
+      lambda a, d: list_reduce(list_concat([xor(a, d)], [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384)))) % 4 AS lead
+  FROM counts k LEFT JOIN counts b ON b.conv_id = k.conv_id - k.conv_id % 20),
+r AS (SELECT c.conv_id, own AS depth, role, text FROM c JOIN t ON t.conv_id = c.base WHERE own <= lead
+  UNION ALL SELECT c.conv_id, own - lead + least(lead, n_base), role, text FROM c JOIN t USING (conv_id) WHERE own > lead),
+p AS (SELECT conv_id, depth, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, max(depth) OVER (PARTITION BY conv_id) AS size,
+    string_agg('/' || md5(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM r
+  UNION ALL SELECT c.conv_id, 0, 0, coalesce(s.size, 0), '' FROM c LEFT JOIN (SELECT conv_id, max(depth) AS size FROM r GROUP BY conv_id) s USING (conv_id)),
+n AS MATERIALIZED (SELECT path, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = size), '')) AS ends_sha256 FROM p GROUP BY path),
+f AS MATERIALIZED (SELECT n.*, (SELECT count(*) FROM n AS k WHERE k.depth = n.depth + 1 AND left(k.path, length(n.path)) = n.path) AS n_children FROM n)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256
+FROM f LEFT JOIN f AS up ON f.depth > 0 AND up.path = left(f.path, length(f.path) - 33)
+JOIN (SELECT a.path, count(*) FILTER (b.n_children = 0) AS n_leaves, CAST(sum((b.n_convs - 1) * b.words) AS BIGINT) AS saved_tokens
+  FROM f AS a JOIN f AS b ON b.depth >= a.depth AND left(b.path, length(a.path)) = a.path GROUP BY a.path) s ON s.path = f.path
+"""
+
+
 @query
 def op12_jvm_centroids(spark: SparkSession, folder: str) -> DataFrame:
     """Cluster of every embedding after five rounds from forty hashed starts."""
