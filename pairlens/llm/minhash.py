@@ -6,8 +6,9 @@ all coordinates, so two tables make any number of them. Bands of coordinates giv
 Documents with equal shingle sets form a class, found by a 128-bit digest of the set, and only classes go on, so groups of
 copies cost one row. In every bucket each class is first checked against a hub, the class that shares most bucket places
 with others (in a group of edited copies: their origin). Where a bucket still holds several components after that, its
-classes other than the hub are compared block by block, and only links that join components leave a task. So no pair of a
-bucket goes unchecked unless already connected, and no group is expanded into pairs.
+classes other than the hub are compared block by block, those of its largest component only with the others, and only links
+that join components leave a task. So no pair of a bucket goes unchecked unless already connected, and no group is expanded
+into pairs.
 """
 
 from __future__ import annotations
@@ -239,14 +240,21 @@ def _joining_links(keys: list[bytes], roots: list[bytes], sides: list[int], valu
 
 
 def _block_links(rest: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
-    """Links that join components within ``rest(bucket, key, root, n)``, n being the bucket's size.
+    """Links that join components within ``rest(bucket, key, root, main, n_main, n_other)``.
 
-    A bucket is dealt into blocks of about ``BLOCK`` classes, and every pair of blocks is a group of its own.
+    ``main`` is the bucket's largest component, with ``n_main`` classes; its classes are connected already and meet only
+    the ``n_other`` others, which meet all. Either kind is dealt into blocks of about ``BLOCK`` classes, and every pair of
+    blocks that may hold a link is a group of its own. A bucket of one block's size is one group.
     """
     width = shuffle_width(rest.sparkSession)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    count = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("key", "bucket"), n).cast("int")
+    small = F.col("n_main") + F.col("n_other") <= BLOCK
+    own = F.col("root") == F.col("main")
+    dealt = rest.withColumn("mains", F.when(small, 0).otherwise(count("n_main"))).withColumn("others", F.when(small, 1).otherwise(count("n_other")))
+    block = F.when(small, F.lit(0)).when(own, F.col("others") + deal(F.col("mains"))).otherwise(deal(F.col("others")))
+    meets = F.when(own | small, F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    paired = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1))).select(
         "bucket", "key", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
     )
     rows = paired.join(sets, "key").repartition(width, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
@@ -298,7 +306,10 @@ def near_duplicates(documents: DataFrame, size: int = 3, least: Fraction = Fract
     star = settle(_star_links(pairs, sets, least), "minhash-star")
     first = components(star, "minhash-first")
     rest = placed.where("key <> hub").join(first.withColumnRenamed("id", "key"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-    mixed = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket", "n")
+    rest = settle(rest, "minhash-rest")
+    parts = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
+    mixed = settle(mixed.select("bucket", F.col("top.root").alias("main"), F.col("top.n").alias("n_main"), (F.col("n") - F.col("top.n")).alias("n_other")), "minhash-mixed")
     more = settle(_block_links(rest.join(mixed, "bucket"), sets, least), "minhash-more")
     groups = components(star.union(more), "minhash-groups")
 

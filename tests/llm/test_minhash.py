@@ -104,3 +104,28 @@ def test_components_of_chains_and_stars(spark):
             if b in got:
                 assert (got[a] == got[b]) == (want[a] == want[b])
     assert components(spark.createDataFrame([], "src long, dst long")).collect() == []
+
+
+def test_a_large_component_meets_only_the_others(spark, monkeypatch):
+    """One bucket with a component of many blocks and strays, some of which belong to it: no two of its own blocks are paired."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    base = set(range(200))
+    table, rows = [], []
+    for k in range(60):
+        own = sorted(base - {k} | {1000 + k})
+        table.append((bytes([1, k]), own))
+        rows.append((7, bytes([1, k]), b"main"))
+    for k in range(11):
+        own = sorted(base - {100 + k} | {5000 + k}) if k % 2 else sorted(range(9000 + 300 * (k // 4), 9200 + 300 * (k // 4)))
+        table.append((bytes([2, k]), own))
+        rows.append((7, bytes([2, k]), bytes([2, k])))
+    sets = spark.createDataFrame(table, "key binary, shingles array<long>").dropDuplicates(["key"])
+    rest = spark.createDataFrame([(b, k, r, b"main", 60, 11) for b, k, r in rows], "bucket long, key binary, root binary, main binary, n_main long, n_other long")
+    links = {(bytes(a), bytes(b)) for a, b in minhash._block_links(rest, sets, Fraction(85, 100)).collect()}
+    values, root = {k: set(v) for k, v in table}, {k: r for _, k, r in rows}
+    keys = sorted(root)
+    want = [(a, b) for a in keys for b in keys if a < b and root[a] != root[b] and 100 * len(values[a] & values[b]) >= 85 * len(values[a] | values[b])]
+    names = {k: i for i, k in enumerate(keys)}
+    joined = [(names[k], names[next(x for x in keys if root[x] == root[k])]) for k in keys]
+    assert all(a[:1] + b[:1] != b"\\x01\\x01" for a, b in links)
+    assert roots(len(keys), joined + [(names[a], names[b]) for a, b in links]) == roots(len(keys), joined + [(names[a], names[b]) for a, b in want])
