@@ -184,7 +184,7 @@ _FACTS = f"""facts AS (
   FROM lines)"""
 
 
-@query("integrity_profile", f"""WITH {_FACTS}
+INTEGRITY_PROFILE = f"""WITH {_FACTS}
 SELECT file, count(*) AS total_lines, count(*) FILTER (WHERE blank) AS empty_lines, count(*) FILTER (WHERE ok) AS json_ok,
   count(*) FILTER (WHERE NOT ok AND NOT blank) AS json_failed, count(*) FILTER (WHERE err) AS is_error_true,
   count(*) FILTER (WHERE ok AND fin IS NULL) AS final_answer_null,
@@ -204,13 +204,19 @@ SELECT file, count(*) AS total_lines, count(*) FILTER (WHERE blank) AS empty_lin
   count(*) FILTER (WHERE ok AND item_id IS NULL) AS item_id_missing, count(DISTINCT item_id) AS unique_item_ids,
   count(item_id) - count(DISTINCT item_id) AS item_id_duplicates,
   count(*) FILTER (WHERE ok AND NOT err AND NOT {_blank_sql('fin_alias')}) AS effective_samples
-FROM facts GROUP BY file""", ("lines",))
+FROM facts GROUP BY file"""
+
+
+@query("integrity_profile", INTEGRITY_PROFILE, ("lines",))
 def _(spark, folder):
     return A.integrity_profile(view(spark, folder, "lines").select("file", "value"))
 
 
-@query("integrity_mode_counts", f"""WITH {_FACTS}
-SELECT file, mode AS experiment_mode, count(*) AS rows FROM facts WHERE mode <> '' GROUP BY ALL""", ("lines",))
+INTEGRITY_MODES = f"""WITH {_FACTS}
+SELECT file, mode AS experiment_mode, count(*) AS rows FROM facts WHERE mode <> '' GROUP BY ALL"""
+
+
+@query("integrity_mode_counts", INTEGRITY_MODES, ("lines",))
 def _(spark, folder):
     return A.integrity_mode_counts(view(spark, folder, "lines").select("file", "value"))
 

@@ -18,6 +18,7 @@ from pairlens.catalog.views import table, view
 from pairlens.operators import inference as I
 from pairlens.operators.normalize import with_record
 from pairlens.session import data_files, scratch
+from pairlens.sources import archives as AR
 from pairlens.sources import manifest as MF
 from pairlens.sources import readers as R
 from pairlens.sources import sinks as S
@@ -109,16 +110,27 @@ def _(spark, folder):
     )
 
 
+def archived_lines(spark, folder) -> str:
+    """The response lines as members of tar archives, beside members that hold none and one that is cut off."""
+    path = scratch(spark, "archive")
+    lines = view(spark, folder, "lines").select(F.concat(F.lit("run/"), "file").alias("file"), "line_number", "value")
+    other = lines.where("file LIKE '%exp1%'").select(F.regexp_replace("file", "exp1", "notes").alias("file"), "line_number", "value")
+    cut = table(spark, folder, "nation").select(F.lit("zz/exp_cut.jsonl").alias("file"), F.col("n_nationkey").alias("line_number"), F.col("n_name").alias("value"))
+    AR.write_archives(lines.unionByName(other).unionByName(cut), path, 4, F.col("file") == "zz/exp_cut.jsonl")
+    return path
+
+
 @query("src_archive_jsonl", """
-SELECT file, count(*) AS rows, sum(length(value))::BIGINT AS characters FROM lines GROUP BY file""", ("lines",))
+SELECT file, count(*) AS rows, sum(length(value))::BIGINT AS characters, count(DISTINCT line_number) AS numbers,
+  max(line_number)::BIGINT AS last_number, 0 AS faults
+FROM (SELECT 'run/' || file AS file, value, row_number() OVER (PARTITION BY file ORDER BY line_number) AS line_number FROM lines)
+GROUP BY file
+UNION ALL SELECT 'zz/exp_cut.jsonl', count(*), sum(length(n_name))::BIGINT, count(*), max(n_nationkey)::BIGINT + 1, 1 FROM nation""", ("lines",))
 def _(spark, folder):
-    path = scratch(spark, "archive")
-    view(spark, folder, "lines").select("file", "value").write.partitionBy("file").option(
-        "compression", "gzip"
-    ).text(path)
-    rows = R.text_lines(spark, path, "*.gz").withColumn("file", F.regexp_extract("path", "file=([^/]+)", 1))
+    rows = AR.archive_lines(spark, archived_lines(spark, folder))
     return rows.groupBy("file").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.char_length("value")).alias("characters")
+        F.count("value").alias("rows"), F.sum(F.char_length("value")).alias("characters"), F.count_distinct("line_number").alias("numbers"),
+        F.max("line_number").alias("last_number"), F.count("fault").cast("int").alias("faults")
     )
 
 

@@ -8,12 +8,14 @@ from pairlens.catalog import inference as CI
 from pairlens.catalog import rates as CR
 from pairlens.catalog import sampling as CS
 from pairlens.catalog.common import NORMAL, ablation, responses, rounded
-from pairlens.catalog.normalizing import QUALITY, _FACTS, _blank_sql
+from pairlens.catalog.normalizing import INTEGRITY_MODES, INTEGRITY_PROFILE, QUALITY, _FACTS, _blank_sql
+from pairlens.catalog.reading import archived_lines
 from pairlens.catalog.registry import query
 from pairlens.catalog.texts import FORMS, RAW_TEXTS, raw_texts
 from pairlens.catalog.views import view
 from pairlens.operators import normalize as N
 from pairlens.plans import reports as R
+from pairlens.sources import archives as AR
 
 _CI_OK = "true AS delta_inside"
 
@@ -143,6 +145,22 @@ def _(spark, folder):
     return bad.unionByName(found["ineffective"].select("file", "line_number", F.lit("ineffective").alias("kind")))
 
 
+def _archive_report(spark, folder) -> dict:
+    """The report over archives; members are told apart without their folder."""
+    rows = AR.archive_lines(spark, archived_lines(spark, folder)).where("file LIKE 'run/%'")
+    return R.integrity_report(rows.select(F.regexp_replace("file", "^run/", "").alias("file"), "line_number", "value"))
+
+
+@query("integrity_report_profile", INTEGRITY_PROFILE, ("lines",))
+def _(spark, folder):
+    return _archive_report(spark, folder)["profile"]
+
+
+@query("integrity_report_modes", INTEGRITY_MODES, ("lines",))
+def _(spark, folder):
+    return _archive_report(spark, folder)["modes"]
+
+
 @query("forest_source", f"""WITH main AS ({CI.PAIRED_CONTRAST})
 SELECT model || ' / ' || dataset AS label, paired_n, round(delta * 100, 4) AS delta_pp, round(p_holm, 6) AS p_holm
 FROM main WHERE condition1 = 'exp2' AND condition2 = 'exp3' AND metric = 'conformity_rate'""", ("responses",))

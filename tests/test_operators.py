@@ -22,6 +22,7 @@ from pairlens.operators import requests as Q
 from pairlens.operators import sampling as R
 from pairlens.plans import reports as RP
 from pairlens.sources import manifest as MF
+from pairlens.sources import archives as AR
 from pairlens.sources import readers as RD
 from pairlens.streaming import responses as ST
 
@@ -137,7 +138,7 @@ def test_tar_archives(spark, tmp_path):
             info = tarfile.TarInfo(name)
             info.size = len(data)
             archive.addfile(info, io.BytesIO(data))
-    rows = RD.read_archives(spark, str(tmp_path)).orderBy("line_number").collect()
+    rows = AR.read_archives(spark, str(tmp_path)).orderBy("line_number").collect()
     assert [(r.file, r.line_number, r.value) for r in rows] == [
         ("run/exp1.jsonl", 1, '{"id": 1}'), ("run/exp1.jsonl", 2, ""), ("run/exp1.jsonl", 3, '{"id": 2}')]
 
