@@ -13,7 +13,7 @@ from pairlens.functions.statistics import exact_mcnemar
 from pairlens.operators import inference as I
 from pairlens.operators import metrics as M
 from pairlens.operators import pairing as P
-from pairlens.plans.reports import SEED_KEYS, label_tests
+from pairlens.plans.reports import label_tests
 
 # --- SQL building blocks: paired outcomes, exact test by log-gamma sums, Holm by windows --------------------
 
@@ -75,6 +75,43 @@ adjusted AS (
 NUDGE = 1e-12
 OUTPUT = f"round(p + {NUDGE}, 9) AS p_raw, round(log_p / ln(10.0), 6) AS log10_p, round(holm + {NUDGE}, 9) AS p_holm"
 
+def interval(source: str, n: str, counts: dict[str, int], name: str = "ci") -> str:
+    """CTE ``ci`` (n, k0, k1 .., ci_low, ci_high): percentiles of the mean of a resample, for each set of counts of ``source``.
+
+    ``counts`` gives the value that each count column adds; all other items add 0. The probability of a sum s is the
+    cosine sum over the n-th powers of one draw's characteristic function, on a circle wider than 24 standard deviations.
+    """
+    keys = ", ".join(f"k{i}" for i in range(len(counts)))
+    values = list(counts.values())
+    first = " + ".join(f"({v}) * k{i}" for i, v in enumerate(values))
+    second = " + ".join(f"{v * v} * k{i}" for i, v in enumerate(values))
+    others = "n - " + " - ".join(f"k{i}" for i in range(len(values)))
+    real = " + ".join(f"k{i} * cos({v} * t)" for i, v in enumerate(values))
+    imaginary = " + ".join(f"k{i} * sin({v} * t)" for i, v in enumerate(values))
+    return f"""{name}_need AS (
+  SELECT DISTINCT {n} AS n, {", ".join(f"{c} AS k{i}" for i, c in enumerate(counts))} FROM {source} WHERE {n} > 0),
+{name}_size AS (
+  SELECT *, CAST({first} AS BIGINT) AS middle,
+    CAST(24 * ceil(sqrt(greatest(0, n * (({second})::DOUBLE / n - (({first})::DOUBLE / n) ** 2)))) + 64 AS BIGINT) AS size FROM {name}_need),
+{name}_turn AS (SELECT *, 2 * pi() * unnest(range(size)) / size AS t FROM {name}_size),
+{name}_wave AS (
+  SELECT *, ({others} + {real})::DOUBLE / n AS re, ({imaginary})::DOUBLE / n AS im FROM {name}_turn),
+{name}_power AS (
+  SELECT *, exp(n * ln(greatest(re * re + im * im, 1e-300)) / 2) AS height, n * atan2(im, re) AS angle FROM {name}_wave),
+{name}_sum AS (SELECT n, {keys}, unnest(range(middle - size // 2, middle + size // 2)) AS s FROM {name}_size),
+{name}_mass AS (
+  SELECT n, {keys}, s, sum(height * cos(angle - t * s)) / any_value(size) AS mass
+  FROM {name}_sum JOIN {name}_power USING (n, {keys}) GROUP BY n, {keys}, s),
+{name}_upto AS (SELECT *, sum(mass) OVER (PARTITION BY n, {keys} ORDER BY s ROWS UNBOUNDED PRECEDING) AS upto FROM {name}_mass),
+{name} AS (
+  SELECT n, {keys}, round(min(s) FILTER (WHERE upto >= 0.025 - 1e-9)::DOUBLE / n, 6) AS ci_low,
+    round(min(s) FILTER (WHERE upto >= 0.975 - 1e-9)::DOUBLE / n, 6) AS ci_high FROM {name}_upto GROUP BY n, {keys})"""
+
+
+BC = {"mcnemar_b": -1, "mcnemar_c": 1}
+CB = {"mcnemar_b": 1, "mcnemar_c": -1}
+WITH_CI = "LEFT JOIN ci ON n = paired_n AND k0 = mcnemar_b AND k1 = mcnemar_c"
+
 PAIRED = f"""{NORMAL}, {SCORED}, {CONTRASTS},
 paired AS (
   SELECT a.dataset, a.model, a.id, contrast, condition1, condition2, a.metric_order, a.metric, a.outcome AS o1,
@@ -222,21 +259,11 @@ def _(spark, folder):
 
 # --- inference ----------------------------------------------------------------------------------------------
 
-@query("paired_bootstrap_ci", f"""WITH {PAIRED}, {tested(_KEYS)}
-SELECT dataset, model, condition1, condition2, metric, paired_n, delta, true AS delta_inside, true AS width_ok
-FROM tested""", ("responses",))
+@query("paired_bootstrap_ci", f"""WITH {PAIRED}, {tested(_KEYS)}, {interval('tested', 'paired_n', BC)}
+SELECT dataset, model, condition1, condition2, metric, paired_n, delta, ci_low, ci_high FROM tested {WITH_CI}""", ("responses",))
 def _(spark, folder):
-    # The resampling stream is free, so the result states what must hold of any: the interval holds the delta and its
-    # width agrees with the normal approximation.
-    ci = I.add_paired_ci(I.paired_contrast(responses(spark, folder)), SEED_KEYS)
-    b, c, n = F.col("mcnemar_b"), F.col("mcnemar_c"), F.col("paired_n")
-    expected = 2 * 1.96 * F.sqrt((b + c) / n - F.pow((c - b) / n, 2)) / F.sqrt(n)
-    width = F.col("ci_high") - F.col("ci_low")
-    return rounded(ci.select(
-        "dataset", "model", "condition1", "condition2", "metric", "paired_n", "delta",
-        F.col("delta").between(F.col("ci_low"), F.col("ci_high")).alias("delta_inside"),
-        (F.abs(width - expected) <= 0.1 * expected + 3.0 / n).alias("width_ok"),
-    ))
+    ci = I.add_paired_ci(I.paired_contrast(responses(spark, folder)))
+    return rounded(ci.select("dataset", "model", "condition1", "condition2", "metric", "paired_n", "delta", "ci_low", "ci_high"))
 
 
 @query("paired_bootstrap_sql", f"""WITH {NORMAL}, {CONTRASTS},
@@ -440,15 +467,20 @@ wide AS (SELECT dataset, item, {", ".join(
 vals AS ({" UNION ALL ".join(
     f"SELECT dataset, {i} AS contrast, '{a}' AS condition1, '{b}' AS condition2, "
     f"(big_{b} - big_{a}) - (small_{b} - small_{a}) AS v FROM wide"
-    for i, (a, b) in enumerate([('exp1', 'exp2'), ('exp2', 'exp3'), ('exp1', 'exp3')]))})
-SELECT dataset, contrast, condition1, condition2, count(*) AS n, round(avg(v), 6) AS interaction,
-  {", ".join(f"count(*) FILTER (WHERE v = {v}) AS {name}" for v, name in
-             ((-2, 'v_m2'), (-1, 'v_m1'), (0, 'v_0'), (1, 'v_p1'), (2, 'v_p2')))}
-FROM vals GROUP BY ALL""", ("responses",))
+    for i, (a, b) in enumerate([('exp1', 'exp2'), ('exp2', 'exp3'), ('exp1', 'exp3')]))}),
+points AS (
+  SELECT dataset, contrast, condition1, condition2, count(*) AS item_n, round(avg(v), 6) AS interaction,
+    {", ".join(f"count(*) FILTER (WHERE v = {v}) AS {name}" for v, name in
+               ((-2, 'v_m2'), (-1, 'v_m1'), (0, 'v_0'), (1, 'v_p1'), (2, 'v_p2')))}
+  FROM vals GROUP BY ALL),
+{interval('points', 'item_n', {'v_m2': -2, 'v_m1': -1, 'v_p1': 1, 'v_p2': 2})}
+SELECT dataset, contrast, condition1, condition2, item_n AS n, interaction, v_m2, v_m1, v_0, v_p1, v_p2, ci_low, ci_high
+FROM points JOIN ci ON n = item_n AND k0 = v_m2 AND k1 = v_m1 AND k2 = v_p1 AND k3 = v_p2""", ("responses",))
 def _(spark, folder):
-    return rounded(I.interaction_contrast(
+    points = I.interaction_contrast(
         _arms(spark, folder), "small", "big", ("exp1", "exp2", "exp3"), ((0, 1), (1, 2), (0, 2))
-    ))
+    )
+    return rounded(I.interaction_ci(points))
 
 
 _EXACT_VALUES = ", ".join(f"('{x}', '{a}', '{b}', false)" for x, a, b in K.EXACT_TOKEN_COMPARISONS)

@@ -17,18 +17,13 @@ from pairlens.operators import normalize as N
 from pairlens.plans import reports as R
 from pairlens.sources import archives as AR
 
-_CI_OK = "true AS delta_inside"
 
-
-def _inside():
-    return F.col("delta").between(F.col("ci_low"), F.col("ci_high")).alias("delta_inside")
-
-
-@query("paired_protocol", CI.PAIRED_CONTRAST.replace("SELECT dataset, model, contrast", f"SELECT {_CI_OK}, dataset, model, contrast"),
-       ("responses",))
+@query("paired_protocol", f"""WITH {CI.PAIRED}, {CI.tested(CI._KEYS)}, {CI.holm('metric', 'dataset, model, contrast')},
+{CI.interval('tested', 'paired_n', CI.BC)}
+SELECT {CI._KEYS}, paired_n, rate1, rate2, delta, delta_definition, mcnemar_b, mcnemar_c, {CI.OUTPUT}, ci_low, ci_high
+FROM adjusted {CI.WITH_CI}""", ("responses",))
 def _(spark, folder):
-    found = R.paired_protocol(responses(spark, folder))["comparisons"]
-    return CI.inference_rounded(found.select(*[c for c in found.columns if not c.startswith("ci_")], _inside()))
+    return CI.inference_rounded(R.paired_protocol(responses(spark, folder))["comparisons"])
 
 
 @query("repeated_subset", f"""WITH {NORMAL}, {CI.SCORED}, {CS.SAMPLED}, {CS._REP_CONDITIONS}
@@ -55,19 +50,20 @@ def _(spark, folder):
 
 
 _REPORT_KEYS = "dataset, model, comparison, condition1, condition2, metric"
-_COLUMNS = f"{_REPORT_KEYS}, analysis_subset, paired_n, rate1, rate2, delta, p_raw, p_holm, delta_inside"
+_COLUMNS = f"{_REPORT_KEYS}, analysis_subset, paired_n, rate1, rate2, delta, p_raw, p_holm, ci_low, ci_high"
 
 
 @query("ablation_report", f"""WITH main AS ({CI.ABLATION_CONTRAST}),
 exact AS (WITH {CI.ablation_paired(CI._ABLATION_SCORED, CI._EXACT, 'AND a.final_prompt_token_count = b.final_prompt_token_count')},
-  {CI.tested(CI._AKEYS, 'paired', *CI._FIRST)} SELECT *, round(exp(log_p) + {CI.NUDGE}, 9) AS p_raw FROM tested)
-SELECT {_REPORT_KEYS}, 'all_common_valid' AS analysis_subset, paired_n, rate1, rate2, delta, p_raw, p_holm, {_CI_OK}
-FROM main
-UNION ALL SELECT {_REPORT_KEYS}, 'exact_final_prompt_token_match', paired_n, rate1, rate2, delta, p_raw, NULL, true
-FROM exact""", ("ablation",))
+  {CI.tested(CI._AKEYS, 'paired', *CI._FIRST)} SELECT *, round(exp(log_p) + {CI.NUDGE}, 9) AS p_raw FROM tested),
+both_sets AS (
+  SELECT {_REPORT_KEYS}, 'all_common_valid' AS analysis_subset, paired_n, rate1, rate2, delta, p_raw, p_holm, mcnemar_b, mcnemar_c FROM main
+  UNION ALL SELECT {_REPORT_KEYS}, 'exact_final_prompt_token_match', paired_n, rate1, rate2, delta, p_raw, NULL, mcnemar_b, mcnemar_c FROM exact),
+{CI.interval('both_sets', 'paired_n', CI.CB)}
+SELECT {_COLUMNS} FROM both_sets {CI.WITH_CI}""", ("ablation",))
 def _(spark, folder):
     found = R.ablation_report(ablation(spark, folder))["comparisons"]
-    return CI.inference_rounded(found.select(*_COLUMNS.split(", ")[:-1], _inside()))
+    return CI.inference_rounded(found.select(*_COLUMNS.split(", ")))
 
 
 @query("ablation_report_summaries", CR.ABLATION_SUMMARY, ("ablation",))

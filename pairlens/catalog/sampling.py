@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairlens import constants as K
+from pairlens.catalog import inference as CI
 from pairlens.catalog.common import NORMAL, responses, rounded
 from pairlens.catalog.inference import SCORED
 from pairlens.catalog.rates import PROFILED, label_answers, text_profiles
@@ -136,19 +137,24 @@ def _(spark, folder):
 
 
 @query("stratum_contrasts", f"""WITH {STRATA},
-rows AS (SELECT * FROM normal JOIN strata USING (dataset, model, id))
-SELECT a.dataset, a.model, a.stratum, condition1, condition2, count(*) AS cr_n,
-  round((sum((b.final = b.distractor)::INT) - sum((a.final = a.distractor)::INT))::DOUBLE / count(*), 6) AS delta_cr,
-  true AS delta_inside
-FROM (VALUES ('exp1', 'exp2'), ('exp2', 'exp3')) v(condition1, condition2)
-JOIN rows a ON a.condition = condition1 JOIN rows b ON b.condition = condition2 AND b.id = a.id
-WHERE a.initial <> a.distractor GROUP BY ALL""", ("responses", "score_rows"))
+rows AS (SELECT * FROM normal JOIN strata USING (dataset, model, id)),
+counted AS (
+  SELECT a.dataset, a.model, a.stratum, condition1, condition2, count(*) AS paired_n,
+    count(*) FILTER (WHERE a.final = a.distractor AND b.final <> b.distractor) AS mcnemar_b,
+    count(*) FILTER (WHERE a.final <> a.distractor AND b.final = b.distractor) AS mcnemar_c
+  FROM (VALUES ('exp1', 'exp2'), ('exp2', 'exp3')) v(condition1, condition2)
+  JOIN rows a ON a.condition = condition1 JOIN rows b ON b.condition = condition2 AND b.id = a.id
+  WHERE a.initial <> a.distractor GROUP BY ALL),
+{CI.interval('counted', 'paired_n', CI.BC)}
+SELECT dataset, model, stratum, condition1, condition2, paired_n AS cr_n,
+  round((mcnemar_c - mcnemar_b)::DOUBLE / paired_n, 6) AS delta_cr, ci_low, ci_high
+FROM counted {CI.WITH_CI}""", ("responses", "score_rows"))
 def _(spark, folder):
     scores = view(spark, folder, "score_rows")
     found = RP.tercile_report(responses(spark, folder), scores)["contrasts"]
     return rounded(found.select(
         "dataset", "model", "stratum", "condition1", "condition2", F.col("paired_n").alias("cr_n"),
-        F.col("delta").alias("delta_cr"), F.col("delta").between(F.col("ci_low"), F.col("ci_high")).alias("delta_inside"),
+        F.col("delta").alias("delta_cr"), "ci_low", "ci_high",
     ))
 
 

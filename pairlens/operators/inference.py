@@ -1,13 +1,13 @@
 """Paired contrasts with bootstrap intervals, exact McNemar tests and Holm adjustment.
 
 All work over items ends in a histogram of code pairs per cell and contrast: a handful of integers whatever the
-number of items. Metrics, tests and resampling run on that histogram only.
+number of items. Metrics, tests and intervals run on that histogram only.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlens import constants as K
-from pairlens.functions.statistics import LN10, mcnemar_log_p
+from pairlens.functions.statistics import LN10, mcnemar_log_p, resampled_mean_bounds
 from pairlens.operators.metrics import ABLATION_METRICS, CONFORMITY_ONLY, PAIRED_METRICS, Metric
 from pairlens.operators.pairing import CELL, contrast_conditions, outcome_code, pair_codes, wide_codes
 from pairlens.session import settle
@@ -87,11 +87,38 @@ def _seed(base: int, parts: Sequence[str]) -> int:
     return base + int.from_bytes(digest[:4], "big")
 
 
+def _with_bounds(df: DataFrame, counts: Sequence[str], bounds: Callable[[dict, list[int]], tuple | None]) -> DataFrame:
+    """``ci_low`` and ``ci_high`` of each result row, from a function of the row and its counts."""
+    schema = T.StructType(
+        [*df.schema.fields, T.StructField("ci_low", T.DoubleType()), T.StructField("ci_high", T.DoubleType())]
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [
+                bounds(row, [0 if pd.isna(row[c]) else int(row[c]) for c in counts]) or (None, None)
+                for row in batch.to_dict("records")
+            ]
+            for i, name in enumerate(("ci_low", "ci_high")):
+                batch[name] = pd.Series([b[i] for b in found], index=batch.index, dtype="float64")
+            yield batch
+
+    return df.mapInPandas(run, schema)
+
+
+def exact_ci(df: DataFrame, values: Sequence[int], counts: Sequence[str]) -> DataFrame:
+    """Percentile bootstrap interval of the mean paired difference without draws, added as ``ci_low`` and ``ci_high``.
+
+    It is what percentiles of ever more resamples tend to, and the same in every run. Null where all counts are 0.
+    """
+    return _with_bounds(df, counts, lambda _, held: resampled_mean_bounds(values, held))
+
+
 def bootstrap_ci(
     df: DataFrame, values: Sequence[int], counts: Sequence[str], seed_keys: Sequence[str] = (),
     reps: int = K.BOOTSTRAP_REPS, seed: int = K.BOOTSTRAP_SEED, rule: str = "linear",
 ) -> DataFrame:
-    """Percentile interval of the mean paired difference, added as ``ci_low`` and ``ci_high``.
+    """Percentile interval of the mean paired difference from drawn resamples, added as ``ci_low`` and ``ci_high``.
 
     Each item adds one of a few values, so a resample of n items is one multinomial draw over the value counts:
     the cost per result row is ``reps`` draws, independent of n. ``rule`` is ``linear`` or ``order`` (raw order
@@ -100,43 +127,32 @@ def bootstrap_ci(
     if reps < 100:
         raise ValueError("at least 100 bootstrap repetitions are needed")
     weights = np.asarray(values, dtype="float64")
-    schema = T.StructType(
-        [*df.schema.fields, T.StructField("ci_low", T.DoubleType()), T.StructField("ci_high", T.DoubleType())]
-    )
 
-    def interval(row) -> tuple[float | None, float | None]:
-        held = np.array([0 if pd.isna(row[c]) else int(row[c]) for c in counts], dtype="int64")
-        n = int(held.sum())
+    def drawn(row: dict, held: list[int]) -> tuple | None:
+        n = sum(held)
         if n == 0:
-            return None, None
+            return None
         rng = np.random.default_rng(_seed(seed, [str(row[k]) for k in seed_keys]) if seed_keys else seed)
-        means = np.sort(rng.multinomial(n, held / n, size=reps) @ weights / n)
+        means = np.sort(rng.multinomial(n, np.array(held) / n, size=reps) @ weights / n)
         if rule == "order":
             return float(means[int(0.025 * reps)]), float(means[min(reps - 1, int(0.975 * reps))])
         low, high = np.quantile(means, [0.025, 0.975])
         return float(low), float(high)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            bounds = [interval(row) for row in batch.to_dict("records")]
-            batch["ci_low"] = pd.Series([b[0] for b in bounds], index=batch.index, dtype="float64")
-            batch["ci_high"] = pd.Series([b[1] for b in bounds], index=batch.index, dtype="float64")
-            yield batch
-
-    return df.mapInPandas(run, schema)
+    return _with_bounds(df, counts, drawn)
 
 
 def add_paired_ci(
     results: DataFrame, seed_keys: Sequence[str] = (), second_minus_first: bool = True,
-    reps: int = K.BOOTSTRAP_REPS, seed: int = K.BOOTSTRAP_SEED, rule: str = "linear",
+    reps: int | None = None, seed: int = K.BOOTSTRAP_SEED, rule: str = "linear",
 ) -> DataFrame:
-    """Interval of a contrast row from its b, c and n."""
+    """Interval of a contrast row from its b, c and n: exact, or from ``reps`` drawn resamples where these are asked for."""
     sign = 1 if second_minus_first else -1
     rest = results.withColumn("_same", F.col("paired_n") - F.col("mcnemar_b") - F.col("mcnemar_c"))
-    with_ci = bootstrap_ci(
-        rest, (-sign, sign, 0), ("mcnemar_b", "mcnemar_c", "_same"), seed_keys, reps, seed, rule
-    )
-    return with_ci.drop("_same")
+    values, counts = (-sign, sign, 0), ("mcnemar_b", "mcnemar_c", "_same")
+    if reps is None:
+        return exact_ci(rest, values, counts).drop("_same")
+    return bootstrap_ci(rest, values, counts, seed_keys, reps, seed, rule).drop("_same")
 
 
 def paired_contrast(
@@ -231,7 +247,7 @@ def interaction_contrast(
     """Difference in differences between two conditions and two models, with the histogram of item values.
 
     Per item the value is [big(k2) - big(k1)] - [small(k2) - small(k1)], an integer from -2 to 2; the counts
-    ``v_m2 .. v_p2`` feed ``bootstrap_ci``.
+    ``v_m2 .. v_p2`` feed ``interaction_ci``.
     """
     wide = _all_cells(df, small, big, condition_order, metric, keys)
     k = len(condition_order)
@@ -255,8 +271,12 @@ def interaction_contrast(
     )
 
 
-def interaction_ci(points: DataFrame, **options) -> DataFrame:
-    return bootstrap_ci(points, (-2, -1, 0, 1, 2), ("v_m2", "v_m1", "v_0", "v_p1", "v_p2"), **options)
+def interaction_ci(points: DataFrame, reps: int | None = None, **options) -> DataFrame:
+    """Interval of the interaction from its value counts: exact, or from ``reps`` drawn resamples."""
+    counts = ("v_m2", "v_m1", "v_0", "v_p1", "v_p2")
+    if reps is None:
+        return exact_ci(points, (-2, -1, 0, 1, 2), counts)
+    return bootstrap_ci(points, (-2, -1, 0, 1, 2), counts, reps=reps, **options)
 
 
 def token_pairs(

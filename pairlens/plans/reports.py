@@ -26,7 +26,7 @@ SEED_KEYS = ("dataset", "model", "condition1", "condition2", "metric")
 
 
 def paired_protocol(
-    df: DataFrame, contrasts: Sequence[tuple[str, str]] = K.DEFAULT_CONTRASTS, reps: int = K.BOOTSTRAP_REPS,
+    df: DataFrame, contrasts: Sequence[tuple[str, str]] = K.DEFAULT_CONTRASTS, reps: int | None = None,
     seed: int = K.BOOTSTRAP_SEED, strict: bool = True,
 ) -> dict[str, DataFrame]:
     """Summaries, pair audit, contrasts with interval, exact test and Holm adjustment.
@@ -114,7 +114,7 @@ def four_protocol(df: DataFrame, conditions: Sequence[str] = K.FOUR_PROTOCOLS) -
 
 def tercile_report(
     df: DataFrame, scores: DataFrame, conditions: Sequence[str] = K.FOUR_PROTOCOLS,
-    contrasts: Sequence[tuple[str, str]] = K.DEFAULT_CONTRASTS, reps: int = K.BOOTSTRAP_REPS,
+    contrasts: Sequence[tuple[str, str]] = K.DEFAULT_CONTRASTS, reps: int | None = None,
 ) -> dict[str, DataFrame]:
     """Terciles of the target probability on common-valid items, rates and contrasts per stratum.
 
@@ -153,7 +153,7 @@ def tercile_report(
     }
 
 
-def ablation_report(df: DataFrame, reps: int = K.BOOTSTRAP_REPS) -> dict[str, DataFrame]:
+def ablation_report(df: DataFrame, reps: int | None = None) -> dict[str, DataFrame]:
     """Summaries, comparisons A-K and exact-token ones, token audit and step trajectories.
 
     Fails where the conditions of a cell hold different items, or an item's audit fields differ between conditions.

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairlens.functions.statistics import exact_mcnemar, mcnemar_log_p, two_sided_p
+from pairlens.functions.statistics import exact_mcnemar, mcnemar_log_p, resampled_mean_bounds, two_sided_p
 from pairlens.operators import inference as I
 from pairlens.operators import sampling as R
 
@@ -77,9 +78,64 @@ def test_two_sided_p(spark):
     assert row[0].p == pytest.approx(0.04999579, rel=1e-6) and row[1].p is None
 
 
+def trinomial_bounds(b, c, n, levels=(0.025, 0.975)):
+    """Every way of drawing n items, summed in logarithms."""
+    mass = {}
+    for i in range(n + 1 if b else 1):
+        for j in range(n - i + 1 if c else 1):
+            r = n - i - j
+            if r and b + c == n:
+                continue
+            log = math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(j + 1) - math.lgamma(r + 1)
+            log += (i * math.log(b / n) if i else 0) + (j * math.log(c / n) if j else 0) + (r * math.log1p(-(b + c) / n) if r else 0)
+            mass[j - i] = mass.get(j - i, 0.0) + math.exp(log)
+    out, upto = [], 0.0
+    for level in levels:
+        upto = 0.0
+        for s in sorted(mass):
+            upto += mass[s]
+            if upto >= level - 1e-9:
+                out.append(s / n)
+                break
+    return tuple(out)
+
+
+@pytest.mark.parametrize(("b", "c", "n"), [(0, 0, 1), (1, 0, 1), (0, 3, 3), (1, 1, 2), (2, 5, 30), (0, 7, 40), (12, 3, 60), (50, 0, 50), (1, 0, 200), (30, 40, 120)])
+def test_exact_bounds_against_every_resample(b, c, n):
+    assert resampled_mean_bounds((-1, 1, 0), (b, c, n - b - c)) == pytest.approx(trinomial_bounds(b, c, n), abs=1e-12)
+
+
+def test_exact_bounds_at_any_size():
+    assert resampled_mean_bounds((-1, 1, 0), (0, 0, 0)) is None
+    assert resampled_mean_bounds((-1, 1, 0), (0, 0, 9)) == (0.0, 0.0)
+    for n in (10**4, 10**7, 10**10):
+        low, high = resampled_mean_bounds((-1, 1, 0), (n // 10, n // 5, n - n // 10 - n // 5))
+        width = 1.959964 * math.sqrt((0.3 - 0.01) / n)
+        assert low == pytest.approx(0.1 - width, abs=1.5 / n + 0.02 * width) and high == pytest.approx(0.1 + width, abs=1.5 / n + 0.02 * width)
+    draws = np.random.default_rng(1).multinomial(450, np.array([5, 230, 210, 5, 0]) / 450, size=200_000) @ np.array([-2, -1, 0, 1, 2]) / 450
+    assert resampled_mean_bounds((-2, -1, 0, 1, 2), (5, 230, 210, 5, 0)) == pytest.approx(np.quantile(draws, [0.025, 0.975]), abs=1.01 / 450)
+
+
+def test_published_intervals_without_draws(spark):
+    rows = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(PUBLISHED)], "i int, mcnemar_b bigint, mcnemar_c bigint, paired_n bigint")
+    for row in I.add_paired_ci(rows).collect():
+        *_, n, _, _, (low, high) = PUBLISHED[row.i]
+        # the published ones come from 10,000 draws: at most one item away
+        assert row.ci_low == pytest.approx(low, abs=1.01 / n + 6e-5) and row.ci_high == pytest.approx(high, abs=1.01 / n + 6e-5)
+
+
+def test_drawn_intervals_agree(spark):
+    rows = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(PUBLISHED)], "i int, mcnemar_b bigint, mcnemar_c bigint, paired_n bigint")
+    drawn = {r.i: r for r in I.add_paired_ci(rows, ("i",), reps=20_000).collect()}
+    for row in I.add_paired_ci(rows).collect():
+        assert drawn[row.i].ci_low == pytest.approx(row.ci_low, abs=1.01 / row.paired_n) and drawn[row.i].ci_high == pytest.approx(row.ci_high, abs=1.01 / row.paired_n)
+
+
 def test_interval_of_an_interaction(spark):
     rows = spark.createDataFrame([(0, 5, 230, 210, 5, 0)], "i int, v_m2 bigint, v_m1 bigint, v_0 bigint, v_p1 bigint, v_p2 bigint")
-    row = I.interaction_ci(rows, seed_keys=("i",)).first()
+    row = I.interaction_ci(rows, 10_000, seed_keys=("i",)).first()
+    exact = I.interaction_ci(rows).first()
+    assert exact.ci_low == pytest.approx(row.ci_low, abs=1.01 / 450) and exact.ci_high == pytest.approx(row.ci_high, abs=1.01 / 450)
     mean = (-2 * 5 - 230 + 5) / 450
     assert row.ci_low < mean < row.ci_high and 0.06 < row.ci_high - row.ci_low < 0.12
 
