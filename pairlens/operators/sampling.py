@@ -15,6 +15,8 @@ from pairlens.operators.pairing import CELL, pair_codes
 from pairlens.session import settle
 
 SKETCH_ACCURACY = 10_000
+#: Leading hexadecimal digits of a hash that are compared with a bound, and how many values they have.
+HASH_DIGITS, HASHES = 12, 16.0**12
 
 
 def exact_percentiles(
@@ -23,8 +25,9 @@ def exact_percentiles(
     """Exact linear-interpolation percentiles per group, one column per entry of ``probs``, and ``n``.
 
     The built-in exact percentile holds every distinct value of a group in one task. Here a mergeable sketch
-    brackets each wanted rank first; only values inside the bracket (about 4/10,000 of a group) are ordered. Groups
-    of up to 20,000 values use their whole range as the bracket.
+    brackets each wanted rank first; only values inside the bracket (about 4/10,000 of a group) are ordered. Where the
+    bracket may not hold the rank's neighbours, in groups of up to 20,000 values, it is the whole range; a group whose
+    ranks are found outside their bracket is done again over its whole range.
     """
     if not keys:
         whole = exact_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs)
@@ -50,7 +53,23 @@ def exact_percentiles(
         ])),
     )
     table = settle(brackets, "brackets")
-    joined = values.join(table, list(keys))
+    points = settle(_percentile_points(values, table, keys), "percentiles")
+    missed = points.where("_x is null").select(*keys, "_i")
+    if not missed.isEmpty():
+        ends = sketch.select(*keys, F.col("_lo").alias("_from"), F.col("_hi").alias("_to"))
+        whole = table.drop("_from", "_to").join(missed, [*keys, "_i"], "left_semi").join(ends, list(keys))
+        again = _percentile_points(values, settle(whole, "brackets"), keys)
+        points = points.where("_x is not null").unionByName(again)
+    exact = points.withColumn("_x", require(F.col("_x"), F.col("_x").isNotNull(), F.lit("percentile not found"), "double"))
+    return exact.groupBy(*keys).agg(
+        F.max("n").alias("n"),
+        *[F.max(F.when(F.col("_i") == i, F.col("_x"))).alias(name) for i, name in enumerate(names)],
+    )
+
+
+def _percentile_points(values: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, _i, _p, n, _x)``: the value at each wanted rank, null where the bracket does not hold it."""
+    joined = values.join(brackets, list(keys))
     # Values below the bracket are only counted; those inside are counted per distinct value.
     place = F.when(F.col("_v") < F.col("_from"), F.col("_from")).otherwise(F.col("_v"))
     counted = (
@@ -76,11 +95,7 @@ def exact_percentiles(
     point = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(
         F.col("_a") * (1.0 - weight) + F.col("_b") * weight
     )
-    exact = found.withColumn("_x", require(point, both, "percentile outside its bracket", "double"))
-    return exact.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        *[F.max(F.when(F.col("_i") == i, F.col("_x"))).alias(name) for i, name in enumerate(names)],
-    )
+    return found.select(*keys, "_i", "_p", "n", F.when(both, point).alias("_x"))
 
 
 def repeated_sample(
@@ -89,31 +104,35 @@ def repeated_sample(
 ) -> DataFrame:
     """``size`` items without replacement per group and repetition: those with the smallest seeded md5.
 
-    A count per leading hash digits finds the cut first, so only about ``size`` rows per sample are ever ordered,
-    not the whole group. A group smaller than ``size`` fails the query.
+    Hashes are uniform, so the wanted ones lie below a bound that follows from the group's size: a scan keeps the rows
+    below a bound that about ``size`` plus six standard deviations of them meet, and only these are shuffled and ordered.
+    Repetitions of which fewer are found, if any, are drawn again below twice the bound. A group smaller than ``size``
+    fails the query.
     """
-    digest = F.md5(F.concat_ws("|", (F.lit(seed_start) + F.col("rep") - 1).cast("string"), F.col(group), F.col(item)))
-    # The frame is read twice, for the counts and for the rows: its ids are settled once.
     ids = settle(frame.select(group, item), "frame")
-    drawn = ids.select(group, item, F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("rep"))
-    hashed = drawn.withColumn("_h", digest).withColumn("_bucket", F.substring("_h", 1, 4))
-    buckets = hashed.groupBy(group, "rep", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(group, "rep").orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    running = buckets.withColumn("_upto", F.sum("_n").over(upto))
-    cuts = running.groupBy(group, "rep").agg(
-        F.min(F.when(F.col("_upto") >= size, F.col("_bucket"))).alias("_cut"), F.max("_upto").alias("frame_n")
-    )
     text = F.concat(F.lit("frame too small for the sample: "), F.col(group))
-    cuts = cuts.withColumn("_cut", require(F.col("_cut"), F.col("frame_n") >= size, text))
-    near = hashed.join(settle(cuts, "sample-cuts"), [group, "rep"]).where(
-        F.col("_bucket") <= F.col("_cut")
+    counts = ids.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("frame_n", require(F.col("_n"), F.col("_n") >= size, text, "bigint"))
+    share = F.lit(size + 6.0 * size**0.5 + 16) / F.col("frame_n")
+    bounds = counts.select(
+        group, "frame_n", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("rep"),
+        F.ceil(share * HASHES).alias("_bound"),
     )
+    seed = F.lit(seed_start) + F.col("rep") - 1
+    digest = F.md5(F.concat_ws("|", seed.cast("string"), F.col(group), F.col(item)))
+    leading = F.conv(F.substring("_h", 1, HASH_DIGITS), 16, 10).cast("bigint")
+    kept, short = None, settle(bounds, "sample-bounds")
+    while True:
+        below = ids.join(short, group).withColumn("_h", digest).where(leading < F.col("_bound"))
+        drawn = settle(below.drop("_bound"), "sample-drawn")
+        kept = drawn if kept is None else kept.join(short.select(group, "rep"), [group, "rep"], "left_anti").unionByName(drawn)
+        held = drawn.groupBy(group, "rep").agg(F.count(F.lit(1)).alias("_held"))
+        missed = short.join(held, [group, "rep"], "left").where(F.coalesce("_held", F.lit(0)) < size)
+        short = settle(missed.drop("_held").withColumn("_bound", F.col("_bound") * 2), "sample-bounds")
+        if short.isEmpty():
+            break
     rank = F.row_number().over(Window.partitionBy(group, "rep").orderBy("_h", item))
-    return near.withColumn("_r", rank).where(F.col("_r") <= size).select(
-        group, "rep", (F.lit(seed_start) + F.col("rep") - 1).alias("seed"), "frame_n", item
-    )
+    return kept.withColumn("_r", rank).where(F.col("_r") <= size).select(group, "rep", seed.alias("seed"), "frame_n", item)
 
 
 def sample_membership(samples: DataFrame, group: str = "dataset", item: str = "id") -> DataFrame:

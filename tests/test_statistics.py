@@ -156,3 +156,32 @@ def test_exact_percentiles_use_the_bracket_for_large_groups(spark):
         assert row[name] == pytest.approx(low + (high - low) * (at - math.floor(at)), rel=1e-12)
     whole = R.exact_percentiles(df, [], "v", {"m": 0.5}).first()
     assert whole.m == values[n // 2]
+
+
+def test_a_bracket_that_misses_is_widened(spark, monkeypatch):
+    """A sketch too coarse for its brackets: the ranks are found all the same."""
+    monkeypatch.setattr(R, "SKETCH_ACCURACY", 7)
+    rng = random.Random(4)
+    data = [(g, rng.random() ** 3) for g in ("a", "b") for _ in range(900)]
+    found = {r.g: r for r in R.exact_percentiles(spark.createDataFrame(data, "g string, v double"), ["g"], "v", {"low": 0.025, "high": 0.9}).collect()}
+    for g in ("a", "b"):
+        own = [v for h, v in data if h == g]
+        assert (found[g].low, found[g].high) == pytest.approx(tuple(np.quantile(own, [0.025, 0.9])), rel=1e-12)
+
+
+def test_samples_that_fall_short_are_drawn_again(spark, monkeypatch):
+    """Bounds far too low at first: the samples are those of the plain order, whatever the bound."""
+    import hashlib
+
+    frame = spark.createDataFrame([(g, str(i)) for g in ("x", "y") for i in range(300)], "dataset string, id string")
+    want = {
+        (g, rep, i) for g in ("x", "y") for rep in range(1, 5)
+        for i in sorted(map(str, range(300)), key=lambda i: (hashlib.md5(f"{1000 + rep - 1}|{g}|{i}".encode()).hexdigest(), i))[:20]
+    }
+    usual = {(r.dataset, r.rep, r.id) for r in R.repeated_sample(frame, 20, 4).collect()}
+    monkeypatch.setattr(R, "HASHES", 16.0**12 / 40)
+    again = R.repeated_sample(frame, 20, 4).collect()
+    assert usual == want and {(r.dataset, r.rep, r.id) for r in again} == want
+    assert {(r.frame_n, r.seed - r.rep) for r in again} == {(300, 999)}
+    with pytest.raises(Exception, match="frame too small"):
+        R.repeated_sample(frame, 301, 2).collect()
