@@ -51,6 +51,11 @@ def _(spark, folder):
     return rounded(found, 9)
 
 
+@query("tercile_report_metrics", CS.STRATUM_METRICS, ("responses", "score_rows"))
+def _(spark, folder):
+    return rounded(R.tercile_report(responses(spark, folder), view(spark, folder, "score_rows"))["condition_metrics"], 9)
+
+
 _REPORT_KEYS = "dataset, model, comparison, condition1, condition2, metric"
 _COLUMNS = f"{_REPORT_KEYS}, analysis_subset, paired_n, rate1, rate2, delta, p_raw, p_holm, ci_low, ci_high"
 

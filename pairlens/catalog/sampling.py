@@ -123,14 +123,17 @@ def _(spark, folder):
     return rounded(bounds.join(R.stratum_sizes(assigned), ["dataset", "model"]), 9)
 
 
-@query("stratum_metrics", f"""WITH {STRATA}
+STRATUM_METRICS = f"""WITH {STRATA}
 SELECT dataset, model, condition, stratum, count(*) AS stratum_n,
   round(min(target_probability), 9) AS target_probability_min, round(max(target_probability), 9) AS target_probability_max,
   count(*) FILTER (WHERE initial <> distractor) AS cr_n,
   round(avg((final = distractor)::DOUBLE) FILTER (WHERE initial <> distractor), 9) AS cr,
   count(*) FILTER (WHERE initial = correct) AS hcr_n,
   round(avg((final = distractor)::DOUBLE) FILTER (WHERE initial = correct), 9) AS hcr
-FROM normal JOIN strata USING (dataset, model, id) GROUP BY ALL""", ("responses", "score_rows"))
+FROM normal JOIN strata USING (dataset, model, id) GROUP BY ALL"""
+
+
+@query("stratum_metrics", STRATUM_METRICS, ("responses", "score_rows"))
 def _(spark, folder):
     rows, _, assigned = strata(spark, folder)
     return rounded(R.stratum_metrics(rows.join(assigned, ["dataset", "model", "id"])), 9)

@@ -241,6 +241,44 @@ def _fingerprints(field: str, kind: str) -> list[Column]:
     return [F.xxhash64(present, value), F.xxhash64(F.lit(7), value, present)]
 
 
+def contrast_drift(
+    df: DataFrame, contrasts: Sequence[tuple[str, str]], fields: Sequence[str] = K.AUDIT_FIELDS, keys: Sequence[str] = CELL,
+    item: str = "id", condition: str = "condition",
+) -> DataFrame:
+    """``(keys, item, condition1, condition2, fields)``: items whose audit fields differ within a contrast.
+
+    One scan and one shuffle whatever the number of contrasts: a row per item holds the least and the greatest hash of each
+    field and condition, and a contrast compares those of its two conditions.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    conditions = list(dict.fromkeys(c for pair in contrasts for c in pair))
+    hashed = df.where(F.col(condition).isin(*conditions)).select(
+        *keys, item, F.col(condition).alias("_cond"),
+        *[h.alias(f"_{f}{i}") for f in fields for i, h in enumerate(_fingerprints(f, kinds[f]))],
+    )
+    bounds = [
+        g(F.when(F.col("_cond") == c, F.col(f"_{f}{i}"))).alias(f"_{n}{k}_{f}{i}")
+        for k, c in enumerate(conditions) for f in fields for i in (0, 1) for n, g in (("lo", F.min), ("hi", F.max))
+    ]
+    wide = hashed.groupBy(*keys, item).agg(*bounds)
+
+    def differs(a: int, b: int, f: str) -> Column:
+        def apart(i: int) -> Column:
+            return F.least(f"_lo{a}_{f}{i}", f"_lo{b}_{f}{i}") != F.greatest(f"_hi{a}_{f}{i}", f"_hi{b}_{f}{i}")
+        return apart(0) | apart(1)
+
+    compared = F.array(*[
+        F.struct(
+            F.lit(first).alias("condition1"), F.lit(second).alias("condition2"),
+            F.array_join(F.filter(F.array(*[
+                F.when(differs(conditions.index(first), conditions.index(second), f), F.lit(f)) for f in fields
+            ]), lambda x: x.isNotNull()), ",").alias("fields"),
+        )
+        for first, second in contrasts
+    ])
+    return wide.select(*keys, item, F.inline(compared)).where("fields <> ''")
+
+
 def metadata_drift(
     df: DataFrame, fields: Sequence[str] = K.AUDIT_FIELDS, keys: Sequence[str] = CELL, item: str = "id",
     valid_only: bool = False, strict: bool = False,

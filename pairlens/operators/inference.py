@@ -24,12 +24,13 @@ from pairlens.session import settle
 CONTRAST = ("contrast", "condition1", "condition2")
 
 
-def contrast_counts(pairs: DataFrame, metrics: Sequence[Metric], keys: Sequence[str]) -> DataFrame:
+def contrast_counts(pairs: DataFrame, metrics: Sequence[Metric], keys: Sequence[str], weight: str | None = None) -> DataFrame:
     """Per key and metric: paired n, successes on each side and discordant counts b and c.
 
-    ``pairs`` holds ``code1`` and ``code2``; a null code stands for an item missing on that side.
+    ``pairs`` holds ``code1`` and ``code2``; a null code stands for an item missing on that side. A row stands for as many
+    items as the column ``weight`` says, else for one.
     """
-    histogram = pairs.groupBy(*keys, "code1", "code2").agg(F.count(F.lit(1)).alias("_n"))
+    histogram = pairs.groupBy(*keys, "code1", "code2").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     # Per metric the two bits of both codes: 1 eligible, 3 eligible with outcome.
     cases = ", ".join(
         f"named_struct('metric_order', {i}, 'metric', '{m.name}', '_1', shiftright(code1, {2 * i}) & 3, "

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from pairlens import constants as K
 from pairlens.operators.guards import require, require_rows
-from pairlens.operators.inference import CONTRAST, contrast_counts
-from pairlens.operators.metrics import PAIRED_METRICS, Metric, condition_summary
-from pairlens.operators.pairing import CELL, pair_codes
+from pairlens.operators.audits import _fingerprints
+from pairlens.operators.inference import CONTRAST, contrast_counts, holm_adjust, rates_and_test
+from pairlens.operators.metrics import CONFORMITY_ONLY, PAIRED_METRICS, Metric, condition_summary
+from pairlens.operators.pairing import CELL, outcome_code, pair_codes
 from pairlens.session import settle
 
 SKETCH_ACCURACY = 10_000
+#: Two bits each in an item's code: valid rows, then conformity and harmful conformity.
+STRATUM_METRICS = tuple(m for name in ("accuracy", "conformity_rate", "harmful_conformity") for m in PAIRED_METRICS if m.name == name)
 #: Leading hexadecimal digits of a hash that are compared with a bound, and how many values they have.
 HASH_DIGITS, HASHES = 12, 16.0**12
 
@@ -201,6 +204,77 @@ def assign_stratum(
     return scored.join(bounds, list(keys)).withColumn("stratum", stratum).drop("q33", "q67")
 
 
+def stratum_items(
+    df: DataFrame, conditions: Sequence[str], fields: Sequence[str] = (), keys: Sequence[str] = CELL, item: str = "id",
+) -> DataFrame:
+    """One row per item: the codes of its conditions (``c0``, ``c1``, ..) for ``STRATUM_METRICS``, its labels, and the audit
+    ``fields`` in which its valid rows differ.
+
+    This is the only exchange of response rows that thresholds, rates and contrasts of strata need. A repeated item within
+    a condition fails the query.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    prints = {f: _fingerprints(f, kinds[f]) for f in fields}
+    rows = df.where(F.col("condition").isin(*conditions)).select(
+        *keys, item, F.col("condition").alias("_cond"), outcome_code(STRATUM_METRICS).alias("_code"), "correct", "distractor",
+        *[F.when(F.col("valid"), h).alias(f"_{f}{i}") for f, both in prints.items() for i, h in enumerate(both)],
+    )
+    wide = rows.groupBy(*keys, item).agg(
+        F.max("correct").alias("correct"), F.max("distractor").alias("distractor"),
+        *[F.max(F.when(F.col("_cond") == c, F.col("_code"))).alias(f"c{k}") for k, c in enumerate(conditions)],
+        *[F.count_if(F.col("_cond") == c).alias(f"_n{k}") for k, c in enumerate(conditions)],
+        *[g(f"_{f}{i}").alias(f"_{n}_{f}{i}") for f in fields for i in (0, 1) for n, g in (("lo", F.min), ("hi", F.max))],
+    )
+    once = F.greatest(*[F.col(f"_n{k}") for k in range(len(conditions))], F.lit(0)) <= 1
+    text = F.concat(F.lit("duplicate item id "), F.col(item).cast("string"))
+    drift = [F.when((F.col(f"_lo_{f}0") != F.col(f"_hi_{f}0")) | (F.col(f"_lo_{f}1") != F.col(f"_hi_{f}1")), F.lit(f)) for f in fields]
+    changed = F.array_join(F.filter(F.array(*drift), lambda x: x.isNotNull()), ",") if fields else F.lit("")
+    codes = [require(F.col(f"c{k}"), once, text, "int").alias(f"c{k}") for k in range(len(conditions))]
+    return wide.select(*keys, item, "correct", "distractor", *codes, changed.alias("fields"))
+
+
+def stratum_histogram(
+    strata: DataFrame, conditions: int, keys: Sequence[str] = CELL, value: str = "target_probability"
+) -> DataFrame:
+    """Items per stratum and set of codes, with the range of the score: a few rows per cell, from which rates and
+    contrasts are summed."""
+    codes = [f"c{k}" for k in range(conditions)]
+    return strata.groupBy(*keys, "stratum", *codes).agg(F.count(F.lit(1)).alias("items"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+
+
+def metrics_of_histogram(histogram: DataFrame, conditions: Sequence[str], keys: Sequence[str] = CELL) -> DataFrame:
+    """What ``stratum_metrics`` gives of rows, from ``stratum_histogram``."""
+    cases = ", ".join(f"named_struct('condition', '{c}', 'code', c{k})" for k, c in enumerate(conditions))
+    rows = histogram.selectExpr(*keys, "stratum", "items", "_low", "_high", f"inline(array({cases}))").where("code is not null")
+
+    def count(bits: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.expr(bits), F.col("items"))), F.lit(0))
+
+    found = rows.groupBy(*keys, "condition", "stratum").agg(
+        F.sum("items").alias("stratum_n"), F.min("_low").alias("target_probability_min"), F.max("_high").alias("target_probability_max"),
+        count("code & 4 = 4").alias("cr_n"), F.try_divide(count("code & 12 = 12").cast("double"), count("code & 4 = 4")).alias("cr"),
+        count("code & 16 = 16").alias("hcr_n"), F.try_divide(count("code & 48 = 48").cast("double"), count("code & 16 = 16")).alias("hcr"),
+    )
+    return _all_strata(found, keys)
+
+
+def contrasts_of_histogram(
+    histogram: DataFrame, conditions: Sequence[str], contrasts: Sequence[tuple[str, str]], keys: Sequence[str] = CELL
+) -> DataFrame:
+    """Conformity contrasts per stratum, tested and adjusted, from ``stratum_histogram``."""
+    at = {c: f"shiftright(c{k}, 2) & 3" for k, c in enumerate(conditions)}
+    unknown = {c for pair in contrasts for c in pair} - set(at)
+    if unknown:
+        raise ValueError(f"contrast of a condition that is not compared: {sorted(unknown)}")
+    cases = ", ".join(
+        f"named_struct('contrast', {i}, 'condition1', '{a}', 'condition2', '{b}', 'code1', {at[a]}, 'code2', {at[b]})"
+        for i, (a, b) in enumerate(contrasts)
+    )
+    pairs = histogram.selectExpr(*keys, "stratum", "items", f"inline(array({cases}))")
+    counts = contrast_counts(pairs, CONFORMITY_ONLY, [*keys, "stratum", *CONTRAST], "items")
+    return holm_adjust(rates_and_test(counts), ("metric",), order=[*keys, "stratum", "contrast"])
+
+
 def stratum_sizes(strata: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     return strata.groupBy(*keys).agg(
         *[F.count_if(F.col("stratum") == s).alias(f"{s.lower()}_n") for s in ("Low", "Medium", "High")]
@@ -220,7 +294,11 @@ def stratum_metrics(rows: DataFrame, keys: Sequence[str] = CELL, value: str = "t
         F.count_if(right).alias("hcr_n"),
         F.avg(F.when(right, adopted)).alias("hcr"),
     )
-    # A stratum without items still gets its row: counts 0, rates and range null.
+    return _all_strata(found, keys)
+
+
+def _all_strata(found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A stratum without items still gets its row: counts 0, rates and range null."""
     names = [c for c in found.columns if c not in {*keys, "condition", "stratum"}]
     packed = found.groupBy(*keys, "condition").agg(
         F.map_from_entries(F.collect_list(F.struct("stratum", F.struct(*names).alias("s")))).alias("_m")

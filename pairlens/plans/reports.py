@@ -45,10 +45,9 @@ def paired_protocol(
 
 def _require_no_drift(df: DataFrame, contrasts: Sequence[tuple[str, str]]) -> None:
     """Items of both conditions of a contrast must agree in their audit fields; other conditions do not matter to it."""
-    for pair in contrasts:
-        drift = A.metadata_drift(df.where(F.col("condition").isin(*pair)), _audit_fields(df)).first()
-        if drift:
-            raise ValueError(f"metadata drift between {pair[0]} and {pair[1]}: {drift}")
+    drift = A.contrast_drift(df, contrasts, _audit_fields(df)).first()
+    if drift:
+        raise ValueError(f"metadata drift between {drift.condition1} and {drift.condition2}: {drift}")
 
 
 def _audit_fields(df: DataFrame) -> list[str]:
@@ -129,24 +128,26 @@ def tercile_report(
         broken = A.score_validate(scores).first()
         if broken:
             raise ValueError(f"score {broken.problem}: {broken.id}")
-    rows = df.where(F.col("condition").isin(*conditions))
-    drift = A.metadata_drift(rows, _audit_fields(df), valid_only=True).first()
+    items = settle(R.stratum_items(df, conditions, _audit_fields(df)), "stratum-items")
+    drift = items.where("fields <> ''").first()
     if drift:
         raise ValueError(f"metadata drift: {drift}")
-    items = settle(P.common_valid_items(df, conditions), "common")
+    common = items.where(" AND ".join(f"c{k} & 1 = 1" for k in range(len(conditions))))
     if {"correct_answer", "target_distractor"} <= set(scores.columns):
-        labels = rows.join(items, keys, "left_semi").groupBy(*keys).agg(F.max("correct").alias("correct"), F.max("distractor").alias("distractor"))
-        other = A.score_metadata_match(labels, scores, keys).where("problem <> 'missing score'").first()
+        other = A.score_metadata_match(common.select(*keys, "correct", "distractor"), scores, keys).where("problem <> 'missing score'").first()
         if other:
             raise ValueError(f"score of another item: {other}")
-    scored = settle(P.score_join(items, scores.select(*keys, "target_probability"), keys), "scored")
-    bounds = R.tercile_thresholds(scored)
-    strata = settle(R.assign_stratum(scored, bounds), "strata")
-    rows = df.where(F.col("condition").isin(*conditions)).join(strata, keys)
-    contrast = I.paired_contrast(rows, contrasts, M.CONFORMITY_ONLY, keys=(*P.CELL, "stratum"))
+    codes = [f"c{k}" for k in range(len(conditions))]
+    scored = settle(P.score_join(common.select(*keys, *codes), scores.select(*keys, "target_probability"), keys), "scored")
+    bounds = settle(R.tercile_thresholds(scored), "thresholds")
+    histogram = settle(R.stratum_histogram(R.assign_stratum(scored, bounds), len(conditions)), "strata")
+    sizes = histogram.groupBy(*P.CELL).agg(
+        *[F.coalesce(F.sum(F.when(F.col("stratum") == s, F.col("items"))), F.lit(0)).alias(f"{s.lower()}_n") for s in ("Low", "Medium", "High")]
+    )
+    contrast = R.contrasts_of_histogram(histogram, list(conditions), contrasts)
     return {
-        "thresholds": bounds.join(R.stratum_sizes(strata), list(P.CELL)),
-        "condition_metrics": R.stratum_metrics(rows),
+        "thresholds": bounds.join(sizes, list(P.CELL)),
+        "condition_metrics": R.metrics_of_histogram(histogram, list(conditions)),
         "contrasts": I.add_paired_ci(
             contrast, ("dataset", "model", "stratum", "condition1", "condition2"), reps=reps
         ),

@@ -487,3 +487,41 @@ def test_one_hot_cell_gives_the_same_rates_after_any_split(spark):
     assert one == many and found["target_adoption"].paired_n == 15_000
     assert found["target_adoption"].mcnemar_b == sum(a and not b for a, b in want)
     assert found["target_adoption"].mcnemar_c == sum(b and not a for a, b in want)
+
+
+def test_strata_take_one_exchange_of_response_rows(spark):
+    """Thresholds, rates and contrasts of a report derive from one row per item, and equal those of the rows."""
+    from pairlens.operators.inference import paired_contrast
+    from pairlens.operators.metrics import CONFORMITY_ONLY
+
+    df = frame(spark, range(60)).withColumns({"dataset": F.lit("d"), "model": F.lit("m")})
+    conditions = sorted(r[0] for r in df.select("condition").distinct().collect())[:2]
+    rows = df.where(F.col("condition").isin(*conditions))
+    items = R.stratum_items(df, conditions, ["correct", "distractor"])
+    plan = items._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    strata = items.select("dataset", "model", "id", *[f"c{k}" for k in range(2)]).withColumns({
+        "stratum": F.when(F.col("id").cast("int") % 2 == 0, "Low").otherwise("High"), "target_probability": F.col("id").cast("double") / 100})
+    histogram = R.stratum_histogram(strata, 2)
+    joined = rows.join(strata.select("dataset", "model", "id", "stratum", "target_probability"), ["dataset", "model", "id"])
+    order = ["condition", "stratum"]
+    valid = joined.where("valid")
+    assert sorted(map(str, R.metrics_of_histogram(histogram, conditions).select(*order, "cr_n", "cr", "hcr_n", "hcr").collect())) == sorted(
+        map(str, R.stratum_metrics(valid).select(*order, "cr_n", "cr", "hcr_n", "hcr").collect()))
+    pair = [(conditions[0], conditions[1])]
+    wide = ["stratum", "paired_n", "delta", "mcnemar_b", "mcnemar_c", "p_holm"]
+    assert sorted(map(str, R.contrasts_of_histogram(histogram, conditions, pair).select(*wide).collect())) == sorted(
+        map(str, paired_contrast(joined, pair, CONFORMITY_ONLY, keys=("dataset", "model", "stratum")).select(*wide).collect()))
+    with pytest.raises(ValueError, match="not compared"):
+        R.contrasts_of_histogram(histogram, conditions, [("none", conditions[0])])
+
+
+def test_drift_of_all_contrasts_in_one_pass(spark):
+    df = frame(spark, range(12)).withColumns({"dataset": F.lit("d"), "model": F.lit("m")})
+    a, b, *_ = sorted(r[0] for r in df.select("condition").distinct().collect())
+    bad = df.withColumn("correct", F.when((F.col("id") == "3") & (F.col("condition") == b), "Z").otherwise(F.col("correct")))
+    found = A.contrast_drift(bad, [(a, b), (a, a)], ["correct", "initial"])
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [(r.id, r.condition1, r.condition2, r.fields) for r in found.collect()] == [("3", a, b, "correct")]
+    one_sided = bad.where(f"NOT (id = '3' AND condition = '{a}')")
+    assert A.contrast_drift(one_sided, [(a, b)], ["correct"]).isEmpty()
