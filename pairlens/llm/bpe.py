@@ -4,7 +4,8 @@ A sequence of tokens is the encoding of its bytes exactly when each neighbouring
 So for every position of a byte stream there is one last token, found from the last tokens of at most ``longest`` earlier
 positions. Following these back from the last ``longest`` positions, all paths meet; tokens before that place can no longer
 change and leave. How far back they meet is bounded by a number computed from the merge list (``MergeTable.lookahead``),
-so pending bytes never exceed it, however long a run of letters or blanks is.
+so pending bytes never exceed it, however long a run of letters or blanks is. What a worker remembers between texts is
+bounded in bytes (``CACHES``).
 
 Decoding is a state machine from bytes to text that keeps at most three bytes of an unfinished character.
 """
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pairlens.llm.common import Memo, slices, strings
+from pairlens.llm.common import ByteMemo, slices, strings
 
 SPACE = r"\t-\r \x85\xa0  -     　"
 LETTER, NUMBER = r"\p{L}", r"\p{N}"
@@ -34,7 +35,11 @@ SAFE_CUT = regex.compile(rf"(?r)(?<=[^{SPACE}]) (?=[^{SPACE}])")
 BLANKS = frozenset(chr(c) for c in range(0x3001) if regex.match(f"[{SPACE}]", chr(c)))
 FEED = 1 << 16
 CACHED_KEY = 64
+#: Bytes of each cache of a worker, 374 MB together.
+CACHES = {"neighbours": 64 << 20, "steps": 40 << 20, "heads": 64 << 20, "first": 2 << 20, "after": 192 << 20, "words": 12 << 20}
 HEAD = 6
+#: Bytes of texts or ids that a worker answers at a time.
+SLICE = 4 << 20
 
 
 def _vocabulary(path: str) -> tuple[dict, dict[str, int], dict[bytes, int], dict[str, int]]:
@@ -59,14 +64,14 @@ class MergeTable:
             left, right = (ids[bytes(byte_of[c] for c in x)] for x in (pair if isinstance(pair, list) else pair.split(" ")))
             self.merges[left, right] = (rank, ids[self.bytes_of[left] + self.bytes_of[right]])
         self.lookahead = self._bound()
-        self.neighbours = Memo(self._may_follow, 250_000)
+        self.neighbours = ByteMemo(self._may_follow, CACHES["neighbours"])
         # only tokens that are the encoding of their own bytes can occur
         self._proper = {piece: i for piece, i in ids.items() if self.merged(piece) == [i]}
         self.longest = max(map(len, self._proper))
         self.size_of = {i: len(piece) for piece, i in self._proper.items()}
         self._heads = {piece[:k] for piece in self._proper for k in range(1, len(piece) + 1)}
         self._names, self._numbers = [b""], {b"": 0}
-        self.steps = Memo(self._step, 200_000)
+        self.steps = ByteMemo(self._step, CACHES["steps"])
 
     def _may_follow(self, pair: int) -> bool:
         left, right = pair >> 20, pair & 0xFFFFF
@@ -121,7 +126,7 @@ class Transducer:
 
     def __init__(self, table: MergeTable):
         self._table = table
-        self._heads = Memo(self._after_head, 60_000)
+        self._heads = ByteMemo(self._after_head, CACHES["heads"])
         self._reset()
 
     def _reset(self) -> None:
@@ -209,9 +214,9 @@ class Encoder:
         self._table, self._most = table, most
         self._open = Transducer(table)
         self._short = Transducer(table)
-        self._first = Memo(self._chunk, 10_000)
-        self._after = Memo(self._spaced, 300_000)
-        self._words = Memo(self._pretoken, 30_000)
+        self._first = ByteMemo(self._chunk, CACHES["first"])
+        self._after = ByteMemo(self._spaced, CACHES["after"])
+        self._words = ByteMemo(self._pretoken, CACHES["words"])
         added = sorted(table.added, key=len, reverse=True)
         self._added = regex.compile("|".join(map(regex.escape, added))) if added else None
         self._starts = {a[:k] for a in added for k in range(1, len(a))}
@@ -294,7 +299,7 @@ class Encoder:
             return [self._pretoken(w) for w in WORDS.findall(text)]
 
     @staticmethod
-    def _look(memo: Memo, chunk: str) -> bytes:
+    def _look(memo: ByteMemo, chunk: str) -> bytes:
         return memo[chunk] if len(chunk) <= CACHED_KEY else memo.fn(chunk)
 
     def _spaced(self, body: str) -> bytes:
@@ -355,23 +360,33 @@ def _decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
-def encode(documents: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.zeros(len(values) + 1, dtype=np.int32)
+    np.cumsum([len(v) for v in values], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, "<i4")))
+
+
+def _text(decoder: Decoder, ids: np.ndarray) -> str:
+    return "".join([decoder.feed(ids[at : at + FEED]) for at in range(0, len(ids), FEED)]) + decoder.finish()
+
+
+def encode(documents: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Replace column ``text`` by ``ids`` (array of int), all other columns kept.
 
     Ids are those of the tokenizers library for the same file without added special tokens. A null or empty text gives an
-    empty array. A column already named ``ids`` is replaced.
+    empty array. A column already named ``ids`` is replaced. With ``decoded`` the ids are decoded again at once, into a
+    column of that name, so that a task needs one worker for the way there and back.
     """
-    kept = [c for c in documents.columns if c not in (text, ids)]
-    schema = T.StructType([documents.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+    made = [ids] + ([decoded] if decoded else [])
+    kept = [c for c in documents.columns if c not in (text, *made)]
+    schema = T.StructType([documents.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False))] + [T.StructField(c, T.StringType()) for c in made[1:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
-        for batch in slices(batches, text):
+        encoder, decoder = _encoder(path), _decoder(path) if decoded else None
+        for batch in slices(batches, text, SLICE):
             values = [encoder.encode(t) if t else np.zeros(0, "<i4") for t in strings(batch, text)]
-            offsets = np.zeros(len(values) + 1, dtype=np.int32)
-            np.cumsum([len(v) for v in values], out=offsets[1:])
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, "<i4")))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists], names=[*kept, ids])
+            back = [pa.array([_text(decoder, v) for v in values], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), _lists(values), *back], names=[*kept, *made])
 
     return documents.select(*kept, text).mapInArrow(run, schema)
 
@@ -383,11 +398,9 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _decoder(path)
-        for batch in slices(batches, ids):
-            texts = []
-            for values in batch.column(ids):
-                part = values.values
-                texts.append("" if part is None else "".join([decoder.feed(part.slice(at, FEED).to_numpy(zero_copy_only=False)) for at in range(0, len(part), FEED)]) + decoder.finish())
+        for batch in slices(batches, ids, SLICE):
+            parts = [v.values for v in batch.column(ids)]
+            texts = ["" if part is None else _text(decoder, part.to_numpy(zero_copy_only=False)) for part in parts]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, text])
 
     return encoded.select(*kept, ids).mapInArrow(run, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairlens.session import settle
 
-__all__ = ["blobs", "held_out", "read", "settle", "shuffle_width", "slices", "strings"]
+__all__ = ["ByteMemo", "blobs", "held_out", "read", "settle", "shuffle_width", "slices", "strings"]
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,3 +65,30 @@ class Memo(dict):
             self.clear()
         self[key] = value
         return value
+
+
+class ByteMemo(dict):
+    """A cache of a pure function bounded in bytes, in two generations as ``Memo``: each holds half of ``most`` at most.
+
+    An entry counts with its key, its value, what a tuple as value holds, and a share of the table. Results never depend
+    on it.
+    """
+
+    def __init__(self, fn: Callable, most: int):
+        super().__init__()
+        self.fn, self._most, self._old, self._held = fn, most // 2, {}, 0
+
+    def __missing__(self, key):
+        value = self._old.get(key)
+        if value is None:
+            value = self.fn(key)
+        size = 120 + getsizeof(key) + getsizeof(value)
+        if type(value) is tuple:
+            size += sum(map(getsizeof, value)) + sum(getsizeof(x) for v in value if type(v) is tuple for x in v)
+        if self._held + size > self._most:
+            self._old = dict(self)
+            self.clear()
+            self._held = 0
+        self._held += size
+        self[key] = value
+        return value

@@ -42,10 +42,9 @@ def op7_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_streaming_transducer(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the token ids and of the decoded text of every document."""
-    encoded = bpe.encode(read(spark, folder, "documents").select("doc_id", "text"), TOKENIZER)
-    digested = encoded.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("ids_sha256", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256))
-    decoded = bpe.decode(digested, TOKENIZER)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    coded = bpe.encode(read(spark, folder, "documents").select("doc_id", "text"), TOKENIZER, decoded="decoded")
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query

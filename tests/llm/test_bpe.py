@@ -97,3 +97,25 @@ def test_tables(spark, reference):
     assert sorted((str(r.doc_id), r.text) for r in back.collect()) == sorted((str(k), t or "") for k, t, _ in rows)
     assert bpe.encode(spark.createDataFrame([], "doc_id long, text string"), TOKENIZER).collect() == []
     assert bpe.decode(spark.createDataFrame([(1, None)], "a long, ids array<int>"), TOKENIZER).collect() == [(1, "")]
+
+
+def test_caches_are_bounded_in_bytes(monkeypatch):
+    from pairlens.llm.common import ByteMemo
+
+    memo = ByteMemo(lambda k: (k, (k, k + 1)), 100_000)
+    assert all(memo[i] == (i, (i, i + 1)) for i in range(5000)) and all(memo[i][0] == i for i in range(5000))
+    assert len(memo) + len(memo._old) < 100_000 / 120
+    table = bpe.MergeTable(TOKENIZER)
+    text = " ".join(f"w{i * 7919 % 100_003} {chr(97 + i % 26) * (i % 9)}{i}" for i in range(3000))
+    whole = bpe.Encoder(table).encode(text).tolist()
+    monkeypatch.setattr(bpe, "CACHES", dict.fromkeys(bpe.CACHES, 4000))
+    assert bpe.Encoder(bpe.MergeTable(TOKENIZER)).encode(text).tolist() == whole
+
+
+def test_there_and_back_in_one_pass(spark):
+    texts = [None, "", "plain words", "naïve 🙂 <|endoftext|> x", "a\n\n  b " * 2000]
+    table = spark.createDataFrame([(i, t, i, "old") for i, t in enumerate(texts)], "doc_id long, text string, other int, decoded string")
+    rows = {r.doc_id: r for r in bpe.encode(table, TOKENIZER, decoded="decoded").collect()}
+    apart = {r.doc_id: r for r in bpe.decode(bpe.encode(table.drop("decoded"), TOKENIZER), TOKENIZER).collect()}
+    for i, t in enumerate(texts):
+        assert rows[i].decoded == apart[i].text == (t or "") and rows[i].other == i
