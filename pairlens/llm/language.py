@@ -3,10 +3,12 @@
 A model sees letter runs in lower case with a blank on either side. N-grams of each order lie in one sorted array of
 64-bit hashes for all languages, with a row of log-probabilities (a column per language) beside each; what an order lacks
 falls to the next one with the back-off weight of its context. A document's cross-entropy per character is a sum over its
-words, so a word is scored once and then found in a bounded cache.
+words, so a word is scored once and then found in a bounded cache; words too long for it, and texts too long to be split at
+once, are scored in pieces that overlap by the context of a letter.
 
 The model is fitted on a bounded sample of labelled rows (``Settings.fit_rows`` a language, taken by hash), which bounds
-the arrays that every task gets; all documents are scored whole. Rejection is calibrated on other labelled rows.
+the arrays that every task gets; all documents are scored whole. Rejection is calibrated on other labelled rows, of which
+those count that are predicted as labelled, by medians, so that a few wrong labels do not move it.
 """
 
 from __future__ import annotations
@@ -24,20 +26,34 @@ from pyspark.sql import types as T
 from pairlens.llm.common import settle, slices, strings
 
 LETTERS = regex.compile(r"\p{L}+")
-CACHED_WORDS = 500_000
+#: Words that a task remembers, and characters of the longest of them: some 60 MB at most.
+CACHED_WORDS, CACHED_CHARACTERS = 150_000, 64
+#: Characters that are split and scored at a time; a position to predict takes some 165 bytes.
+PIECE = 1 << 17
+LAST_BLANK = regex.compile(r"(?r)\s")
+LAST_OTHER = regex.compile(r"(?r)\P{L}")
+OPEN_RUN = regex.compile(r"\p{L}*$")
 _M1, _M2, _ODD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 BLANK = 32
 UNKNOWN = "und"
+#: Letters before a piece that it is scored with; n-grams are no longer.
+CONTEXT = 16
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``fit_rows`` and ``calibrate_rows`` bound the labelled rows used for a language (in expectation, taken by hash)."""
+    """``fit_rows`` and ``calibrate_rows`` bound the labelled rows used for a language (in expectation, taken by hash).
+
+    A text may lie above its language's mean entropy by ``gap_share`` of what other languages usually lie above it
+    (``least_slack`` nats where there is no other), and by ``sigmas`` standard errors of its length.
+    """
 
     order: int = 4
     fit_rows: int = 2000
     calibrate_rows: int = 500
-    least_sigmas: float = 6.0
+    sigmas: float = 6.0
+    gap_share: float = 0.5
+    least_slack: float = 1.0
 
 
 @dataclass
@@ -56,8 +72,8 @@ class Model:
     orders: list[Grams]
     floor: float
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    slack: np.ndarray = field(default_factory=lambda: np.zeros(0))
     spread: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    sigmas: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -104,41 +120,67 @@ class _Scorer:
 
     def documents(self, texts: list[str | None]) -> np.ndarray:
         """Per text: log-probability under each language, then the number of predicted characters."""
-        if len(self._index) > CACHED_WORDS:
-            self._index.clear()
-        index, fresh, found = self._index, [], []
-        for text in texts:
-            chunks = (text or "").split()
-            known = list(map(index.get, chunks))
-            if None in known:
-                for i, at in enumerate(known):
+        sums = np.zeros((len(texts), self._rows.shape[1]))
+        for i, text in enumerate(texts):
+            for words, long in _pieces(text or ""):
+                if long is not None:
+                    sums[i] += self._long(*long)
+                else:
+                    sums[i] += self._known(words)
+        return sums
+
+    def _known(self, words: list[str]) -> np.ndarray:
+        index = self._index
+        found = list(map(index.get, words))
+        fresh = []
+        if None in found:
+            if len(index) > CACHED_WORDS:
+                index.clear()
+                found = [None] * len(words)
+            for i, at in enumerate(found):
+                if at is None:
+                    word = words[i]
+                    at = index.get(word)
                     if at is None:
-                        chunk = chunks[i]
-                        at = index.get(chunk)
-                        if at is None:
-                            at = index[chunk] = len(index)
-                            fresh.append(chunk)
-                        known[i] = at
-            found.append(np.array(known, dtype=np.int64))
-        if fresh:
+                        at = index[word] = len(index)
+                        fresh.append(word)
+                    found[i] = at
             while len(index) > len(self._rows):
                 self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
-            for at in range(0, len(fresh), 20_000):
-                low = len(index) - len(fresh) + at
-                part = fresh[at : at + 20_000]
-                self._rows[low : low + len(part)] = self._score(part)
-        return np.array([self._rows[f].sum(axis=0) for f in found]).reshape(len(texts), self._rows.shape[1])
+            low = len(index) - len(fresh)
+            self._rows[low : len(index)] = self._score(fresh)
+        return self._rows[found].sum(axis=0) if found else 0.0
+
+    def _long(self, text: str, before: str, open_end: bool) -> np.ndarray:
+        """A piece of a text: what comes before it is context; with an open end its last run goes on."""
+        out = np.zeros(self._rows.shape[1])
+        context = OPEN_RUN.search(before.lower())[0]
+        runs = _letter_runs(context + text)
+        if runs:
+            run, known, total = self._positions(runs)
+            use = (run > 0) | (known > len(context))
+            if open_end and LETTERS.match(text.lower()[-1]):
+                use[-1] = False
+            out[:-1], out[-1] = total[use].sum(axis=0), use.sum()
+        return out
 
     def _score(self, chunks: list[str]) -> np.ndarray:
-        model, order = self._model, len(self._model.orders)
+        out = np.zeros((len(chunks), len(self._model.languages) + 1))
         owner, runs = [], []
         for i, chunk in enumerate(chunks):
             for r in _letter_runs(chunk):
                 owner.append(i)
                 runs.append(r)
-        out = np.zeros((len(chunks), len(model.languages) + 1))
-        if not runs:
-            return out
+        if runs:
+            run, _, total = self._positions(runs)
+            whose = np.array(owner)[run]
+            np.add.at(out[:, :-1], whose, total)
+            out[:, -1] = np.bincount(whose, minlength=len(chunks))
+        return out
+
+    def _positions(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each position to predict: its run, the characters known before it, its log-probability under each language."""
+        model, order = self._model, len(self._model.orders)
         run, known, hashes = _grams(runs, order)
         total = np.zeros((len(run), len(model.languages)))
         todo = np.arange(len(run))
@@ -155,10 +197,37 @@ class _Scorer:
             else:
                 total[use] += model.floor
             todo = np.concatenate([use, rest])
-        whose = np.array(owner)[run]
-        np.add.at(out[:, :-1], whose, total)
-        out[:, -1] = np.bincount(whose, minlength=len(chunks))
-        return out
+        return run, known, total
+
+
+def _pieces(text: str) -> Iterator[tuple[list[str], tuple[str, str, bool] | None]]:
+    """A text as lists of words to look up, and as pieces ``(text, context before, goes on)`` where words are long."""
+    at = 0
+    while at < len(text):
+        end = min(at + PIECE, len(text))
+        if end < len(text):
+            blank = LAST_BLANK.search(text, at, end)
+            end = blank.end() if blank else end
+        words = text[at:end].split()
+        long = [w for w in words if len(w) > CACHED_CHARACTERS]
+        if end < len(text) and not text[end - 1].isspace():
+            # no blank in all of the piece: it is cut behind its last character that is no letter, or within a run
+            before = ""
+            while True:
+                other = LAST_OTHER.search(text, at, end) if end < len(text) else None
+                cut = other.end() if other else end
+                goes_on = cut < len(text) and not other
+                yield [], (text[at:cut], before, goes_on)
+                before = text[max(at, cut - CONTEXT) : cut] if goes_on else ""
+                at = cut
+                end = min(at + PIECE, len(text))
+                if at >= len(text) or not goes_on:
+                    break
+            continue
+        yield [w for w in words if len(w) <= CACHED_CHARACTERS], None
+        for word in long:
+            yield [], (word, "", False)
+        at = end
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +244,8 @@ def _draw(labelled: DataFrame, settings: Settings) -> DataFrame:
     # a row per language, as the model has a column for each; texts stay where they are
     drawn = labelled.join(F.broadcast(sizes), "lang").withColumn("spot", spot)
     share = settings.calibrate_rows / (settings.fit_rows + settings.calibrate_rows)
-    cut = F.least(F.lit(float(settings.calibrate_rows)), F.col("n") * share)
+    # in whole rows, so that the first few rows of a language are for fitting
+    cut = F.floor(F.least(F.lit(float(settings.calibrate_rows)), F.col("n") * share))
     use = F.when(F.col("spot") < cut, "calibrate").when(F.col("spot") < settings.fit_rows + settings.calibrate_rows, "fit")
     return drawn.withColumn("use", use).where("use is not null").select("lang", "text", "use")
 
@@ -267,24 +337,50 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     if not languages:
         return Model([], [], 0.0)
     model = _estimate(rows, languages, settings.order)
-    checked = _entropies(sample.where("use = 'calibrate'"), model).where("length > 0").select("lang", "length", *(F.col("entropies")[i].alias(f"e{i}") for i in range(len(languages)))).toPandas()
-    means, spreads, sigmas = [], [], []
-    for i, name in enumerate(languages):
-        own = checked[checked["lang"] == name]
-        entropy, root = own[f"e{i}"].to_numpy(dtype=float), np.sqrt(own["length"].to_numpy(dtype=float))
-        mean = float(np.average(entropy, weights=root**2)) if len(own) else 0.0
-        away = (entropy - mean) * root
-        spread = float(np.sqrt(np.mean(away**2))) if len(own) else np.inf
-        means.append(mean)
-        spreads.append(max(spread, 1e-6))
-        sigmas.append(max(settings.least_sigmas, 1.5 * float(np.max(away / max(spread, 1e-6)))) if len(own) else np.inf)
-    model.mean, model.spread, model.sigmas = np.array(means), np.array(spreads), np.array(sigmas)
+    _calibrate(model, sample, settings)
     return model
 
 
-def _entropies(rows: DataFrame, model: Model) -> DataFrame:
-    """Add ``length`` (predicted characters) and ``entropies`` (nats per character and language); ``text`` is dropped."""
-    kept = [c for c in rows.columns if c not in ("text", "length", "entropies")]
+def _calibrate(model: Model, sample: DataFrame, settings: Settings) -> None:
+    """Mean entropy, allowed distance from it and spread by length, a language each.
+
+    Only rows predicted as labelled count, and of these medians. A language without such rows gets the values of all
+    others together; where no language has any, the rows that the model was fitted on serve.
+    """
+    wide = len(model.languages)
+
+    def judged(use: str):
+        rows = _entropies(sample.where(F.col("use") == use), model).where("length > 0").toPandas()
+        entropies = np.array(rows["entropies"].tolist(), dtype=float).reshape(-1, wide)
+        own = rows["lang"].map({name: i for i, name in enumerate(model.languages)}).to_numpy(dtype=float) == entropies.argmin(axis=1)
+        return entropies[own], rows["length"].to_numpy(dtype=float)[own]
+
+    entropies, length = judged("calibrate")
+    if not len(length):
+        entropies, length = judged("fit")
+    if not len(length):
+        model.mean, model.slack, model.spread = np.zeros(wide), np.full(wide, np.inf), np.full(wide, 1.0)
+        return
+    best, chosen = entropies.min(axis=1), entropies.argmin(axis=1)
+    others = np.sort(entropies, axis=1)
+
+    def values(at: np.ndarray) -> tuple[float, float, float]:
+        order = np.argsort(best[at])
+        share = np.cumsum(length[at][order]) / length[at].sum()
+        mean = float(best[at][order][min(np.searchsorted(share, 0.5), len(order) - 1)])
+        gap = float(np.median(others[at, 1] - others[at, 0])) if wide > 1 else 0.0
+        away = (best[at] - mean) * np.sqrt(length[at])
+        spread = 1.4826 * float(np.median(np.abs(away)))
+        return mean, max(settings.least_slack, settings.gap_share * gap), settings.sigmas * max(spread, 1e-6)
+
+    every = np.arange(len(best))
+    found = [values(np.flatnonzero(chosen == i)) if (chosen == i).any() else values(every) for i in range(wide)]
+    model.mean, model.slack, model.spread = (np.array(v) for v in zip(*found, strict=True))
+
+
+def _entropies(rows: DataFrame, model: Model, give_text: bool = False) -> DataFrame:
+    """Add ``length`` (predicted characters) and ``entropies`` (nats per character and language); the text is not given back unless asked for."""
+    kept = [c for c in rows.columns if c not in ("length", "entropies") and (give_text or c != "text")]
     schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField("length", T.LongType()), T.StructField("entropies", T.ArrayType(T.DoubleType(), False))])
     shared = rows.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample
 
@@ -297,7 +393,7 @@ def _entropies(rows: DataFrame, model: Model) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * wide), pa.array(entropy.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(length.astype(np.int64)), lists], names=[*kept, "length", "entropies"])
 
-    return rows.select(*kept, "text").mapInArrow(run, schema)
+    return rows.select(*kept, *(["text"] if not give_text else [])).mapInArrow(run, schema)
 
 
 def identify(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -306,10 +402,11 @@ def identify(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_i
     ``lang_pred`` is the language of lowest cross-entropy per character (ties: the first by name), ``und`` where the text
     is null or has no letter or the model knows no language. ``score`` is the chosen language's share under the
     entropies of at most 50 characters, 0 for ``und``. Rejected are ``und`` and texts whose entropy lies further above
-    their language's mean than any calibration row by half (six standard errors at least; longer texts are held to less).
+    their language's usual one than allowed by ``Settings``. ``keep`` may name ``text``, which then comes back from the
+    workers and is not sent twice.
     """
     wide = len(model.languages)
-    scored = _entropies(documents.select(*keep, "text"), model)
+    scored = _entropies(documents.select(*keep, *(["text"] if "text" not in keep else [])), model, "text" in keep)
     known = (F.col("length") > 0) & F.lit(wide > 0)
     best = F.array_min("entropies")
     names = F.array(*map(F.lit, model.languages)) if wide else F.array(F.lit(UNKNOWN))
@@ -317,8 +414,8 @@ def identify(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_i
     share = 1 / F.aggregate("entropies", F.lit(0.0), lambda s, e: s + F.exp((best - e) * F.least("length", F.lit(50))))
     rejected = F.lit(False)
     if wide:
-        mean, spread, sigmas = (F.array(*(F.lit(float(v)) for v in values))[at - 1] for values in (model.mean, model.spread, model.sigmas))
-        rejected = F.coalesce((best - mean) * F.sqrt("length") > spread * sigmas, F.lit(False))
+        mean, slack, spread = (F.array(*(F.lit(float(v)) for v in values))[at - 1] for values in (model.mean, model.slack, model.spread))
+        rejected = F.coalesce(best - mean > slack + spread / F.sqrt("length"), F.lit(False))
     return scored.select(
         *keep,
         F.when(known, F.element_at(names, at)).otherwise(UNKNOWN).alias("lang_pred"),

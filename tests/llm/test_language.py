@@ -108,3 +108,68 @@ def test_the_sample_is_bounded(spark):
     drawn = language._draw(table, language.Settings(fit_rows=400, calibrate_rows=100)).groupBy("lang", "use").count().collect()
     sizes = {(r.lang, r.use): r["count"] for r in drawn}
     assert 300 < sizes["bb", "fit"] < 500 and 60 < sizes["bb", "calibrate"] < 140 and 300 < sizes["aa", "fit"] < 500
+
+
+def test_long_texts_and_words_are_scored_as_whole(spark, monkeypatch):
+    settings = language.Settings(order=3, fit_rows=100, calibrate_rows=0)
+    table = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(TRAIN)], "doc_id long, text string, lang string")
+    model = language.fit(table, settings)
+    texts = ["abba cd " * 50, "ab" * 333, "abcd," * 100 + "dc" * 90, "x" * 30 + " " + "cd" * 200 + "-ab ba", " " * 100 + "b" * 70, "ab.cd" * 60 + "\n" + "a" * 41, "\u0130ab" * 50]
+    whole = np.concatenate([language._Scorer(model)._score([t]) for t in texts])
+    for piece in (1 << 17, 64, 41, 20):
+        monkeypatch.setattr(language, "PIECE", piece)
+        got = language._Scorer(model).documents(texts)
+        assert got[:, -1].tolist() == whole[:, -1].tolist()
+        assert np.allclose(got, whole)
+
+
+FINNISH = [
+    "T\u00e4m\u00e4 on suomenkielinen lause joka kertoo talosta ja pihasta sek\u00e4 koirasta",
+    "S\u00e4\u00e4 on kylm\u00e4 ja lunta sataa paljon talvella pohjoisessa kaupungissa",
+    "Huomenna menemme kauppaan ostamaan leip\u00e4\u00e4 ja maitoa lapsille",
+]
+
+
+def _sentences(words, n, seed):
+    rng = np.random.default_rng(seed)
+    return [" ".join(rng.choice(words.split(), 14)) for _ in range(n)]
+
+
+def test_a_few_wrong_labels_do_not_open_the_gate(spark):
+    german = _sentences("der die das Hund Katze Haus nicht ist sind im auf und mit einer Stra\u00dfe gehen wir heute sch\u00f6n Wetter Garten", 600, 1)
+    english = _sentences("the a dog cat house not is are in on and with street we go today nice weather garden this that there", 600, 2)
+    clean = [(i, t, "de") for i, t in enumerate(german)] + [(1000 + i, t, "en") for i, t in enumerate(english)]
+    wrong = [(2000 + i, FINNISH[i % 3], ("de", "en")[i % 2]) for i in range(12)]
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(FINNISH + german[:50] + english[:50])], "doc_id long, text string")
+    for rows in (clean, clean + wrong):
+        model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), language.Settings(fit_rows=400))
+        got = {r.doc_id: r for r in language.identify(asked, model).collect()}
+        assert not any(got[i].rejected for i in range(3, 103))
+        if rows is clean:
+            assert all(got[i].rejected for i in range(3))
+    # the wrong labels are learned from; unlike text is still turned away
+    other = spark.createDataFrame([(1, "zxqj wvkq xqzw jkvx " * 4), (2, "N\u00e3o h\u00e1 d\u00favida que amanh\u00e3 far\u00e1 muito calor l\u00e1 fora, ent\u00e3o ficaremos c\u00e1")], "doc_id long, text string")
+    assert all(r.rejected for r in language.identify(other, model).collect())
+
+
+def test_a_language_with_one_row(spark):
+    english = _sentences("the a dog cat house not is are in on and with street we go today nice weather garden this that there", 300, 2)
+    rows = [(i, t, "en") for i, t in enumerate(english)] + [(900, "zo gaat het hier altijd weer verder", "nl")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["en", "nl"] and np.isfinite(model.slack).all() and np.isfinite(model.spread).all()
+    asked = spark.createDataFrame([(1, "qxzv wkjq zzxq vvkx jqqz " * 5), (2, english[0])], "doc_id long, text string")
+    got = {r.doc_id: r for r in language.identify(asked, model).collect()}
+    assert got[1].rejected and not got[2].rejected
+
+
+def test_a_long_unbroken_text_takes_bounded_memory():
+    import tracemalloc
+
+    model = language.Model(["a", "b"], [language.Grams(np.zeros(0, np.uint64), np.zeros((0, 2)), np.zeros(0, np.uint64), np.zeros((0, 2))) for _ in range(4)], -5.0)
+    text = "qwertzuiop" * 500_000
+    tracemalloc.start()
+    sums = language._Scorer(model).documents([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sums[0, -1] == len(text) + 1
+    assert peak < 100 << 20
