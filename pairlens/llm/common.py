@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from sys import getsizeof
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pairlens.session import settle
 
-__all__ = ["ByteMemo", "blobs", "held_out", "read", "settle", "shuffle_width", "slices", "strings"]
+__all__ = ["ByteMemo", "blobs", "held_out", "read", "released", "settle", "shuffle_width", "slices", "strings"]
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +39,31 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(start, step)
 
 
+def _give_back() -> None:
+    """Memory that is free in this worker goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library; its own rules hold
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` after which, and before which, its worker holds no more than it uses.
+
+    Workers live on between tasks and stages; what a task freed would otherwise count for the next one as well.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_back()
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return task
+
+
 def blobs(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
     """A text column as UTF-8 bytes."""
     return batch.column(column).cast(pa.binary()).to_pylist()

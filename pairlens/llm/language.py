@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlens.llm.common import settle, slices, strings
+from pairlens.llm.common import released, settle, slices, strings
 
 LETTERS = regex.compile(r"\p{L}+")
 #: Words that a task remembers, and characters of the longest of them: some 60 MB at most.
@@ -393,7 +393,7 @@ def _entropies(rows: DataFrame, model: Model, give_text: bool = False) -> DataFr
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * wide), pa.array(entropy.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(length.astype(np.int64)), lists], names=[*kept, "length", "entropies"])
 
-    return rows.select(*kept, *(["text"] if not give_text else [])).mapInArrow(run, schema)
+    return rows.select(*kept, *(["text"] if not give_text else [])).mapInArrow(released(run), schema)
 
 
 def identify(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlens.llm.common import Memo, blobs, settle, shuffle_width, slices
+from pairlens.llm.common import ByteMemo, blobs, released, settle, shuffle_width, slices
 from pairlens.llm.components import components
 
 BINS = 1 << 20
 SEED = 20_240_607
 BLOCK = 256
+#: Bytes of a task's cache of word hashes.
+WORD_BYTES = 64 << 20
 SKETCH_SCHEMA = "doc_id long, n_shingles long, key binary, bands array<long>"
 SET_SCHEMA = "doc_id long, key binary, shingles array<long>"
 LINK_SCHEMA = "src binary, dst binary"
@@ -46,7 +48,7 @@ class Shingler:
     """Sets of word shingles as sorted 64-bit hashes."""
 
     def __init__(self, size: int):
-        self._size, self._words = size, Memo(xxhash.xxh3_64_intdigest)
+        self._size, self._words = size, ByteMemo(xxhash.xxh3_64_intdigest, WORD_BYTES)
         self._odd = np.random.default_rng(SEED).integers(1, 1 << 63, size + 1, dtype=np.uint64) | np.uint64(1)
 
     def __call__(self, text: bytes | None) -> np.ndarray:
@@ -118,7 +120,7 @@ def sketch(documents: DataFrame, size: int = 3, bands: int = 24, rows: int = 5)
                 names=["doc_id", "n_shingles", "key", "bands"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, SKETCH_SCHEMA)
+    return documents.select("doc_id", "text").mapInArrow(released(run), SKETCH_SCHEMA)
 
 
 def shingle_sets(documents: DataFrame, size: int) -> DataFrame:
@@ -134,7 +136,7 @@ def shingle_sets(documents: DataFrame, size: int) -> DataFrame:
                 names=["doc_id", "key", "shingles"],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, SET_SCHEMA)
+    return documents.select("doc_id", "text").mapInArrow(released(run), SET_SCHEMA)
 
 
 def with_keys(rows: DataFrame, size: int) -> DataFrame:
@@ -148,7 +150,7 @@ def with_keys(rows: DataFrame, size: int) -> DataFrame:
             sets = [shingle(t) for t in blobs(batch)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())], names=[*kept, "key"])
 
-    return rows.select(*kept, "text").mapInArrow(run, schema)
+    return rows.select(*kept, "text").mapInArrow(released(run), schema)
 
 
 def _arrays(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
@@ -189,7 +191,7 @@ def _star_links(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame
                     found.append((hub, key))
             yield _links(found)
 
-    return ordered.mapInArrow(run, LINK_SCHEMA)
+    return ordered.mapInArrow(released(run), LINK_SCHEMA)
 
 
 def _joining_links(keys: list[bytes], roots: list[bytes], sides: list[int], values: list[np.ndarray], cross: bool, least: Fraction) -> list[tuple[bytes, bytes]]:
@@ -274,7 +276,7 @@ def _block_links(rest: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame
         if held:
             yield _links(_joining_links(*map(list, zip(*held, strict=True)), at[1] != at[2], least))
 
-    return rows.mapInArrow(run, LINK_SCHEMA)
+    return rows.mapInArrow(released(run), LINK_SCHEMA)
 
 
 def near_duplicates(documents: DataFrame, size: int = 3, least: Fraction = Fraction(85, 100), bands: int = 24, rows: int = 5) -> DataFrame:
