@@ -62,7 +62,9 @@ def _rows(kept: DataFrame, docs: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language is not recognised; models are learned from the rows with a language."""
     model = language.fit(docs)
-    return _rows(language.identify(_whole(docs), model, keep=("row",)).where("not rejected"), docs)
+    beside = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), "text")
+    kept = language.identify(beside, model, keep=("row", "text")).where("not rejected")
+    return kept.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 @_stage
