@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from pairlens.llm.common import ByteMemo, blobs, released, settle, shuffle_width, slices
 from pairlens.llm.components import components
+from pairlens.session import remove
 
 BINS = 1 << 20
 SEED = 20_240_607
@@ -279,6 +280,13 @@ def _block_links(rest: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame
     return rows.mapInArrow(released(run), LINK_SCHEMA)
 
 
+def _spent(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            remove(table.sparkSession, folder)
+
+
 def near_duplicates(documents: DataFrame, size: int = 3, least: Fraction = Fraction(85, 100), bands: int = 24, rows: int = 5) -> DataFrame:
     """Group documents whose shingle sets have a Jaccard likeness of ``least`` or more, over chains of links.
 
@@ -299,6 +307,7 @@ def near_duplicates(documents: DataFrame, size: int = 3, least: Fraction = Fract
     ranked = shared.join(central, "key")
     hubs = settle(ranked.groupBy("bucket").agg(F.max(F.struct("weight", "key")).getField("key").alias("hub")), "minhash-hub")
     placed = settle(shared.join(hubs, "bucket"), "minhash-hubs")
+    _spent(spread, counts, shared, hubs)
     pairs = settle(placed.where("key <> hub").select("hub", "key").distinct(), "minhash-pairs")
 
     wanted = settle(classes.select("key", "least_id").join(placed.select("key").distinct(), "key"), "minhash-wanted")
@@ -313,6 +322,7 @@ def near_duplicates(documents: DataFrame, size: int = 3, least: Fraction = Fract
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
     mixed = settle(mixed.select("bucket", F.col("top.root").alias("main"), F.col("top.n").alias("n_main"), (F.col("n") - F.col("top.n")).alias("n_other")), "minhash-mixed")
     more = settle(_block_links(rest.join(mixed, "bucket"), sets, least), "minhash-more")
+    _spent(placed, pairs, rest, mixed, wanted, sets)
     groups = components(star.union(more), "minhash-groups")
 
     named = classes.select("key", "least_id").join(groups.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
