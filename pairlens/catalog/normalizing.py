@@ -427,6 +427,34 @@ def _(spark, folder):
     return A.peer_signal_audit(rows).select("id", "problem")
 
 
+_DEVIATES = "k % 12 IN (1, 2, 3, 5, 6)"
+
+
+# Recorded messages lack a peer, have two swapped, one reworded, one with another role or one too many.
+@query("peer_message_audit", f"""
+SELECT id, CASE k % 12 WHEN 1 THEN 6 WHEN 2 THEN 5 WHEN 3 THEN 4 WHEN 5 THEN 7 ELSE 10 END::INT AS position,
+  CASE k % 12 WHEN 1 THEN 'missing' WHEN 2 THEN 'swapped' WHEN 3 THEN 'reworded' WHEN 5 THEN 'role' ELSE 'added' END AS problem
+FROM responses WHERE n = 1 AND {_DEVIATES}""", ("responses",))
+def _(spark, folder):
+    kind = F.col("k") % 12
+    start = F.array(M.message("system", F.lit("s")), M.message("user", F.col("question")))
+    ctx = M.context(start, F.concat(F.lit("ANSWER: "), F.coalesce("initial", F.lit("none"))))
+    expected = M.sequential_rationale(ctx, F.array_repeat(F.col("distractor"), K.PEERS))
+    rows = view(spark, folder, "responses").where("n = 1").withColumn("built", expected)
+    at = lambda i: F.array(F.col("built")[i - 1])
+    other = M.message("user", F.concat(F.col("built")[3]["content"], F.lit("!")))
+    cut = lambda a, b: F.slice("built", a, b - a + 1)
+    recorded = (
+        F.when(kind == 1, F.concat(cut(1, 5), cut(7, 9)))
+        .when(kind == 2, F.concat(cut(1, 4), at(6), at(5), cut(7, 9)))
+        .when(kind == 3, F.concat(cut(1, 3), F.array(other), cut(5, 9)))
+        .when(kind == 5, F.concat(cut(1, 6), F.array(M.message("assistant", F.col("built")[6]["content"])), cut(8, 9)))
+        .when(kind == 6, F.concat("built", F.array(other))).otherwise(F.col("built"))
+    )
+    audited = A.message_audit(rows.withColumn("recorded", recorded), "recorded", F.col("built"))
+    return audited.select("id", "position", "problem")
+
+
 @query("identity_audit", """
 SELECT dataset, count(*) AS rows, count(*) FILTER (WHERE k % 25 = 4) AS failures FROM responses WHERE n = 1
 GROUP BY dataset""", ("responses",))

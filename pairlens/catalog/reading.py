@@ -272,3 +272,17 @@ def _(spark, folder):
     return table(spark, folder, "documents").select(
         "doc_id", R.text_fingerprint(F.col("text")).alias("sha256"), F.md5("text").alias("md5")
     )
+
+
+# A file per thousand documents, whose bytes SQL builds as well.
+@query("src_file_fingerprint", """
+SELECT doc_id // 1000 AS block, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS length,
+  md5(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) || chr(10)) AS md5
+FROM documents GROUP BY 1""")
+def _(spark, folder):
+    path = scratch(spark, "blocks")
+    rows = table(spark, folder, "documents").select(
+        F.expr("doc_id div 1000").alias("block"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    rows.repartition("block").sortWithinPartitions("block", "doc_id").select("block", "value").write.partitionBy("block").text(path)
+    found = R.fingerprints(spark, path, "part-*")
+    return found.select(F.regexp_extract("path", "block=([0-9]+)", 1).cast("bigint").alias("block"), "length", "md5")

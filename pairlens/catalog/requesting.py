@@ -154,7 +154,7 @@ def _conditions(named: dict[str, tuple[str, ...]]) -> str:
 
 
 def _selected(spark, folder, names):
-    rows = Q.protocol_requests(contexts(spark, folder)).where(F.col("condition").isin(*names))
+    rows = Q.protocol_requests(contexts(spark, folder), names)
     return digested(rows, "id", "condition")
 
 
@@ -249,7 +249,7 @@ def _(spark, folder):
 def _(spark, folder):
     rows = None
     for n in (1, 3, 5):
-        built = Q.protocol_requests(contexts(spark, folder, n)).where("condition = 'sequential_final'").withColumn(
+        built = Q.protocol_requests(contexts(spark, folder, n), ["sequential_final"]).withColumn(
             "condition", F.lit(f"peers_{n}"))
         rows = built if rows is None else rows.unionByName(built)
     return digested(rows, "id", "condition")

@@ -173,7 +173,7 @@ chosen AS (SELECT * FROM near UNION ALL SELECT * FROM far)"""
 @query("near_far_groups", f"""WITH {NEAR_FAR}
 SELECT id, grp AS "group", similarity_score, exclusion_score FROM chosen""", ("textpairs",))
 def _(spark, folder):
-    groups = R.near_far_groups(text_profiles(spark, folder), 50, "k")
+    groups = R.near_far_groups(settle(text_profiles(spark, folder), "profiles"), 50, "k")
     return groups.select("id", "group", "similarity_score", "exclusion_score")
 
 

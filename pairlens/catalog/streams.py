@@ -46,3 +46,10 @@ def _(spark, folder):
     ]
     summary = spark.read.parquet(f"{out}/summary").groupBy("condition").agg(F.sum("attempted_n").alias("rows"))
     return parts[0].unionByName(parts[1]).unionByName(summary.select(F.lit("summary").alias("kind"), "condition", "rows"))
+
+
+@query("stream_autosave_summary", CONDITION_SUMMARY, ("responses",))
+def _(spark, folder):
+    out = scratch(spark, "autosave")
+    S.stream_autosave(spark, _log(spark, folder, False), out, files_per_batch=4).awaitTermination()
+    return rounded(spark.read.parquet(f"{out}/summary"))

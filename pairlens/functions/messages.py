@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pairlens import constants as K
+from pairlens.functions.labels import let
 
 MESSAGE = "struct<role:string,content:string>"
 MESSAGES = f"array<{MESSAGE}>"
@@ -239,29 +240,25 @@ def turns_after_initial(messages: Column) -> Column:
 
 
 def collapse_roles(messages: Column) -> Column:
-    """Merge neighbouring turns of one role; merged parts are headed ``[Message k]``."""
-    item = "struct<role:string,content:string,parts:int>"
-
-    def fold(done: Column, m: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        text = F.coalesce(m["content"], F.lit(""))
-        head = F.when(
-            last["parts"] == 1, F.concat(F.lit("[Message 1]\n"), F.coalesce(last["content"], F.lit("")))
-        ).otherwise(last["content"])
-        merged = F.struct(
-            last["role"].alias("role"),
-            F.concat(head, F.lit("\n\n[Message "), (last["parts"] + 1).cast("string"), F.lit("]\n"), text)
-            .alias("content"),
-            (last["parts"] + 1).alias("parts"),
-        ).cast(item)
-        fresh = F.struct(m["role"].alias("role"), m["content"].alias("content"), F.lit(1).alias("parts")).cast(item)
-        return F.when(
-            (F.size(done) > 0) & (last["role"] == m["role"]),
-            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(merged)),
-        ).otherwise(F.concat(done, F.array(fresh)))
-
-    folded = F.aggregate(messages, F.array().cast(f"array<{item}>"), fold)
-    return F.transform(folded, lambda m: message(m["role"], m["content"]))
+    """Merge neighbouring turns of one role; merged parts are headed ``[Message k]``.
+
+    The places where a run of one role starts are found first, and each run is then a slice, so that a long conversation
+    takes time in proportion to its turns. A null role starts a run of its own.
+    """
+
+    def merged(run: Column) -> Column:
+        parts = F.transform(run, lambda m, i: F.concat(
+            F.lit("[Message "), (i + 1).cast("string"), F.lit("]\n"), F.coalesce(m["content"], F.lit(""))))
+        first = F.get(run, F.lit(0))
+        return message(first["role"], F.when(F.size(run) == 1, first["content"]).otherwise(F.array_join(parts, "\n\n")))
+
+    def runs(ms: Column) -> Column:
+        same = lambda m, i: F.coalesce(F.get(ms, i - 1)["role"] == m["role"], F.lit(False))
+        starts = F.filter(F.transform(ms, lambda m, i: F.when(~same(m, i), i)), lambda i: i.isNotNull())
+        return let(starts, lambda at: F.transform(at, lambda i, k: let(
+            F.slice(ms, i + 1, F.coalesce(F.get(at, k + 1), F.size(ms)) - i), merged)))
+
+    return let(messages, runs)
 
 
 def for_model(messages: Column, model: Column) -> Column:

@@ -327,17 +327,19 @@ def id_sets_equal(
 def reference_drift(
     responses: DataFrame, items: DataFrame, fields: Sequence[str], item: str = "id", strict: bool = False,
 ) -> DataFrame:
-    """Response rows whose item is absent from the bank or differs from it, with the reason."""
-    bank = items.select(item, F.lit(True).alias("_known"), *[F.col(f).alias(f"_ref_{f}") for f in fields])
-    joined = responses.join(bank, item, "left")
-    kinds = {f.name: f.dataType.simpleString() for f in responses.schema.fields}
+    """Response rows whose item is absent from the bank or differs from it, with the reason.
 
-    def comparable(c: str, kind: str) -> Column:
-        return F.array_sort(F.map_entries(F.col(c))) if kind.startswith("map") else F.col(c)
+    Fields are compared by two 64-bit hashes taken before the join, so texts that the caller does not select stay out of it.
+    """
+    def hashed(table: DataFrame, prefix: str) -> list[Column]:
+        kinds = {f.name: f.dataType.simpleString() for f in table.schema.fields}
+        return [h.alias(f"_{prefix}_{f}{i}") for f in fields for i, h in enumerate(_fingerprints(f, kinds[f]))]
 
+    bank = items.select(item, F.lit(True).alias("_known"), *hashed(items, "ref"))
+    joined = responses.select("*", *hashed(responses, "own")).join(bank, item, "left")
     changed = F.filter(
         F.array(*[
-            F.when(~comparable(f, kinds[f]).eqNullSafe(comparable(f"_ref_{f}", kinds[f])), F.lit(f))
+            F.when(~(F.col(f"_own_{f}0").eqNullSafe(F.col(f"_ref_{f}0")) & F.col(f"_own_{f}1").eqNullSafe(F.col(f"_ref_{f}1"))), F.lit(f))
             for f in fields
         ]),
         lambda x: x.isNotNull(),
@@ -432,6 +434,42 @@ def peer_signal_audit(df: DataFrame, expected: int = K.PEERS, source: str = "ref
     return df.withColumn("problem", problem).where(F.col("problem").isNotNull())
 
 
+def message_deviation(messages: Column, expected: Column) -> Column:
+    """Struct (position, reason) of the first message that departs from the expected array, null if none does.
+
+    Reasons: ``missing`` (the next expected message stands there), ``added`` (the expected one comes right after),
+    ``swapped`` with its successor, another ``role``, or ``reworded``; a null array is ``no messages``. Positions are from 1.
+    """
+
+    def first(ms: Column, ex: Column) -> Column:
+        last = F.greatest(F.size(ms), F.size(ex))
+        apart = F.filter(F.sequence(F.lit(0), last), lambda i: ~F.get(ms, i).eqNullSafe(F.get(ex, i)))
+
+        def named(i: Column) -> Column:
+            got, want = F.get(ms, i), F.get(ex, i)
+            next_got, next_want = F.get(ms, i + 1), F.get(ex, i + 1)
+            ahead, behind = got.eqNullSafe(next_want), next_got.eqNullSafe(want)
+            reason = (
+                F.when(ahead & behind & (i + 1 < F.size(ms)) & (i + 1 < F.size(ex)), "swapped")
+                .when((i >= F.size(ms)) | (ahead & (F.size(ms) < F.size(ex))), "missing")
+                .when((i >= F.size(ex)) | (behind & (F.size(ms) > F.size(ex))), "added")
+                .when(~got["role"].eqNullSafe(want["role"]), "role")
+                .otherwise("reworded")
+            )
+            return F.when(i.isNotNull(), F.struct((i + 1).alias("position"), reason.alias("reason")))
+
+        return L.let(F.get(apart, F.lit(0)), named)
+
+    none = F.struct(F.lit(0).alias("position"), F.lit("no messages").alias("reason"))
+    return F.when(messages.isNull(), none).otherwise(L.let(messages, lambda ms: L.let(expected, lambda ex: first(ms, ex))))
+
+
+def message_audit(df: DataFrame, messages: str, expected: Column) -> DataFrame:
+    """Rows whose recorded messages depart from those that their condition builds, with ``position`` and ``problem``."""
+    found = df.withColumn("_d", message_deviation(F.col(messages), expected)).where(F.col("_d").isNotNull())
+    return found.select("*", F.col("_d.position").alias("position"), F.col("_d.reason").alias("problem")).drop("_d")
+
+
 def identity_audit(df: DataFrame, one: str, other: str, keys: Sequence[str] = ()) -> DataFrame:
     """Rows compared and rows whose two request arrays differ."""
     return df.groupBy(*keys).agg(

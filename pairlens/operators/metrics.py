@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +62,37 @@ def condition_summary(
     return df.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
 
 
+def condition_counts(
+    df: DataFrame, keys: Sequence[str] = ("dataset", "model", "condition"), metrics: Sequence[Metric] = PAIRED_METRICS,
+) -> DataFrame:
+    """The integers behind ``condition_summary``: rows, and per metric who counts, whose outcome is known, and who has it.
+    Counts of disjoint sets of rows add up."""
+    aggs = ["count(1) AS attempted_n", "count_if(valid) AS valid_n", "count_if(NOT valid) AS invalid_n"]
+    for m in metrics:
+        counted = f"coalesce(valid AND ({m.eligible}), false)"
+        aggs.append(f"count_if({counted}) AS {m.name}_n")
+        aggs.append(f"count_if({counted} AND ({m.outcome}) IS NOT NULL) AS {m.name}_known")
+        aggs.append(f"count_if({counted} AND ({m.outcome})) AS {m.name}_hits")
+    return df.groupBy(*keys).agg(*[F.expr(a) for a in aggs])
+
+
+def add_counts(
+    *tables: DataFrame, keys: Sequence[str] = ("dataset", "model", "condition"),
+) -> DataFrame:
+    """Sums of tables of ``condition_counts``."""
+    rows = reduce(DataFrame.unionByName, tables)
+    return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in rows.columns if c not in keys])
+
+
+def summary_of_counts(
+    counts: DataFrame, keys: Sequence[str] = ("dataset", "model", "condition"), metrics: Sequence[Metric] = PAIRED_METRICS,
+) -> DataFrame:
+    """``condition_summary`` from its counts."""
+    rates = [x for m in metrics for x in (
+        F.col(f"{m.name}_n"), ratio(F.col(f"{m.name}_hits"), F.col(f"{m.name}_known")).alias(m.name))]
+    return counts.select(*keys, "attempted_n", "valid_n", "invalid_n", *rates)
+
+
 COMMON_METRICS = (*PAIRED_METRICS, Metric("initial_accuracy", "initial = correct"))
 
 

@@ -29,19 +29,22 @@ def with_context(answered: DataFrame, peers: int = K.PEERS) -> DataFrame:
     })
 
 
-def protocol_requests(ctx: DataFrame) -> DataFrame:
-    """One row per item and single-call condition."""
-    c, o, model = F.col("ctx"), F.col("opinions"), F.col("model")
-    built = {
-        "batch_single": M.batch_single(c, o),
-        "sequential_final": M.sequential_final(c, o),
-        "sequential_final_rationale": M.sequential_rationale(c, o),
-        "sequential_final_length_matched": M.with_neutral_turns(c, o, M.neutral_turn(model)),
-        "sequential_final_neutral_v2": M.with_neutral_turns(c, o, M.neutral_turn(model, "neutral_v2")),
-        "sequential_final_short_ack": M.with_neutral_turns(c, o, M.neutral_turn(model, "short_ack")),
-    }
+#: Single-call conditions, each from the conversation so far, the opinions and the model.
+PROTOCOLS: dict[str, Callable[[Column, Column, Column], Column]] = {
+    "batch_single": lambda c, o, model: M.batch_single(c, o),
+    "sequential_final": lambda c, o, model: M.sequential_final(c, o),
+    "sequential_final_rationale": lambda c, o, model: M.sequential_rationale(c, o),
+    "sequential_final_length_matched": lambda c, o, model: M.with_neutral_turns(c, o, M.neutral_turn(model)),
+    "sequential_final_neutral_v2": lambda c, o, model: M.with_neutral_turns(c, o, M.neutral_turn(model, "neutral_v2")),
+    "sequential_final_short_ack": lambda c, o, model: M.with_neutral_turns(c, o, M.neutral_turn(model, "short_ack")),
+}
+
+
+def protocol_requests(ctx: DataFrame, conditions: Sequence[str] = tuple(PROTOCOLS)) -> DataFrame:
+    """One row per item and wanted single-call condition; only these are built."""
     rows = F.array(*[
-        F.struct(F.lit(name).alias("condition"), value.alias("messages")) for name, value in built.items()
+        F.struct(F.lit(name).alias("condition"), PROTOCOLS[name](F.col("ctx"), F.col("opinions"), F.col("model")).alias("messages"))
+        for name in conditions
     ])
     return ctx.select("id", "model", F.inline(rows))
 

@@ -297,7 +297,7 @@ def semantic_profile_job(
     pairs: DataFrame, outcomes: DataFrame, size: int = 50, backend: str = "lexical", ordinal: str = "id"
 ) -> dict[str, DataFrame]:
     """Profiles, near and far groups, and the rates of both groups per input mode."""
-    profiles = semantic_profile(pairs, backend)
+    profiles = settle(semantic_profile(pairs, backend), "profiles")
     groups = R.near_far_groups(profiles, size, ordinal)
     rated = outcomes.join(groups.select("id", "group", "exclusion_score"), "id")
     summary = M.semantic_summary(rated)

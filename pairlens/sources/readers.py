@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -137,12 +140,33 @@ def find_runs(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     )
 
 
+DIGEST_CHUNK = 1 << 22
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+            local = path.startswith("file:")  # taken as it is, since a URI would need its blanks escaped
+            store, inside = (fs.LocalFileSystem(), path.removeprefix("file:")) if local else fs.FileSystem.from_uri(path)
+            digest, read = hashlib.md5(usedforsecurity=False), 0
+            with store.open_input_stream(inside, compression=None) as stream:
+                while chunk := stream.read(DIGEST_CHUNK):
+                    digest.update(chunk)
+                    read += len(chunk)
+            if read != length:
+                raise ValueError(f"{path}: {read} bytes read of {length}")
+            yield pa.RecordBatch.from_pydict({"path": [path], "length": [length], "md5": [digest.hexdigest()]})
+
+
 def fingerprints(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """MD5 of every file below a path."""
+    """MD5 of every file below a path, of any size: the digest's state goes from chunk to chunk of a few MB.
+
+    Spark lists the files (not those without a byte) and deals them over tasks. The path must be on a file system that Arrow reads (local, HDFS, S3, GCS).
+    """
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     )
-    return files.select("path", "length", F.md5("content").alias("md5"))
+    return files.select("path", "length").repartition("path").mapInArrow(_digests, "path string, length bigint, md5 string")
 
 
 def text_fingerprint(text: Column) -> Column:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pairlens.operators.metrics import condition_summary
+from pairlens.operators.metrics import add_counts, condition_counts, summary_of_counts
 from pairlens.operators.normalize import normalize_responses
-from pairlens.session import path_exists
+from pairlens.session import list_paths, path_exists, remove, settle
 
 RESPONSE_SCHEMA = (
     "id string, dataset string, model string, condition string, correct string, distractor string, "
@@ -20,21 +19,6 @@ RESPONSE_SCHEMA = (
 KEYS = ("dataset", "model", "condition", "id")
 
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-@contextmanager
-def state_on_disk(spark: SparkSession) -> Iterator[None]:
-    """Start a query with its key state outside the heap, as it grows with the keys; the setting is put back."""
-    before = spark.conf.get(STATE_STORE)
-    spark.conf.set(STATE_STORE, ROCKSDB)
-    try:
-        yield
-    finally:
-        spark.conf.set(STATE_STORE, before)
-
-
 def read_log(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """Stream of appended JSONL files."""
     return (
@@ -50,66 +34,112 @@ def own_checkpoint(spark: SparkSession, out: str, checkpoint: str | None) -> str
     return where
 
 
-def first_per_key(rows: DataFrame, delay: str | None = None) -> DataFrame:
-    """First row of every key. With ``delay`` the key state is dropped once the ingest watermark has passed it.
+def _numbered(spark: SparkSession, folder: str, below: int) -> list[int]:
+    """Numbers of the ``batch=`` folders below a number."""
+    found = [int(n.split("=")[1]) for n in list_paths(spark, folder) if n.startswith("batch=")] if path_exists(spark, folder) else []
+    return sorted(n for n in found if n < below)
+
+
+def fold_counts(rows: DataFrame, folder: str, number: int) -> DataFrame:
+    """Add a batch's counts to the totals of the batch before; the new totals, a row per condition.
 
-    Without a delay all keys stay in state for ever; production logs should set one.
+    Totals of a batch come from those below its number only, so a batch that is run again gives the same. The last two are
+    kept.
     """
-    if delay is None:
-        return rows.dropDuplicates(list(KEYS))
-    return rows.withWatermark("ingested", delay).dropDuplicatesWithinWatermark(list(KEYS))
+    spark = rows.sparkSession
+    before = _numbered(spark, folder, number)
+    counts = condition_counts(rows)
+    if before:
+        counts = add_counts(counts, spark.read.schema(counts.schema).parquet(f"{folder}/batch={before[-1]}"))
+    counts.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+    for old in before[:-1]:
+        remove(spark, f"{folder}/batch={old}")
+    return spark.read.schema(counts.schema).parquet(f"{folder}/batch={number}")
 
 
-def running_summary(rows: DataFrame, delay: str | None = None) -> DataFrame:
-    """Condition summary of the first rows, kept up to date."""
-    return condition_summary(normalize_responses(first_per_key(rows, delay)))
+def _same_key() -> Column:
+    return reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in KEYS])
+
+
+def new_keys(batch: DataFrame, folder: str, number: int, merge_every: int = 64) -> DataFrame:
+    """The first row of each key that no batch below ``number`` had; null is a key value like any other.
+
+    Keys seen are a table: a folder a batch, merged into one every ``merge_every`` batches. A batch first looks up which
+    of its own keys are in there, so the table is read but not shuffled while the batch is small enough to broadcast, and
+    nothing stays in executors between batches. Of rows with one key in one batch the earliest by ingest time counts.
+    Folders below the number alone are read, so a batch that is run again gives the same rows.
+    """
+    spark = batch.sparkSession
+    others = [c for c in batch.columns if c not in KEYS]
+    order = F.struct(F.coalesce("ingested", F.timestamp_seconds(F.lit(0))), F.xxhash64(*others))
+    firsts = settle(
+        batch.groupBy(*KEYS).agg(F.min_by(F.struct(*others), order).alias("_r")).select(*KEYS, "_r.*"), "batch-keys"
+    ).select(batch.columns)
+    kind = firsts.select(*KEYS).schema
+    base = number // merge_every * merge_every
+    old = base - merge_every
+    if number == base and number:  # a new stretch begins: what there was before becomes one folder
+        parts = [f"{folder}/batch={n}" for n in _numbered(spark, folder, number) if n >= old]
+        parts += [f"{folder}/merged={old}"] if path_exists(spark, f"{folder}/merged={old}") else []
+        (spark.read.schema(kind).parquet(*parts) if parts else spark.createDataFrame([], kind)).write.mode("overwrite").parquet(f"{folder}/merged={base}")
+        for n in _numbered(spark, folder, old):
+            remove(spark, f"{folder}/batch={n}")
+        remove(spark, f"{folder}/merged={old - merge_every}")
+    parts = [f"{folder}/batch={n}" for n in _numbered(spark, folder, number) if n >= base]
+    parts += [f"{folder}/merged={base}"] if path_exists(spark, f"{folder}/merged={base}") else []
+    fresh = firsts
+    if parts:
+        seen = spark.read.schema(kind).parquet(*parts)
+        known = settle(seen.alias("a").join(firsts.select(*KEYS).alias("b"), _same_key(), "left_semi"), "known")
+        fresh = firsts.alias("a").join(known.alias("b"), _same_key(), "left_anti")
+    fresh.select(*KEYS).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+    return fresh
+
+
+def _save_summary(totals: DataFrame, out: str) -> None:
+    """A row per condition, so every batch replaces it."""
+    summary_of_counts(totals).coalesce(1).write.mode("overwrite").parquet(out)
 
 
 def stream_responses(
-    spark: SparkSession, log: str, out: str, checkpoint: str | None = None, delay: str | None = None,
-    files_per_batch: int = 1000,
+    spark: SparkSession, log: str, out: str, checkpoint: str | None = None, files_per_batch: int = 1000,
+    merge_every: int = 64,
 ) -> StreamingQuery:
-    """Keep ``out`` equal to the condition summary of everything logged so far; stops at the end of the log.
+    """Keep ``out`` equal to the condition summary of the first rows of all keys logged so far; stops at the end of the log.
 
-    The full result is a row per condition, so every batch replaces it. The checkpoint, by default beside ``out``, makes a
-    restart continue where the last run ended.
+    Keys and counts lie in tables beside the checkpoint, so the query itself has no state. The checkpoint, by default beside
+    ``out``, makes a restart continue where the last run ended.
     """
     checkpoint = own_checkpoint(spark, out, checkpoint)
-    summary = running_summary(read_log(spark, log, files_per_batch), delay)
+    tables = f"{checkpoint.rstrip('/')}-tables"
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def fold(batch: DataFrame, number: int) -> None:
+        rows = new_keys(batch, f"{tables}/keys", number, merge_every)
+        _save_summary(fold_counts(normalize_responses(rows), f"{tables}/counts", number), out)
 
-    writer = (
-        summary.writeStream.outputMode("complete").foreachBatch(replace)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return (
+        read_log(spark, log, files_per_batch).writeStream.foreachBatch(fold)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
-    with state_on_disk(spark):
-        return writer.start()
 
 
 def stream_autosave(
     spark: SparkSession, log: str, out: str, checkpoint: str | None = None, files_per_batch: int = 1000,
 ) -> StreamingQuery:
-    """Save new rows, error rows and a summary of each batch under ``out``.
+    """Save new rows and error rows of each batch, and the summary of everything so far, under ``out``.
 
-    Every batch owns its folders, so a batch that is run again after a failure replaces its own output only. The
-    checkpoint, by default beside ``out``, keeps batch numbers going after a restart.
+    ``rows`` and ``errors`` have a folder a batch, so a batch that is run again after a failure replaces its own output
+    only. ``summary`` holds the totals so far; they are folded from ``counts``. The checkpoint, by default beside ``out``,
+    keeps batch numbers going after a restart.
     """
     checkpoint = own_checkpoint(spark, out, checkpoint)
 
     def save(batch: DataFrame, number: int) -> None:
-        rows = normalize_responses(batch).persist()
-        try:
-            rows.where(~F.coalesce("is_error", F.lit(False))).write.mode("overwrite").parquet(
-                f"{out}/rows/batch={number}"
-            )
-            rows.where(F.coalesce("is_error", F.lit(False))).write.mode("overwrite").parquet(
-                f"{out}/errors/batch={number}"
-            )
-            condition_summary(rows).write.mode("overwrite").parquet(f"{out}/summary/batch={number}")
-        finally:
-            rows.unpersist()
+        rows = settle(normalize_responses(batch), "batch")
+        failed = F.coalesce("is_error", F.lit(False))
+        rows.where(~failed).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        rows.where(failed).write.mode("overwrite").parquet(f"{out}/errors/batch={number}")
+        _save_summary(fold_counts(rows, f"{out}/counts", number), f"{out}/summary")
 
     return (
         read_log(spark, log, files_per_batch).writeStream.foreachBatch(save)
