@@ -44,7 +44,10 @@ def classify(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     keyed = rows.withColumn("_key", F.when(F.length("payload") >= least_bytes, F.sha2("payload", 256)))
     groups = keyed.where("_key is not null").groupBy("_key").agg(F.max("page_id").alias("_keep"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _keep is not null").drop("_n")
-    joined = keyed.join(groups, "_key", "left")
+    # the groups are written, so that the join can be split at a payload that many pages share, and shorter pages, which
+    # meet none, are dealt by their own identity and not all to one task
+    own = F.coalesce("_key", F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    joined = keyed.withColumn("_key", own).join(settle(groups, "warc-groups"), "_key", "left")
     revisit = F.col("_keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_keep"))
     return joined.select("page_id", "url", "payload", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_keep")).alias("refers_to"))
 

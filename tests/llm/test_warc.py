@@ -70,3 +70,19 @@ def test_any_zstandard_reader_reads_a_bundle(tmp_path):
         assert warc.parse(d)[1].endswith(b"y" * (len(d) and data.index(d) * 40))
     with pytest.raises(ValueError):
         warc.parse(data[3][:-5])
+
+
+def test_short_pages_are_not_one_task(spark):
+    """Also where the groups are too many to broadcast."""
+    from pyspark.sql import functions as F
+
+    pages = spark.range(4000).selectExpr("id AS page_id", "concat('u', id) AS url", "CASE WHEN id % 5 = 0 THEN repeat(cast(id % 100 AS string), 1000) ELSE 'short' END AS html")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, ("-1", "false"), strict=True):
+            spark.conf.set(k, v)
+        sizes = [r[0] for r in warc.classify(pages).groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.when(F.length("payload") < 1000, 1))).select(F.col("count(CASE WHEN (length(payload) < 1000) THEN 1 END)")).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 3200 and max(sizes) < 3 * sorted(sizes)[len(sizes) // 2]
