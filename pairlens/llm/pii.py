@@ -3,7 +3,7 @@
 One pattern finds e-mail addresses, phone numbers, IPv4 addresses, social security and card numbers, IBANs, secrets and
 titled person names. Each distinct entity of the corpus gets one keyed surrogate of its own type: digits stay digits in the
 same layout, cards and IBANs keep a valid (or invalid) check sum, letters keep case and script, names keep the gender of
-their titles. So an entity has the same surrogate wherever and however it is written. In a text that has a titled name, its
+their titles, and particles in names stay. So an entity has the same surrogate wherever and however it is written. In a text that has a titled name, its
 words are replaced without the title as well.
 
 Surrogates are drawn per distinct entity and checked in grouped passes: one that two entities drew, that was given before,
@@ -19,30 +19,33 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import settle
+from pairlens.llm.common import settle, shuffle_width
 
 WORD = r"\p{L}0-9"
 TITLES_M = r"Mr|Herrn?|Monsieur|Señor|Sr|Don|господин|г-н"
 TITLES_F = r"Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Sra|Srta|Doña|госпожа|г-жа"
 TITLES_N = r"Dr|Prof|Доктор|доктор"
-NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
+NAME = r"\p{Lu}[\p{L}'’-]++"
+#: Small words inside of names; they stay as they are.
+PARTICLES = "von|vom|zu|zum|zur|van|der|den|de|del|della|di|da|dos|du|la|le|bin|ibn|ben|al|el|ter|ten"
 ASSIGNED = r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth[_-]?key)\s{0,3}[=:]\s{0,3}[\"'“]?)"
 
-#: Kinds in the order in which they are tried, with their patterns.
+#: Kinds in the order in which they are tried, with their patterns. What is open-ended is possessive, so that a find has no
+#: longest length and a search takes no stack; labels of a domain are bounded as domain names are (63 signs, 127 labels).
 KINDS: dict[str, str] = {
-    "email": rf"(?<![{WORD}._%+-])[{WORD}][{WORD}._%+-]{{0,127}}@(?:[{WORD}](?:[{WORD}-]{{0,62}})\.){{1,8}}\p{{L}}{{2,24}}(?![{WORD}])",
+    "email": rf"(?<![{WORD}._%+-])[{WORD}][{WORD}._%+-]*+@(?:[{WORD}](?:[{WORD}-]{{0,62}})\.){{1,126}}\p{{L}}{{2,63}}(?![{WORD}])",
     "secret": rf"{ASSIGNED}(?=[+/_.=~-]*+[A-Za-z0-9])[A-Za-z0-9+/_.=~-]{{8,}}+|(?<![{WORD}_-])(?:AKIA[A-Z0-9]{{16}}|(?:sk|pk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{{16,}}+)(?![{WORD}])|(?<![{WORD}])(?=[A-Fa-f]*+[0-9])[A-Fa-f0-9]{{32,}}+(?![{WORD}])",
     "iban": r"(?<![\p{L}0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
-    "name": rf"(?<![{WORD}])(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.?[ \u00a0]{NAME}(?:[ \u00a0]{NAME}){{0,2}}",
+    "name": rf"(?<![{WORD}])(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.?(?:[ \u00a0](?:{PARTICLES}))*+[ \u00a0]{NAME}(?:(?:[ \u00a0](?:{PARTICLES}))*+[ \u00a0]{NAME})*+",
 }
 BARE = rf"(?<![{WORD}]){NAME}(?:[ \u00a0]{NAME}){{0,2}}"
 FINDER = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What any find must hold: cheap to look for before the finder runs.
-HINT = rf"[0-9@]|AKIA|(?:sk|pk|ghp|gho|xox[abp])[-_]|(?i:token|secret|passw|pwd|key)|(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.?[ \u00a0]\p{{Lu}}|[A-Fa-f0-9]{{32}}"
+HINT = rf"[0-9@]|AKIA|(?:sk|pk|ghp|gho|xox[abp])[-_]|(?i:token|secret|passw|pwd|key)|(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.?[ \u00a0](?:\p{{Lu}}|(?:{PARTICLES})[ \u00a0])|[A-Fa-f0-9]{{32}}"
 
 LATIN = "ba be bi bo bu da de di do du fa fe fi fo ga ge gi go ha he hi ho ka ke ki ko ku la le li lo lu ma me mi mo mu na ne ni no nu pa pe pi po ra re ri ro ru sa se si so su ta te ti to tu va ve vi vo za ze zi zo".split()
 CYRILLIC = "ба бе би бо бу ва ве ви во да де ди до ду га ге ги го ка ке ки ко ку ла ле ли ло лу ма ме ми мо му на не ни но ну па пе пи по ра ре ри ро ру са се си со су та те ти то ту за зе зи зо".split()
@@ -84,6 +87,11 @@ def _words(names: Column) -> Column:
     return F.split(names, "(?=[ \u00a0])")
 
 
+def _capital(word: Column) -> Column:
+    """Whether a word, with the blank before it, is none of the particles."""
+    return word.rlike("^[ \u00a0]?\\p{Lu}")
+
+
 def _stem(word: Column) -> Column:
     """A name without the blank before it and an English genitive or loose marks behind it."""
     return F.regexp_replace(F.regexp_replace(word, "^[ \u00a0]", ""), "(?:['’][sS]?|-)+$", "")
@@ -97,9 +105,9 @@ def _word_kind(words: Column, w: Column, i: Column) -> Column:
     return F.concat(F.when(i == F.size(words) - 1, F.lit("surname-")).otherwise(F.lit("given-")), _script(w))
 
 
-def _word_gender(find: Column, words: Column, w: Column, i: Column) -> Column:
+def _word_gender(gender: Column, words: Column, w: Column, i: Column) -> Column:
     """Given names have a gender, and so have surnames where the script's language gives them one."""
-    return F.when((i == F.size(words) - 1) & (_script(w) != "cyrillic"), "n").otherwise(_gender(find))
+    return F.when((i == F.size(words) - 1) & (_script(w) != "cyrillic"), "n").otherwise(gender)
 
 
 def _script(word: Column) -> Column:
@@ -128,8 +136,8 @@ def entities_of(find: Column) -> Column:
         k, trait = (F.lit(x) if isinstance(x, str) else x for x in (k, trait))
         return F.struct(k.alias("kind"), c.alias("canonical"), trait.alias("trait"))
 
-    words = _name_words(find)
-    names = F.transform(words, lambda w, i: one(_word_kind(words, w, i), F.lower(_stem(w)), _word_gender(find, words, w, i)))
+    words = F.struct(F.filter(_name_words(find), _capital).alias("w"), _gender(find).alias("g"))
+    names = _once(words, lambda o: F.transform(o["w"], lambda w, i: one(_word_kind(o["w"], w, i), F.lower(_stem(w)), _word_gender(o["g"], o["w"], w, i))))
     low = F.lower(find)
     return (
         F.when(kind == "email", F.array(one("email", low), one("domain", F.substring_index(low, "@", -1))))
@@ -252,7 +260,8 @@ def assign(entities: DataFrame, key: str, most_attempts: int = 40, draw: Callabl
     scope = F.when(F.col("kind") == "email", domain).otherwise("").alias("scope")
     own = F.concat("kind", F.when(F.col("trait") == "", "").otherwise(F.concat(F.lit("-"), "trait")))
     for attempt in range(most_attempts):
-        drawn = todo.withColumn("surrogate", draw(own, F.col("canonical"), key, attempt))
+        # a small table is read by one task; its entities are drawn by many
+        drawn = todo.repartition(shuffle_width(todo.sparkSession), "kind", "canonical").withColumn("surrogate", draw(own, F.col("canonical"), key, attempt))
         drawn = drawn.where((F.col("kind") != "email") | (F.col("surrogate") != local)).groupBy("kind", scope, "surrogate").agg(F.min("canonical").alias("canonical"))
         fresh = drawn.join(taken.select("kind", scope, "surrogate"), ["kind", "scope", "surrogate"], "left_anti").join(originals, ["kind", "surrogate"], "left_anti")
         fresh = settle(fresh.select("kind", "canonical", "surrogate"), "pii-fresh")
@@ -293,7 +302,7 @@ def _renamed(word: Column, last: Column, surrogates: Column) -> Column:
     rest = F.substring(word, F.length(blank) + F.length(stem) + 1, F.length(word))
     genitive = F.when(stem.rlike("..[^sS][sS]$"), F.concat(shown(F.substring(stem, F.lit(1), F.length(stem) - 1)), F.substring(stem, -1, 1)))
     parts = F.when(stem.contains("-"), F.array_join(F.transform(F.split(stem, "(?<=-)|(?=-)"), lambda p: F.coalesce(shown(p), p)), ""))
-    return F.concat(blank, F.coalesce(shown(stem), genitive, parts, stem), rest)
+    return F.when(_capital(word), F.concat(blank, F.coalesce(shown(stem), genitive, parts, stem), rest)).otherwise(word)
 
 
 def _bare(gap: Column, names: Column) -> Column:
@@ -335,7 +344,7 @@ def render(find: Column, surrogates: Column) -> Column:
         .when(kind == "secret", secret)
         .when(kind == "iban", iban)
         .when(kind == "ip", of("ip", find))
-        .when(kind == "name", F.concat(title, F.array_join(F.transform(words, lambda w, i: _renamed(w, i == F.size(words) - 1, surrogates)), "")))
+        .when(kind == "name", F.concat(title, _once(words, lambda ws: F.array_join(F.transform(ws, lambda w, i: _renamed(w, i == F.size(ws) - 1, surrogates)), ""))))
         .otherwise(_filled(find, of(kind, digits)))
     )
 

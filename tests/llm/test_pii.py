@@ -184,3 +184,22 @@ def test_later_mentions_of_names(spark):
     five = re.fullmatch(r"Dr\. (\w+) (\w+mer) and Frau (\w+) (\w+mer): (\w+) (\w+), (\w+) (\w+)\.", new[4])
     assert five and five.groups()[:4] == five.groups()[4:] and five[1].lower() != five[4].lower()
     assert new[5] == texts[5]
+
+
+def test_entities_of_any_length_are_replaced_whole(spark):
+    local, labels = "a" * 200, ".".join(f"l{i}" for i in range(9))
+    texts = {
+        "four": "Prof. Maria Anna Luisa Weber spoke.", "particle": "Dr Maria von Weber and Frau van der Berg spoke, says Weber.",
+        "many": "Dr " + " ".join(f"Name{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(60)).replace("0", "") + " spoke",
+        "local": f"to {local}@mail.example now", "labels": f"to ann@{labels}.example now", "longname": "Mr " + "W" + "e" * 60 + " spoke",
+        "run": "Dr " + "Aa " * 5_000 + "end", "signs": "x" * 2_000_000 + "@",
+    }
+    table = spark.createDataFrame(list(texts.items()), "name string, text string")
+    found = {r.name: r.text for r in pii.replace(table, "k").collect()}
+    gone = {"four": ("Maria", "Anna", "Luisa", "Weber"), "particle": ("Maria", "Weber", "Berg"), "many": ("Name",), "local": ("aaaa",),
+            "labels": ("ann@", "l0.", "l8."), "longname": ("Weee",), "run": ("Aa",), "signs": ()}
+    for name, words in gone.items():
+        assert not any(w in found[name] for w in words), name
+    assert found["signs"] == texts["signs"] and found["run"].endswith(" end")
+    assert re.fullmatch(r"Dr \S+ von (\S+) and Frau van der \S+ spoke, says \1\.", found["particle"])
+    assert re.fullmatch(r"to \S+@m\S+\.example now", found["labels"])
