@@ -19,10 +19,11 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlens.llm.common import settle, shuffle_width, slices, strings
+from pairlens.llm.common import released, settle, shuffle_width, slices, strings
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
-FLUSH_BYTES = 16 << 20
+#: Bytes of ids that a worker holds before they leave, and of texts that it takes at a time.
+FLUSH_BYTES, SLICE = 4 << 20, 2 << 20
 #: White space as the encoder's pattern has it; its regex engine fails on runs of about a million.
 BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]++")
 LONG_RUN = 100_000
@@ -78,7 +79,7 @@ def pieces(documents: DataFrame, path: str, capacity: int = 1024, end_id: int =
         encoding = load_encoding(path)
         out, held = [], 0
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             for key, text in zip(batch.column("doc_id").to_pylist(), strings(batch), strict=True):
                 ids = np.append(encode(encoding, text or ""), np.uint32(end_id))
                 first = len(ids) % capacity or capacity
@@ -93,7 +94,7 @@ def pieces(documents: DataFrame, path: str, capacity: int = 1024, end_id: int =
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return documents.select("doc_id", "text").mapInArrow(cut, PIECE_SCHEMA)
+    return documents.select("doc_id", "text").mapInArrow(released(cut), PIECE_SCHEMA)
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
