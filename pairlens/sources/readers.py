@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import pyarrow as pa
 from pyarrow import fs
@@ -17,6 +16,7 @@ from pairlens.functions.labels import strip
 from pairlens.operators.guards import require, require_rows
 from pairlens.operators.normalize import normalize_lines, with_record
 from pairlens.session import list_paths, path_exists, settle
+from pairlens.sources.arrays import json_values
 
 
 def file_name(path: Column) -> Column:
@@ -90,36 +90,40 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType | str) ->
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_json_or_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+def read_json_or_jsonl(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str) -> DataFrame:
     """Rows of JSON arrays, JSON objects or JSON lines, decided for each file by all its lines.
 
-    A file whose non-blank lines are JSON values each is read by lines (a line that is an array gives its elements);
-    every other file must be one JSON value as a whole, which one task reads, or the read fails. Blank files give no rows.
+    A file whose non-blank lines are JSON values each is read by lines (a line that is an array gives its elements); every
+    other file must be one JSON value as a whole, whose elements many tasks read if it is an array, or the read fails.
+    Blank files give no rows.
     """
-    typed = T.ArrayType(spark.createDataFrame([], schema).schema)
+    lines = text_lines(spark, path).select("path", "value").where(strip(F.col("value")) != "")
+    kinds = settle(with_record(lines).groupBy("path").agg(F.bool_and(F.col("_v").isNotNull()).alias("by_line")), "json-kinds")
+    by_line, whole = kinds.where("by_line").select("path"), kinds.where("not by_line").select("path")
+    mixed = not whole.isEmpty()
+    found = _typed(lines.join(by_line, "path", "left_semi") if mixed else lines, schema)
+    return found.unionByName(_typed(_elements(json_values(spark, path, whole)), schema)) if mixed else found
 
-    def values(texts: DataFrame) -> DataFrame:
-        sound = require_rows(with_record(texts), "value", F.col("_v").isNotNull(), F.concat(F.lit("invalid JSON in "), F.col("path")))
-        return sound.select(F.inline(F.from_json("value", typed, {"mode": "FAILFAST"})))
 
-    lines = text_lines(spark, path).select("path", "value").where(strip(F.col("value")) != "")
-    by_line = with_record(lines).groupBy("path").agg(F.bool_and(F.col("_v").isNotNull()).alias("by_line"))
-    split = {kind: [r.path for r in by_line.where(F.col("by_line") == kind).collect()] for kind in (True, False)}  # file names
-    found = [spark.createDataFrame([], schema)]
-    if split[True]:
-        found.append(values(lines.where(F.col("path").isin(split[True])) if split[False] else lines))
-    if split[False]:
-        found.append(values(spark.read.text(split[False], wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")))
-    return reduce(DataFrame.unionByName, found)
+def _elements(values: DataFrame) -> DataFrame:
+    """Elements as arrays of one, so that null and nested arrays mean what they do within their array."""
+    return values.select("path", F.when(F.col("element"), F.concat(F.lit("["), "value", F.lit("]"))).otherwise(F.col("value")).alias("value"))
+
+
+def _typed(texts: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """Rows of JSON texts ``(path, value)``, each an object or an array of objects; any other text fails the read."""
+    typed = T.ArrayType(texts.sparkSession.createDataFrame([], schema).schema)
+    sound = require_rows(with_record(texts), "value", F.col("_v").isNotNull(), F.concat(F.lit("invalid JSON in "), F.col("path")))
+    return sound.select(F.inline(F.from_json("value", typed, {"mode": "FAILFAST"})))
 
 
 def read_item_bank(spark: SparkSession, path: str) -> DataFrame:
-    """Keyed item bank from a JSON array: text id, unique, none missing."""
+    """Keyed item bank from JSON arrays, which many tasks read: text id, unique, none missing."""
     schema = (
         "id string, item_id string, source string, subject string, question string, "
         "options map<string,string>, correct_answer string, distractor string"
     )
-    rows = spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    rows = _typed(_elements(json_values(spark, path)), schema)
     named = rows.withColumn("id", F.coalesce("id", "item_id")).drop("item_id")
     checked = require_rows(named, "id", F.col("id").isNotNull(), "item without id")
     return require_unique(settle(checked, "bank"), ["id"], path)
