@@ -55,17 +55,25 @@ def with_line_numbers(lines: DataFrame, wanted: Column | None = None) -> DataFra
 def read_strict(spark: SparkSession, path: str | Sequence[str], per: Sequence[str] = ("path",)) -> DataFrame:
     """Normalised JSONL responses; malformed line, missing id, repeated id or no row at all fail the read.
 
-    Lines are parsed once into a columnar table in the shared folder, without a shuffle. Repeated ids are looked for on
-    its key columns only, and every later query reads columns instead of text.
+    Lines are parsed once into a columnar table in the shared folder, without a shuffle. Faults and repeated ids are looked
+    for on its key columns only, and every later query reads columns instead of text. Only where there is a fault is the text
+    read again, to name the file and line of the first one.
     """
     lines = text_lines(spark, path).where(strip(F.col("value")) != "").drop("block")
-    rows = normalize_lines(lines)
-    text = (
-        F.when(~F.col("parsed"), F.concat(F.lit("invalid JSON in "), F.col("file")))
-        .otherwise(F.concat(F.lit("missing item id in "), F.col("file")))
-    )
-    checked = require_rows(rows, "id", F.col("parsed") & F.col("id").isNotNull(), text).drop("parsed")
-    return require_unique(settle(checked, "strict"), [*per, "id"], str(path))
+    rows = settle(normalize_lines(lines), "strict")
+    if not rows.where(_FAULTY).isEmpty():
+        raise ValueError(_first_fault(spark, path))
+    return require_unique(rows.drop("parsed"), [*per, "id"], str(path))
+
+
+_FAULTY = "not parsed or id is null"
+
+
+def _first_fault(spark: SparkSession, path: str | Sequence[str]) -> str:
+    """What is wrong with the first faulty line, by path and line number."""
+    numbered = with_line_numbers(text_lines(spark, path), strip(F.col("value")) != "")
+    bad = normalize_lines(numbered).where(_FAULTY).select("path", "line_number", "parsed").orderBy("path", "line_number").first()
+    return f"{'missing item id' if bad.parsed else 'invalid JSON'} in {bad.path}, line {bad.line_number}"
 
 
 def require_unique(table: DataFrame, keys: Sequence[str], what: str = "input") -> DataFrame:

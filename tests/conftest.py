@@ -20,3 +20,19 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+@pytest.fixture
+def small_ranges(spark):
+    """Files are dealt over tasks in byte ranges far smaller than what they hold."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = {n: spark.conf.get(n, None) for n in names}
+    spark.conf.set(names[0], "600b")
+    spark.conf.set(names[1], "0")
+    spark.conf.set(names[2], "1")
+    yield
+    for name, value in before.items():
+        if value is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, value)

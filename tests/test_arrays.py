@@ -19,22 +19,6 @@ def rows_of(seed: int, n: int) -> list[dict]:
     return [{"k": i, "text": "".join(rng.choices(AWKWARD, k=rng.randint(0, 4))), "deep": {"l": [rng.choice(AWKWARD), {"m": [i, [i]]}]}} for i in range(n)]
 
 
-@pytest.fixture
-def small_ranges(spark):
-    """Byte ranges far smaller than an element, so that most elements lie in several."""
-    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
-    before = {n: spark.conf.get(n, None) for n in names}
-    spark.conf.set(names[0], "600b")
-    spark.conf.set(names[1], "0")
-    spark.conf.set(names[2], "1")
-    yield
-    for name, value in before.items():
-        if value is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, value)
-
-
 def values_of(found) -> dict[str, list]:
     out: dict[str, list] = {}
     for r in found.collect():

@@ -117,6 +117,17 @@ def test_strict_reader_fails_closed(spark, tmp_path, line, text):
         RD.read_strict(spark, str(tmp_path / "rows.jsonl")).collect()
 
 
+def test_a_fault_is_named_by_file_and_line(spark, tmp_path, small_ranges):
+    sound = [json.dumps({"id": i, "question": "q" * 40}) for i in range(100)]
+    (tmp_path / "a.jsonl").write_text("\n".join(sound) + "\n")
+    (tmp_path / "b.jsonl").write_text("\n".join([*sound[:30], "", *sound[30:60], '{"question": "q"}', '{"id": ', *sound[60:]]) + "\n")
+    with pytest.raises(ValueError, match=r"missing item id in .*/b.jsonl, line 62"):
+        RD.read_strict(spark, str(tmp_path))
+    (tmp_path / "a.jsonl").write_text("\n".join([*sound, "[", "{}"]))
+    with pytest.raises(ValueError, match=r"invalid JSON in .*/a.jsonl, line 101"):
+        RD.read_strict(spark, str(tmp_path))
+
+
 def test_empty_input_is_an_error(spark, tmp_path):
     (tmp_path / "rows.jsonl").write_text("\n  \n")
     with pytest.raises(ValueError, match="no records"):
