@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -97,14 +97,22 @@ def opinion_answer(opinion: Column) -> Column:
     ).otherwise(F.try_variant_get(opinion, "$", "string"))
 
 
-def name_shorten(model: Column) -> Column:
-    """Display name of a model."""
-    return (
-        F.when(F.contains(model, F.lit("Qwen")), F.lit("Qwen2.5-3B"))
+#: A family's name with its version and size, as published.
+SIZED_NAME = r"Qwen[0-9.]+-[0-9.]+B"
+
+
+def name_shorten(model: Column, names: Mapping[str, str] | None = None) -> Column:
+    """Display name of a model: that of ``names`` where it has one, else by family; the size is the one that a name states."""
+    stated = F.regexp_extract(model, SIZED_NAME, 0)
+    shown = (
+        F.when(stated != "", stated).when(F.contains(model, F.lit("Qwen")), F.lit("Qwen2.5-3B"))
         .when(F.contains(model, F.lit("Phi")), F.lit("Phi-3.5-mini"))
         .when(F.contains(F.lower(model), F.lit("gemma")), F.lit("Gemma2-2B"))
         .otherwise(model)
     )
+    for full, short in (names or {}).items():
+        shown = F.when(model == full, F.lit(short)).otherwise(shown)
+    return shown
 
 
 def dataset_shorten(dataset: Column) -> Column:

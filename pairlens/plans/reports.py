@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -332,13 +332,14 @@ def integrity_report(lines: DataFrame) -> dict[str, DataFrame]:
 
 
 def forest_source(
-    comparisons: DataFrame, first: str = "exp2", second: str = "exp3", rows: int | None = None
+    comparisons: DataFrame, first: str = "exp2", second: str = "exp3", rows: int | None = None,
+    names: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Conformity rows of one contrast with display names and percentage points."""
+    """Conformity rows of one contrast with display names (``names``: model to name) and percentage points."""
     kept = comparisons.where(
         (F.lower("condition1") == first) & (F.lower("condition2") == second) & (F.col("metric") == "conformity_rate")
     ).withColumns({
-        "label": F.concat(name_shorten(F.col("model")), F.lit(" / "), dataset_shorten(F.col("dataset"))),
+        "label": F.concat(name_shorten(F.col("model"), names), F.lit(" / "), dataset_shorten(F.col("dataset"))),
         "delta_pp": F.col("delta") * 100,
     })
     if "ci_low" in comparisons.columns:

@@ -536,3 +536,13 @@ def test_drift_of_all_contrasts_in_one_pass(spark):
     assert [(r.id, r.condition1, r.condition2, r.fields) for r in found.collect()] == [("3", a, b, "correct")]
     one_sided = bad.where(f"NOT (id = '3' AND condition = '{a}')")
     assert A.contrast_drift(one_sided, [(a, b)], ["correct"]).isEmpty()
+
+
+def test_display_names_keep_the_stated_size(spark):
+    from pairlens.functions.labels import name_shorten
+
+    names = ["Qwen/Qwen2.5-3B-Instruct", "Qwen/Qwen2.5-7B-Instruct", "Qwen/other", "microsoft/Phi-3.5-mini-instruct", "google/gemma-2-2b-it", "own/model", None]
+    table = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, model string").orderBy("i")
+    assert [r.n for r in table.select(name_shorten(F.col("model")).alias("n")).collect()] == ["Qwen2.5-3B", "Qwen2.5-7B", "Qwen2.5-3B", "Phi-3.5-mini", "Gemma2-2B", "own/model", None]
+    given = name_shorten(F.col("model"), {"own/model": "Own", "Qwen/other": "Other"})
+    assert [r.n for r in table.select(given.alias("n")).collect()] == ["Qwen2.5-3B", "Qwen2.5-7B", "Other", "Phi-3.5-mini", "Gemma2-2B", "Own", None]
