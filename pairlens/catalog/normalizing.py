@@ -377,11 +377,16 @@ def step_table(spark, folder):
     """Responses with their five-step arrays."""
     k, c, n = F.col("k"), F.col("c"), F.col("n")
 
+    # Each stage is a projection of its own: in one expression they would make a method too long for the JIT compiler.
+    numbers, labels = range(1, 6), ("initial", "correct", "distractor")
+    drawn = responses(spark, folder).withColumns({f"_g{i}": (17 * k + 7 * c + 211 * n + 37 * i) % 100 for i in numbers})
+
+    def answered(i: int):
+        g, (initial, correct, distractor) = F.col(f"_g{i}"), map(F.col, labels)
+        return F.when(g < 30 + 5 * i, distractor).when(g < 85, initial).when(g < 95, correct)
+
     def one(i: int):
-        g = (17 * k + 7 * c + 211 * n + 37 * i) % 100
-        said = (
-            F.when(g < 30 + 5 * i, F.col("distractor")).when(g < 85, F.col("initial")).when(g < 95, F.col("correct"))
-        )
+        g, said = F.col(f"_g{i}"), F.col(f"_said{i}")
         confidence = ((g + i) % 101).cast("int")
         text = F.concat(
             F.lit("ANSWER: "), F.coalesce(said, F.lit("none")), F.lit("\nCONFIDENCE: "), confidence.cast("string")
@@ -392,9 +397,11 @@ def step_table(spark, folder):
             F.create_map(F.lit("A"), lp).alias("option_logprobs"),
         )
 
+    said = drawn.withColumns({f"_said{i}": answered(i) for i in numbers})
+    own = [x for x in drawn.columns if not x.startswith("_g")]
     # One generated row holds the array, so that it is built once however often its members are read.
-    steps = F.explode(F.array(F.array(*[one(i) for i in range(1, 6)]))).alias("steps")
-    return responses(spark, folder).select("*", steps)
+    steps = F.explode(F.array(F.array(*[one(i) for i in numbers]))).alias("steps")
+    return said.select(*own, steps)
 
 
 @query("final_step_audit", """WITH last AS (SELECT * FROM steprows WHERE step = 5)

@@ -88,12 +88,13 @@ def observed_history(df: DataFrame, steps: str = "steps", item: str = "id", turn
 
 def flip_steps(df: DataFrame, steps: str = "steps", value: str = "prediction") -> DataFrame:
     """One row per step of a step array with the value of the step before and whether it changed; no shuffle."""
-    s = F.col(steps)
-    listed = F.transform(s, lambda x, i: F.struct(
-        (i + 1).alias("step"), x[value].alias(value), F.when(i > 0, F.get(s, i - 1)[value]).alias("previous"),
-        F.when(i > 0, ~x[value].eqNullSafe(F.get(s, i - 1)[value])).alias("flipped"),
-    ))
-    return df.select(*[c for c in df.columns if c != steps], F.inline(listed))
+    other = [c for c in df.columns if c != steps]
+    rows = df.select(*other, F.col(steps).alias("_all"), F.posexplode(steps).alias("_pos", "_s"))
+    later, now, before = F.col("_pos") > 0, F.col("_s")[value], F.get("_all", F.col("_pos") - 1)[value]
+    return rows.select(
+        *other, (F.col("_pos") + 1).alias("step"), now.alias(value), F.when(later, before).alias("previous"),
+        F.when(later, ~now.eqNullSafe(before)).alias("flipped"),
+    )
 
 
 def flip_from_previous(rows: DataFrame, keys: Sequence[str], step: str, value: str) -> DataFrame:
