@@ -116,7 +116,7 @@ def archived_lines(spark, folder) -> str:
     lines = view(spark, folder, "lines").select(F.concat(F.lit("run/"), "file").alias("file"), "line_number", "value")
     other = lines.where("file LIKE '%exp1%'").select(F.regexp_replace("file", "exp1", "notes").alias("file"), "line_number", "value")
     cut = table(spark, folder, "nation").select(F.lit("zz/exp_cut.jsonl").alias("file"), F.col("n_nationkey").alias("line_number"), F.col("n_name").alias("value"))
-    AR.write_archives(lines.unionByName(other).unionByName(cut), path, 4, F.col("file") == "zz/exp_cut.jsonl")
+    AR.write_archives(lines.unionByName(other).unionByName(cut), path, 12, F.col("file") == "zz/exp_cut.jsonl")
     return path
 
 

@@ -10,18 +10,22 @@ from __future__ import annotations
 
 import io
 import tarfile
+import zlib
 from collections.abc import Iterator, Sequence
 from itertools import chain, groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairlens.operators.guards import require_rows
 from pairlens.session import path_exists, settle
 
 SCHEMA = "path string, file string, line_number long, value string, fault string"
 ROWS = 4096
+#: Lines of a member that are compressed together while it is put in order.
+RUN = 256
 BLOCK = 512
 #: Members and files of a run that hold responses.
 WANTED = ("exp", ".jsonl")
@@ -170,6 +174,24 @@ def read_tree(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return out
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ordered lines as compressed runs of one member each, with the number of their first line and their place in the task."""
+    at = 0
+    for batch in batches:
+        files, numbers, values = (batch.column(c) for c in ("file", "line_number", "value"))
+        rows = list(zip(files.to_pylist(), numbers.to_pylist(), values.to_pylist(), strict=True))
+        out: list[tuple] = []
+        for file, group in groupby(rows, key=lambda r: r[0]):
+            member = list(group)
+            for start in range(0, len(member), RUN):
+                part = member[start : start + RUN]
+                out.append((file, part[0][1], at, zlib.compress("".join(r[2] + "\n" for r in part).encode(), 1)))
+                at += 1
+        kinds = (files.type, numbers.type, pa.int64(), pa.binary())
+        columns = zip(*out, strict=True) if out else ((),) * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "line_number", "at", "run"])
+
+
 def write_archives(lines: DataFrame, path: str, archives: int, broken: Column | None = None) -> None:
     """``(file, line_number, value)`` as tar archives, gzipped, one a task: members are dealt over ``archives`` tasks.
 
@@ -179,8 +201,16 @@ def write_archives(lines: DataFrame, path: str, archives: int, broken: Column |
     cut = F.coalesce(broken, F.lit(False)) if broken is not None else F.lit(False)
     body = lines.select("file", "line_number", F.coalesce("value", F.lit("")).alias("value"), cut.alias("cut"))
     sizes = settle(body.groupBy("file").agg(F.sum(F.octet_length("value") + 1).alias("size"), F.max("cut").alias("cut")), "archive-sizes")
-    # the cut member comes last in its task
-    laid = body.drop("cut").join(sizes, "file").repartition(archives, "file").sortWithinPartitions("cut", "file", "line_number")
+    # Lines are put in order by many tasks and go on as compressed runs, so that the one task of an archive orders these only.
+    line = T.StructType([T.StructField("file", T.StringType()), body.schema["line_number"]])
+    kinds = T.StructType([*line.fields, T.StructField("at", T.LongType()), T.StructField("run", T.BinaryType())])
+    tasks = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), lines.rdd.getNumPartitions())
+    ordered = body.select("file", "line_number", "value").repartitionByRange(tasks, "file", "line_number").sortWithinPartitions("file", "line_number")
+    runs = ordered.mapInArrow(_runs, kinds)
+    # The largest members are dealt first, and the cut member comes last in its task.
+    dealt = Window.orderBy(F.desc("size"), "file")
+    placed = sizes.withColumn("archive", ((F.row_number().over(dealt) - 1) % archives).cast("int"))
+    laid = runs.join(placed, "file").repartitionById(archives, F.col("archive")).sortWithinPartitions("cut", "file", "line_number", "at")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The archive's bytes as rows between line feeds, which the text writer puts back."""
@@ -197,7 +227,7 @@ def write_archives(lines: DataFrame, path: str, archives: int, broken: Column |
             return out
 
         for batch in batches:
-            for file, size, cut, value in zip(*(batch.column(c).to_pylist() for c in ("file", "size", "cut", "value")), strict=True):
+            for file, size, cut, run in zip(*(batch.column(c).to_pylist() for c in ("file", "size", "cut", "run")), strict=True):
                 if file != name:
                     if ended:
                         break
@@ -207,7 +237,7 @@ def write_archives(lines: DataFrame, path: str, archives: int, broken: Column |
                     info = tarfile.TarInfo(file)
                     info.size = size + BLOCK * 2 if cut else size
                     put(info.tobuf(tarfile.PAX_FORMAT))
-                put(value.encode() + b"\n")
+                put(zlib.decompress(run))
                 if len(held) >= ROWS:
                     yield rows()
         if name is not None and not ended:
@@ -218,4 +248,4 @@ def write_archives(lines: DataFrame, path: str, archives: int, broken: Column |
             yield rows()
 
     # a row for an empty task, so that each task's file is an archive or is empty
-    laid.select("file", "size", "cut", "value").mapInArrow(pack, "value string").write.option("compression", "gzip").option("lineSep", "\n").text(path)
+    laid.select("file", "size", "cut", "run").mapInArrow(pack, "value string").write.option("compression", "gzip").option("lineSep", "\n").text(path)
