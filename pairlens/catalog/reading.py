@@ -152,7 +152,8 @@ def _(spark, folder):
     text = rows.select("dataset", "model", "condition", F.to_json(
         F.struct(*[c for c in rows.columns if c not in ("dataset", "model", "condition")]),
         {"ignoreNullFields": "false"}).alias("value"))
-    text.write.partitionBy("dataset", "model", "condition").text(base)
+    # Few files per folder: a task holds rows of one or a few folders, and large folders are split over tasks.
+    text.hint("rebalance", "dataset", "model", "condition").write.partitionBy("dataset", "model", "condition").text(base)
     # The segments are the table's fixed category list.
     segments = [r[0] for r in table(spark, folder, "customer").select("c_mktsegment").distinct().collect()]
     cells = [

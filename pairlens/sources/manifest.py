@@ -71,7 +71,7 @@ def read_grid(spark: SparkSession, manifest: Manifest) -> DataFrame:
     files = [(*c[:3], f) for c in manifest.cells for f in data_files(spark, c[3])]
     names = spark.createDataFrame(files, "dataset string, model string, condition string, path string")
     plain = F.regexp_replace("path", r"^file:/*", "/")
-    keyed = names.withColumn("_path", plain).drop("path")
+    keyed = settle(names.withColumn("_path", plain).drop("path"), "grid-files")
     lines = text_lines(spark, [f[3] for f in files]).where(strip(F.col("value")) != "")
     joined = lines.withColumn("_path", F.regexp_replace("path", r"^file:/*", "/")).join(keyed, "_path")
     rows = normalize_lines(joined.drop("_path", "path", "block"))

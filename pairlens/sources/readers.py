@@ -15,7 +15,7 @@ from pairlens import constants as K
 from pairlens.functions.labels import strip
 from pairlens.operators.guards import require, require_rows
 from pairlens.operators.normalize import normalize_lines, with_record
-from pairlens.session import list_paths, path_exists, settle
+from pairlens.session import dealt, list_paths, path_exists, settle
 from pairlens.sources.arrays import json_values
 
 
@@ -80,7 +80,7 @@ def require_unique(table: DataFrame, keys: Sequence[str], what: str = "input") -
     """The table itself; an empty table or a repeated key is an error. Reads the key columns of a settled table only."""
     if table.isEmpty():
         raise ValueError(f"no records found in {what}")
-    repeated = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").first()
+    repeated = dealt(table.select(*keys), table, *keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").first()
     if repeated:
         raise ValueError(f"duplicate item id: {repeated.asDict()}")
     return table

@@ -2,11 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from pairlens import session as S
 from pairlens.catalog import views as V
 from pairlens.catalog.normalizing import step_table
+from pairlens.operators import audits as A
 from pairlens.operators.normalize import with_record
 from pairlens.operators.steps import flip_steps
 from pairlens.sources import archives as AR
+from pairlens.sources import readers as R
 
 
 def tables(spark, folder, orders):
@@ -27,6 +30,50 @@ def test_driving_tables_are_dealt_by_rows(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def restored(spark, *names):
+    before = {n: spark.conf.get(n) for n in names}
+    return lambda: [spark.conf.set(n, v) for n, v in before.items()]
+
+
+def test_rows_stay_dealt_after_a_shuffled_join(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(V, "TASK_ROWS", 10)
+    back = restored(spark, "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        folder = tables(spark, tmp_path, 400)
+        for name, each in (("responses", 4), ("lines", 4), ("ablation", 7)):
+            rows = V.view(spark, folder, name).where("k >= 0")
+            held = rows.groupBy(F.spark_partition_id().alias("task")).count().collect()
+            assert sum(r["count"] for r in held) == 400 * each
+            assert max(r["count"] for r in held) <= 3 * 10 * each
+    finally:
+        back()
+
+
+def test_merged_shuffles_are_bounded(spark, tmp_path):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    back = restored(spark, name)
+    try:
+        for given, kept in (("64MB", V.MERGED_BYTES), ("1m", 1 << 20), (str(2 << 20), 2 << 20)):
+            spark.conf.set(name, given)
+            V.at_most_bytes(spark, name, V.MERGED_BYTES)
+            assert spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) == kept
+    finally:
+        back()
+
+
+def test_unique_keys_are_grouped_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(S, "GROUP_ROWS", 10)
+    lines = spark.range(400).selectExpr("'a' as file", "concat('{\"id\": ', id div 2, '}') as value").coalesce(1)
+    facts = A.integrity_facts(lines)
+    profile = A.profile_of_facts(facts)
+    assert "RepartitionByExpression" in profile._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.total_lines, r.unique_item_ids, r.item_id_duplicates) for r in profile.collect()] == [(400, 200, 200)]
+    found = S.settle(spark.range(400).toDF("id"), "ids")
+    assert S.dealt(found, found, "id").rdd.getNumPartitions() == 40
+    assert R.require_unique(found, ["id"]).count() == 400
+
+
 def test_labels_of_lines_need_no_lower(spark, tmp_path):
     folder = tables(spark, tmp_path, 40)
     lines = V.view(spark, folder, "lines")
