@@ -280,6 +280,18 @@ def _block_links(rest: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame
     return rows.mapInArrow(released(run), LINK_SCHEMA)
 
 
+def _one_per_key(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row of ``rows(key, shingles)`` for each wanted key, without a shuffle of the sets.
+
+    There are other rows only where a doc_id repeats: their numbers are found among the keys alone.
+    """
+    numbered = settle(rows.withColumn("row", F.monotonically_increasing_id()), "minhash-sets")
+    names = numbered.select("row", "key")
+    chosen = names.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+    surplus = settle(names.select("row").join(chosen.select("row"), "row", "left_anti"), "minhash-surplus")
+    return numbered.join(surplus, "row", "left_anti").select("key", "shingles")
+
+
 def _spent(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for table in tables:
@@ -296,10 +308,13 @@ def near_duplicates(documents: DataFrame, size: int = 3, least: Fraction = Fract
     in which case component_id is null and kept is true. Rows that repeat a doc_id count as rows of their own.
     Candidates: a pair at likeness s shares a bucket with probability 1 - (1 - s^rows)^bands, that is 1 - 8e-7 at 0.85.
     """
-    marks = settle(sketch(documents, size, bands, rows), "minhash-sketch")
-    bands_of = marks.where("key is not null").groupBy("key").agg(F.first("bands").alias("bands"))
+    wide = settle(sketch(documents, size, bands, rows), "minhash-sketch")
+    # bands are nine tenths of a sketch and read once; the rest is kept to the end
+    marks = settle(wide.drop("bands"), "minhash-marks")
+    bands_of = wide.where("key is not null").groupBy("key").agg(F.first("bands").alias("bands"))
     classes = marks.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"))
     spread = settle(bands_of.select("key", F.explode("bands").alias("bucket")), "minhash-spread")
+    _spent(wide)
     # small tables are written before they are joined, so that a hot key on the other side can be split at run time
     counts = settle(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-counts")
     shared = settle(spread.join(counts, "bucket"), "minhash-shared")
@@ -312,7 +327,7 @@ def near_duplicates(documents: DataFrame, size: int = 3, least: Fraction = Fract
 
     wanted = settle(classes.select("key", "least_id").join(placed.select("key").distinct(), "key"), "minhash-wanted")
     texts = documents.select("doc_id", "text").join(wanted.select("least_id").distinct(), F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi")
-    sets = settle(shingle_sets(texts, size).join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]).select("key", "shingles"), "minhash-sets")
+    sets = _one_per_key(shingle_sets(texts, size).select("key", "shingles"), wanted)
 
     star = settle(_star_links(pairs, sets, least), "minhash-star")
     first = components(star, "minhash-first")
@@ -328,6 +343,6 @@ def near_duplicates(documents: DataFrame, size: int = 3, least: Fraction = Fract
     named = classes.select("key", "least_id").join(groups.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     heads = settle(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "minhash-heads")
     of_class = settle(named.join(heads, "root").select("key", "root", "component_id"), "minhash-classes")
-    joined = marks.drop("bands").join(of_class, "key", "left")
+    joined = marks.join(of_class, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "n_shingles", "key", "root", component.alias("component_id")).withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.col("component_id").isNull()))

@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import random
 from fractions import Fraction
+from pathlib import Path
 
 import pytest
 
 from pairlens.llm import minhash
 from pairlens.llm.components import components
 from pairlens.llm.queries import QUERIES
+from pairlens.session import shared_dir
 
 
 def shingles(text, size):
@@ -129,3 +131,29 @@ def test_a_large_component_meets_only_the_others(spark, monkeypatch):
     joined = [(names[k], names[next(x for x in keys if root[x] == root[k])]) for k in keys]
     assert all(a[:1] + b[:1] != b"\\x01\\x01" for a, b in links)
     assert roots(len(keys), joined + [(names[a], names[b]) for a, b in links]) == roots(len(keys), joined + [(names[a], names[b]) for a, b in want])
+
+
+def test_sets_are_not_shuffled_to_find_repeated_keys(spark):
+    rows = [(b"a", [1, 2]), (b"b", [3]), (b"a", [1, 2]), (b"c", [4])]
+    table = spark.createDataFrame(rows, "key binary, shingles array<long>").repartition(3)
+    wanted = spark.createDataFrame([(b"a", 1), (b"b", 2)], "key binary, least_id long")
+    found = minhash._one_per_key(table, wanted)
+    assert sorted((bytes(r.key), r.shingles) for r in found.collect()) == [(b"a", [1, 2]), (b"b", [3])]
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bands_are_deleted_once_read(spark, monkeypatch):
+    written = []
+
+    def settled(df, name):
+        written.append((name, df.columns))
+        return kept(df, name)
+
+    kept = minhash.settle
+    monkeypatch.setattr(minhash, "settle", settled)
+    texts = [(k, f"one two three four five six seven {'eight' if k % 2 else 'nine'}") for k in range(6)] + [(5, "other words of this row"), (None, None)]
+    rows = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    same(rows, texts)
+    assert ("minhash-marks", ["doc_id", "n_shingles", "key"]) in written
+    folder = spark.sparkContext.applicationId
+    assert not list(Path(shared_dir(spark), "pairlens", folder).glob("minhash-sketch-*/*.parquet"))
