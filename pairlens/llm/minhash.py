@@ -9,6 +9,9 @@ with others (in a group of edited copies: their origin). Where a bucket still ho
 classes other than the hub are compared block by block, those of its largest component only with the others, and only links
 that join components leave a task. So no pair of a bucket goes unchecked unless already connected, and no group is expanded
 into pairs.
+
+A set is sent to a check only after its outline, a bitmap a tenth of its size, was there: two outlines bound the number of
+common shingles from above, so what they rule out is no link, and the rest is checked on full sets.
 """
 
 from __future__ import annotations
@@ -19,9 +22,10 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from pairlens.llm.common import ByteMemo, blobs, released, settle, shuffle_width, slices
 from pairlens.llm.components import components
@@ -35,6 +39,9 @@ WORD_BYTES = 64 << 20
 SKETCH_SCHEMA = "doc_id long, n_shingles long, key binary, bands array<long>"
 SET_SCHEMA = "doc_id long, key binary, shingles array<long>"
 LINK_SCHEMA = "src binary, dst binary"
+OUTLINE_SCHEMA = "key binary, n long, outline binary"
+PAIR_SCHEMA = "hub binary, key binary"
+BLOCK_SCHEMA = "bucket long, key binary, root binary, block int, lo int, hi int"
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -160,18 +167,89 @@ def _arrays(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def _links(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+def _links(pairs: list[tuple[bytes, bytes]], names: tuple[str, str] = ("src", "dst")) -> pa.RecordBatch:
     left, right = zip(*pairs, strict=True) if pairs else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["src", "dst"])
+    return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=list(names))
 
 
-def _star_links(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
-    """Pairs (hub, key) whose sets are alike. A hub's pairs are dealt over all tasks; a task holds one hub's set at a time."""
+def _outline(shingles: np.ndarray) -> bytes:
+    """Bitmap of a set, of a power of two of bits: 64, or four to eight for each shingle."""
+    bits = 1 << max(6, (4 * len(shingles) - 1).bit_length())
+    marks = np.zeros(bits, dtype=bool)
+    marks[((shingles >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(marks).tobytes()
+
+
+def _outlines(sets: DataFrame) -> DataFrame:
+    """Per set: key, n (its size) and outline."""
+
+    def run(batches):
+        for batch in slices(batches, "shingles"):
+            values = _arrays(batch, "shingles")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array([len(v) for v in values], pa.int64()), pa.array([_outline(v) for v in values], pa.binary())],
+                names=["key", "n", "outline"],
+            )
+
+    return sets.select("key", "shingles").mapInArrow(released(run), OUTLINE_SCHEMA)
+
+
+def _folded(outline: np.ndarray, size: int) -> np.ndarray:
+    """The outline that a set has in ``size`` bytes, from one of that size or of twice as many."""
+    return outline if len(outline) == size else outline[:size] | outline[size:]
+
+
+def _may_link(n_left, n_right, bits_left, bits_right, common, least: Fraction):
+    """Whether sets of these sizes, with so many bits in outlines of one size and ``common`` of them in both, can be alike.
+
+    Each bit of one set alone stands for a shingle or more of that set alone, so the other shingles are all that both can have.
+    """
+    most = np.minimum(n_left - (bits_left - common), n_right - (bits_right - common))
+    return least.denominator * most >= least.numerator * (n_left + n_right - most)
+
+
+def _at_hubs(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of the keys of pairs (hub, key), each ``deal`` of a hub's pairs behind the hub's own row (role 0).
+
+    A hub's pairs are dealt over all tasks. Rows are joined once, for hubs and keys together.
+    """
     width = shuffle_width(pairs.sparkSession)
     dealt = pairs.withColumn("deal", F.pmod(F.xxhash64("key"), F.lit(width)).cast("int"))
-    members = dealt.join(sets, "key").select("hub", "deal", F.lit(1).alias("role"), "key", "shingles")
-    hubs = dealt.select("hub", "deal").distinct().join(sets.withColumnRenamed("key", "hub"), "hub").select("hub", "deal", F.lit(0).alias("role"), F.col("hub").alias("key"), "shingles")
-    ordered = members.union(hubs).repartition(width, "hub", "deal").sortWithinPartitions("hub", "deal", "role")
+    members = dealt.select("hub", "deal", F.lit(1).alias("role"), "key")
+    hubs = dealt.select("hub", "deal").distinct().select("hub", "deal", F.lit(0).alias("role"), F.col("hub").alias("key"))
+    return members.union(hubs).join(rows, "key").repartition(width, "hub", "deal").sortWithinPartitions("hub", "deal", "role")
+
+
+def _likely_pairs(pairs: DataFrame, outlines: DataFrame, least: Fraction) -> DataFrame:
+    """Pairs (hub, key) but those whose outlines show that their sets are not alike."""
+    num, den = least.numerator, least.denominator
+
+    def run(batches):
+        own, n_own, mark = None, 0, np.zeros(0, np.uint8)
+        for batch in slices(batches, "outline"):
+            found = []
+            for hub, role, key, n, outline in zip(*(batch.column(c).to_pylist() for c in ("hub", "role", "key", "n", "outline")), strict=True):
+                bits = np.frombuffer(outline, np.uint8)
+                if role == 0:
+                    own, n_own, mark = hub, n, bits
+                    continue
+                if own != hub:
+                    raise RuntimeError("a member without its hub")
+                size = min(len(bits), len(mark))
+                if den * min(n, n_own) < num * max(n, n_own):
+                    continue
+                if max(len(bits), len(mark)) <= 2 * size:
+                    a, b = _folded(mark, size), _folded(bits, size)
+                    if not _may_link(n_own, n, *(int(np.bitwise_count(x).sum()) for x in (a, b, a & b)), least):
+                        continue
+                found.append((hub, key))
+            yield _links(found, ("hub", "key"))
+
+    return _at_hubs(pairs, outlines).mapInArrow(released(run), PAIR_SCHEMA)
+
+
+def _star_links(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    """Pairs (hub, key) whose sets are alike. A task holds one hub's set at a time."""
     num, den = least.numerator, least.denominator
 
     def run(batches):
@@ -192,21 +270,53 @@ def _star_links(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame
                     found.append((hub, key))
             yield _links(found)
 
-    return ordered.mapInArrow(released(run), LINK_SCHEMA)
+    return _at_hubs(pairs, sets).mapInArrow(released(run), LINK_SCHEMA)
 
 
-def _joining_links(keys: list[bytes], roots: list[bytes], sides: list[int], values: list[np.ndarray], cross: bool, least: Fraction) -> list[tuple[bytes, bytes]]:
-    """Links between components among one block, or across two: counts of common shingles by matrix products."""
-    n, num, den = len(keys), least.numerator, least.denominator
+def _open_pairs(roots: list[bytes], sides: list[int], sizes: np.ndarray, cross: bool, least: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the components, and the pairs (upper triangle) of different ones whose sizes allow a link; across two sides only, if wanted."""
+    n, num, den = len(roots), least.numerator, least.denominator
     number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
     label = np.array([number[r] for r in roots])
     side = np.array(sides)
-    sizes = np.array([len(v) for v in values], dtype=np.int64)
     small, large = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
     open_pairs = (label[:, None] != label[None, :]) & (den * small >= num * large)
     if cross:
         open_pairs &= side[:, None] != side[None, :]
-    open_pairs &= np.arange(n)[:, None] < np.arange(n)[None, :]
+    return label, open_pairs & (np.arange(n)[:, None] < np.arange(n)[None, :])
+
+
+def _live(roots: list[bytes], sides: list[int], sizes: list[int], outlines: list[bytes], cross: bool, least: Fraction) -> np.ndarray:
+    """Which classes of one block, or of two, have a pair that outlines do not rule out."""
+    n = np.array(sizes, dtype=np.int64)
+    _, open_pairs = _open_pairs(roots, sides, n, cross, least)
+    live = np.zeros(len(n), dtype=bool)
+    lengths = np.array([len(o) for o in outlines])
+    least_length, most_length = np.minimum.outer(lengths, lengths), np.maximum.outer(lengths, lengths)
+    unlike = open_pairs & (most_length > 2 * least_length)
+    live |= unlike.any(0) | unlike.any(1)
+    for size in np.unique(lengths):
+        here = open_pairs & (least_length == size) & (most_length <= 2 * size)
+        at = np.flatnonzero(here.any(0) | here.any(1))
+        if not len(at):
+            continue
+        marks = np.stack([_folded(np.frombuffer(outlines[i], np.uint8), size) for i in at])
+        common = np.zeros((len(at), len(at)), dtype=np.float32)
+        for start in range(0, size, 1024):
+            part = np.unpackbits(marks[:, start : start + 1024], axis=1).astype(np.float32)
+            common += part @ part.T
+        both, own = np.rint(common).astype(np.int64), n[at]
+        bits = both.diagonal()
+        likely = here[np.ix_(at, at)] & _may_link(own[:, None], own[None, :], bits[:, None], bits[None, :], both, least)
+        live[at] |= likely.any(0) | likely.any(1)
+    return live
+
+
+def _joining_links(keys: list[bytes], roots: list[bytes], sides: list[int], values: list[np.ndarray], cross: bool, least: Fraction) -> list[tuple[bytes, bytes]]:
+    """Links between components among one block, or across two: counts of common shingles by matrix products."""
+    n, num, den = len(keys), least.numerator, least.denominator
+    sizes = np.array([len(v) for v in values], dtype=np.int64)
+    label, open_pairs = _open_pairs(roots, sides, sizes, cross, least)
     live = np.flatnonzero(open_pairs.any(0) | open_pairs.any(1))
     if not len(live):
         return []
@@ -226,7 +336,7 @@ def _joining_links(keys: list[bytes], roots: list[bytes], sides: list[int], valu
         common += part @ part.T
     both = np.rint(common).astype(np.int64)
     linked = open_pairs & (den * both >= num * (sizes[:, None] + sizes[None, :] - both))
-    out, up = [], list(range(len(number)))
+    out, up = [], list(range(int(label.max()) + 1))
 
     def top(x: int) -> int:
         while up[x] != x:
@@ -242,12 +352,45 @@ def _joining_links(keys: list[bytes], roots: list[bytes], sides: list[int], valu
     return out
 
 
-def _block_links(rest: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+def _live_rows(paired: DataFrame, outlines: DataFrame, least: Fraction) -> DataFrame:
+    """Rows of ``paired(bucket, key, root, block, lo, hi)`` that have a pair in their group that outlines do not rule out."""
+    names = ("bucket", "key", "root", "block", "lo", "hi")
+    schema = pa.schema([("bucket", pa.int64()), ("key", pa.binary()), ("root", pa.binary()), ("block", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
+    rows = paired.join(outlines, "key").repartition(shuffle_width(paired.sparkSession), "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+    def kept(held):
+        _, keys, roots, sides, lows, highs, sizes, marks = map(list, zip(*held, strict=True))
+        return [row[:6] for row, live in zip(held, _live(roots, sides, sizes, marks, lows[0] != highs[0], least), strict=True) if live]
+
+    def table(found):
+        columns = zip(*found, strict=True) if found else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+    def run(batches):
+        at, held = None, []
+        for batch in slices(batches, "outline"):
+            found = []
+            for row in zip(*(batch.column(c).to_pylist() for c in (*names, "n", "outline")), strict=True):
+                group = row[0], row[4], row[5]
+                if group != at:
+                    if held:
+                        found += kept(held)
+                    at, held = group, []
+                held.append(row)
+            yield table(found)
+        if held:
+            yield table(kept(held))
+
+    return rows.mapInArrow(released(run), BLOCK_SCHEMA)
+
+
+def _block_links(rest: DataFrame, sets: DataFrame, least: Fraction, outlines: DataFrame | None = None) -> DataFrame:
     """Links that join components within ``rest(bucket, key, root, main, n_main, n_other)``.
 
     ``main`` is the bucket's largest component, with ``n_main`` classes; its classes are connected already and meet only
     the ``n_other`` others, which meet all. Either kind is dealt into blocks of about ``BLOCK`` classes, and every pair of
-    blocks that may hold a link is a group of its own. A bucket of one block's size is one group.
+    blocks that may hold a link is a group of its own. A bucket of one block's size is one group. Outlines go to all groups,
+    sets to what is left there by ``outlines``, which are those of ``sets``.
     """
     width = shuffle_width(rest.sparkSession)
     count = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
@@ -260,7 +403,8 @@ def _block_links(rest: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame
     paired = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1))).select(
         "bucket", "key", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
     )
-    rows = paired.join(sets, "key").repartition(width, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    live = settle(_live_rows(paired, _outlines(sets) if outlines is None else outlines, least), "minhash-live")
+    rows = live.join(sets, "key").repartition(width, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
 
     def run(batches):
         at, held = None, []
@@ -315,29 +459,34 @@ def near_duplicates(documents: DataFrame, size: int = 3, least: Fraction = Fract
     classes = marks.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least_id"))
     spread = settle(bands_of.select("key", F.explode("bands").alias("bucket")), "minhash-spread")
     _spent(wide)
-    # small tables are written before they are joined, so that a hot key on the other side can be split at run time
-    counts = settle(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-counts")
-    shared = settle(spread.join(counts, "bucket"), "minhash-shared")
+    # one shuffle of the places; a bucket has at most one narrow row of each class
+    shared = settle(spread.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1"), "minhash-shared")
     central = shared.groupBy("key").agg(F.sum("n").alias("weight"))
     ranked = shared.join(central, "key")
     hubs = settle(ranked.groupBy("bucket").agg(F.max(F.struct("weight", "key")).getField("key").alias("hub")), "minhash-hub")
     placed = settle(shared.join(hubs, "bucket"), "minhash-hubs")
-    _spent(spread, counts, shared, hubs)
+    _spent(spread, shared, hubs)
     pairs = settle(placed.where("key <> hub").select("hub", "key").distinct(), "minhash-pairs")
 
     wanted = settle(classes.select("key", "least_id").join(placed.select("key").distinct(), "key"), "minhash-wanted")
     texts = documents.select("doc_id", "text").join(wanted.select("least_id").distinct(), F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi")
-    sets = _one_per_key(shingle_sets(texts, size).select("key", "shingles"), wanted)
-
-    star = settle(_star_links(pairs, sets, least), "minhash-star")
+    found = _one_per_key(shingle_sets(texts, size).select("key", "shingles"), wanted)
+    # sets are dealt by key once; what is joined with them comes to where they are
+    sets = found.repartition(shuffle_width(documents.sparkSession), "key").persist(StorageLevel.DISK_ONLY)
+    sets.count()
+
+    outlines = settle(_outlines(sets), "minhash-outlines")
+    likely = settle(_likely_pairs(pairs, outlines, least), "minhash-likely")
+    star = settle(_star_links(likely, sets, least), "minhash-star")
     first = components(star, "minhash-first")
     rest = placed.where("key <> hub").join(first.withColumnRenamed("id", "key"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
     rest = settle(rest, "minhash-rest")
     parts = rest.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
     mixed = settle(mixed.select("bucket", F.col("top.root").alias("main"), F.col("top.n").alias("n_main"), (F.col("n") - F.col("top.n")).alias("n_other")), "minhash-mixed")
-    more = settle(_block_links(rest.join(mixed, "bucket"), sets, least), "minhash-more")
-    _spent(placed, pairs, rest, mixed, wanted, sets)
+    more = settle(_block_links(rest.join(mixed, "bucket"), sets, least, outlines), "minhash-more")
+    sets.unpersist()
+    _spent(placed, pairs, likely, rest, mixed, wanted, found, outlines)
     groups = components(star.union(more), "minhash-groups")
 
     named = classes.select("key", "least_id").join(groups.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))

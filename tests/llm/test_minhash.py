@@ -4,6 +4,7 @@ import random
 from fractions import Fraction
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from pairlens.llm import minhash
@@ -157,3 +158,47 @@ def test_bands_are_deleted_once_read(spark, monkeypatch):
     assert ("minhash-marks", ["doc_id", "n_shingles", "key"]) in written
     folder = spark.sparkContext.applicationId
     assert not list(Path(shared_dir(spark), "pairlens", folder).glob("minhash-sketch-*/*.parquet"))
+
+
+@pytest.mark.parametrize("least", [Fraction(85, 100), Fraction(8, 10), Fraction(3, 10)])
+def test_outlines_rule_out_no_link(least):
+    rng = np.random.default_rng(11)
+    sets = []
+    for size in (1, 2, 7, 15, 16, 17, 130, 1000, 20_000):
+        base = rng.integers(0, 1 << 64, size, dtype=np.uint64)
+        for share in (0, 0.02, 0.05, 0.08, 0.1, 0.15, 0.3, 0.5):
+            fresh = base.copy()
+            fresh[: int(share * size)] = rng.integers(0, 1 << 64, int(share * size), dtype=np.uint64)
+            sets.append(np.unique(fresh))
+    names = [bytes([k]) for k in range(len(sets))]
+    outlines = [minhash._outline(s) for s in sets]
+    assert all(len(o) <= max(8, len(s)) for o, s in zip(outlines, sets, strict=True))
+    live = minhash._live(names, [0] * len(sets), [len(s) for s in sets], outlines, False, least)
+    for i, a in enumerate(sets):
+        both = [len(np.intersect1d(a, b)) for b in sets]
+        linked = [j for j, b in enumerate(sets) if j != i and both[j] * least.denominator >= least.numerator * (len(a) + len(b) - both[j])]
+        assert live[i] or not linked
+        for j in linked:
+            assert list(minhash._live([names[i], names[j]], [0, 1], [len(a), len(sets[j])], [outlines[i], outlines[j]], True, least)) == [True, True]
+    assert list(minhash._live([names[i] for i in (64, 71)], [0, 0], [len(sets[i]) for i in (64, 71)], [outlines[i] for i in (64, 71)], False, Fraction(85, 100))) == [False, False]
+
+
+def test_sets_of_unlike_candidates_are_not_sent(spark, monkeypatch):
+    """All texts share buckets, at a likeness of about a half; only two of them are alike."""
+    counts = {}
+
+    def settled(df, name):
+        table = kept(df, name)
+        counts[name] = table.count()
+        return table
+
+    kept = minhash.settle
+    monkeypatch.setattr(minhash, "settle", settled)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(140)]
+    texts = [(k, " ".join(base + [f"x{rng.randrange(10**6)}" for _ in range(60)])) for k in range(40)]
+    texts.append((40, texts[3][1] + " end"))
+    rows = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    same(rows, texts)
+    assert counts["minhash-pairs"] >= 30
+    assert counts["minhash-likely"] + counts["minhash-live"] <= 4
