@@ -202,3 +202,26 @@ def test_sets_of_unlike_candidates_are_not_sent(spark, monkeypatch):
     same(rows, texts)
     assert counts["minhash-pairs"] >= 30
     assert counts["minhash-likely"] + counts["minhash-live"] <= 4
+
+
+def test_sets_are_dealt_by_key_once(spark, monkeypatch):
+    """Joins with sets bring pairs and blocks to where the sets are, also where nothing is broadcast."""
+    plans = {}
+
+    def settled(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(df, name)
+
+    kept = minhash.settle
+    monkeypatch.setattr(minhash, "settle", settled)
+    given = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = [(k, f"one two three four five six seven {'eight' if k % 2 else 'nine'} {k // 2}") for k in range(12)]
+        rows = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
+    same(rows, texts)
+    for name in ("minhash-star", "minhash-more"):
+        moved = [line for line in plans[name].splitlines() if "Exchange hashpartitioning(key#" in line and "ENSURE_REQUIREMENTS" in line]
+        assert len(moved) == 1, plans[name]
