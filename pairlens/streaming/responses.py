@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from pairlens.operators.metrics import add_counts, condition_counts, summary_of_counts
 from pairlens.operators.normalize import normalize_responses
-from pairlens.session import list_paths, path_exists, remove, settle
+from pairlens.session import list_paths, path_exists, qualified, remove, scratch, settle
 
 RESPONSE_SCHEMA = (
     "id string, dataset string, model string, condition string, correct string, distractor string, "
@@ -57,43 +64,197 @@ def fold_counts(rows: DataFrame, folder: str, number: int) -> DataFrame:
     return spark.read.schema(counts.schema).parquet(f"{folder}/batch={number}")
 
 
+#: Rows of a batch up to which every task that scans the keys seen holds the batch's hashes: 16 bytes each and a table of 16 MB.
+LOOKUP_ROWS = 4_000_000
+#: Hash of a row's key. Keys seen are scanned by it alone; whether two keys are the same is decided by the keys themselves.
+HASH = "_key_hash"
+
+
 def _same_key() -> Column:
     return reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in KEYS])
 
 
+def _span(number: int, merge_every: int) -> int:
+    """How many batches below a number its ``merged=`` folder covers: the largest power of ``merge_every`` that divides the number."""
+    span = merge_every
+    while number % (span * max(merge_every, 2)) == 0:
+        span *= max(merge_every, 2)
+    return span
+
+
+def _merged(spark: SparkSession, folder: str, number: int, merge_every: int) -> list[int]:
+    """Numbers of the ``merged=`` folders that together hold the keys of all batches below a number where a stretch begins."""
+    found = [int(n.split("=")[1]) for n in list_paths(spark, folder) if n.startswith("merged=")] if path_exists(spark, folder) else []
+    chosen, left = [], number
+    for n in sorted(found, reverse=True):
+        if n <= left:
+            chosen.append(n)
+            left = n - _span(n, merge_every)
+    return chosen
+
+
+def _merge(spark: SparkSession, folder: str, number: int, merge_every: int, kind: StructType) -> None:
+    """Keys of the stretch before a number as one folder, with those of whole stretches before it where these are as many as a
+    stretch has batches. A key is so written again once for every power of ``merge_every`` only.
+
+    What the folder was made of is deleted a stretch later, so that the batch can be run again.
+    """
+    old = number - merge_every
+    parts = [f"{folder}/batch={n}" for n in _numbered(spark, folder, number) if n >= old]
+    parts += [f"{folder}/merged={n}" for n in _merged(spark, folder, old, merge_every) if n > number - _span(number, merge_every)]
+    keys = _keys(spark, parts, kind) if parts else spark.createDataFrame([], kind)
+    _written(keys.sortWithinPartitions(HASH), f"{folder}/merged={number}")
+    for n in _numbered(spark, folder, old):
+        remove(spark, f"{folder}/batch={n}")
+    kept = _merged(spark, folder, old, merge_every)
+    for name in list_paths(spark, folder):
+        if name.startswith("merged=") and (n := int(name.split("=")[1])) < old and n not in kept:
+            remove(spark, f"{folder}/{name}")
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system of a qualified path, and the path in it."""
+    return (fs.LocalFileSystem(), path.removeprefix("file:")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+
+
+def _files(folders: Sequence[str]) -> list[tuple[fs.FileSystem, str]]:
+    """Data files directly in folders, the largest first."""
+    found = []
+    for folder in folders:
+        store, inside = _store(folder)
+        found += [(-i.size, i.path, store) for i in store.get_file_info(fs.FileSelector(inside)) if i.is_file and not i.base_name.startswith(("_", "."))]
+    return [(store, path) for _, path, store in sorted(found, key=lambda f: f[:2])]
+
+
+def _row_groups(store: fs.FileSystem, path: str) -> Iterator[Callable[[list[str]], pa.Table]]:
+    """A reader of columns for each row group of a file."""
+    with store.open_input_file(path) as source:
+        file = pq.ParquetFile(source, read_dictionary=KEYS[:-1])  # few values, which need no text a row
+        for group in range(file.num_row_groups):
+            yield lambda columns, group=group: file.read_row_group(group, columns, use_threads=False)
+
+
+def _hashes(folder: str) -> np.ndarray:
+    """Sorted hashes of a folder."""
+    found = [read([HASH]).column(0).to_numpy() for f in _files([folder]) for read in _row_groups(*f)]
+    return np.sort(np.concatenate(found)) if found else np.empty(0, "i8")
+
+
+def _repeated(ids: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Hashes that a folder has more than once."""
+    for _ in ids:
+        hashes = _hashes(folder)
+        yield pa.RecordBatch.from_pydict({HASH: np.unique(hashes[1:][hashes[1:] == hashes[:-1]])})
+
+
+def _matching(ids: Iterator[pa.RecordBatch], tasks: int, asked: str, folders: Sequence[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of the folders' files whose hash is among those asked for; task ``i`` of ``tasks`` takes every ``tasks``-th file.
+
+    A byte for each leading 24 bits of a hash rules out nearly all rows; what is left is searched for in the sorted hashes. Both
+    are some four times as fast on files ordered by hash, as these are.
+    """
+    mine = [f for batch in ids for i in batch.column(0).to_pylist() for f in _files(folders)[i::tasks]]
+    hashes = _hashes(asked) if mine else ()
+    if not len(hashes):
+        return
+    leading = np.zeros(1 << 24, bool)
+    leading[(hashes >> 40) + (1 << 23)] = True
+    for file in mine:
+        for read in _row_groups(*file):
+            seen = read([HASH]).column(0).to_numpy()
+            likely = np.flatnonzero(leading[(seen >> 40) + (1 << 23)])
+            at = np.searchsorted(hashes, seen[likely])
+            rows = likely[hashes[np.minimum(at, len(hashes) - 1)] == seen[likely]]
+            if len(rows):
+                yield from read(schema.names).select(schema.names).take(pa.array(rows)).cast(schema).combine_chunks().to_batches(max_chunksize=10_000)
+
+
+def _scannable(folder: str) -> bool:
+    """Whether Arrow reads a folder of keys and finds hashes in it; folders written by earlier versions have none."""
+    try:
+        found = _files([folder])
+    except (OSError, pa.ArrowInvalid, ImportError):
+        return False
+    return bool(found) and HASH in _footer(*found[0]).schema.names
+
+
+def _footer(store: fs.FileSystem, path: str) -> pq.FileMetaData:
+    with store.open_input_file(path) as source:
+        return pq.read_metadata(source)
+
+
+def _count(folder: str) -> int:
+    """Rows of a folder, by its footers."""
+    return sum(_footer(*f).num_rows for f in _files([folder]))
+
+
+def _with_hash_of(rows: DataFrame, work: str, parts: Sequence[str], kind: StructType, scanned: bool) -> DataFrame:
+    """Keys seen, in the folders ``parts``, that share their hash with one of ``rows``, which lie in ``work``.
+
+    Arrow scans the one integer column, some ten times as fast as a join goes through rows. The keys are joined where there are
+    too many at once, or where they cannot be scanned.
+    """
+    spark = rows.sparkSession
+    if not scanned:
+        return _keys(spark, parts, kind).join(rows.select(HASH), HASH, "left_semi")
+    tasks, schema = spark.sparkContext.defaultParallelism, to_arrow_schema(kind)
+    return spark.range(0, tasks, 1, tasks).mapInArrow(lambda ids: _matching(ids, tasks, f"{work}/rows", parts, schema), kind)
+
+
+def _keys(spark: SparkSession, parts: Sequence[str], kind: StructType) -> DataFrame:
+    """Keys of folders with their hashes, which folders written by earlier versions do not have."""
+    return spark.read.schema(kind).parquet(*parts).withColumn(HASH, F.coalesce(HASH, F.xxhash64(*KEYS)))
+
+
 def new_keys(batch: DataFrame, folder: str, number: int, merge_every: int = 64) -> DataFrame:
     """The first row of each key that no batch below ``number`` had; null is a key value like any other.
 
-    Keys seen are a table: a folder a batch, merged into one every ``merge_every`` batches. A batch first looks up which
-    of its own keys are in there, so the table is read but not shuffled while the batch is small enough to broadcast, and
-    nothing stays in executors between batches. Of rows with one key in one batch the earliest by ingest time counts.
-    Folders below the number alone are read, so a batch that is run again gives the same rows.
+    Keys seen are a table: a folder a batch, merged every ``merge_every`` batches. A batch first looks up which of its own
+    keys are in there: the table is scanned by one hash a key, and what has a hash of the batch is compared in full. So it is
+    not shuffled while the batch has at most ``LOOKUP_ROWS`` rows, and nothing stays in executors between batches.
+    Of rows with one key in one batch the earliest by ingest time counts. Folders below the number alone are read, so a
+    batch that is run again gives the same rows.
     """
     spark = batch.sparkSession
-    others = [c for c in batch.columns if c not in KEYS]
-    order = F.struct(F.coalesce("ingested", F.timestamp_seconds(F.lit(0))), F.xxhash64(*others))
-    firsts = settle(
-        batch.groupBy(*KEYS).agg(F.min_by(F.struct(*others), order).alias("_r")).select(*KEYS, "_r.*"), "batch-keys"
-    ).select(batch.columns)
-    kind = firsts.select(*KEYS).schema
+    folder, work = qualified(spark, folder), qualified(spark, scratch(spark, "batch"))
+    rows = _written(batch.select(F.xxhash64(*KEYS).alias(HASH), *batch.columns), f"{work}/rows")
+    kind = rows.select(HASH, *KEYS).schema
     base = number // merge_every * merge_every
-    old = base - merge_every
-    if number == base and number:  # a new stretch begins: what there was before becomes one folder
-        parts = [f"{folder}/batch={n}" for n in _numbered(spark, folder, number) if n >= old]
-        parts += [f"{folder}/merged={old}"] if path_exists(spark, f"{folder}/merged={old}") else []
-        (spark.read.schema(kind).parquet(*parts) if parts else spark.createDataFrame([], kind)).write.mode("overwrite").parquet(f"{folder}/merged={base}")
-        for n in _numbered(spark, folder, old):
-            remove(spark, f"{folder}/batch={n}")
-        remove(spark, f"{folder}/merged={old - merge_every}")
-    parts = [f"{folder}/batch={n}" for n in _numbered(spark, folder, number) if n >= base]
-    parts += [f"{folder}/merged={base}"] if path_exists(spark, f"{folder}/merged={base}") else []
-    fresh = firsts
+    if number == base and number:  # a new stretch begins
+        _merge(spark, folder, number, merge_every, kind)
+    parts = [f"{folder}/merged={n}" for n in reversed(_merged(spark, folder, base, merge_every))]
+    parts += [f"{folder}/batch={n}" for n in _numbered(spark, folder, number) if n >= base]
+    scanned = all(map(_scannable, (f"{work}/rows", *parts[:1]))) and _count(f"{work}/rows") <= LOOKUP_ROWS
+    fresh = _firsts(rows, work, scanned)
     if parts:
-        seen = spark.read.schema(kind).parquet(*parts)
-        known = settle(seen.alias("a").join(firsts.select(*KEYS).alias("b"), _same_key(), "left_semi"), "known")
-        fresh = firsts.alias("a").join(known.alias("b"), _same_key(), "left_anti")
-    fresh.select(*KEYS).write.mode("overwrite").parquet(f"{folder}/batch={number}")
-    return fresh
+        known = _written(_with_hash_of(rows, work, parts, kind, scanned), f"{work}/known")
+        fresh = fresh.alias("a").join(known.alias("b"), (F.col(f"a.{HASH}") == F.col(f"b.{HASH}")) & _same_key(), "left_anti")
+    out = _written(fresh.sortWithinPartitions(HASH), f"{folder}/batch={number}")
+    remove(spark, work)
+    return out.select(batch.columns)
+
+
+def _firsts(rows: DataFrame, work: str, scanned: bool) -> DataFrame:
+    """The earliest row of each key of ``rows``, which lie in ``work``. Only those whose hash is not alone there are grouped."""
+    spark = rows.sparkSession
+    others = [c for c in rows.columns if c not in (HASH, *KEYS)]
+    order = F.struct(F.coalesce("ingested", F.timestamp_seconds(F.lit(0))), F.xxhash64(*others))
+    if scanned:
+        twice = spark.range(0, 1, 1, 1).mapInArrow(lambda ids: _repeated(ids, f"{work}/rows"), f"{HASH} bigint")
+    else:
+        twice = rows.groupBy(HASH).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(HASH)
+    twice = _written(twice, f"{work}/repeated")
+    if not _count(f"{work}/repeated") if scanned else twice.isEmpty():
+        return rows
+    # The hash comes first, so that rows are ordered by it and not by keys that begin alike.
+    grouped = rows.join(twice, HASH, "left_semi").groupBy(HASH, *KEYS).agg(F.min_by(F.struct(*others), order).alias("_r"))
+    return rows.join(twice, HASH, "left_anti").unionByName(grouped.select(HASH, *KEYS, "_r.*"))
+
+
+def _written(rows: DataFrame, path: str) -> DataFrame:
+    """Rows written to a path, in place of what is there, and read back. A scan holds a row group, so these are small."""
+    rows.write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def _save_summary(totals: DataFrame, out: str) -> None:

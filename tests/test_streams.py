@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from pairlens import session as S
 from pairlens.functions import messages as M
 from pairlens.operators import audits as A
 from pairlens.operators import metrics as MT
@@ -83,6 +86,63 @@ def test_stream_keeps_the_first_row_of_a_key(spark, tmp_path):
     assert found == {"e0": (7, 2 / 7), "e1": (7, 2 / 7)}
 
 
+def rows_with(spark, *keys, final="A"):
+    """Rows with keys ``(id, dataset)``, ingested one second after another."""
+    rows = [(i, d, "m" if d else "d", "e", "A", "B", "A", final, False, datetime.datetime(2024, 1, 1, 0, 0, n)) for n, (i, d) in enumerate(keys)]
+    return spark.createDataFrame(rows, ST.RESPONSE_SCHEMA)
+
+
+def ids_of(df):
+    return sorted((r.id, r.dataset or "") for r in df.collect())
+
+
+def test_keys_seen_are_scanned_and_written_again_once_a_power(spark, tmp_path):
+    keys = str(tmp_path / "keys")
+    for n in range(22):
+        batch = rows_with(spark, *[(str(i), "d") for i in (n, n, max(0, n - 1), n // 2, 0)])
+        for _ in range(2 if n % 4 == 0 else 1):  # some batches run again
+            assert ids_of(ST.new_keys(batch, keys, n, 2)) == [(str(n), "d")]
+    held = {name: sorted(int(r.id) for r in spark.read.parquet(f"{keys}/{name}").collect()) for name in os.listdir(keys) if name.startswith("merged=")}
+    # 16 and 20 hold what lies behind 20; 18 is what 20 was made of.
+    assert held == {"merged=16": list(range(16)), "merged=18": [16, 17], "merged=20": [16, 17, 18, 19]}
+    asked, work = rows_with(spark, ("3", "d"), ("x", "d")), str(tmp_path / "work")
+    rows = ST._written(asked.withColumn(ST.HASH, F.xxhash64(*ST.KEYS)), f"{work}/rows")
+    kind = rows.select(ST.HASH, *ST.KEYS).schema
+    for scanned in (True, False):
+        found = ST._with_hash_of(rows, S.qualified(spark, work), [S.qualified(spark, f"{keys}/merged={n}") for n in (16, 20)], kind, scanned)
+        assert ids_of(found) == [("3", "d")]
+        assert ("Join" in found._jdf.queryExecution().optimizedPlan().toString()) != scanned
+
+
+@pytest.mark.parametrize("limit", [10, 0])
+def test_keys_that_share_a_hash_stay_apart(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(ST, "LOOKUP_ROWS", limit)
+    keys = str(tmp_path / "keys")
+    both = [("1", "d"), ("1", None)]  # null and "d" as model hash like "d" and null would
+    swapped = rows_with(spark, *both).withColumns({"dataset": F.expr("if(dataset is null, null, 'd')"), "model": F.expr("if(dataset is null, 'd', null)")})
+    assert swapped.select(F.xxhash64(*ST.KEYS)).distinct().count() == 1
+    one, two = swapped.where("dataset is null"), swapped.where("dataset is not null")
+    assert ids_of(ST.new_keys(swapped.unionByName(swapped), keys, 0)) == [("1", ""), ("1", "d")]
+    assert ids_of(ST.new_keys(one, keys, 0)) == [("1", "")]
+    assert ids_of(ST.new_keys(two.unionByName(one), keys, 1)) == [("1", "d")]
+    assert ST.new_keys(swapped, keys, 2).count() == 0
+
+
+def test_the_earliest_row_of_a_repeated_key_counts(spark, tmp_path):
+    late, early = rows_with(spark, ("0", "d"), ("1", "d"), ("2", "d"), final="B"), rows_with(spark, ("2", "d"), ("3", "d"), final="A")
+    found = ST.new_keys(late.unionByName(early), str(tmp_path / "keys"), 0)
+    assert sorted((r.id, r.final) for r in found.collect()) == [("0", "B"), ("1", "B"), ("2", "A"), ("3", "A")]
+    assert ST.new_keys(late.limit(0), str(tmp_path / "keys"), 1).count() == 0
+
+
+def test_key_folders_of_earlier_versions_are_read(spark, tmp_path):
+    keys = str(tmp_path / "keys")
+    for n in (0, 1):
+        rows_with(spark, (str(n), "d")).select(*ST.KEYS).write.parquet(f"{keys}/batch={n}")
+    for n in range(2, 7):
+        assert ids_of(ST.new_keys(rows_with(spark, ("0", "d"), ("1", "d"), (str(n), "d")), keys, n, 2)) == [(str(n), "d")]
+
+
 def plain_collapse(messages):
     out = []
     for m in messages:
